@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import exact, shards, urltree, warc
+from feedlens.llm import exact, packing, shards, simple8b, urltree, warc
 from feedlens.llm.shared import scratch
+from feedlens.llm.tokens import tokenizer
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +33,24 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "simple8b")
+    simple8b.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("word_bpe_49k.json"), path)
+    return simple8b.digests(spark, path)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.digests(packing.pack(docs, tokenizer("byte_bpe_50k.json")))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     return urltree.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op4_sharding, op10_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op10_url_filter)}
 
 
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
