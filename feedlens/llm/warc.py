@@ -1,8 +1,9 @@
 """WARC archives: a writer that stores repeated payloads once, and a reader that salvages damaged archives.
 
-The writer builds whole records with DataFrame functions and lets Spark's text sink store the bytes, so any
-file system that Spark writes can hold them and its commit protocol covers lost executors. The reader takes
-plain archives and archives of gzip members.
+The writer builds whole records with DataFrame functions, compresses each as a gzip member and lets Spark's
+text sink store the bytes, so any file system that Spark writes can hold them and its commit protocol covers
+lost executors. The sink's line separator is an empty gzip member. The reader takes plain archives and
+archives of gzip members.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import types as T
 #: A payload of fewer bytes is always stored in full.
 REVISIT_BYTES = 1000
 _END = "\r\n\r\n"
+#: A gzip member without content.
+EMPTY_MEMBER = b"\x1f\x8b\x08\0\0\0\0\0\0\x03\x03\0\0\0\0\0\0\0\0\0"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 RECORD = T.StructType([
@@ -51,7 +54,7 @@ def _header(name: str, value) -> F.Column:
 
 
 def record_text(rows: DataFrame) -> DataFrame:
-    """One column `value`: each row as a WARC record without the closing line ends."""
+    """One column `record`: each row as the bytes of a WARC record."""
     revisit = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     body = F.when(revisit, F.lit(_HTTP).cast("binary")).otherwise(F.concat(F.lit(_HTTP).cast("binary"), F.col("payload")))
@@ -63,22 +66,39 @@ def record_text(rows: DataFrame) -> DataFrame:
         _header("WARC-Block-Digest", F.concat(F.lit("sha1:"), F.sha1("body"))),
         _header("Content-Type", F.lit("application/http; msgtype=response")), _header("Content-Length", F.octet_length("body").cast("string")), F.lit("\r\n"),
     )
-    return rows.withColumn("body", body).select(F.concat(head.cast("binary"), F.col("body")).cast("string").alias("value"))
+    return rows.withColumn("body", body).select(F.concat(head.cast("binary"), F.col("body"), F.lit(_END).cast("binary")).alias("record"))
+
+
+def _members(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        for a in range(0, batch.num_rows, 512):
+            part = batch.column(0).slice(a, 512)
+            packed = []
+            for record in part:
+                engine = zlib.compressobj(4, zlib.DEFLATED, 31)
+                packed.append(engine.compress(record.as_py()) + engine.flush())
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["member"])
 
 
 def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, records_per_file: int = 20_000) -> None:
-    """Write one record per row of pages to plain archives under `path`.
+    """Write one record per row of pages to archives of gzip members under `path`.
 
     Null html is an empty payload, a null url leaves the target out, a null page_id is named null. Repeated
     rows are stored as often as they occur. An empty table writes no record; other columns are ignored.
     """
-    record_text(plan_revisits(pages, least)).write.option("lineSep", _END).option("maxRecordsPerFile", records_per_file).text(path)
+    members = record_text(plan_revisits(pages, least)).mapInArrow(_members, "member binary")
+    sink = members.select(F.col("member").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+    sink.option("maxRecordsPerFile", records_per_file).text(path)
 
 
 # ---------------------------------------------------------------- reading
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
+#: Bytes that are inflated at a time.
+_STEP = 1 << 14
 
 
 def _parse(data, at: int, end: int) -> tuple[dict, int] | str:
@@ -118,14 +138,17 @@ def _parse(data, at: int, end: int) -> tuple[dict, int] | str:
 
 
 def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    engine = zlib.decompressobj(31)
-    try:
-        out = engine.decompress(data[at:]) + engine.flush()
-    except zlib.error as e:
-        return f"bad member: {str(e)[:60]}"
-    if not engine.eof:
-        return "truncated member"
-    return out, len(data) - len(engine.unused_data)
+    """Content and end of the gzip member at `at`, or why there is none; reads no further than a step past it."""
+    engine, out, view = zlib.decompressobj(31), [], memoryview(data)
+    while not engine.eof:
+        if at >= len(data):
+            return "truncated member"
+        try:
+            out.append(engine.decompress(view[at : at + _STEP]))
+        except zlib.error as e:
+            return f"bad member: {str(e)[:60]}"
+        at = min(at + _STEP, len(data))
+    return b"".join(out), at - len(engine.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -143,6 +166,10 @@ def salvage(data: bytes) -> Iterator[dict]:
     while at < end:
         if data[at : at + 3] == _MEMBER:
             member = _inflate(data, at)
+            if not isinstance(member, str) and not member[0]:  # padding
+                yield from quarantined(at)
+                gap, at = None, member[1]
+                continue
             found = member if isinstance(member, str) else _parse(member[0], 0, len(member[0]))
             if not isinstance(found, str) and found[1] != len(member[0]):
                 found = "bytes after the record of a member"
