@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import exact, packing, shards, simple8b, urltree, warc
+from feedlens.llm import chosenpath, exact, packing, shards, simple8b, urltree, warc
 from feedlens.llm.shared import scratch
 from feedlens.llm.tokens import tokenizer
 
@@ -44,13 +44,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(docs, tokenizer("byte_bpe_50k.json")))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosenpath.link(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
     return urltree.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op10_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op8_near_dedup, op10_url_filter)}
 
 
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -70,6 +74,20 @@ select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc
 from d window w as (partition by t)
 """
 
+#: Links from an inverted index of shingles, components by repeated minimum; slow beyond a few thousand documents.
+OP8_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all({_ASCII_LOWER.format("text")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+     s as (select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') || chr(0) else array_to_string(w[i : i + 4], ' ') end as t
+           from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from d where len(w) > 0)),
+     n as (select doc_id, count(*) as n from s group by 1),
+     pairs as (select a.doc_id as u, b.doc_id as v, count(*) as common from s a join s b on a.t = b.t and a.doc_id <> b.doc_id group by 1, 2),
+     links as (select u, v from pairs join n x on x.doc_id = u join n y on y.doc_id = v where 100 * common >= 85 * (x.n + y.n - common)),
+     reach as (select doc_id as root, doc_id as node from d union select root, v from reach join links on u = node),
+     c as (select node as doc_id, min(root) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from d left join n using (doc_id) join c using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_dedup": OP8_SQL}
