@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,68 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*columns)
 
 
+# ---------------------------------------------------------------- filters of fixed size
+
+#: Bits of the filters below: 2 MB, whatever the number of keys.
+FILTER_BITS = 24
+
+
+def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A bitmap of 2^bits bits of 64-bit hashes, as bytes: the first column of `hashes`, made in tasks and merged by Spark."""
+    def run(batches):
+        import pyarrow as pa
+
+        out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+        for batch in batches:
+            byte, mask = _bit_of(batch.column(0).to_numpy().view(np.uint64), bits)
+            np.bitwise_or.at(out, byte, mask)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at].astype(np.int32), pa.int32())], ["at", "bits"])
+
+    rows = hashes.mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # one row per byte at most
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.uint8)
+    return out
+
+
+def _bit_of(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    bit = hashes >> np.uint64(64 - bits)
+    return (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8)
+
+
+def in_filter(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether each hash may be among those of the bitmap."""
+    byte, mask = _bit_of(hashes, len(bitmap).bit_length() + 2)
+    return (bitmap[byte] & mask) > 0
+
+
+def may_hold(keys: DataFrame, column: Column) -> Column:
+    """Whether `column` may be among the values of the first column of `keys`, by a filter of fixed size.
+
+    It saves the shuffle of rows that a join would not match; with far more keys than bits it saves nothing.
+    """
+    name = keys.columns[0]
+    bitmap = keys.sparkSession.sparkContext.broadcast(bit_filter(keys.select(F.xxhash64(F.col(name).cast("long")).alias("hash"))))
+
+    @F.pandas_udf("boolean")
+    def test(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(hashes.to_numpy(dtype=np.int64).view(np.uint64), bitmap.value))
+
+    return test(F.xxhash64(column.cast("long")))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is not among the first column of `gone` (null equals null).
+
+    Only rows that the filter does not clear meet `gone` in a join.
+    """
+    maybe = may_hold(gone, docs["doc_id"])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_doc"), maybe.alias("_maybe"))
+    keys = gone.select(F.col(gone.columns[0]).alias("_gone")).distinct()
+    checked = rows.where("_maybe").join(keys, F.col("_doc").eqNullSafe(F.col("_gone")), "left_anti")
+    return rows.where(~F.col("_maybe")).select("row.*").unionAll(checked.select("row.*"))
+
+
 # ---------------------------------------------------------------- words and shingles, on numpy byte buffers
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -54,13 +117,13 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 
 
@@ -102,7 +165,7 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _hash_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word of a lower-cased byte array."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
@@ -111,7 +174,7 @@ def _hash_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     place = at - np.repeat(starts, sizes)
     value = _BYTE[low[at]] * _powers(int(sizes.max()))[place]
     heads = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    return _mix(np.add.reduceat(value, heads) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(value, heads) + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +193,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
                 while end < hi and not _SPACE[data[end]]:
                     end += 1
                 low = _LOWER[data[at:end]]
-                hashes.append(_hash_words(low, *word_spans(low)))
+                hashes.append(hash_spans(low, *word_spans(low)))
                 counts[i] += len(hashes[-1])
                 at = end
             continue
@@ -143,7 +206,7 @@ def hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
         joined = np.unique(cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)])
         starts = np.sort(np.concatenate((np.flatnonzero(edge == 1), joined)))
         ends = np.sort(np.concatenate((np.flatnonzero(edge == -1), joined)))
-        hashes.append(_hash_words(low, starts, ends))
+        hashes.append(hash_spans(low, starts, ends))
         counts[i:j] = np.diff(np.searchsorted(starts, offsets[i : j + 1] - lo))
     flat = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
     return flat, np.concatenate(([0], np.cumsum(counts)))
@@ -161,7 +224,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> Itera
         rolled = np.zeros(max(n, 0), dtype=np.uint64)
         if n > 0:
             for k in range(width):
-                rolled = _mix(rolled + words[k : k + n] + np.uint64(k + 1))
+                rolled = mix(rolled + words[k : k + n] + np.uint64(k + 1))
         for d in range(j - i):
             lo, hi = int(first[d]), int(first[d + 1])
             if hi - lo >= width:
@@ -169,7 +232,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> Itera
             elif hi > lo:
                 short = np.zeros(1, dtype=np.uint64)
                 for k in range(lo, hi):
-                    short = _mix(short + words[k : k + 1] + np.uint64(k - lo + 1))
-                yield _mix(short + np.uint64(hi - lo))
+                    short = mix(short + words[k : k + 1] + np.uint64(k - lo + 1))
+                yield mix(short + np.uint64(hi - lo))
             else:
                 yield np.zeros(0, dtype=np.uint64)
