@@ -345,3 +345,29 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
     out = rows.mapInArrow(_score(model, p), "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below 0.5; whole batches pass through the tasks."""
+    model = fit(*training_rows(docs, labels, p), p)
+    if model is None:
+        return docs
+    model.weights = model.weights.astype(np.float32)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            text = batch.column(at)
+            if not (pa.types.is_string(text.type) or pa.types.is_large_string(text.type)):
+                text = text.cast(pa.string())
+            data, offsets = buffers(text)
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for i, j in tiles(offsets):
+                t = tokenize(data, offsets[i : j + 1], p)
+                q = marginals(t, model)[0] if len(t.start) else np.zeros(0)
+                keep[i:j] = doc_features(q, t.doc, j - i) @ model.curve < 0
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -124,15 +124,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, lane_bytes: int
     return ordered.mapInArrow(_placed(window), f"{_PIECES}, sequence_id long, offset long")
 
 
-def digests(packed: DataFrame) -> DataFrame:
-    """The rows of pack() with ids_crc32 in place of the ids."""
+def digests(packed: DataFrame, with_ids: bool = False) -> DataFrame:
+    """The rows of pack() with ids_crc32, in place of the ids or next to them."""
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            wide = [len(x) // max(n, 1) for x, n in zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist(), strict=True)]
-            crc = [crc32_of(np.frombuffer(x.as_py(), f"<u{w}")) for x, w in zip(batch.column("ids"), wide, strict=True)]
-            keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+            sizes = batch.column("length").to_numpy()
+            crc = [crc32_of(np.frombuffer(x, f"<u{len(x) // n}")) for x, n in zip(map(pa.Scalar.as_py, batch.column("ids")), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], [*keep, "ids_crc32"])
 
-    return packed.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    kinds = dict(packed.dtypes)
+    return packed.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", ids_crc32 long")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chosenpath, crf, decontaminate, exact, packing, shards, simple8b, urltree, warc
+from feedlens.llm import chosenpath, cotrain, crf, decontaminate, exact, packing, shards, simple8b, urltree, warc
 from feedlens.llm.shared import scratch
 from feedlens.llm.tokens import tokenizer
 
@@ -25,6 +25,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(long("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", long("refers_to").alias("refers_to"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -64,7 +68,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter)}
 
 
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
