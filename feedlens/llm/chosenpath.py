@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.graph import components
-from feedlens.llm.shared import buffers, saved, shingle_sets
+from feedlens.llm.shared import buffers, may_hold, saved, shingle_sets, without
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,8 @@ class Params:
     percent: int = 85  #: a link: 100 * intersection >= percent * union
     width: int = 5  #: words of a shingle
     tokens: int = 64  #: minwise tokens of a document
-    recall: float = 0.9999  #: chance that a pair at the threshold meets in some tree, three levels down
-    leaf: int = 512  #: documents of a node that are compared exhaustively
+    recall: float = 0.999  #: chance that a pair at the threshold meets in some tree, three levels down
+    leaf: int = 2048  #: documents of a node that are compared exhaustively
     depth: int = 12  #: levels after which a large node is dealt with by a pivot
     group: int = 256  #: documents of a coarse group that one task compares on full sets
     margin: float = 3.8  #: standard errors below the threshold at which token agreement still counts
@@ -112,8 +112,11 @@ def leaves(reps: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     done, extra = [], 100 / p.percent - 1
     for level in range(p.depth):
         rows = _branch(rows, p, extra if level else 0.0).select("node", "doc_id")
-        sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "path-sizes")
-        live = saved(rows.join(sizes.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node")).select("node", "doc_id", "n"), "path-nodes")
+        sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1"), "path-sizes")
+        # Of small nodes with the same documents one is enough.
+        keep = sizes.where(F.col("n") <= p.leaf).groupBy("n", "members").agg(F.min("node").alias("node"))
+        keep = keep.select("node", "n").unionByName(sizes.where(F.col("n") > p.leaf).select("node", "n")).withColumnRenamed("node", "_node")
+        live = saved(rows.join(keep, F.col("node") == F.col("_node")).select("node", "doc_id", "n"), "path-nodes")
         done.append(live.where(F.col("n") <= p.leaf).select("node", "doc_id"))
         large = live.where(F.col("n") > p.leaf)
         if large.isEmpty():
@@ -334,6 +337,8 @@ def link(docs: DataFrame, p: Params = Params()) -> DataFrame:
     member = saved(groups.join(sizes, F.col("coarse") == F.col("_coarse")).select("doc_id", "coarse", "n"), "path-members")
 
     text = texts.where("doc_id is not null").select(F.col("doc_id").alias("_doc"), "text").dropDuplicates(["_doc"]) if _repeats(table) else texts.select(F.col("doc_id").alias("_doc"), "text")
+    wanted = member.select("doc_id") if large is None else member.select("doc_id").unionByName(large.select("doc_id"))
+    text = text.where(may_hold(wanted, F.col("_doc")))
     sets = lambda rows, key: rows.join(text, F.col("doc_id") == F.col("_doc")).select(key, "doc_id", "text").repartition(key).sortWithinPartitions(key).mapInArrow(_by_sets(key, p), "u long, v long")
     links = sets(member.where(F.col("n") <= p.group).select("coarse", "doc_id"), "coarse")
     over = member.where(F.col("n") > p.group).select(F.col("doc_id").alias("_over"))
@@ -363,9 +368,10 @@ def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    gone = link(docs, p).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    stays = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("_doc")).join(gone, F.col("_doc") == F.col("_gone"), "left_anti")
+    gone = saved(link(docs, p).where(~F.col("kept")).select("doc_id").distinct(), "path-gone")
+    stays = without(docs, gone)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return stays.select("row.*")
+        return stays
+    stays = stays.select(F.struct(*[stays[c] for c in stays.columns]).alias("row"), stays["doc_id"].cast("long").alias("_doc"))
     turn = F.row_number().over(W.partitionBy("_doc").orderBy(F.xxhash64("row")))
     return stays.withColumn("turn", turn).where("turn = 1 or _doc is null").select("row.*")

@@ -31,9 +31,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     now = saved(edges.where("u <> v").select("u", "v").distinct(), "components")
     for _ in range(rounds):
-        after = _stars(_stars(now, True), False)
-        mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark(after) == mark(now):
-            return after
-        now = after
+        if _settled(now):
+            return now
+        now = _stars(_stars(now, True), False)
     raise RuntimeError(f"components have not settled after {rounds} rounds")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars around lesser vertices: each u once, and no vertex both u and v."""
+    kinds = edges.select(F.col("u").alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
+    each = kinds.groupBy("x").agg(F.sum("a").alias("a"), F.max("b").alias("b"))
+    return edges.where("u < v").isEmpty() and each.where("a > 1 or (a > 0 and b > 0)").isEmpty()
