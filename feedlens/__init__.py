@@ -1,0 +1 @@
+"""feedlens: command-feed analytics on Spark."""
