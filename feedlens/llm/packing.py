@@ -131,7 +131,7 @@ def digests(packed: DataFrame, with_ids: bool = False) -> DataFrame:
 
         for batch in batches:
             sizes = batch.column("length").to_numpy()
-            crc = [crc32_of(np.frombuffer(x, f"<u{len(x) // n}")) for x, n in zip(map(pa.Scalar.as_py, batch.column("ids")), sizes.tolist(), strict=True)]
+            crc = [crc32_of(np.frombuffer(x, f"<u{len(x) // n}")) for x, n in zip((v.as_py() for v in batch.column("ids")), sizes.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], [*keep, "ids_crc32"])
 
     keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
