@@ -24,9 +24,9 @@ LONG_CHARS = 64
 JOINED = 256
 
 #: A piece ends before white space, and between a letter and one of these marks, where the tokenizers cut as well.
-_MARKS = r"(?=[,.;:!?#$%&*|()\"])"
-_SPACED = re.compile(rf"[ ]?[^\W\d_]+{_MARKS}|[ ]?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+(?=[ ][^ \t\n\r])|[\t\n\r]")
-_BARE = re.compile(rf"[^\W\d_]+{_MARKS}|\S+")
+_WORD = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]++(?![^ \t\n\r,.;:!?#$%&*|()\"])"
+_SPACED = re.compile(rf"[ ]?(?:{_WORD}|[^ \t\n\r]+)|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+(?=[ ][^ \t\n\r])|[\t\n\r]")
+_BARE = re.compile(rf"{_WORD}|[^ \t\n\r]+")
 _RARE_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
 #: The superscripts, fractions and other numerals are those of the blocks named here.
 _RARE_WIDE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0900-\u1fff\u2000-\u2bff\u2c00-\u2dff\u3000-\u3007\u3021-\u303f\u3190-\u33ff\ua000-\uabff\uf900-\uffff\U00010000-\U0010ffff]")
@@ -39,6 +39,18 @@ def _rare(text: str) -> bool:
     return bool(_RARE_WIDE.search(text))
 
 
+class _Memo(dict):
+    """Piece to number; a piece that it lacks gets the next number and is noted in `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
+
+
 class Encoder:
     """Ids of texts by one tokenizer file; keeps a bounded memo of pieces between batches."""
 
@@ -58,43 +70,46 @@ class Encoder:
         self.edge = np.zeros(self.vocabulary, dtype=bool)
         for text, i in self.tokenizer.get_vocab().items():
             self.edge[i] = text.endswith("</w>") if self.drops_space else text.startswith("\u0120")
-        self.old: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(0, self.dtype), np.zeros(1, np.int64))
         self._fresh()
+        self.old = (_Memo(), self.flat, self.first, self.size)
 
     def _fresh(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.flat, self.first = np.zeros(1 << 16, dtype=self.dtype), np.zeros(1 << 12, dtype=np.int64)
+        self.memo = _Memo()
+        self.flat, self.end = np.zeros(1 << 16, dtype=self.dtype), 0
+        self.first, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def _remember(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        at = len(self.memo)
-        end = int(self.first[at])
-        while end + len(ids) > len(self.flat):
+    def _remember(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.end + len(ids) > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while at + len(pieces) + 1 > len(self.first):
-            self.first = np.concatenate((self.first, np.zeros_like(self.first)))
-        self.flat[end : end + len(ids)] = ids
-        self.first[at + 1 : at + 1 + len(pieces)] = end + np.cumsum(counts)
-        self.memo.update(zip(pieces, range(at, at + len(pieces)), strict=True))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Take pieces over from the old generation; encode the others, many to a call."""
-        memo, flat, first = self.old
-        known = [p for p in pieces if p in memo]
+        self.flat[self.end : self.end + len(ids)] = ids
+        self.first[numbers] = self.end + np.cumsum(sizes) - sizes
+        self.size[numbers] = sizes
+        self.end += len(ids)
+
+    def _learn(self) -> None:
+        """Take new pieces over from the old generation; encode the others, many to a call."""
+        new, memo = self.memo.new, self.memo
+        self.memo.new = []
+        while len(memo) > len(self.first):
+            self.first, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.first, self.size))
+        past, flat, first, size = self.old
+        at = len(memo) - len(new)
+        plain, other, known = [], [], []
+        for number, p in enumerate(new, at):
+            if p in past:
+                known.append(number)
+            elif len(p) > LONG_CHARS:
+                other.append(p)
+            elif self.drops_space:
+                (plain if p.isalpha() else other).append(p)
+            else:
+                (plain if p[0] == " " and p[1:].isalpha() else other).append(p)
         if known:
-            at = np.array([memo[p] for p in known], dtype=np.int64)
-            counts = first[at + 1] - first[at]
-            self._remember(known, _ragged(flat, first[at], counts), counts)
-            pieces = [p for p in pieces if p not in memo]
-        plain, other = [], []
-        if self.drops_space:
-            for p in pieces:
-                (plain if p.isalpha() and len(p) <= LONG_CHARS else other).append(p)
-        else:
-            for p in pieces:
-                (plain if p[0] == " " and len(p) <= LONG_CHARS and p[1:].isalpha() else other).append(p)
+            of = np.array([past[new[k - at]] for k in known], dtype=np.int64)
+            self._remember(known, _ragged(flat, first[of], size[of]), size[of])
         glue = " " if self.drops_space else ""
         groups = [plain[a : a + JOINED] for a in range(0, len(plain), JOINED)]
         for part, got in zip(groups, self.tokenizer.encode_batch_fast([glue.join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -104,16 +119,16 @@ class Encoder:
                 other.extend(part)
                 continue
             bounds = np.concatenate(([0], edges + 1)) if self.drops_space else np.append(edges, len(ids))
-            self._remember(part, ids, np.diff(bounds))
+            self._remember([memo[p] for p in part], ids, np.diff(bounds))
         for a in range(0, len(other), 4096):
             part = other[a : a + 4096]
             each = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self._remember(part, np.fromiter(itertools.chain.from_iterable(each), dtype=self.dtype), np.fromiter(map(len, each), dtype=np.int64))
+            self._remember([memo[p] for p in part], np.fromiter(itertools.chain.from_iterable(each), dtype=self.dtype), np.fromiter(map(len, each), dtype=np.int64))
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start; null counts as empty."""
         if len(self.memo) > MEMO_PIECES:
-            self.old = (self.memo, self.flat, self.first)
+            self.old = (self.memo, self.flat, self.first, self.size)
             self._fresh()
         whole: dict[int, np.ndarray] = {}
         pieces: list[str] = []
@@ -124,11 +139,10 @@ class Encoder:
             elif text:
                 pieces += self.pattern.findall(text)
             of_text.append(len(pieces))
-        memo = self.memo
-        if new := [p for p in dict.fromkeys(pieces) if p not in memo]:
-            self._learn(new)
-        at = np.fromiter(map(memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        size = self.first[at + 1] - self.first[at]
+        at = np.fromiter(map(self.memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        if self.memo.new:
+            self._learn()
+        size = self.size[at]
         flat = _ragged(self.flat, self.first[at], size)
         bounds = np.concatenate(([0], np.cumsum(size)))[of_text]
         if not whole:
