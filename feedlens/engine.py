@@ -53,7 +53,9 @@ class Feed:
         return rejected(self.parse(), structured)
 
     def render(self, kind: str = "plain", format: str | None = None) -> DataFrame:
-        return serializers.render(self.parse(), kind, format or (formats.MULTI if self.many else formats.SINGLE))
+        if format is None:
+            format = formats.MULTI if self.many else formats.SINGLE
+        return serializers.render(self.parse(), kind, format)
 
     def register(self, spark: SparkSession) -> None:
         """Temp views raw_lines, parsed_lines and, if known, commands."""

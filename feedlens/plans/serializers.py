@@ -62,7 +62,7 @@ def resp_value() -> Column:
 def render(parsed: DataFrame, kind: str = "plain", format: str | None = None) -> DataFrame:
     """Accepted lines with `value`; plain takes any tail, the others need well-formed arguments."""
     kind = kind_of(kind)
-    value = {"plain": lambda: formats.render(format or formats.SINGLE), "json": json_value, "csv": csv_value, "php": php_value, "resp": resp_value}[kind]()
+    value = {"plain": lambda: formats.render(formats.SINGLE if format is None else format), "json": json_value, "csv": csv_value, "php": php_value, "resp": resp_value}[kind]()
     rows = accepted(parsed, structured=kind != "plain")
     if kind != "plain":
         rows = once(rows.withColumnRenamed("args", "_args"), "args", F.col("_args")).drop("_args")
