@@ -15,6 +15,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: Bytes of text that the vectorised helpers take at a time; bounds a task's memory.
 TILE_BYTES = 2 << 20
+#: Documents that go to a Python worker at a time.
+BATCH_ROWS = 500
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -37,6 +39,16 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Let at most `rows` documents go to a Python worker at a time, unless the session asks for even fewer.
+
+    Spark's own default of 10,000 rows counts no bytes; with whole texts that is what fills an executor.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlens.llm.shared import saved
+from feedlens.llm.shared import saved, short_batches
 from feedlens.llm.tokens import crc32_of, encoder, text_slices
 
 #: Ids per word and bits per id, by selector.
@@ -23,6 +23,8 @@ ESCAPE = 15
 RUN_WORDS = 64
 #: Ids from which a block ends with the document at hand.
 BLOCK_IDS = 1 << 16
+#: Pieces that the tokenizer's memo holds; blocks leave room for more than packing does.
+MEMO_PIECES = 600_000
 #: Appended to each document.
 END_ID = 1
 
@@ -115,7 +117,7 @@ def _blocks(path: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        coder = encoder(path)
+        coder = encoder(path, MEMO_PIECES)
         kinds = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("run_starts", pa.list_(pa.int32())), ("words", pa.binary()), ("literals", pa.binary())])
         block = TaskContext.get().partitionId() << 32
         docs, sizes, held, full = [], [], [], 0
@@ -153,6 +155,7 @@ def write(docs: DataFrame, tokenizer: str, path: str) -> None:
     often as they occur. An empty table writes no block; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    short_batches(docs.sparkSession)
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.mapInArrow(_blocks(tokenizer), BLOCK).write.option("compression", "zstd").parquet(path)
 

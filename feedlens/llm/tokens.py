@@ -16,7 +16,7 @@ import zlib
 
 import numpy as np
 
-#: Distinct pieces of a generation of the memo; a worker remembers two generations.
+#: Distinct pieces of a generation of the memo, some 200 bytes each; a worker remembers two generations.
 MEMO_PIECES = 250_000
 #: Longer pieces, in characters, are encoded on their own.
 LONG_CHARS = 64
@@ -28,8 +28,9 @@ _WORD = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af]++(?![^ \t\n\r,.;:!?#$%&*|()\"])"
 _SPACED = re.compile(rf"[ ]?(?:{_WORD}|[^ \t\n\r]+)|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+(?=[ ][^ \t\n\r])|[\t\n\r]")
 _BARE = re.compile(rf"{_WORD}|[^ \t\n\r]+")
 _RARE_ASCII = re.compile("[\x0b\x0c\x1c-\x1f]")
-#: The superscripts, fractions and other numerals are those of the blocks named here.
-_RARE_WIDE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0900-\u1fff\u2000-\u2bff\u2c00-\u2dff\u3000-\u3007\u3021-\u303f\u3190-\u33ff\ua000-\uabff\uf900-\uffff\U00010000-\U0010ffff]")
+#: The superscripts, fractions and other numerals are those of the blocks named here; combining marks and the
+#: two capitals whose lower case depends on more than themselves are among them too.
+_RARE_WIDE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0300-\u036f\u03a3\u0900-\u1fff\u2000-\u2bff\u2c00-\u2dff\u3000-\u3007\u3021-\u303f\u3190-\u33ff\ua000-\uabff\uf900-\uffff\U00010000-\U0010ffff]")
 
 
 def _rare(text: str) -> bool:
@@ -54,7 +55,8 @@ class _Memo(dict):
 class Encoder:
     """Ids of texts by one tokenizer file; keeps a bounded memo of pieces between batches."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_pieces: int | None = None):
+        self.memo_pieces = memo_pieces or MEMO_PIECES
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -63,6 +65,7 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         self.specials = [x["content"] for x in spec.get("added_tokens", [])]
         self.drops_space = '"Removed"' in json.dumps(spec.get("pre_tokenizer") or {})
+        self.lowers = '"Lowercase"' in json.dumps(spec.get("normalizer") or {})
         self.pattern = _BARE if self.drops_space else _SPACED
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
@@ -127,7 +130,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids start; null counts as empty."""
-        if len(self.memo) > MEMO_PIECES:
+        if len(self.memo) > self.memo_pieces:
             self.old = (self.memo, self.flat, self.first, self.size)
             self._fresh()
         whole: dict[int, np.ndarray] = {}
@@ -137,7 +140,7 @@ class Encoder:
             if text and (_rare(text) or any(s in text for s in self.specials)):
                 whole[i] = self._whole(text)
             elif text:
-                pieces += self.pattern.findall(text)
+                pieces += self.pattern.findall(text.lower() if self.lowers else text)
             of_text.append(len(pieces))
         at = np.fromiter(map(self.memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         if self.memo.new:
@@ -163,9 +166,9 @@ def _ragged(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memo_pieces: int | None = None) -> Encoder:
     """The encoder of a file, kept by the Python worker between tasks."""
-    return Encoder(path)
+    return Encoder(path, memo_pieces)
 
 
 def tokenizer(name: str) -> str:
