@@ -6,7 +6,7 @@ see every byte, and encoded again on the way out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions.addresses import canonical_ip, fits_u64, small_int, unpadded
@@ -37,13 +37,23 @@ def lossy(text: Column) -> Column:
 
 def framed(line: Column, live: bool = False) -> Column:
     """A line as read, without line ends and a leading plus: all line ends of a replay, one of each kind of a live feed."""
-    text = F.regexp_replace(chars(line), r"\r?\n?\z" if live else r"[\r\n]+\z", "")
-    return to_bytes(F.regexp_replace(text, r"\A\+", ""))
+    text = F.regexp_replace(chars(line), r"\r?\n?\z", "") if live else F.rtrim(chars(line), F.lit("\r\n"))
+    return to_bytes(F.when(text.startswith("+"), F.substring(text, 2, 1 << 30)).otherwise(text))
 
 
 def command(text: Column) -> Column:
     """What stands between the first two quotes of a line, null with fewer than two."""
-    return F.when(F.size(F.split(text, '"', 3)) == 3, F.split(text, '"', 3)[1])
+    quote = F.lit('"')
+    second = F.locate('"', text) > 0, F.position(quote, text, F.locate('"', text) + 1) > 0
+    return F.when(second[0] & second[1], F.substring_index(F.substring_index(text, '"', 2), '"', -1))
+
+
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is computed once a row, however often later columns use it.
+
+    A generator of one row keeps the optimizer from copying the expression into each of its uses.
+    """
+    return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
 def groups(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions import args as A
@@ -17,14 +17,6 @@ def without_replies(lines: DataFrame) -> DataFrame:
     return lines.where(~F.col("line").eqNullSafe(F.lit(SETUP_REPLY)))
 
 
-def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """rows with a column that is computed once a row, however often later columns use it.
-
-    A generator of one row keeps the optimizer from copying the expression into each of its uses.
-    """
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def parse(lines: DataFrame) -> DataFrame:
     """lines (line BINARY, any other columns) with ok, error and the fields of each line.
 
@@ -33,9 +25,9 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     text = L.chars(F.coalesce(F.col("line"), F.lit(b"")))
     p = F.col("_p")
-    rows = once(lines, "_p", L.groups(text))
+    rows = L.once(lines, "_p", L.groups(text))
     fits = L.fitting(p)
-    rows = once(rows, "_c", F.struct(fits.alias("fits"), F.when(fits, L.client(p)).alias("client"), (fits & F.coalesce(L.numbers_fit(p), F.lit(False))).alias("numbers")))
+    rows = L.once(rows, "_c", F.struct(fits.alias("fits"), F.when(fits, L.client(p)).alias("client"), (fits & F.coalesce(L.numbers_fit(p), F.lit(False))).alias("numbers")))
     ok = F.col("_c.numbers") & F.col("_c.client").isNotNull()
     g = lambda name: F.when(ok, L.group(p, name))
     error = F.when(ok, F.lit(None)).when(~F.col("_c.fits"), "grammar").when(F.col("_c.client").isNull(), "client address").otherwise("number out of range")

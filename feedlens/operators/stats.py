@@ -15,8 +15,10 @@ def by_command(lines: DataFrame, compat: bool = False) -> DataFrame:
     the column seq, and (source_id, seq) decides which line is first.
     """
     name = L.command(L.chars(F.col("line")))
-    text = F.when(F.is_valid_utf8(L.to_bytes(name).cast("string")), L.to_bytes(name).cast("string")).otherwise(F.lit("unknown"))
-    rows = lines.select(F.when(name.isNotNull(), text).alias("name"), F.octet_length("line").cast("long").alias("size"), *([F.col("seq")] if compat else [])).where("name is not null")
+    own = L.to_bytes(F.col("_name")).cast("string")
+    text = F.when(F.is_valid_utf8(own), own).otherwise(F.lit("unknown"))
+    rows = L.once(lines.select("line", *(["seq"] if compat else [])), "_name", name).where("_name is not null")
+    rows = rows.select(text.alias("name"), F.octet_length("line").cast("long").alias("size"), *(["seq"] if compat else []))
     size = F.sum("size")
     if compat:
         return rows.groupBy("name").agg((F.count(F.lit(1)) - 1).alias("count"), (size - F.min_by("size", "seq")).alias("bytes"))

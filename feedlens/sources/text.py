@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.functions.lines import framed
+from feedlens.functions.lines import framed, once
 
 SERVER = "struct<kind string, host string, port int, path string, ip string>"
 
@@ -17,10 +17,11 @@ def server_literal(kind: str = "unix", host: str | None = None, port: int | None
 
 def as_lines(values: DataFrame, source_id: str = "stdin", server=None, name: str | None = None, seq=None, live: bool = False) -> DataFrame:
     """A column `value` (text or bytes) as raw_lines: source_id, server, name, seq, line."""
-    return values.select(
+    rows = values.select(
         F.lit(source_id).alias("source_id"), (server_literal() if server is None else server).alias("server"), F.lit(name).cast("string").alias("name"),
-        (F.monotonically_increasing_id() if seq is None else seq).cast("long").alias("seq"), framed(F.col("value").cast("binary"), live).alias("line"),
+        (F.monotonically_increasing_id() if seq is None else seq).cast("long").alias("seq"), F.col("value").cast("binary").alias("_value"),
     )
+    return once(rows, "line", framed(F.col("_value"), live)).drop("_value")
 
 
 def read_lines(spark: SparkSession, path: str, **source) -> DataFrame:
