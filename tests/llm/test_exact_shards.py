@@ -81,3 +81,28 @@ def test_weights_move_rows_only_within_changed_subtrees(spark):
     assert moved <= {(4, b) for b in range(4)} | {(a, b) for a in (0, 1) for b in (2, 3)} | {(3, 2)} and (3, 2) in moved
     share = {r.a: r["count"] / 20_000 for r in rows.groupBy("a").count().collect()}
     assert all(abs(share[k] - w) < 0.02 for k, w in {0: 1 / 6, 1: 1 / 6, 2: 1 / 6, 3: 1 / 6, 4: 1 / 3}.items())
+
+
+def test_shards_equal_brute_force(documents):
+    """The same draws, made one key at a time with another hash library."""
+    import xxhash
+
+    def draw(key, path, weight):
+        seed = 42 if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), 42)
+        bits = xxhash.xxh64_intdigest(path.encode(), seed) >> 11
+        return -math.log((bits + 0.5) / (1 << 53)) / weight
+
+    def weight(part):
+        return part[1] if isinstance(part[0], int) else sum(map(weight, part))
+
+    def down(part, path, key):
+        if isinstance(part[0], int):
+            return part[0]
+        i = 0 if len(part) == 1 else min(range(len(part)), key=lambda k: (draw(key, f"{path}/{k}", weight(part[k])), k))
+        return down(part[i], f"{path}/{i}", key)
+
+    tree = shards.even_tree()
+    rows = shards.shard(documents([(i * 977 - 5000, "x") for i in range(500)] + [(None, "y")])).collect()
+    assert len(rows) == 501
+    for r in rows:
+        assert (r.shard, r.grown_shard) == (down(tree.regions, "", r.doc_id), down(tree.grown().regions, "", r.doc_id))
