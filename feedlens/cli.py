@@ -71,18 +71,26 @@ def main(argv: list[str] | None = None) -> int:
             for row in shown.select("value").toLocalIterator():
                 sys.stdout.buffer.write(bytes(row[0]) + (b"" if options.output == "resp" else b"\n"))
         return 0
-    from feedlens.sources.live import FeedSource
+    from feedlens.operators import metadata, topology
+    from feedlens.sources import live
     from feedlens.streaming import feed as streams
 
     tls = config.Tls(options.insecure, options.tls_ca, options.tls_cert, options.tls_key) if options.tls else None
     found = config.sources(options.instances, config.load(options.config_file), options.user, options.password, tls)
+    login = {"user": options.user, "password": options.password, "tls": {k: v for k, v in vars(tls).items() if v} if tls else None}
+    if options.cluster:
+        slots = spark.createDataFrame(live.slot_rows([s.address.text for s in found], **login), "start long, end long, nodes array<struct<host string, port int, id string>>")
+        found = [config.Source(config.Address("tcp", n["host"], n["port"]), n["id"]) for n in topology.members(topology.nodes(slots), options.replicas).collect()]
     print("MONITOR: " + ", ".join(s.address.text for s in found), file=sys.stderr)
-    spark.dataSource.register(FeedSource)
+    spark.dataSource.register(live.FeedSource)
     reader = spark.readStream.format("command_feed").option("addresses", ",".join(s.address.text for s in found)).option("names", ",".join(s.name or "" for s in found))
     for key, value in {"user": options.user, "password": options.password, "tls": "true" if tls else None, "insecure": "true" if options.insecure else None, "tls_ca": options.tls_ca, "tls_cert": options.tls_cert, "tls_key": options.tls_key}.items():
         if value:
             reader = reader.option(key, value)
-    lines = Feed(reader.load()).filter(options.filter, [], options.db).lines
+    feed = Feed(reader.load())
+    if test.needs_metadata:
+        feed = feed.with_commands(metadata.commands(spark.createDataFrame(live.command_rows(found[0].address.text, **login), "reply string")))
+    lines = feed.filter(options.filter, options.flags, options.db).lines
     if not options.out:
         raise SystemExit("a live feed needs --out: a folder for output and checkpoints")
     queries = [streams.render_query(lines, f"{options.out}/lines", f"{options.out}/_render", options.output, options.format or (formats.MULTI if len(found) > 1 else formats.SINGLE), once=False)]

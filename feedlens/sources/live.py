@@ -6,6 +6,7 @@ own; a micro-batch reads what arrives within a deadline. Capture the stream to f
 
 from __future__ import annotations
 
+import json
 import random
 import socket
 import ssl
@@ -39,7 +40,7 @@ def frame(line: bytes) -> bytes:
 class Feed:
     """One connection: handshake, then lines. What follows a reply in the same packet is kept."""
 
-    def __init__(self, address: str, user: str | None = None, password: str | None = None, tls: dict | None = None, timeout: float = 5.0):
+    def __init__(self, address: str, user: str | None = None, password: str | None = None, tls: dict | None = None, timeout: float = 5.0, monitor: bool = True):
         from feedlens.sources.config import Address
 
         self.address = Address.parse(address)
@@ -54,7 +55,8 @@ class Feed:
                 self.socket = context(**tls).wrap_socket(self.socket, server_hostname=self.address.host)
         if password is not None:
             self.ask("AUTH", *([user] if user is not None else []), password)
-        self.ask("MONITOR")
+        if monitor:
+            self.ask("MONITOR")
 
     def ask(self, *parts: str) -> bytes:
         self.socket.sendall(request(*parts))
@@ -63,6 +65,30 @@ class Feed:
             raise ConnectionError(f"{parts[0]} failed: {reply!r}")
         return reply
 
+    def query(self, *parts: str):
+        """One request and its whole reply: bytes, str (simple), int, None or a list of those."""
+        self.socket.sendall(request(*parts))
+        return self._reply()
+
+    def _reply(self):
+        line = next(self.lines(time.monotonic() + 5), None)
+        if line is None:
+            raise ConnectionError("no reply")
+        kind, rest = line[:1], line[1:].rstrip(b"\r\n")
+        if kind == b"-":
+            raise ConnectionError(rest.decode(errors="replace"))
+        if kind == b"*":
+            return [self._reply() for _ in range(int(rest))]
+        if kind == b"$":
+            size = int(rest)
+            while size >= 0 and len(self.held) < size + 2:
+                if not (more := self.socket.recv(1 << 16)):
+                    raise ConnectionError("the reply ended early")
+                self.held += more
+            value, self.held = (self.held[:size], self.held[size + 2 :]) if size >= 0 else (None, self.held)
+            return value
+        return int(rest) if kind == b":" else rest.decode(errors="replace")
+
     def lines(self, deadline: float) -> Iterator[bytes]:
         """Whole lines, with their first sign, until the deadline or the end of the feed."""
         while True:
@@ -82,6 +108,28 @@ class Feed:
             self.held += more
 
 
+def _plain(value):
+    """A reply as JSON has it; array items that are arrays stay arrays."""
+    return [_plain(x) for x in value] if isinstance(value, list) else value.decode(errors="replace") if isinstance(value, bytes) else value
+
+
+def command_rows(address: str, **login) -> list[tuple[str]]:
+    """Rows (reply) for operators.metadata.commands(): what a server says of its commands."""
+    return [(json.dumps(_plain(row)),) for row in Feed(address, monitor=False, **login).query("COMMAND")]
+
+
+def slot_rows(seeds: list[str], **login) -> list[tuple]:
+    """Rows (start, end, nodes) for operators.topology.nodes(), of the first seed that answers."""
+    error: Exception = ValueError("no seeds")
+    for seed in seeds:
+        try:
+            reply = _plain(Feed(seed, monitor=False, **login).query("CLUSTER", "SLOTS"))
+            return [(r[0], r[1], [(n[0], n[1], n[2]) for n in r[2:] if isinstance(n, list) and len(n) >= 3]) for r in reply if isinstance(r, list) and len(r) >= 3]
+        except (OSError, ValueError) as e:
+            error = e
+    raise error
+
+
 def context(insecure: bool = False, ca: str | None = None, cert: str | None = None, key: str | None = None) -> ssl.SSLContext:
     out = ssl.create_default_context(cafile=ca)
     if insecure:

@@ -108,6 +108,36 @@ def test_live_feed(spark, tmp_path):
     assert len(got) == 50 and bytes(got[0].line).startswith(b"1.0 [0 lua]") and got[0].server.port > 0
 
 
+def _answers(*replies: bytes) -> int:
+    """A server that gives each connection the same reply to its one request."""
+    listener = socket.create_server(("127.0.0.1", 0))
+
+    def serve():
+        for reply in replies:
+            conn, _ = listener.accept()
+            conn.recv(1000)
+            for a in range(0, len(reply), 7):  # in small packets
+                conn.sendall(reply[a : a + 7])
+
+    threading.Thread(target=serve, daemon=True).start()
+    return listener.getsockname()[1]
+
+
+def test_discovery(spark):
+    from feedlens.operators import topology
+
+    slots = b"*2\r\n*4\r\n:0\r\n:9\r\n*3\r\n$2\r\nh1\r\n:7000\r\n$1\r\na\r\n*3\r\n$2\r\nh2\r\n:7001\r\n$1\r\nr\r\n*2\r\n:10\r\n:19\r\n"
+    command = b"*1\r\n*7\r\n$3\r\nget\r\n:2\r\n*2\r\n+readonly\r\n+fast\r\n:1\r\n:1\r\n:1\r\n*1\r\n+@read\r\n"
+    rows = live.slot_rows(["127.0.0.1:1", f"127.0.0.1:{_answers(slots)}"])
+    assert rows == [(0, 9, [("h1", 7000, "a"), ("h2", 7001, "r")])]
+    table = spark.createDataFrame(rows, "start long, end long, nodes array<struct<host string, port int, id string>>")
+    assert {(r.host, r.role) for r in topology.members(topology.nodes(table), True).collect()} == {("h1", "primary"), ("h2", "replica")}
+    found = metadata.commands(spark.createDataFrame(live.command_rows(f"127.0.0.1:{_answers(command)}"), "reply string")).collect()
+    assert [(r.name, r.arity, r.flags, r.categories) for r in found] == [("get", 2, bits.FLAG_BITS["readonly"] | bits.FLAG_BITS["fast"], bits.CATEGORY_BITS["@read"])]
+    with pytest.raises(ConnectionError):
+        live.command_rows(f"127.0.0.1:{_answers(b'-ERR no' + bytes([13, 10]))}")
+
+
 def test_stream_renders_like_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for i in range(3):
