@@ -15,18 +15,18 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import buffers, tiles
+from feedlens.llm.shared import buffers, short_batches, tiles
 
 
 @dataclass(frozen=True)
 class Params:
     sample_docs: int = 6000  #: labelled documents that the fit takes at most, in order of a hash of doc_id
-    sample_bytes: int = 24 << 20  #: bytes of text that they have at most
+    sample_bytes: int = 10 << 20  #: bytes of text that they have at most
     calibration: float = 0.35  #: share of them that only the logistic curve sees
     bits: int = 20  #: hashed features: 2^bits weights
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)  #: prefix lengths in bytes that are features
     support: int = 4  #: toxic documents that a feature needs to label a token
-    log_odds: float = 1.6  #: and its log odds of toxic to clean occurrences per token
+    log_odds: float = 3.0  #: and its log odds of toxic to clean occurrences per token
     epochs: int = 10
     rounds: int = 1  #: fits: to the first labels, then also to what the field tags in toxic documents
     rate: float = 0.3
@@ -110,6 +110,14 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, p: Params) -> Tokens:
     return Tokens(start, end, doc, np.cumsum(broken) - 1, features)
 
 
+def _joined(parts: list[tuple[Tokens, int]]) -> Tokens:
+    """Tokens of consecutive groups of documents, each with its first document's number, in small types."""
+    chains = np.cumsum([0, *(int(t.chain[-1]) + 1 if len(t.chain) else 0 for t, _ in parts)])
+    small = lambda arrays: np.concatenate([np.zeros(0, np.int32), *(np.asarray(x, dtype=np.int32) for x in arrays)])
+    kinds = [t.features for t, _ in parts if t.features]
+    return Tokens(small(t.start for t, _ in parts), small(t.end for t, _ in parts), small(t.doc + d for t, d in parts), small(t.chain + c for (t, _), c in zip(parts, chains, strict=False)), [small(f) for f in zip(*kinds, strict=True)])
+
+
 # ---------------------------------------------------------------- the field
 
 
@@ -251,7 +259,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, p: Params = Params()) -> Model |
 
     def tokens(mask: np.ndarray) -> Tokens:
         own = [x for x, use in zip(texts, mask, strict=True) if use]
-        return tokenize(np.frombuffer(b"".join(own) or b" ", dtype=np.uint8), np.cumsum([0, *map(len, own)]), p)
+        return _joined([(tokenize(np.frombuffer(b"".join(own[a : a + 100]) or b" ", dtype=np.uint8), np.cumsum([0, *map(len, own[a : a + 100])]), p), a) for a in range(0, len(own), 100)])
 
     t = tokens(seen)
     if not len(t.start):
@@ -338,6 +346,7 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
     doc_id has no label and is not held out. Without labels of both kinds every score is 0. Repeated rows
     are scored alike. An empty table gives an empty result; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     model = fit(*training_rows(docs, labels, p), p)
     if model is not None:
         model.weights = model.weights.astype(np.float32)
@@ -349,6 +358,7 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
 
 def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below 0.5; whole batches pass through the tasks."""
+    short_batches(docs.sparkSession)
     model = fit(*training_rows(docs, labels, p), p)
     if model is None:
         return docs
