@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.graph import components
-from feedlens.llm.shared import buffers, may_hold, saved, shingle_sets, without
+from feedlens.llm.shared import buffers, may_hold, saved, shingle_sets, short_batches, without
 
 
 @dataclass(frozen=True)
@@ -89,6 +89,7 @@ def _signatures(p: Params):
 
 def signatures(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """doc_id, n_shingles, digest of the set, tokens (empty for an empty set)."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(_signatures(p), "doc_id long, n_shingles long, digest binary, tokens array<int>")
 

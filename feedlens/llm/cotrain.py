@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import buffers, hashed_words, saved, tiles
+from feedlens.llm.shared import buffers, hashed_words, saved, short_batches, tiles
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,7 @@ def _views(batches):
 
 def views(docs: DataFrame) -> DataFrame:
     """doc_id, content (features of the text), page (active features of the metadata) of every row."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
     return rows.mapInArrow(_views, "doc_id long, content array<float>, page array<short>")
 

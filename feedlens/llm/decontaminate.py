@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from feedlens.llm.shared import bit_filter, buffers, hash_spans, in_filter, mix, saved, tiles, without
+from feedlens.llm.shared import bit_filter, buffers, hash_spans, in_filter, mix, saved, short_batches, tiles, without
 
 
 @dataclass(frozen=True)
@@ -141,6 +141,7 @@ def _rows(p: Params, key: str, sizes: list[int], passes: np.ndarray | None):
 def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFrame:
     """Contaminated pairs' evidence: doc_id, item_id, matched, windows, coverage, changed (slots with other values)."""
     clean = lambda df, key: df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    short_batches(docs.sparkSession)
     sizes = list(range(1, p.window + 1))
     items = saved(clean(benchmark, "item_id").mapInArrow(_rows(p, "item_id", sizes, None), "item_id long, at long, size int, hash long, values array<long>"), "templates-items")
     present = sorted(r[0] for r in items.select("size").distinct().collect())  # p.window rows at most

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedlens.llm.shared import short_batches
+
 #: A payload of fewer bytes is always stored in full.
 REVISIT_BYTES = 1000
 _END = "\r\n\r\n"
@@ -88,6 +90,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, records_per_f
     Null html is an empty payload, a null url leaves the target out, a null page_id is named null. Repeated
     rows are stored as often as they occur. An empty table writes no record; other columns are ignored.
     """
+    short_batches(pages.sparkSession)
     members = record_text(plan_revisits(pages, least)).mapInArrow(_members, "member binary")
     sink = members.select(F.col("member").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
     sink.option("maxRecordsPerFile", records_per_file).text(path)
