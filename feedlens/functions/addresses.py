@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.functions.rows import once
+
 _V4 = r"\A(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}\z"
 _H = "[0-9a-fA-F]{1,4}"
 _V6_FULL = rf"\A{_H}(?::{_H}){{7}}\z"
@@ -40,27 +42,32 @@ def _hextets(text: Column) -> Column:
     return F.transform(F.concat(left, zeros, right), lambda x: unpadded(F.lower(x)))
 
 
-def _canonical_v6(text: Column) -> Column:
-    eight = _hextets(text)
-    joined = F.array_join(eight, ":")
+def _compressed(joined: Column) -> Column:
+    """Eight hextets, joined by colons, with the longest run of zeros left out; mapped IPv4 addresses with dots."""
     out = joined
     for run in range(2, 9):  # the longest run of zeros comes last and so wins
         pattern = rf"\A(.*?)(?:\A|:)0(?::0){{{run - 1}}}(?:\z|:)(.*)\z"
         out = F.when(joined.rlike(pattern), F.regexp_replace(joined, pattern, "$1::$2")).otherwise(out)
-    number = lambda i: F.conv(eight[i], 16, 10).cast("int")
-    octets = [number(6).bitwiseAND(F.lit(65280)) / 256, number(6).bitwiseAND(F.lit(255)), number(7).bitwiseAND(F.lit(65280)) / 256, number(7).bitwiseAND(F.lit(255))]
-    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[o.cast("int").cast("string") for o in octets]))
+    number = lambda i: F.conv(F.split_part(joined, F.lit(":"), F.lit(i)), 16, 10).cast("int")
+    octets = [f(number(i)) for i in (7, 8) for f in (lambda n: F.shiftright(n, 8), lambda n: n.bitwiseAND(F.lit(255)))]
+    mapped = F.concat(F.lit("::ffff:"), F.concat_ws(".", *[o.cast("string") for o in octets]))
     return F.when(joined.startswith("0:0:0:0:0:ffff:"), mapped).otherwise(out)
 
 
-def canonical_ip(text: Column) -> Column:
-    """The canonical form of an IPv4 or IPv6 address, null for anything else."""
+def with_canonical_ip(rows: DataFrame, text: Column, name: str) -> DataFrame:
+    """rows with the canonical form of an IPv4 or IPv6 address, null for anything else.
+
+    The steps are columns of their own, so that each is a small expression.
+    """
     tail = F.regexp_extract(text, _V6_TAIL, 2)
-    octet = lambda i: F.split(tail, r"\.")[i].cast("int")
-    dotted = F.concat(F.regexp_extract(text, _V6_TAIL, 1), F.lower(F.hex(octet(0) * 256 + octet(1))), F.lit(":"), F.lower(F.hex(octet(2) * 256 + octet(3))))
-    plain = F.when(text.contains("."), F.when(tail.rlike(_V4), dotted)).otherwise(text)
+    octet = lambda i: F.split_part(tail, F.lit("."), F.lit(i)).cast("int")
+    dotted = F.concat(F.regexp_extract(text, _V6_TAIL, 1), F.lower(F.hex(octet(1) * 256 + octet(2))), F.lit(":"), F.lower(F.hex(octet(3) * 256 + octet(4))))
+    rows = once(rows, "_ip_plain", F.when(text.contains("."), F.when(tail.rlike(_V4), dotted)).otherwise(text))
+    plain = F.col("_ip_plain")
     short = plain.rlike(_V6_SHORT) & (F.size(F.filter(F.split(plain, ":"), lambda x: F.length(x) > 0)) <= 7)
-    return F.when(text.rlike(_V4), text).when(plain.rlike(_V6_FULL) | short, _canonical_v6(plain))
+    rows = once(rows, "_ip_joined", F.when(plain.rlike(_V6_FULL) | short, F.array_join(_hextets(plain), ":")))
+    joined = F.col("_ip_joined")
+    return once(rows, name, F.when(text.rlike(_V4), text).when(joined.isNotNull(), _compressed(joined))).drop("_ip_plain", "_ip_joined")
 
 
 def server_address(text: Column) -> Column:

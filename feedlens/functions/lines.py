@@ -6,10 +6,10 @@ see every byte, and encoded again on the way out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from feedlens.functions.addresses import canonical_ip, fits_u64, small_int, unpadded
+from feedlens.functions.addresses import fits_u64, small_int, unpadded
 
 #: Joins the groups of the line pattern; no byte decodes to it.
 SEP = "Ā"
@@ -48,14 +48,6 @@ def command(text: Column) -> Column:
     return F.when(second[0] & second[1], F.substring_index(F.substring_index(text, '"', 2), '"', -1))
 
 
-def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
-    """rows with a column that is computed once a row, however often later columns use it.
-
-    A generator of one row keeps the optimizer from copying the expression into each of its uses.
-    """
-    return rows.select("*", F.explode(F.array(value)).alias(name))
-
-
 def groups(text: Column) -> Column:
     """The parts of a line by one pass of the pattern; an array of one element if the line does not fit it."""
     return F.split(F.regexp_replace(text, _PREFIX, SEP.join(f"${i + 1}" for i in range(len(GROUPS)))), SEP, len(GROUPS))
@@ -69,12 +61,20 @@ def group(parts: Column, name: str) -> Column:
     return F.get(parts, F.lit(GROUPS.index(name)))
 
 
-def client(parts: Column) -> Column:
-    """A client as struct kind (tcp, path, lua, unknown), host, port, path; null where an address is invalid."""
+def v6_text(parts: Column) -> Column:
+    """The text in a client's brackets, null without brackets."""
+    return F.when(F.length(group(parts, "v6_port")) > 0, group(parts, "v6"))
+
+
+def client(parts: Column, v6: Column) -> Column:
+    """A client as struct kind (tcp, path, lua, unknown), host, port, path; null where an address is invalid.
+
+    v6 is the canonical form of v6_text().
+    """
     g = lambda name: group(parts, name)
     octets = F.transform(F.split(g("v4"), r"\."), lambda o: small_int(o, 255))
     v4 = F.when(F.forall(octets, lambda o: o.isNotNull()), F.array_join(F.transform(octets, lambda o: o.cast("string")), "."))
-    host = F.when(F.length(g("v4")) > 0, v4).when(F.length(g("v6_port")) > 0, canonical_ip(g("v6")))
+    host = F.when(F.length(g("v4")) > 0, v4).when(F.length(g("v6_port")) > 0, v6)
     port = small_int(F.when(F.length(g("v4")) > 0, g("v4_port")).otherwise(g("v6_port")), 65535)
     make = lambda kind, host, port, path: F.struct(F.lit(kind).alias("kind"), host.cast("string").alias("host"), port.cast("int").alias("port"), path.cast("string").alias("path"))
     none = F.lit(None)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from feedlens.functions import args as A
 from feedlens.functions import lines as L
-from feedlens.functions.addresses import unpadded
+from feedlens.functions.addresses import unpadded, with_canonical_ip
+from feedlens.functions.rows import once
 
 SETUP_REPLY = b"OK"
 
@@ -25,9 +26,9 @@ def parse(lines: DataFrame) -> DataFrame:
     """
     text = L.chars(F.coalesce(F.col("line"), F.lit(b"")))
     p = F.col("_p")
-    rows = L.once(lines, "_p", L.groups(text))
+    rows = with_canonical_ip(once(lines, "_p", L.groups(text)), L.v6_text(p), "_v6")
     fits = L.fitting(p)
-    rows = L.once(rows, "_c", F.struct(fits.alias("fits"), F.when(fits, L.client(p)).alias("client"), (fits & F.coalesce(L.numbers_fit(p), F.lit(False))).alias("numbers")))
+    rows = once(rows, "_c", F.struct(fits.alias("fits"), F.when(fits, L.client(p, F.col("_v6"))).alias("client"), (fits & F.coalesce(L.numbers_fit(p), F.lit(False))).alias("numbers")))
     ok = F.col("_c.numbers") & F.col("_c.client").isNotNull()
     g = lambda name: F.when(ok, L.group(p, name))
     error = F.when(ok, F.lit(None)).when(~F.col("_c.fits"), "grammar").when(F.col("_c.client").isNull(), "client address").otherwise("number out of range")
@@ -42,7 +43,7 @@ def parse(lines: DataFrame) -> DataFrame:
         "event_time": F.when(F.length(unpadded(F.col("ts_int"))) <= 11, F.timestamp_micros((micros * 1000000).cast("long"))),
         "args_ok": F.col("ok") & A.args_ok(F.col("tail")), "args": A.args(F.col("tail")),
     })
-    return rows.drop("_p", "_c")
+    return rows.drop("_p", "_c", "_v6")
 
 
 def accepted(parsed: DataFrame, structured: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedlens.functions import lines as L
+from feedlens.functions.rows import once
 
 
 def by_command(lines: DataFrame, compat: bool = False) -> DataFrame:
@@ -17,7 +18,7 @@ def by_command(lines: DataFrame, compat: bool = False) -> DataFrame:
     name = L.command(L.chars(F.col("line")))
     own = L.to_bytes(F.col("_name")).cast("string")
     text = F.when(F.is_valid_utf8(own), own).otherwise(F.lit("unknown"))
-    rows = L.once(lines.select("line", *(["seq"] if compat else [])), "_name", name).where("_name is not null")
+    rows = once(lines.select("line", *(["seq"] if compat else [])), "_name", name).where("_name is not null")
     rows = rows.select(text.alias("name"), F.octet_length("line").cast("long").alias("size"), *(["seq"] if compat else []))
     size = F.sum("size")
     if compat:

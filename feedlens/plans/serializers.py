@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.functions import lines as L
+from feedlens.functions.rows import once
 from feedlens.operators.parse import accepted
 from feedlens.plans import formats
 
@@ -65,7 +66,7 @@ def render(parsed: DataFrame, kind: str = "plain", format: str | None = None) ->
     value = {"plain": lambda: formats.render(formats.SINGLE if format is None else format), "json": json_value, "csv": csv_value, "php": php_value, "resp": resp_value}[kind]()
     rows = accepted(parsed, structured=kind != "plain")
     if kind != "plain":
-        rows = L.once(rows.withColumnRenamed("args", "_args"), "args", F.col("_args")).drop("_args")
+        rows = once(rows.withColumnRenamed("args", "_args"), "args", F.col("_args")).drop("_args")
     return rows.withColumn("value", value)
 
 

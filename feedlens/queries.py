@@ -186,7 +186,7 @@ _IPS = {
 
 @_query("select * from (values " + ", ".join(f"({_quoted(k)}, {_quoted(v) if v is not None else 'null'})" for k, v in _IPS.items()) + ") t(text, ip)")
 def ip_canonical(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _IPS], "text string").select("text", addresses.canonical_ip(F.col("text")).alias("ip"))
+    return spark.createDataFrame([(x,) for x in _IPS], "text string").transform(lambda rows: addresses.with_canonical_ip(rows, F.col("text"), "ip"))
 
 
 # ---------------------------------------------------------------- filters

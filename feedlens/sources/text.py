@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.functions.lines import framed, once
+from feedlens.functions.lines import framed
+from feedlens.functions.rows import once
 
 SERVER = "struct<kind string, host string, port int, path string, ip string>"
 
