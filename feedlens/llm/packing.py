@@ -12,12 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedlens.llm.shared import short_batches
 from feedlens.llm.tokens import crc32_of, encoder, text_slices
 
 WINDOW = 2048
 END_ID = 1
 #: Text bytes of a lane, a few thousand windows; those left unfilled are few next to them.
 LANE_BYTES = 16 << 20
+#: Pieces that the tokenizer's memo holds.
+MEMO_PIECES = 150_000
 
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -62,7 +65,7 @@ def _cut(path: str, window: int):
     def run(batches):
         import pyarrow as pa
 
-        coder = encoder(path)
+        coder = encoder(path, MEMO_PIECES)
         for batch in batches:
             keys = batch.column("doc_id")
             for i, texts in text_slices(batch):
@@ -84,11 +87,12 @@ def _cut(path: str, window: int):
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """Windows of every document's ids: doc_id, start, length, doc_tokens, ids (little-endian, 2 bytes each, or 4 where the vocabulary needs them)."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_cut(tokenizer, window), _PIECES)
 
 
-def _placed(window: int):
+def _placed(window: int, with_ids: bool):
     def run(batches):
         import pyarrow as pa
 
@@ -102,14 +106,15 @@ def _placed(window: int):
                 at, level = levels.place(size)
                 sequence.append((own << 32) + at)
                 offset.append(level)
-            out = [batch.column(c) for c in ("doc_id", "start", "length", "doc_tokens", "ids")]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
+            crc = [crc32_of(np.frombuffer(x, f"<u{len(x) // n}")) for x, n in zip((v.as_py() for v in batch.column("ids")), sizes, strict=True)]
+            keep = ["doc_id", "start", "length", "doc_tokens", *(["ids"] if with_ids else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64()), pa.array(crc, pa.int64())], [*keep, "sequence_id", "offset", "ids_crc32"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, lane_bytes: int = LANE_BYTES) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, lane_bytes: int = LANE_BYTES, with_ids: bool = True) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, ids (unless left out), sequence_id, offset, ids_crc32.
 
     Null text is one END_ID; null ids are packed like any other; repeated rows are packed as often as they
     occur. An empty table gives an empty result; other columns are ignored. Sequences are numbered per lane:
@@ -121,19 +126,5 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, lane_bytes: int
     dealt = pieces(docs, tokenizer, window).withColumn("key", F.xxhash64("doc_id", "doc_tokens", "start"))
     dealt = dealt.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes)))
     ordered = dealt.repartition("lane").sortWithinPartitions("lane", "key", "doc_id", "start", "ids")
-    return ordered.mapInArrow(_placed(window), f"{_PIECES}, sequence_id long, offset long")
-
-
-def digests(packed: DataFrame, with_ids: bool = False) -> DataFrame:
-    """The rows of pack() with ids_crc32, in place of the ids or next to them."""
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            sizes = batch.column("length").to_numpy()
-            crc = [crc32_of(np.frombuffer(x, f"<u{len(x) // n}")) for x, n in zip((v.as_py() for v in batch.column("ids")), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], [*keep, "ids_crc32"])
-
-    keep = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    kinds = dict(packed.dtypes)
-    return packed.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in keep) + ", ids_crc32 long")
+    kinds = _PIECES if with_ids else _PIECES.removesuffix(", ids binary")
+    return ordered.mapInArrow(_placed(window, with_ids), f"{kinds}, sequence_id long, offset long, ids_crc32 long")

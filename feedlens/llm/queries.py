@@ -45,7 +45,7 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.digests(packing.pack(docs, tokenizer("byte_bpe_50k.json")))
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), with_ids=False)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
