@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import buffers, hashed_words, saved, short_batches, tiles
+from feedlens.llm.shared import buffers, first_by_hash, hashed_words, saved, short_batches, tiles
 
 
 @dataclass(frozen=True)
@@ -167,7 +167,8 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
     table = saved(views(docs), "cotrain-views")
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.min(F.col("quality").cast("int")).alias("quality"))
     order = F.xxhash64("doc_id", F.lit("cotrain"))
-    sample = table.join(marks, F.col("doc_id") == F.col("_doc")).withColumn("at", order).orderBy("at").limit(p.sample_docs).select("content", "page", "quality").collect()
+    sample = table.join(marks, F.col("doc_id") == F.col("_doc")).select("doc_id", "content", "page", "quality")
+    sample = first_by_hash(sample, order, p.sample_docs).select("content", "page", "quality").collect()
     y = np.array([r["quality"] for r in sample], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         none = F.lit(0.5)
@@ -194,7 +195,7 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
             low, high = _thresholds(scored, f"{giver}_logit", p.share * (1 - good), p.share * good)
             sides = []
             for sure, label, part in ((F.col(f"{giver}_logit") <= min(low, 0.0), 0.0, 1 - good), (F.col(f"{giver}_logit") >= max(high, 0.0), 1.0, good)):
-                rows = scored.where(sure).orderBy(F.xxhash64("doc_id", F.lit(giver))).limit(max(1, round(p.exchange * part))).select("content", "page").collect()
+                rows = first_by_hash(scored.where(sure), F.xxhash64("doc_id", F.lit(giver)), max(1, round(p.exchange * part))).select("content", "page").collect()
                 if rows:
                     a, b = _arrays(rows)
                     sides.append((a if taker == "text" else _dense(b), np.full(len(rows), label), np.full(len(rows), p.pseudo_weight)))

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import buffers, short_batches, tiles
+from feedlens.llm.shared import buffers, first_by_hash, short_batches, tiles
 
 
 @dataclass(frozen=True)
@@ -292,7 +292,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[b
     marks = marks.where(F.crc32(F.col("_doc").cast("string").cast("binary")) % 5 != 0)
     order = F.xxhash64("_doc", F.lit("crf"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = rows.select("_doc", F.octet_length("text").alias("size")).join(marks, "_doc").select(order.alias("at"), "size").orderBy("at").limit(p.sample_docs).collect()
+    sizes = rows.select("_doc", F.octet_length("text").alias("size")).join(marks, "_doc").select("_doc", "size")
+    sizes = first_by_hash(sizes, order, p.sample_docs).select(F.col("_order").alias("at"), "size").collect()
     kept, held = None, 0
     for r in sizes:
         held += r["size"]

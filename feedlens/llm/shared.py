@@ -54,9 +54,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
 
 
-def row_key(*columns: str) -> Column:
-    """A 64-bit key of columns, null-safe and stable between runs."""
-    return F.xxhash64(*columns)
+def first_by_hash(rows: DataFrame, order: Column, n: int) -> DataFrame:
+    """The n rows with the least hash `order`.
+
+    A cut below which some more than n rows lie comes first: without it every task would send n rows.
+    """
+    share = min(1.0, (1.2 * n + 100) / max(rows.count(), 1))
+    cut = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+    return rows.withColumn("_order", order).where(F.col("_order") <= F.lit(cut).cast("long")).orderBy("_order").limit(n)
 
 
 # ---------------------------------------------------------------- filters of fixed size
