@@ -74,6 +74,7 @@ def templates(pages: DataFrame, p: Params = Params()) -> DataFrame:
         children = seen.groupBy("host", "template", "part").agg(F.count(F.lit(1)).alias("n"))
         forks = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
         variable = forks.where((F.col("kinds") >= p.min_children) & (F.col("n") <= F.col("kinds") * p.mean_pages)).select(F.col("host").alias("_host"), F.col("template").alias("_template"), F.lit(True).alias("wild"))
+        variable = saved(variable, f"url-variable-{level}")  # a plain table on that side lets Spark split a hot host's rows
         rows = rows.join(variable, (rows["host"] == variable["_host"]) & (rows["template"] == variable["_template"]), "left")
         step = F.when(F.col("wild"), F.lit("/*")).when(here.isNotNull(), F.concat(F.lit("/"), here)).otherwise("")
         step = F.when(here.isNull(), F.lit("")).otherwise(step)
@@ -110,7 +111,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     marks = labels.groupBy(F.col("page_id").alias("_page")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rows = rows.join(marks, rows["page_id"] == marks["_page"], "left").drop("_page")
     rows = templates(rows, p)
-    verdicts = judged_templates(rows, p).select(F.col("host").alias("_host"), F.col("template").alias("_template"), "bad_share", "verdict")
+    verdicts = saved(judged_templates(rows, p).select(F.col("host").alias("_host"), F.col("template").alias("_template"), "bad_share", "verdict"), "url-verdicts")
     rows = rows.join(verdicts, (rows["host"] == verdicts["_host"]) & (rows["template"] == verdicts["_template"]), "left")
     text, action = rule_of(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", text.alias("rule"), F.coalesce(action, F.col("verdict")).alias("verdict"), "template", "bad_share")
