@@ -5,6 +5,10 @@ tokens of the benchmark are hash-joined with those of the documents. Matches wit
 and document form an occurrence; it counts only if its slots are consistent: equal values of the item stand
 for equal values of the document, and different ones for different ones. A document is contaminated by an
 item of which it holds a large enough share of the windows.
+
+Capitals make names, so a copy in other case has other templates. Windows therefore come in two views: with
+names as placeholders, and plain, with names as lower-cased literals. Occurrences are judged in each view;
+a plain one with other numbers must agree with the numbers of its template windows as well.
 """
 
 from __future__ import annotations
@@ -35,6 +39,8 @@ percent degree degrees dollar dollars cent cents euro euros usd eur gbp mph kmh
 """.split()
 
 NUMBER, UNIT, NAME = 1, 2, 3
+#: Views of a window, as bits; a window without names is the same in both.
+TEMPLATE, PLAIN = 1, 2
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
@@ -46,6 +52,27 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def _folded_pairs() -> np.ndarray:
+    """Case folding of UTF-8 characters of two bytes, where the folded one has two bytes as well."""
+    out = np.arange(1 << 16, dtype=np.uint16)
+    for c in map(chr, range(0x80, 0x800)):
+        if len(folded := c.casefold().encode()) == 2:
+            out[int.from_bytes(c.encode(), "big")] = int.from_bytes(folded, "big")
+    return out
+
+
+_PAIRS = _folded_pairs()
+
+
+def _lower(raw: np.ndarray) -> np.ndarray:
+    low = _LOWER[raw]
+    at = np.flatnonzero((raw[:-1] >= 0xC2) & (raw[:-1] <= 0xDF))
+    if len(at):
+        pair = _PAIRS[(raw[at].astype(np.uint16) << np.uint16(8)) | raw[at + 1]]
+        low[at], low[at + 1] = pair >> np.uint16(8), pair & np.uint16(255)
+    return low
+
+
 def _unit_hashes() -> np.ndarray:
     text = np.frombuffer(" ".join(UNITS).encode(), dtype=np.uint8)
     ends = np.cumsum([len(u) + 1 for u in UNITS]) - 1
@@ -62,7 +89,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     lo = int(offsets[0])
     raw = data[lo : int(offsets[-1])]
-    low = _LOWER[raw]
+    low = _lower(raw)
     inside = np.zeros(len(low) + 2, dtype=np.int8)
     inside[1:-1] = _TOKEN[low]
     edge = np.diff(inside)
@@ -91,21 +118,31 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.where(kind > 0, kind.astype(np.uint64), value), value, kind, doc
 
 
-def _windows(token: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each window of `size` tokens that lies in one document and has enough literals."""
+def _hashes(token: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    rolled = np.zeros(len(at), dtype=np.uint64)
+    for k in range(size):
+        rolled = mix(rolled + token[at + k] + np.uint64(k + 1))
+    return mix(rolled + np.uint64(size))
+
+
+def _windows(token: np.ndarray, value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash and views of each window of `size` tokens that lies in one document and has enough literals."""
     n = len(token) - size + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    plain = np.concatenate(([0], np.cumsum(kind == 0)))
-    at = np.flatnonzero((doc[:n] == doc[size - 1 :]) & (plain[size:] - plain[:n] >= min(p.literals, size)))
-    rolled = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
-        rolled = mix(rolled + token[k : k + n] + np.uint64(k + 1))
-    return at, mix(rolled[at] + np.uint64(size))
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+    literals, names = (np.concatenate(([0], np.cumsum(x))) for x in (kind == 0, kind == NAME))
+    literals, names = literals[size:] - literals[:n], names[size:] - names[:n]
+    whole = doc[:n] == doc[size - 1 :]
+    least = min(p.literals, size)
+    at = np.flatnonzero(whole & (literals >= least))
+    plain = np.flatnonzero(whole & (names > 0) & (literals + names >= least))
+    views = np.concatenate((np.where(names[at] > 0, TEMPLATE, TEMPLATE | PLAIN), np.full(len(plain), PLAIN))).astype(np.int32)
+    hashed = np.concatenate((_hashes(token, at, size), _hashes(np.where(kind == NAME, value, token), plain, size)))
+    return np.concatenate((at, plain)), hashed, views
 
 
 def _rows(p: Params, key: str, sizes: list[int], passes: np.ndarray | None):
-    """Windows of each text: key, at, size, hash, kinds, values (of its slots), windows (of the text, of all sizes)."""
+    """Windows of each text: key, at, size, hash, views, values (of numbers and units), names (values of them, if placeholders)."""
     def run(batches):
         import pyarrow as pa
 
@@ -116,24 +153,26 @@ def _rows(p: Params, key: str, sizes: list[int], passes: np.ndarray | None):
                 token, value, kind, doc = templates(data, offsets[i : j + 1])
                 first = np.searchsorted(doc, np.arange(j - i))
                 count = np.bincount(doc, minlength=j - i)
-                out = {"row": [], "at": [], "size": [], "hash": [], "values": []}
+                out = {"row": [], "at": [], "size": [], "hash": [], "views": [], "values": [], "names": []}
                 for size in sizes:
-                    at, hashed = _windows(token, kind, doc, size, p)
+                    at, hashed, views = _windows(token, value, kind, doc, size, p)
                     if passes is None:  # the benchmark: short items are one window, others have full ones
                         keep = np.minimum(count[doc[at]], p.window) == size
                     else:
                         keep = in_filter(hashed, passes)
-                    for a, h in zip(at[keep].tolist(), hashed[keep].tolist(), strict=True):
+                    for a, h, view in zip(at[keep].tolist(), hashed[keep].tolist(), views[keep].tolist(), strict=True):
                         out["row"].append(i + int(doc[a]))
                         out["at"].append(a - int(first[doc[a]]))
                         out["size"].append(size)
                         out["hash"].append(h)
-                        slots = np.flatnonzero(kind[a : a + size]) + a
-                        out["values"].append(value[slots].view(np.int64).tolist())
+                        out["views"].append(view)
+                        own, kinds = value[a : a + size].view(np.int64), kind[a : a + size]
+                        out["values"].append(own[(kinds == NUMBER) | (kinds == UNIT)].tolist())
+                        out["names"].append(own[kinds == NAME].tolist() if view & TEMPLATE else [])
                 yield pa.RecordBatch.from_arrays([
                     keys.take(pa.array(out["row"], pa.int64())), pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()),
-                    pa.array(np.array(out["hash"], dtype=np.uint64).view(np.int64), pa.int64()), pa.array(out["values"], pa.list_(pa.int64())),
-                ], [key, "at", "size", "hash", "values"])
+                    pa.array(np.array(out["hash"], dtype=np.uint64).view(np.int64), pa.int64()), pa.array(out["views"], pa.int32()), pa.array(out["values"], pa.list_(pa.int64())), pa.array(out["names"], pa.list_(pa.int64())),
+                ], [key, "at", "size", "hash", "views", "values", "names"])
 
     return run
 
@@ -143,23 +182,43 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     clean = lambda df, key: df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     short_batches(docs.sparkSession)
     sizes = list(range(1, p.window + 1))
-    items = saved(clean(benchmark, "item_id").mapInArrow(_rows(p, "item_id", sizes, None), "item_id long, at long, size int, hash long, values array<long>"), "templates-items")
+    items = saved(clean(benchmark, "item_id").mapInArrow(_rows(p, "item_id", sizes, None), "item_id long, at long, size int, hash long, views int, values array<long>, names array<long>"), "templates-items")
     present = sorted(r[0] for r in items.select("size").distinct().collect())  # p.window rows at most
     passes = bit_filter(items.select("hash"))  # documents' windows pass it before the join
-    found = clean(docs, "doc_id").mapInArrow(_rows(p, "doc_id", present, passes), "doc_id long, at long, size int, hash long, values array<long>")
+    found = clean(docs, "doc_id").mapInArrow(_rows(p, "doc_id", present, passes), "doc_id long, at long, size int, hash long, views int, values array<long>, names array<long>")
     found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(p.salts)))
-    spread = items.select(F.col("item_id"), F.col("at").alias("item_at"), F.col("size").alias("_size"), F.col("hash").alias("_hash"), F.col("values").alias("item_values"), F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("_salt"))
+    spread = items.select(F.col("item_id"), F.col("at").alias("item_at"), F.col("size").alias("_size"), F.col("hash").alias("_hash"), F.col("views").alias("item_views"), F.col("values").alias("item_values"), F.col("names").alias("item_names"), F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("_salt"))
     joined = found.join(spread, (F.col("hash") == F.col("_hash")) & (F.col("salt") == F.col("_salt")) & (F.col("size") == F.col("_size")))
-    joined = joined.select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.arrays_zip(F.col("item_values").alias("a"), F.col("values").alias("b")).alias("slots"))
-    # An occurrence has one row for each window of an item, so a group is bounded by the item's length.
-    occurrence = joined.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
-    occurrence = occurrence.withColumn("left", F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))).withColumn("right", F.size(F.array_distinct(F.transform("pairs", lambda x: x["b"]))))
-    consistent = occurrence.where((F.size("pairs") == F.col("left")) & (F.size("pairs") == F.col("right")))
+    both, zipped = F.col("views").bitwiseAND(F.col("item_views")), lambda x: F.arrays_zip(F.col(f"item_{x}").alias("a"), F.col(x).alias("b"))
+    in_view = lambda v, x: F.when(both.bitwiseAND(F.lit(v)) > 0, x)
+    numbers = zipped("values")
+    joined = joined.select(
+        "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), numbers.alias("numbers"), in_view(TEMPLATE, F.col("item_at")).alias("template_at"), in_view(PLAIN, F.col("item_at")).alias("plain_at"),
+        in_view(TEMPLATE, F.concat(numbers, zipped("names"))).alias("template_slots"), in_view(PLAIN, numbers).alias("plain_slots"),
+    )
+    # An occurrence has two rows for each window of an item at most, so a group is bounded by the item's length.
+    pairs = lambda x: F.array_distinct(F.flatten(F.collect_set(x)))
+    occurrence = joined.groupBy("doc_id", "item_id", "shift").agg(
+        F.collect_set("template_at").alias("templates"), F.collect_set("plain_at").alias("plain"), pairs("template_slots").alias("template_pairs"), pairs("plain_slots").alias("plain_pairs"), pairs("numbers").alias("pairs"),
+    )
+    side = lambda x, k: F.size(F.array_distinct(F.transform(x, lambda y: y[k])))
+    one_to_one = lambda x: (F.size(x) == side(x, "a")) & (F.size(x) == side(x, "b"))
+    changed = lambda x: F.exists(x, lambda y: y["a"] != y["b"])
+    of_view = lambda v, places, x: F.struct(F.lit(v).alias("view"), F.col(places).alias("places"), changed(x).alias("changed"))
+    hits = F.array(
+        F.when(one_to_one("template_pairs"), of_view(TEMPLATE, "templates", "template_pairs")),
+        F.when(~changed("plain_pairs") | one_to_one("pairs"), of_view(PLAIN, "plain", "plain_pairs")),
+    )
+    consistent = occurrence.select("doc_id", "item_id", F.explode(F.array_compact(hits)).alias("hit"))
     # An item may occur many times in a document; counts of places are merged as sets of the item's windows.
-    places = consistent.select("doc_id", "item_id", F.explode("places").alias("place"), F.exists("pairs", lambda x: x["a"] != x["b"]).alias("changed"))
-    totals = items.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("at").alias("windows"))
-    held = places.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("matched"), F.max("changed").alias("changed"))
-    out = held.join(totals, F.col("item_id").eqNullSafe(F.col("_item"))).withColumn("coverage", F.col("matched") / F.col("windows"))
+    places = consistent.select("doc_id", "item_id", "hit.view", F.explode("hit.places").alias("place"), "hit.changed")
+    # The share of template windows that match as templates, or of all windows that match in either view.
+    as_template = F.col("views").bitwiseAND(F.lit(TEMPLATE)) > 0
+    totals = items.groupBy(F.col("item_id").alias("_item")).agg(F.countDistinct("at").alias("_all"), F.countDistinct(F.when(as_template, F.col("at"))).alias("_templates"))
+    held = places.groupBy("doc_id", "item_id").agg(F.countDistinct("place").alias("_any"), F.countDistinct(F.when(F.col("view") == TEMPLATE, F.col("place"))).alias("_matched"), F.max("changed").alias("changed"))
+    out = held.join(totals, F.col("item_id").eqNullSafe(F.col("_item")))
+    shares = F.greatest(*[F.when(F.col(n) > 0, F.struct((F.col(m) / F.col(n)).alias("coverage"), F.col(m).alias("matched"), F.col(n).alias("windows"))) for m, n in (("_matched", "_templates"), ("_any", "_all"))])
+    out = out.withColumn("best", shares).select("doc_id", "item_id", "best.matched", "best.windows", "best.coverage", "changed")
     return out.where(F.col("coverage") >= p.coverage).select("doc_id", "item_id", "matched", "windows", "coverage", "changed")
 
 

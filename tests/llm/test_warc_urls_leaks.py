@@ -129,6 +129,16 @@ def test_leaks(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated} and kept.columns == documents(rows).columns
 
 
+def test_leaks_in_other_case(spark, documents):
+    accents = ITEM.replace("owe", "céder à Łódź")
+    rows = [(1, ITEM), (2, ITEM.lower()), (3, ITEM.upper()), (4, ITEM.title()), (5, CHANGED), (6, ITEM.replace("12", "40").upper()), (7, accents.upper()), (8, "NOTHING OF IT IS HERE BUT CAPITALS " * 4)]
+    got = leaks(spark, documents, rows)
+    assert {i: r.contaminated for i, r in got.items()} == {1: True, 2: True, 3: True, 4: True, 5: True, 6: True, 7: True, 8: False}
+    assert {got[i].coverage for i in (1, 2, 3, 4)} == {1.0} and not any(got[i].changed for i in (1, 2, 3, 4)) and got[5].changed and got[6].changed
+    got = leaks(spark, documents, rows, [(1, ITEM.upper()), (2, accents)])
+    assert [got[i].contaminated for i in (1, 2, 3, 4)] == [True] * 4 and (got[7].item_id, got[7].coverage) == (2, 1.0)
+
+
 def test_slots_must_be_consistent(spark, documents):
     got = leaks(spark, documents, [(1, CHANGED), (2, MIXED)])
     assert got[1].contaminated and not got[2].contaminated
