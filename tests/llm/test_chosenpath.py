@@ -17,7 +17,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
     root = {i: i for i, _ in sets}
 
@@ -28,7 +28,7 @@ def brute(rows):
 
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in root}, {i: len(s) for i, s in sets}
@@ -69,6 +69,17 @@ def test_threshold_is_exact(documents):
         assert {r.doc_id: r.component_id for r in chosenpath.link(documents(rows)).collect()} == brute(rows)[0]
 
 
+def test_stage_takes_near_copies_from_80_percent(spark, documents):
+    import corpus_pipeline
+
+    rows = cloud(seed=11)
+    words = [f"v{i}" for i in range(104)]  # 100 shingles
+    rows += [(2000 + d, " ".join([f"x{d}.{i}" for i in range(d)] + words[d:])) for d in (0, 10, 12)]  # 90 of 110 are 81.8 %, 88 of 112 are 78.6 %
+    want = brute(rows, 80)[0]
+    assert (want[2010], want[2012]) == (2000, 2012) and brute(rows)[0][2010] == 2010
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()) == sorted(set(want.values()))
+
+
 def test_odd_rows(documents, odd):
     got = chosenpath.link(odd).collect()
     assert len(got) == len(ODD)
