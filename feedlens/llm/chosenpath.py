@@ -2,8 +2,8 @@
 
 Every document becomes its set of distinct word shingles and TOKENS minwise tokens of it. Documents with
 equal sets are one class from here on. In each of several independent trees the documents branch by the
-values of randomly chosen tokens; a node that is still large picks further tokens, a second one with the
-chance that keeps pairs at the threshold from dying out. The documents of a small node are compared
+values of randomly chosen tokens; a node that is still large picks further tokens, often a second one, so that
+pairs at the threshold do not die out. The documents of a small node are compared
 exhaustively: on tokens first, which gives coarse groups and loses a link only with the chance that
 Params.margin leaves, then on full sets. Nodes that stay large at the last level hold near copies throughout:
 there every document meets a pivot, and those that have no link with it meet the whole node, in blocks.
@@ -12,6 +12,7 @@ there every document meets a pivot, and those that have no link with it meet the
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +30,8 @@ class Params:
     percent: int = 85  #: a link: 100 * intersection >= percent * union
     width: int = 5  #: words of a shingle
     tokens: int = 64  #: minwise tokens of a document
-    recall: float = 0.999  #: chance that a pair at the threshold meets in some tree, three levels down
+    recall: float = 0.999  #: chance that a pair at the threshold meets in some tree, at any level down to the last
+    spare: float = 0.25  #: share of nodes with a second token, beyond the share at which a pair at the threshold has one child with it on average
     leaf: int = 2048  #: documents of a node that are compared exhaustively
     depth: int = 12  #: levels after which a large node is dealt with by a pivot
     group: int = 256  #: documents of a coarse group that one task compares on full sets
@@ -37,8 +39,22 @@ class Params:
 
     @property
     def trees(self) -> int:
-        """Trees that reach the recall: a pair at the threshold survives three levels of one with chance s^3."""
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - (self.percent / 100) ** 3))
+        """Trees that reach the recall at the last level, on average over the tokens in which a pair at the threshold agrees."""
+        s, n = self.percent / 100, self.tokens
+        missed = [(math.comb(n, k) * s**k * (1 - s) ** (n - k), 1 - self.survival(k / n)) for k in range(n + 1)]
+        return next(t for t in itertools.count(1) if sum(share * miss**t for share, miss in missed) <= 1 - self.recall)
+
+    @property
+    def second(self) -> float:
+        """Share of the nodes below the first level that choose a second token."""
+        return min(1.0, 100 / self.percent - 1 + self.spare)
+
+    def survival(self, agree: float) -> float:
+        """Chance that a pair which agrees in that share of its tokens is still together at the last level of one tree."""
+        alive, two = 1.0, self.second * (1 - 1 / self.tokens)  # two picks may be the same token
+        for _ in range(self.depth - 1):
+            alive = agree * alive * (1 + two) - two * (agree * alive) ** 2
+        return agree * alive
 
     @property
     def agreeing(self) -> int:
@@ -110,9 +126,9 @@ def leaves(reps: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
     """(node, doc_id) of nodes of 2 to p.leaf documents, and of the larger ones that are left at the last level."""
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"tree {t}")) for t in range(p.trees)]))
     rows = reps.select("doc_id", "tokens", roots.alias("node"))
-    done, extra = [], 100 / p.percent - 1
+    done = []
     for level in range(p.depth):
-        rows = _branch(rows, p, extra if level else 0.0).select("node", "doc_id")
+        rows = _branch(rows, p, p.second if level else 0.0).select("node", "doc_id")
         sizes = saved(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members")).where("n > 1"), "path-sizes")
         # Of small nodes with the same documents one is enough.
         keep = sizes.where(F.col("n") <= p.leaf).groupBy("n", "members").agg(F.min("node").alias("node"))

@@ -78,6 +78,16 @@ def test_stage_takes_near_copies_from_80_percent(spark, documents):
     want = brute(rows, 80)[0]
     assert (want[2010], want[2012]) == (2000, 2012) and brute(rows)[0][2010] == 2010
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()) == sorted(set(want.values()))
+def test_recall_at_the_last_level(spark):
+    """Isolated pairs at the threshold, all nodes kept down to the last level: a miss in 1,000 on average."""
+    rng, p = random.Random(5), chosenpath.Params(leaf=1)
+    rows = []
+    for k in range(1000):
+        a = [rng.randrange(1 << 31) for _ in range(p.tokens)]
+        rows += [(2 * k, a), (2 * k + 1, [x if rng.random() < p.percent / 100 else rng.randrange(1 << 31) for x in a])]
+    _, large = chosenpath.leaves(spark.createDataFrame(rows, "doc_id long, tokens array<int>"), p)
+    met = {r.doc_id // 2 for r in large.select("doc_id").distinct().collect()}
+    assert 1000 - len(met) <= 6
 
 
 def test_odd_rows(documents, odd):
