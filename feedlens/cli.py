@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import itertools
+import json
+import shutil
 import sys
+import tempfile
 
 from feedlens.plans import formats, serializers
 from feedlens.plans.filters import LineFilter, Pattern
@@ -40,6 +45,15 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _spooled(spark) -> str:
+    """Standard input as a file, copied block by block. Only a local session can read a file of this machine."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise SystemExit("standard input is replayed by local sessions only; put the capture on shared storage and name its path")
+    with tempfile.NamedTemporaryFile(prefix="feedlens-", suffix=".log", delete=False) as file:
+        shutil.copyfileobj(sys.stdin.buffer, file, 1 << 20)
+    return file.name
+
+
 def main(argv: list[str] | None = None) -> int:
     options = parser().parse_args(argv)
     for x in options.filter:
@@ -48,19 +62,15 @@ def main(argv: list[str] | None = None) -> int:
     if options.debug:
         print(test, file=sys.stderr)
     from pyspark.sql import SparkSession
+    from pyspark.sql import functions as F
 
     from feedlens.engine import Feed
     from feedlens.operators import stats as S
 
     spark = SparkSession.builder.appName("feedlens").getOrCreate()
     if options.stdin:
-        if options.stdin == "-":
-            rows = spark.createDataFrame([(x,) for x in sys.stdin.buffer.read().split(b"\n") if x], "value binary")
-            from feedlens.sources.text import as_lines
-
-            feed = Feed(as_lines(rows))
-        else:
-            feed = Feed.read(spark, options.stdin)
+        feed = Feed.read(spark, _spooled(spark) if options.stdin == "-" else options.stdin)
+        counts = S.counters(feed.lines, test.column(metadata=False)).first()
         feed = feed.filter(options.filter, options.flags, options.db)
         if options.stats:
             print(*(r[0] for r in S.as_text(feed.stats()).collect()), sep="\n", file=sys.stderr)
@@ -70,6 +80,12 @@ def main(argv: list[str] | None = None) -> int:
         else:
             for row in shown.select("value").toLocalIterator():
                 sys.stdout.buffer.write(bytes(row[0]) + (b"" if options.output == "resp" else b"\n"))
+        rejects = feed.rejects(structured=options.output != "plain")
+        if options.out:
+            rejects.select("seq", F.base64("line").alias("line"), "error", "message").write.json(f"{options.out}-rejects")
+        for row in rejects.select("message").toLocalIterator():
+            print(row.message, file=sys.stderr)
+        print(S.report(counts["total"], counts["filtered"]), file=sys.stderr)
         return 0
     from feedlens.operators import metadata, topology
     from feedlens.sources import live
@@ -77,19 +93,22 @@ def main(argv: list[str] | None = None) -> int:
 
     tls = config.Tls(options.insecure, options.tls_ca, options.tls_cert, options.tls_key) if options.tls else None
     found = config.sources(options.instances, config.load(options.config_file), options.user, options.password, tls)
-    login = {"user": options.user, "password": options.password, "tls": {k: v for k, v in vars(tls).items() if v} if tls else None}
-    if options.cluster:
-        slots = spark.createDataFrame(live.slot_rows([s.address.text for s in found], **login), "start long, end long, nodes array<struct<host string, port int, id string>>")
-        found = [config.Source(config.Address("tcp", n["host"], n["port"]), n["id"]) for n in topology.members(topology.nodes(slots), options.replicas).collect()]
+    login = lambda s: {"user": s.user, "password": s.password, "tls": {k: v for k, v in vars(s.tls).items() if v} if s.tls else None}
+    seeds = [s for s in found if s.cluster or options.cluster]
+    found = [s for s in found if s not in seeds]
+    for _, group in itertools.groupby(seeds, key=lambda s: s.name or ""):  # the addresses of an entry are seeds of one cluster
+        group = list(group)
+        slots = spark.createDataFrame(live.slot_rows([s.address.text for s in group], **login(group[0])), "start long, end long, nodes array<struct<host string, port int, id string>>")
+        found += [dataclasses.replace(group[0], address=config.Address("tcp", n["host"], n["port"]), name=n["id"]) for n in topology.members(topology.nodes(slots), options.replicas).collect()]  # servers of a cluster
+    found = list(dict.fromkeys(found))
     print("MONITOR: " + ", ".join(s.address.text for s in found), file=sys.stderr)
     spark.dataSource.register(live.FeedSource)
     reader = spark.readStream.format("command_feed").option("addresses", ",".join(s.address.text for s in found)).option("names", ",".join(s.name or "" for s in found))
-    for key, value in {"user": options.user, "password": options.password, "tls": "true" if tls else None, "insecure": "true" if options.insecure else None, "tls_ca": options.tls_ca, "tls_cert": options.tls_cert, "tls_key": options.tls_key}.items():
-        if value:
-            reader = reader.option(key, value)
+    reader = reader.option("logins", json.dumps([login(s) for s in found]))
     feed = Feed(reader.load())
     if test.needs_metadata:
-        feed = feed.with_commands(metadata.commands(spark.createDataFrame(live.command_rows(found[0].address.text, **login), "reply string")))
+        replies = [(s.address.text, reply) for s in found for (reply,) in live.command_rows(s.address.text, **login(s))]
+        feed = feed.with_commands(metadata.commands_by_source(spark.createDataFrame(replies, "source_id string, reply string")))
     lines = feed.filter(options.filter, options.flags, options.db).lines
     if not options.out:
         raise SystemExit("a live feed needs --out: a folder for output and checkpoints")

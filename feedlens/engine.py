@@ -15,7 +15,7 @@ from feedlens.sources import text
 
 @dataclass(frozen=True)
 class Feed:
-    """raw_lines and the command table that flags are looked up in."""
+    """raw_lines and the command table that flags are looked up in; a table with source_id holds one for each source."""
 
     lines: DataFrame
     commands: DataFrame | None = None
@@ -39,7 +39,7 @@ class Feed:
         if f.empty:
             return self
         join = f.needs_metadata and self.commands is not None
-        rows = metadata.lookup(self.lines, self.commands) if join else self.lines
+        rows = metadata.lookup(self.lines, self.commands, ["source_id"] if "source_id" in self.commands.columns else None) if join else self.lines
         rows = rows.where(f.column(metadata=join))
         return replace(self, lines=rows.drop("cmd_flags", "cmd_categories") if join else rows)
 

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BODY = r'(?:\\x[0-9a-fA-F]{2}|\\[nrtabf\\/" ]|\\|[^"\\]|"(?![ \t\r\n]*\z)(?![ \t\r\n]+"))*+'
+_BODY = r'(?:[^"\\]++|\\x[0-9a-fA-F]{2}|\\[nrtabf\\/" ]|\\|"(?![ \t\r\n]*\z)(?![ \t\r\n]+"))*+'
 _ARG = rf'(?s)"({_BODY})"(?:[ \t]+|\z)'
+_WHOLE = rf'(?s)\A(?:"{_BODY}"(?:[ \t]+|\z))*+\z'
 _TOKEN = r'(?s)\\x[0-9a-fA-F]{2}|\\[nrtabf\\/" ]|\\|[^\\]+'
 # Escape letter and the character it stands for.
 ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "a": "\a", "b": "\b", "f": "\f"}
@@ -25,12 +26,11 @@ def _unescaped(token: Column) -> Column:
 
 def args_ok(tail: Column) -> Column:
     """Whether a tail consists of arguments to its end."""
-    whole = F.regexp_extract_all(tail, F.lit(_ARG), F.lit(0))
-    return F.aggregate(whole, F.lit(0), lambda n, x: n + F.length(x)) == F.length(tail)
+    return tail.rlike(_WHOLE)
 
 
 def args(tail: Column) -> Column:
     """Arguments as characters of their bytes; only meaningful where args_ok() holds."""
     raw = F.regexp_extract_all(tail, F.lit(_ARG), F.lit(1))
     decode = lambda a: F.array_join(F.transform(F.regexp_extract_all(a, F.lit(_TOKEN), F.lit(0)), _unescaped), "")
-    return F.transform(raw, lambda a: F.when(a.contains("\\"), decode(a)).otherwise(a))
+    return F.when(tail.contains("\\"), F.transform(raw, lambda a: F.when(a.contains("\\"), decode(a)).otherwise(a))).otherwise(raw)

@@ -6,10 +6,11 @@ see every byte, and encoded again on the way out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.functions.addresses import fits_u64, small_int, unpadded
+from feedlens.functions.addresses import fits_u64, padded_v4, small_int, unpadded
+from feedlens.functions.rows import once
 
 #: Joins the groups of the line pattern; no byte decodes to it.
 SEP = "Ā"
@@ -66,31 +67,30 @@ def v6_text(parts: Column) -> Column:
     return F.when(F.length(group(parts, "v6_port")) > 0, group(parts, "v6"))
 
 
-def client(parts: Column, v6: Column) -> Column:
-    """A client as struct kind (tcp, path, lua, unknown), host, port, path; null where an address is invalid.
+def client_host(parts: Column, v6: Column) -> Column:
+    """A client's address in canonical form, null without a valid one. v6 is the canonical form of v6_text()."""
+    return F.when(group(parts, "v4") != "", padded_v4(group(parts, "v4"))).when(group(parts, "v6_port") != "", v6)
 
-    v6 is the canonical form of v6_text().
-    """
+
+def client_port(parts: Column) -> Column:
+    """A client's port, null without a valid one."""
+    return small_int(F.when(group(parts, "v4") != "", group(parts, "v4_port")).when(group(parts, "v6_port") != "", group(parts, "v6_port")), 65535)
+
+
+def client_kind(parts: Column, host: Column, port: Column) -> Column:
+    """tcp, path, lua or unknown; null where an address is invalid."""
     g = lambda name: group(parts, name)
-    octets = F.transform(F.split(g("v4"), r"\."), lambda o: small_int(o, 255))
-    v4 = F.when(F.forall(octets, lambda o: o.isNotNull()), F.array_join(F.transform(octets, lambda o: o.cast("string")), "."))
-    host = F.when(F.length(g("v4")) > 0, v4).when(F.length(g("v6_port")) > 0, v6)
-    port = small_int(F.when(F.length(g("v4")) > 0, g("v4_port")).otherwise(g("v6_port")), 65535)
-    make = lambda kind, host, port, path: F.struct(F.lit(kind).alias("kind"), host.cast("string").alias("host"), port.cast("int").alias("port"), path.cast("string").alias("path"))
-    none = F.lit(None)
-    path = to_bytes(g("path"))
     return (
-        F.when((F.length(g("unix")) > 0) & F.is_valid_utf8(path.cast("string")), make("path", none, none, path.cast("string")))
-        .when(F.length(g("unix")) > 0, F.lit(None))
-        .when((F.length(g("v4")) > 0) | (F.length(g("v6_port")) > 0), F.when(host.isNotNull() & port.isNotNull(), make("tcp", host, port, none)))
-        .when(F.length(g("lua")) > 0, make("lua", none, none, none))
-        .otherwise(make("unknown", none, none, none))
+        F.when((g("v4") != "") | (g("v6_port") != ""), F.when(host.isNotNull() & port.isNotNull(), "tcp"))
+        .when(g("unix") != "", F.when(F.is_valid_utf8(to_bytes(g("path")).cast("string")), "path"))
+        .when(g("lua") != "", "lua")
+        .otherwise("unknown")
     )
 
 
-def client_text(client: Column) -> Column:
+def client_text(kind: Column, host: Column, port: Column, path: Column) -> Column:
     """Display form: ip:port, path, lua or -."""
-    return F.when(client["kind"] == "tcp", F.concat(client["host"], F.lit(":"), client["port"].cast("string"))).when(client["kind"] == "path", client["path"]).when(client["kind"] == "lua", F.lit("lua")).otherwise(F.lit("-"))
+    return F.when(kind == "tcp", F.concat(host, F.lit(":"), port.cast("string"))).when(kind == "path", path).when(kind == "lua", F.lit("lua")).otherwise(F.lit("-"))
 
 
 def numbers_fit(parts: Column) -> Column:
@@ -101,23 +101,42 @@ def timestamp(ts_int: Column, ts_frac: Column) -> Column:
     return ts_int.cast("double") + ts_frac.cast("double") / F.pow(F.lit(10.0), F.length(ts_frac))
 
 
-def plain_double(x: Column) -> Column:
-    """The shortest decimal text of a double, without exponent and without a closing .0."""
-    text = x.cast("string")
-    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    whole, part = F.split_part(mantissa, F.lit("."), F.lit(1)), F.regexp_replace(F.split_part(mantissa, F.lit("."), F.lit(2)), r"\A0\z", "")
-    digits = F.concat(whole, part)
-    point = F.length(whole) + power
-    wide = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
-    )
-    return F.when(text.contains("E"), wide).otherwise(F.regexp_replace(text, r"\.0\z", ""))
-
+def with_plain_double(rows: DataFrame, x: Column, name: str) -> DataFrame:
+    """rows with the shortest decimal text of a double, without exponent and without a closing .0; null for null.
 
-def timestamp_text(ts_int: Column, ts_frac: Column) -> Column:
-    """A timestamp as text, from its digits where six follow the point and ten at most stand before it, else by way of a double."""
+    The JVM's text has a digit too many in rare cases; then the text of fewer digits that is the same double counts.
+    """
+    rows = once(rows, "_double", x)
+    number, text = F.col("_double"), F.col("_double_text")
+    rows = once(rows, "_double_text", number.cast("string"))
+    rows = once(rows, "_double_fewer", F.when(F.length(text) >= 17, F.array(*[F.format_string(f"%.{digits - 1}e", number) for digits in (15, 16, 17)])))
+    fewer = [F.get("_double_fewer", F.lit(i)) for i in range(3)]
+    rows = once(rows, "_double_short", F.coalesce(*[F.when(t.cast("double") == number, t) for t in fewer]))
+    # Of 1.2340e+01 the digits and the power.
+    short = F.col("_double_short")
+    tidy = F.concat(F.regexp_replace(F.regexp_extract(short, r"\A(.*?)0*e", 1), r"\.\z", ".0"), F.lit("E"), F.regexp_extract(short, r"e\+?(-?)0*([0-9]+)\z", 1), F.regexp_extract(short, r"e[+-]0*([0-9]+)\z", 1))
+    rows = once(rows, "_double_tidy", F.when(short.isNotNull(), tidy))
+    rows = once(rows, "_double_best", F.coalesce(F.col("_double_tidy"), text))
+    best = F.col("_double_best")
+    # With an exponent one digit stands before the point.
+    rows = once(rows, "_double_digits", F.when(best.contains("E"), F.regexp_replace(F.split_part(best, F.lit("E"), F.lit(1)), r"\.0\z|\.", "")))
+    rows = once(rows, "_double_point", F.when(best.contains("E"), F.split_part(best, F.lit("E"), F.lit(2)).cast("int") + 1))
+    digits, point = F.col("_double_digits"), F.col("_double_point")
+    rows = once(rows, "_double_padded", F.when(point > 0, F.rpad(digits, F.greatest(F.length(digits), point), "0")).otherwise(F.concat(F.repeat(F.lit("0"), 1 - point), digits)))
+    padded, whole = F.col("_double_padded"), F.greatest(point, F.lit(1))
+    rows = once(rows, "_double_wide", F.when(F.length(padded) > whole, F.concat(F.substring(padded, F.lit(1), whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)))).otherwise(padded))
+    rows = once(rows, name, F.when(best.isNotNull(), F.coalesce(F.col("_double_wide"), F.regexp_replace(best, r"\.0\z", ""))))
+    return rows.drop("_double", "_double_text", "_double_fewer", "_double_short", "_double_tidy", "_double_best", "_double_digits", "_double_point", "_double_padded", "_double_wide")
+
+
+def with_timestamp_text(rows: DataFrame, name: str = "ts_text") -> DataFrame:
+    """rows (ts_int, ts_frac) with the timestamp as text.
+
+    It comes from the digits where six follow the point and ten at most stand before it, else by way of a double.
+    """
+    ts_int, ts_frac = F.col("ts_int"), F.col("ts_frac")
+    direct = (F.length(ts_int) <= 10) & (F.length(ts_frac) == 6)
+    rows = with_plain_double(rows, F.when(~direct, timestamp(ts_int, ts_frac)), "_ts_double")
     fraction = F.rtrim(ts_frac, F.lit("0"))
     short = F.concat(unpadded(ts_int), F.when(F.length(fraction) > 0, F.concat(F.lit("."), fraction)).otherwise(F.lit("")))
-    return F.when((F.length(ts_int) <= 10) & (F.length(ts_frac) == 6), short).otherwise(plain_double(timestamp(ts_int, ts_frac)))
+    return once(rows, name, F.when(direct, short).otherwise(F.col("_ts_double"))).drop("_ts_double")

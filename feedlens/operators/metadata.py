@@ -74,6 +74,14 @@ def commands(replies: DataFrame, column: str = "reply") -> DataFrame:
     return rows.join(_key_specs(rows), "name_lc", "left").select("name", "name_lc", "arity", "flags", "categories", "first_key", "last_key", "step_count", "key_specs")
 
 
+def commands_by_source(replies: DataFrame) -> DataFrame:
+    """What a lookup needs of rows (source_id, reply), with source_id: of rows of a source with one name one stays."""
+    at, empty = lambda i: F.get("parts", F.lit(i)), F.array().cast("array<string>")
+    rows = replies.select("source_id", _array(F.col("reply")).alias("parts")).where(F.size("parts") >= 7)
+    masks = [bits.fold(F.coalesce(_array(at(i)), empty), known).alias(name) for i, known, name in ((2, bits.FLAG_BITS, "flags"), (6, bits.CATEGORY_BITS, "categories"))]
+    return rows.select("source_id", lower_ascii(at(0)).alias("name_lc"), *masks).where("name_lc is not null").dropDuplicates(["source_id", "name_lc"])
+
+
 def from_rows(spark: SparkSession, rows: list[tuple[str, list[str], list[str]]]) -> DataFrame:
     """A small table of (name, flags, categories)."""
     frame = spark.createDataFrame([(n, list(f), list(c)) for n, f, c in rows], "name string, f array<string>, c array<string>")

@@ -25,25 +25,30 @@ def parse(lines: DataFrame) -> DataFrame:
     whether the tail is well formed, which only structured output asks for. Catalyst drops what is not used.
     """
     text = L.chars(F.coalesce(F.col("line"), F.lit(b"")))
-    p = F.col("_p")
+    p, host, port, kind = (F.col(c) for c in ("_p", "_host", "_port", "_kind"))
     rows = with_canonical_ip(once(lines, "_p", L.groups(text)), L.v6_text(p), "_v6")
     fits = L.fitting(p)
-    rows = once(rows, "_c", F.struct(fits.alias("fits"), F.when(fits, L.client(p, F.col("_v6"))).alias("client"), (fits & F.coalesce(L.numbers_fit(p), F.lit(False))).alias("numbers")))
-    ok = F.col("_c.numbers") & F.col("_c.client").isNotNull()
+    rows = once(rows, "_host", L.client_host(p, F.col("_v6")))
+    rows = once(rows, "_port", L.client_port(p))
+    rows = once(rows, "_kind", F.when(fits, L.client_kind(p, host, port)))
+    rows = once(rows, "ok", F.coalesce(fits & kind.isNotNull() & L.numbers_fit(p), F.lit(False)))
+    ok = F.col("ok")
     g = lambda name: F.when(ok, L.group(p, name))
-    error = F.when(ok, F.lit(None)).when(~F.col("_c.fits"), "grammar").when(F.col("_c.client").isNull(), "client address").otherwise("number out of range")
+    error = F.when(ok, F.lit(None)).when(~fits, "grammar").when(kind.isNull(), "client address").otherwise("number out of range")
+    path = F.when(kind == "path", L.to_bytes(L.group(p, "path")).cast("string"))
+    client = F.struct(kind.alias("kind"), F.when(kind == "tcp", host).alias("host"), F.when(kind == "tcp", port).alias("port"), path.alias("path"))
     rows = rows.withColumns({
-        "ok": ok, "error": error.cast("string"), "client": F.when(ok, F.col("_c.client")),
+        "error": error.cast("string"), "client": F.when(ok, client),
         "ts_int": g("ts_int"), "ts_frac": g("ts_frac"), "db": unpadded(g("db")).cast("decimal(20,0)"), "cmd": g("cmd"), "tail": g("tail"),
-        "addr": F.when(ok, L.client_text(F.col("_c.client"))),
+        "addr": F.when(ok, L.client_text(kind, host, port, path)),
     })
     micros = F.concat(F.col("ts_int"), F.lit("."), F.substring(F.col("ts_frac"), 1, 6)).try_cast("decimal(26,6)")
     rows = rows.withColumns({
         "timestamp": L.timestamp(F.col("ts_int"), F.col("ts_frac")),
         "event_time": F.when(F.length(unpadded(F.col("ts_int"))) <= 11, F.timestamp_micros((micros * 1000000).cast("long"))),
-        "args_ok": F.col("ok") & A.args_ok(F.col("tail")), "args": A.args(F.col("tail")),
+        "args_ok": ok & A.args_ok(F.col("tail")), "args": A.args(F.col("tail")),
     })
-    return rows.drop("_p", "_c", "_v6")
+    return rows.drop("_p", "_host", "_port", "_kind", "_v6")
 
 
 def accepted(parsed: DataFrame, structured: bool = False) -> DataFrame:

@@ -40,7 +40,7 @@ def _base_name(path: Column) -> Column:
 
 
 def token(name: str) -> Column:
-    """A token as BINARY, from the columns of parse() and the source's server and name."""
+    """A token as BINARY, from the columns of parse() and the source's server and name; t needs ts_text besides."""
     server, client = F.col("server"), F.col("client")
     is_tcp = client["kind"] == "tcp"
     port = client["port"].cast("string")
@@ -55,7 +55,7 @@ def token(name: str) -> Column:
         "ca": lambda: F.col("addr"),
         "ch": lambda: F.when(is_tcp, client["host"]).otherwise("-"),
         "cp": lambda: F.when(is_tcp, port).when(client["kind"] == "path", path_port).when(client["kind"] == "lua", "lua").otherwise("-"),
-        "t": lambda: L.timestamp_text(F.col("ts_int"), F.col("ts_frac")),
+        "t": lambda: F.col("ts_text"),
         "d": lambda: F.col("db").cast("string"),
         "C": lambda: F.col("cmd"),
         "a": lambda: L.lossy(F.col("tail")),

@@ -22,7 +22,7 @@ def kind_of(text: str) -> str:
 
 def _number_text() -> Column:
     """The timestamp as a float literal: with a fraction, also where that is zero."""
-    text = L.timestamp_text(F.col("ts_int"), F.col("ts_frac"))
+    text = F.col("ts_text")
     return F.when(text.contains("."), text).otherwise(F.concat(text, F.lit(".0")))
 
 
@@ -48,7 +48,7 @@ def php_value() -> Column:
     latin = lambda x: L.chars(x.cast("binary"))
     items = F.array_join(F.transform("args", lambda a, i: F.concat(F.lit("i:"), i.cast("string"), F.lit(";"), text(a))), "")
     # Doubles have no closing .0 there.
-    number = L.timestamp_text(F.col("ts_int"), F.col("ts_frac"))
+    number = F.col("ts_text")
     head = F.concat(F.lit('a:5:{s:9:"timestamp";d:'), number, F.lit(';s:2:"db";i:'), F.col("db").cast("string"), F.lit(';s:4:"addr";'), text(latin(F.col("addr"))), F.lit('s:3:"cmd";'), text(F.col("cmd")))
     return L.to_bytes(F.concat(head, F.lit('s:4:"args";a:'), F.size("args").cast("string"), F.lit(":{"), items, F.lit("}}")))
 
@@ -63,14 +63,17 @@ def resp_value() -> Column:
 def render(parsed: DataFrame, kind: str = "plain", format: str | None = None) -> DataFrame:
     """Accepted lines with `value`; plain takes any tail, the others need well-formed arguments."""
     kind = kind_of(kind)
-    value = {"plain": lambda: formats.render(formats.SINGLE if format is None else format), "json": json_value, "csv": csv_value, "php": php_value, "resp": resp_value}[kind]()
+    format = formats.SINGLE if format is None else format
+    value = {"plain": lambda: formats.render(format), "json": json_value, "csv": csv_value, "php": php_value, "resp": resp_value}[kind]()
     rows = accepted(parsed, structured=kind != "plain")
     if kind != "plain":
         rows = once(rows.withColumnRenamed("args", "_args"), "args", F.col("_args")).drop("_args")
+    if kind in ("json", "csv", "php") or (kind == "plain" and ("token", "t") in formats.compile_format(format)):
+        rows = L.with_timestamp_text(rows)
     return rows.withColumn("value", value)
 
 
-def write(rendered: DataFrame, path: str, kind: str = "plain") -> None:
+def write(rendered: DataFrame, path: str, kind: str = "plain", mode: str = "errorifexists") -> None:
     """Write `value` as text files: a line each, and RESP records one after another.
 
     A RESP record ends with a line end of its own, which the sink's separator takes the place of.
@@ -78,6 +81,6 @@ def write(rendered: DataFrame, path: str, kind: str = "plain") -> None:
     value = F.col("value").cast("string")
     if kind_of(kind) == "resp":
         cut = L.to_bytes(F.regexp_replace(L.chars(F.col("value")), r"\r\n\z", "")).cast("string")
-        rendered.select(cut.alias("value")).write.option("lineSep", "\r\n").text(path)
+        rendered.select(cut.alias("value")).write.mode(mode).option("lineSep", "\r\n").text(path)
     else:
-        rendered.select(value.alias("value")).write.option("lineSep", "\n").text(path)
+        rendered.select(value.alias("value")).write.mode(mode).option("lineSep", "\n").text(path)

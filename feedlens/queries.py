@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -113,11 +114,9 @@ def command_stats_compat(spark, sf_dir):
     return _feed(spark, sf_dir).stats(exact=False)
 
 
-@_query(_sql("select cmd as name, count(*) - 1 as count, (sum(octet_length(encode(line))) - arg_min(octet_length(encode(line)), event_id))::bigint as bytes from f where event_id < 3 or cmd = 'GET' group by 1 having count(*) > 1"))
+@_query(_sql("select cmd as name, count(*) - 1 as count, (sum(octet_length(encode(line))) - arg_min(octet_length(encode(line)), event_id))::bigint as bytes from f group by 1 having count(*) > 1"))
 def stats_nonzero(spark, sf_dir):
-    lines = feed_lines(spark, sf_dir)
-    few = lines.where((F.col("seq") < 3) | (L.command(L.chars(F.col("line"))) == "GET"))
-    return stats.nonzero(stats.by_command(few, compat=True))
+    return stats.nonzero(stats.by_command(feed_lines(spark, sf_dir), compat=True))
 
 
 @_query(_sql("select '[stats]: ' || string_agg(cmd || '=[' || n || ', ' || b || ']', ', ' order by cmd) as value from (select cmd, count(*) as n, sum(octet_length(encode(line)))::bigint as b from f group by 1)"))
@@ -267,18 +266,14 @@ def filter_db(spark, sf_dir):
 _FLAG_ROWS = [(n, f) for n, f, _ in COMMANDS] + [("odd", ["RO", " Write ", "nosuch"]), ("none", [])]
 
 
-def _mask(names: list[str]) -> int:
-    return bits.parse_masks([",".join(names)])[0]
-
-
-@_query("select * from (values " + ", ".join(f"('{n}', {_mask(f)})" for n, f in _FLAG_ROWS) + ") t(name, mask)")
+@_query("select * from (values ('get', 32800), ('set', 524304), ('incr', 524336), ('hset', 524336), ('odd', 557056), ('none', 0)) t(name, mask)")
 def flag_mask_fold(spark, sf_dir):
     return spark.createDataFrame(_FLAG_ROWS, "name string, f array<string>").select("name", bits.fold(F.col("f"), bits.FLAG_BITS).alias("mask"))
 
 
-@_query("select * from (values " + ", ".join(f"('{n}', '{','.join(sorted(k for k, b in bits.FLAG_BITS.items() if b & _mask(f)))}')" for n, f in _FLAG_ROWS) + ") t(name, names)")
+@_query("select * from (values ('get', 'fast,readonly,ro'), ('set', 'denyoom,wo,write'), ('incr', 'denyoom,fast,wo,write'), ('hset', 'denyoom,fast,wo,write'), ('odd', 'readonly,ro,wo,write'), ('none', '')) t(name, names)")
 def flag_mask_names(spark, sf_dir):
-    rows = spark.createDataFrame([(n, _mask(f)) for n, f in _FLAG_ROWS], "name string, mask int")
+    rows = flag_mask_fold(spark, sf_dir)
     return rows.select("name", F.array_join(bits.names_of(F.col("mask"), bits.FLAG_BITS), ",").alias("names"))
 
 
@@ -289,8 +284,8 @@ _REPLIES = (
 )
 
 
-@_query(f"""select * from (values ('get', 2, {_mask(['readonly', 'fast'])}, {bits.parse_masks(['@read,@string,@fast'])[1]}, 1, {bits.KEY_SPEC_BITS['ro'] | bits.KEY_SPEC_BITS['access']}, 'index', 1, null, 'range', 0),
-  ('eval', -3, {_mask(['noscript'])}, {bits.parse_masks(['@slow,@scripting'])[1]}, 0, {bits.KEY_SPEC_BITS['rw']}, 'keyword', null, 'KEYS', 'keynum', null), ('bare', 1, 0, 0, 0, null, null, null, null, null, null))
+@_query("""select * from (values ('get', 2, 32800, 266272, 1, 18, 'index', 1, null, 'range', 0),
+  ('eval', -3, 8192, 40960, 0, 1, 'keyword', null, 'KEYS', 'keynum', null), ('bare', 1, 0, 0, 0, null, null, null, null, null, null))
   t(name, arity, flags, categories, first_key, spec_flags, begin_kind, begin_index, keyword, find_kind, last_key)""")
 def command_table(spark, sf_dir):
     table = metadata.commands(spark.createDataFrame([(x,) for x in _REPLIES], "reply string"))
@@ -445,21 +440,11 @@ def union_sources(spark, sf_dir):
 def _written(spark: SparkSession, sf_dir: str) -> str:
     """The feed as text files, in the folder that the cluster's machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="feedlens-")
-    path = f"{base.rstrip('/')}/feed-{abs(hash((sf_dir, id(spark)))):x}-{spark.sparkContext.startTime}-{next(_NUMBER)}"
+    path = f"{base.rstrip('/')}/feed-{uuid.uuid4().hex}"
     _values(spark, sf_dir).select(F.concat(F.lit("+"), "value").alias("value")).write.text(path)
     return path
 
 
-def _numbers():
-    n = 0
-    while True:
-        yield n
-        n += 1
-
-
-_NUMBER = _numbers()
-
-
 @_query(_sql("select line from f"))
 def replay_text(spark, sf_dir):
     return read_lines(spark, _written(spark, sf_dir)).select(F.col("line").cast("string").alias("line"))

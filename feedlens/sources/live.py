@@ -1,7 +1,9 @@
 """Live feeds as a streaming source, by Spark's Python data source API.
 
 A feed cannot be read twice, so delivery is at most once across reconnects. Each source is a partition of its
-own; a micro-batch reads what arrives within a deadline. Capture the stream to files where a replay matters.
+own; a micro-batch reads what arrives within a deadline. A worker keeps its connection for the next batch; where
+that batch is read by another worker, lines that came between the two are lost and none comes twice. Capture the
+stream to files where a replay matters.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ import json
 import random
 import socket
 import ssl
+import threading
 import time
 from collections.abc import Iterator
 
@@ -44,7 +47,7 @@ class Feed:
         from feedlens.sources.config import Address
 
         self.address = Address.parse(address)
-        self.held = b""
+        self.held, self.closed = b"", False
         if self.address.kind == "unix":
             self.socket = socket.socket(socket.AF_UNIX)
             self.socket.settimeout(timeout)
@@ -58,6 +61,10 @@ class Feed:
         if monitor:
             self.ask("MONITOR")
 
+    def close(self) -> None:
+        self.closed = True
+        self.socket.close()
+
     def ask(self, *parts: str) -> bytes:
         self.socket.sendall(request(*parts))
         reply = next(self.lines(time.monotonic() + 5), None)
@@ -140,21 +147,56 @@ def context(insecure: bool = False, ca: str | None = None, cert: str | None = No
 
 
 class Slice(InputPartition):
-    def __init__(self, source: int, batch: int):
-        self.source, self.batch = source, batch
+    def __init__(self, source: int, start: int, batch: int):
+        self.source, self.start, self.batch = source, start, batch
+
+
+#: Connections that a Python worker keeps for the next micro-batch: feed, batch it was last read in, timer that closes it.
+_OPEN: dict[tuple, tuple[Feed, int, threading.Timer]] = {}
+_LOCK = threading.Lock()
+
+
+def _take(key: tuple, start: int) -> Feed | None:
+    """The connection kept under `key`, if it was read in the batch that ended at `start`.
+
+    An older one is closed: another worker has read this source since, so what it holds was delivered already.
+    """
+    with _LOCK:
+        feed, last, timer = _OPEN.pop(key, (None, None, None))
+    if feed is None:
+        return None
+    timer.cancel()
+    if last == start and not feed.closed:
+        return feed
+    feed.close()
+    return None
+
 
+def _keep(key: tuple, feed: Feed, batch: int, idle: float) -> None:
+    """Keep a connection for the next batch; it is closed if that is read elsewhere, so that the server's buffer does not grow."""
+    def expire() -> None:
+        with _LOCK:
+            if _OPEN.get(key, (None,))[0] is feed:
+                del _OPEN[key]
+        feed.close()
 
-#: Connections that a Python worker keeps between micro-batches.
-_OPEN: dict[tuple, Feed] = {}
+    timer = threading.Timer(idle, expire)
+    timer.daemon = True
+    with _LOCK:
+        _OPEN[key] = (feed, batch, timer)
+    timer.start()
 
 
 class FeedReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.addresses = [a.strip() for a in options.get("addresses", "localhost:6379").split(",") if a.strip()]
         self.names = [n.strip() or None for n in options.get("names", "").split(",")] if options.get("names") else [None] * len(self.addresses)
-        self.user, self.password = options.get("user"), options.get("password")
-        self.tls = {k: v for k, v in {"insecure": options.get("insecure", "false").lower() == "true", "ca": options.get("tls_ca"), "cert": options.get("tls_cert"), "key": options.get("tls_key")}.items() if v} if options.get("tls", "false").lower() == "true" else None
+        tls = {k: v for k, v in {"insecure": options.get("insecure", "false").lower() == "true", "ca": options.get("tls_ca"), "cert": options.get("tls_cert"), "key": options.get("tls_key")}.items() if v} if options.get("tls", "false").lower() == "true" else None
+        common = {"user": options.get("user"), "password": options.get("password"), "tls": tls}
+        # One login a source, as JSON; null means the common one.
+        self.logins = [x or common for x in json.loads(options["logins"])] if options.get("logins") else [common] * len(self.addresses)
         self.seconds = float(options.get("batch_seconds", "1"))
+        self.idle = float(options.get("idle_seconds", str(max(5.0, 5 * self.seconds))))
         self.retries = int(options.get("retries", "8"))
         self.batch = 0
 
@@ -167,7 +209,7 @@ class FeedReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
         self.batch = max(self.batch, end["batch"])
-        return [Slice(i, end["batch"]) for i in range(len(self.addresses))]
+        return [Slice(i, start["batch"], end["batch"]) for i in range(len(self.addresses))]
 
     def commit(self, end: dict) -> None:
         pass
@@ -175,22 +217,26 @@ class FeedReader(DataSourceStreamReader):
     def read(self, part: Slice):
         address = self.addresses[part.source]
         deadline, retries, seq = time.monotonic() + self.seconds, 0, part.batch << 40
-        key = (address, self.user)
+        key = (part.source, address)
+        feed = _take(key, part.start)
         while time.monotonic() < deadline:
             try:
-                feed = _OPEN.get(key) or Feed(address, self.user, self.password, self.tls)
-                _OPEN[key] = feed
+                feed = feed or Feed(address, **self.logins[part.source])
                 server = feed.address
                 ip = server.host if server.kind == "tcp" and server.host.replace(".", "").isdigit() else None
                 for line in feed.lines(deadline):
                     yield (address, (server.kind, server.host, server.port, server.path, ip), self.names[part.source], seq, frame(line))
                     seq += 1
             except OSError:
-                _OPEN.pop(key, None)
+                if feed is not None:
+                    feed.close()
+                feed = None
                 retries += 1
                 if retries > self.retries:
                     raise
                 time.sleep(min(backoff(retries), max(0.0, deadline - time.monotonic())))
+        if feed is not None:
+            _keep(key, feed, part.batch, self.idle)
 
 
 class FeedSource(DataSource):

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedlens.operators import stats
-from feedlens.operators.parse import parse, without_replies
+from feedlens.operators.parse import parse, rejected, without_replies
 from feedlens.plans import serializers
 
 
@@ -27,9 +28,17 @@ def stats_query(lines: DataFrame, sink: Callable[[DataFrame, int], None], checkp
 
 
 def render_query(lines: DataFrame, path: str, checkpoint: str, kind: str = "plain", format: str | None = None, once: bool = True) -> StreamingQuery:
-    """Rendered records as text files, exactly once per input line that the source can replay."""
+    """Rendered records as text files under path/batch=n, and lines that do not parse as JSON under path-rejects/batch=n.
+
+    A batch that is repeated after a failure replaces what it wrote, so a line that the source can replay is
+    written exactly once.
+    """
+    structured = serializers.kind_of(kind) != "plain"
+
     def write(batch: DataFrame, number: int) -> None:
-        serializers.write(serializers.render(parse(without_replies(batch)), kind, format), f"{path}/batch={number}", kind)
+        parsed = parse(without_replies(batch))
+        serializers.write(serializers.render(parsed, kind, format), f"{path}/batch={number}", kind, mode="overwrite")
+        rejected(parsed, structured).select("source_id", "seq", F.base64("line").alias("line"), "error", "message").write.mode("overwrite").json(f"{path}-rejects/batch={number}")
 
     writer = lines.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -2,6 +2,7 @@
 
 import socket
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,6 +148,66 @@ def test_stream_renders_like_batch(spark, tmp_path):
     assert got == sorted(bytes(r.value).decode() for r in Feed.read(spark, str(tmp_path / "in")).render("json").collect()) and len(got) == 60
 
 
+def test_a_repeated_batch_replaces_its_output(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text('1.5 [0 lua] "GET" "k"\nbroken\n')
+    out = str(tmp_path / "out")
+    for i in range(2):  # with a checkpoint of its own the second run starts again at batch 0
+        render_query(stream_lines(spark, str(tmp_path / "in")), out, str(tmp_path / f"c{i}"), "plain", "%C").awaitTermination()
+    assert [r.value for r in spark.read.option("recursiveFileLookup", "true").text(out).collect()] == ["GET"]
+    assert [r.error for r in spark.read.option("recursiveFileLookup", "true").json(f"{out}-rejects").collect()] == ["grammar"]
+
+
+def _endless() -> int:
+    """A feed that counts its lines up over all of its connections."""
+    listener = socket.create_server(("127.0.0.1", 0))
+    number = iter(range(1 << 30))
+
+    def follow(conn):
+        try:
+            conn.recv(1000)
+            conn.sendall(b"+OK\r\n")
+            while True:
+                conn.sendall(b'+1.%d [0 lua] "GET" "k"\r\n' % next(number))
+                time.sleep(0.01)
+        except OSError:
+            pass
+
+    def serve():
+        while True:
+            threading.Thread(target=follow, args=(listener.accept()[0],), daemon=True).start()
+
+    threading.Thread(target=serve, daemon=True).start()
+    return listener.getsockname()[1]
+
+
+def test_two_feeds_over_several_batches_give_no_line_twice(spark, tmp_path):
+    spark.dataSource.register(live.FeedSource)
+    ports = [_endless(), _endless()]
+    rows = spark.readStream.format("command_feed").option("addresses", ",".join(f"127.0.0.1:{p}" for p in ports)).option("batch_seconds", "0.5").load()
+    got = []
+    q = rows.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, n: got.extend((n, r.source_id, bytes(r.line)) for r in b.collect())).start()
+    for _ in range(40):
+        q.awaitTermination(1)
+        if len({n for n, _, _ in got}) >= 4 or q.exception():
+            break
+    q.stop()
+    assert q.exception() is None and len({n for n, _, _ in got}) >= 4
+    for port in ports:
+        own = [int(line.split(b" ")[0].split(b".")[1]) for _, s, line in got if s == f"127.0.0.1:{port}"]
+        assert own and own == sorted(set(own))
+
+
+def test_flags_by_the_table_of_each_source(spark):
+    from feedlens.sources.text import as_lines
+
+    rows = spark.createDataFrame([('1.5 [0 lua] "ODD" "k"',)], "value string")
+    lines = as_lines(rows, source_id="a").unionByName(as_lines(rows, source_id="b"))
+    replies = spark.createDataFrame([("a", '["odd",2,["write"],1,1,1,["@hash"]]'), ("b", '["odd",2,["readonly"],1,1,1,["@hash"]]'), ("b", '["short"]')], "source_id string, reply string")
+    kept = Feed(lines).with_commands(metadata.commands_by_source(replies)).filter(flags=["write"]).lines
+    assert [r.source_id for r in kept.collect()] == ["a"]
+
+
 def test_interval():
     assert positive("0.5") == 0.5
     for bad in ("0", "-1", "nan"):
@@ -157,7 +218,8 @@ def test_interval():
 def test_cli(spark, tmp_path, capfdbinary):
     (tmp_path / "x.log").write_text('1.5 [2 lua] "SET" "k" "v"\n1.5 [0 lua] "GET" "k"\n')
     assert cli.main(["--stdin", str(tmp_path), "--filter", "!get", "--db", "2", "-o", "plain", "-f", "%d %C"]) == 0
-    assert capfdbinary.readouterr().out.endswith(b"2 SET\n")
+    shown = capfdbinary.readouterr()
+    assert shown.out.endswith(b"2 SET\n") and b"Processed 2 lines (filtered: 1), backpressure stalls: 0" in shown.err
     with pytest.raises(SystemExit):
         cli.main(["--output", "xml"])
     with pytest.raises(ValueError):
