@@ -9,13 +9,16 @@ through a logistic curve that is fitted to training documents the field has not
 
 from __future__ import annotations
 
+import math
+import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import buffers, first_by_hash, short_batches, tiles
+from feedlens.llm.shared import TILE_BYTES, buffers, first_by_hash, short_batches, tiles
 
 
 @dataclass(frozen=True)
@@ -30,7 +33,8 @@ class Params:
     epochs: int = 10
     rounds: int = 1  #: fits: to the first labels, then also to what the field tags in toxic documents
     rate: float = 0.3
-    chain: int = 128  #: tokens of a chain at most; it also ends with a sentence or line
+    clean_chains: int = 20_000  #: chains without a toxic token that the fit takes of its sample, in random order, at least
+    clean_ratio: int = 8  #: or as many for each chain with one
     span: float = 0.5  #: marginal from which a token belongs to a span
 
 
@@ -91,8 +95,6 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, p: Params) -> Tokens:
     stops = np.concatenate(([0], np.cumsum(_STOP[low])))
     broken = np.ones(n, dtype=bool)
     broken[1:] = (stops[start[1:]] > stops[end[:-1]]) | (doc[1:] != doc[:-1])
-    first = np.maximum.accumulate(np.where(broken, np.arange(n), 0))
-    broken |= (np.arange(n) - first) % p.chain == 0
     size = end - start
     padded = np.concatenate((low, np.zeros(8, dtype=np.uint8)))
     head = np.zeros(n, dtype=np.uint64)
@@ -137,6 +139,26 @@ def _cross(x: np.ndarray, m: Model, forward: bool) -> np.ndarray:
     return np.logaddexp(a, m.stay + x) - np.logaddexp(0.0, b + x)
 
 
+#: Tokens up to which chains are walked side by side, place by place; longer ones are walked one by one.
+SIDE = 128
+
+
+def _walk(e: list[float], m: Model) -> tuple[list[float], list[float]]:
+    """Forward and backward messages of one chain."""
+    def cross(x: float, a: float, b: float) -> float:
+        over, under = m.stay + x, b + x
+        top = max(a, over) + log1p(exp(-abs(a - over)))
+        return top - (max(0.0, under) + log1p(exp(-abs(under))))
+
+    exp, log1p = math.exp, math.log1p
+    ahead, back = e[:1], [0.0]
+    for k in range(1, len(e)):
+        ahead.append(e[k] + cross(ahead[-1], m.into, m.leave))
+    for k in range(len(e) - 1, 0, -1):
+        back.append(cross(e[k] + back[-1], m.leave, m.into))
+    return ahead, back[::-1]
+
+
 def emissions(t: Tokens, m: Model) -> np.ndarray:
     out = np.full(len(t.start), m.bias)
     for f in t.features:
@@ -149,6 +171,9 @@ def marginals(t: Tokens, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     e = emissions(t, m)
     ahead, back = e.copy(), np.zeros(len(e))
     first, length, reach = _chains(t.chain)
+    for a, n in zip(first[length > SIDE], length[length > SIDE], strict=True):
+        ahead[a : a + n], back[a : a + n] = _walk(e[a : a + n].tolist(), m)
+    first, reach = first[length <= SIDE], reach[:SIDE] - np.count_nonzero(length > SIDE)
     for k in range(1, len(reach)):
         at = first[: reach[k]] + k
         ahead[at] = e[at] + _cross(ahead[at - 1], m, True)
@@ -184,10 +209,10 @@ def _fit_field(t: Tokens, label: np.ndarray, p: Params, seed: int = 7) -> Model:
     rng = np.random.default_rng(seed)
     starts = np.sort(first)
     ends = np.append(starts[1:], len(t.start))
-    # All chains with a toxic token, and as many more clean ones as eight times those.
+    # All chains with a toxic token, and a bounded number of the others of this sample.
     bad = np.flatnonzero(chain_toxic)
     good = np.flatnonzero(~chain_toxic)
-    good = rng.permutation(good)[: max(20_000, 8 * len(bad))]
+    good = rng.permutation(good)[: max(p.clean_chains, p.clean_ratio * len(bad))]
     use = np.concatenate((bad, good))
     squares, others = np.full(1 << p.bits, 1e-3), np.full(4, 1e-3)
     batch = max(64, min(512, chains // 50 + 1))
@@ -220,15 +245,49 @@ def _fit_field(t: Tokens, label: np.ndarray, p: Params, seed: int = 7) -> Model:
     return m
 
 
+class Sums:
+    """What a document's score needs of its tokens' marginals; a document may come in several parts."""
+
+    def __init__(self, n_docs: int):
+        self.total, self.tokens, self.most, self.sure = (np.zeros(n_docs) for _ in range(4))
+
+    def add(self, q: np.ndarray, doc: np.ndarray) -> None:
+        n = len(self.total)
+        self.total += np.bincount(doc, weights=q, minlength=n)
+        self.tokens += np.bincount(doc, minlength=n)
+        np.maximum.at(self.most, doc, q)
+        self.sure += np.bincount(doc, weights=q > 0.5, minlength=n)
+
+    def features(self) -> np.ndarray:
+        """Rows of constant, log density, the most, log number of toxic tokens."""
+        density = np.log((self.total + 0.05) / (self.tokens + 20.0))
+        return np.stack([np.ones(len(density)), density, self.most, np.log1p(self.sure)], axis=1)
+
+
 def doc_features(q: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
-    """Rows of a document's marginals: constant, log density, the most, log number of toxic tokens."""
-    total = np.bincount(doc, weights=q, minlength=n_docs)
-    tokens = np.bincount(doc, minlength=n_docs)
-    most = np.zeros(n_docs)
-    np.maximum.at(most, doc, q)
-    sure = np.bincount(doc, weights=q > 0.5, minlength=n_docs)
-    density = np.log((total + 0.05) / (tokens + 20.0))
-    return np.stack([np.ones(n_docs), density, most, np.log1p(sure)], axis=1)
+    sums = Sums(n_docs)
+    sums.add(q, doc)
+    return sums.features()
+
+
+def parts(data: np.ndarray, own: np.ndarray) -> Iterator[np.ndarray]:
+    """Offsets of consecutive documents; a document larger than two tiles comes part by part.
+
+    Parts end at a sentence's end, or at white space where no sentence ends over a whole tile.
+    """
+    if len(own) > 2 or own[-1] - own[0] <= 2 * TILE_BYTES:
+        yield own
+        return
+    at, last = int(own[0]), int(own[-1])
+    while at < last:
+        end = min(at + TILE_BYTES, last)
+        if end < last:
+            window = data[end : min(end + TILE_BYTES, last)]
+            stops = np.flatnonzero(_STOP[window])
+            stops = stops if len(stops) else np.flatnonzero(~_TOKEN[window])
+            end = end + int(stops[0]) + 1 if len(stops) else end + len(window)
+        yield np.array([at, end])
+        at = end
 
 
 def _fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -267,8 +326,9 @@ def fit(texts: list[bytes], toxic: np.ndarray, p: Params = Params()) -> Model |
     label = _first_labels(t, toxic[seen], int(seen.sum()), p)
     model = None
     for _ in range(p.rounds):
+        if model is not None:
+            label |= (marginals(t, model)[0] > p.span) & toxic[seen][t.doc]
         model = _fit_field(t, label, p)
-        label |= (marginals(t, model)[0] > p.span) & toxic[seen][t.doc]
     h = tokens(held)
     if not len(h.start):
         return None
@@ -287,25 +347,44 @@ def hash_bytes(x: bytes) -> int:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[bytes], np.ndarray]:
-    """A bounded sample of labelled rows outside the held-out fifth: whole texts and labels."""
+    """A bounded sample of labelled rows outside the held-out fifth: whole texts and labels.
+
+    Documents come in order of a hash of doc_id; one that would take the sample over its bytes is skipped.
+    """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(F.crc32(F.col("_doc").cast("string").cast("binary")) % 5 != 0)
     order = F.xxhash64("_doc", F.lit("crf"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = rows.select("_doc", F.octet_length("text").alias("size")).join(marks, "_doc").select("_doc", "size")
-    sizes = first_by_hash(sizes, order, p.sample_docs).select(F.col("_order").alias("at"), "size").collect()
-    kept, held = None, 0
-    for r in sizes:
-        held += r["size"]
-        if held > p.sample_bytes and kept is not None:
-            break
-        kept = r["at"]
-    if kept is None:
+    sizes = rows.select("_doc", F.octet_length("text").cast("long").alias("size")).groupBy("_doc").agg(F.sum("size").alias("size")).join(marks, "_doc").select("_doc", "size")
+    kept, held = [], 0
+    for r in first_by_hash(sizes, order, p.sample_docs).select("_doc", "size").collect():
+        if held + r["size"] <= p.sample_bytes:
+            kept.append((r["_doc"],))
+            held += r["size"]
+    if not kept:
         return [], np.zeros(0, dtype=bool)
-    some = rows.where(order <= kept).join(marks.where(order <= kept), "_doc").orderBy(order, "text").limit(p.sample_docs).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
+    chosen = docs.sparkSession.createDataFrame(kept, "_doc long")
+    some = rows.join(F.broadcast(chosen), "_doc").join(marks, "_doc").orderBy(order, "text").limit(p.sample_docs).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
     return [bytes(r["text"]) for r in some], np.array([r["toxic"] == 1 for r in some], dtype=bool)
 
 
+def trained(docs: DataFrame, labels: DataFrame, p: Params) -> Model | None:
+    """A model of the labelled sample; None, with a warning, where there are no labels of both kinds.
+
+    Labels of both kinds whose sample gives no model are an error: scores of 0 would let everything pass.
+    """
+    texts, toxic = training_rows(docs, labels, p)
+    model = fit(texts, toxic, p)
+    if model is None:
+        kinds = labels.join(docs.select(F.col("doc_id").alias("_doc")), F.col("doc_id") == F.col("_doc"), "left_semi").where("toxic is not null").where(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % 5 != 0).select(F.col("toxic").cast("int")).distinct().count()
+        if kinds > 1:
+            raise ValueError(f"the labelled sample of {len(texts)} documents gives no model; raise sample_docs or sample_bytes")
+        warnings.warn("no labels of both kinds: every toxicity score is 0", stacklevel=3)
+    else:
+        model.weights = model.weights.astype(np.float32)
+    return model
+
+
 def _score(model: Model | None, p: Params):
     def run(batches):
         import pyarrow as pa
@@ -314,27 +393,28 @@ def _score(model: Model | None, p: Params):
             data, offsets = buffers(batch.column("text"))
             for i, j in tiles(offsets):
                 n = j - i
-                scores, starts, ends, means, counts = np.zeros(n), [], [], [], np.zeros(n, dtype=np.int64)
-                own = offsets[i : j + 1]
-                t = tokenize(data, own, p) if model is not None else None
-                if t is not None:
+                scores, counts, before = np.zeros(n), np.zeros(n, dtype=np.int64), 0
+                sums, found = Sums(n), [(np.zeros(0), np.zeros(0), np.zeros(0))]
+                for own in parts(data, offsets[i : j + 1]) if model is not None else ():
+                    t = tokenize(data, own, p)
                     q = marginals(t, model)[0] if len(t.start) else np.zeros(0)
-                    x = doc_features(q, t.doc, n) @ model.curve
-                    scores = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
+                    sums.add(q, t.doc)
                     hit = np.flatnonzero(q >= p.span)
+                    # Offsets count characters of the document.
+                    chars = np.concatenate(([0], np.cumsum((data[own[0] : own[-1]] & 0xC0) != 0x80)))
                     if len(hit):
                         fresh = np.concatenate(([True], (np.diff(hit) > 1) | (t.chain[hit[1:]] != t.chain[hit[:-1]])))
                         heads = np.flatnonzero(fresh)
                         last = np.append(heads[1:], len(hit)) - 1
-                        # Offsets count characters of the document.
-                        raw = data[own[0] : own[-1]]
-                        chars = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
                         doc = t.doc[hit[heads]]
-                        base = chars[own[doc] - own[0]]
-                        starts, ends = chars[t.start[hit[heads]]] - base, chars[t.end[hit[last]]] - base
-                        means = np.add.reduceat(q[hit], heads) / (last - heads + 1)
-                        counts = np.bincount(doc, minlength=n)
-                spans = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(means, pa.float64())], ["start", "end", "marginal"])
+                        base = chars[own[doc] - own[0]] - before
+                        found.append((chars[t.start[hit[heads]]] - base, chars[t.end[hit[last]]] - base, np.add.reduceat(q[hit], heads) / (last - heads + 1)))
+                        counts += np.bincount(doc, minlength=n)
+                    before += int(chars[-1])
+                if model is not None:
+                    scores = 1 / (1 + np.exp(-np.clip(sums.features() @ model.curve, -700, 700)))
+                starts, ends, means = (np.concatenate(x) for x in zip(*found, strict=True))
+                spans = pa.StructArray.from_arrays([pa.array(starts.astype(np.int32), pa.int32()), pa.array(ends.astype(np.int32), pa.int32()), pa.array(means, pa.float64())], ["start", "end", "marginal"])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, n), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), spans)], ["doc_id", "score", "spans"])
 
     return run
@@ -344,13 +424,11 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
     """One row per row of docs: doc_id, held_out, score, predicted, spans (start, end, marginal; in characters).
 
     Null text counts as empty; texts without tokens get the score of no toxic token among none. A null
-    doc_id has no label and is not held out. Without labels of both kinds every score is 0. Repeated rows
+    doc_id has no label and is not held out. Without labels of both kinds every score is 0, with a warning. Repeated rows
     are scored alike. An empty table gives an empty result; other columns are ignored.
     """
     short_batches(docs.sparkSession)
-    model = fit(*training_rows(docs, labels, p), p)
-    if model is not None:
-        model.weights = model.weights.astype(np.float32)
+    model = trained(docs, labels, p)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(_score(model, p), "doc_id long, score double, spans array<struct<start:int,end:int,marginal:double>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -358,12 +436,14 @@ def score(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
 
 
 def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below 0.5; whole batches pass through the tasks."""
+    """The rows of docs, with all their columns, whose score is below 0.5; whole batches pass through the tasks.
+
+    Without labels of both kinds all rows stay, with a warning.
+    """
     short_batches(docs.sparkSession)
-    model = fit(*training_rows(docs, labels, p), p)
+    model = trained(docs, labels, p)
     if model is None:
         return docs
-    model.weights = model.weights.astype(np.float32)
     at = docs.columns.index("text")
 
     def run(batches):
@@ -376,9 +456,11 @@ def clean(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> DataFrame
             data, offsets = buffers(text)
             keep = np.ones(batch.num_rows, dtype=bool)
             for i, j in tiles(offsets):
-                t = tokenize(data, offsets[i : j + 1], p)
-                q = marginals(t, model)[0] if len(t.start) else np.zeros(0)
-                keep[i:j] = doc_features(q, t.doc, j - i) @ model.curve < 0
+                sums = Sums(j - i)
+                for own in parts(data, offsets[i : j + 1]):
+                    t = tokenize(data, own, p)
+                    sums.add(marginals(t, model)[0] if len(t.start) else np.zeros(0), t.doc)
+                keep[i:j] = sums.features() @ model.curve < 0
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,16 +20,22 @@ TILE_BYTES = 2 << 20
 BATCH_ROWS = 500
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="feedlens-")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir. Only where that is unset, as in
-    tests, is a folder of this machine taken.
+    The folder is the one that the cluster names in spark.checkpoint.dir. Where that is unset, a local session,
+    as in tests, takes a folder of this machine, and any other one is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="feedlens-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -57,11 +64,15 @@ def ascii_lower(text: Column) -> Column:
 def first_by_hash(rows: DataFrame, order: Column, n: int) -> DataFrame:
     """The n rows with the least hash `order`.
 
-    A cut below which some more than n rows lie comes first: without it every task would send n rows.
+    A cut below which some more than n rows lie comes first: without it every task would send n rows. Where
+    many rows share a hash the cut may leave too few; then it is left out.
     """
-    share = min(1.0, (1.2 * n + 100) / max(rows.count(), 1))
-    cut = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
-    return rows.withColumn("_order", order).where(F.col("_order") <= F.lit(cut).cast("long")).orderBy("_order").limit(n)
+    ordered, total = rows.withColumn("_order", order), rows.count()
+    share = min(1.0, (1.2 * n + 100) / max(total, 1))
+    below = ordered.where(F.col("_order") <= F.lit(min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))).cast("long"))
+    if share < 1.0 and below.limit(n).count() < n:
+        below = ordered
+    return below.orderBy("_order").limit(n)
 
 
 # ---------------------------------------------------------------- filters of fixed size

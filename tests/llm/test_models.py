@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from feedlens.llm import cotrain, crf
 from odd import ODD
@@ -35,10 +36,34 @@ def test_marginals_equal_enumeration():
         assert np.allclose(hit / total, q[at])
 
 
-def test_chains_are_cut():
-    p = crf.Params(chain=4)
-    t = crf.tokenize(np.frombuffer(b"a " * 10, np.uint8), np.array([0, 20]), p)
-    assert np.bincount(t.chain).tolist() == [4, 4, 2]
+def test_long_chains_give_the_same_marginals(monkeypatch):
+    p = crf.Params(bits=10)
+    data = b" ".join(b"w%d" % (i * i % 37) for i in range(300)) + b". a b c"
+    t = crf.tokenize(np.frombuffer(data, np.uint8), np.array([0, len(data)]), p)
+    assert np.bincount(t.chain).tolist() == [300, 3]
+    m = crf.Model(np.random.default_rng(0).normal(size=1 << 10), 0.3, -0.7, 1.1, 0.2, np.zeros(0))
+    one = crf.marginals(t, m)
+    monkeypatch.setattr(crf, "SIDE", 1000)
+    assert all(np.allclose(a, b) for a, b in zip(one, crf.marginals(t, m), strict=True))
+
+
+def test_parts_of_a_long_text():
+    data = np.frombuffer(b"one two. three " * 400_000 + b"x" * 5_000_000, np.uint8)
+    found = list(crf.parts(data, np.array([0, len(data)])))
+    assert found[0][0] == 0 and found[-1][1] == len(data) and all(a[1] == b[0] for a, b in itertools.pairwise(found))
+    assert all(data[a[1] - 1] == ord(".") for a in found[:2])
+
+
+def test_a_very_long_labelled_text_does_not_empty_the_sample(spark, corpus):
+    docs, labels = corpus
+    big = "wort1 wort2 wort3. " * 1_300_000  # 24 MB
+    ids = [r.doc_id for r in docs.where("crc32(cast(doc_id as string)) % 5 <> 0").orderBy(F.xxhash64(F.col("doc_id"), F.lit("crf"))).limit(2).collect()]
+    for odd in ids:
+        swapped = docs.withColumn("text", F.when(F.col("doc_id") == odd, F.lit(big)).otherwise(F.col("text")))
+        got = [r for r in crf.score(swapped, labels.select("doc_id", "toxic")).select("doc_id", "score", "held_out").collect() if r.held_out]
+        assert _auc(np.array([r.score for r in got]), np.array([r.doc_id % 5 == 0 for r in got])) > 0.99
+    with pytest.raises(ValueError, match="no model"):
+        crf.clean(docs, labels.select("doc_id", "toxic"), crf.Params(sample_bytes=10))
 
 
 @pytest.fixture(scope="module")
