@@ -1,6 +1,7 @@
 """Benchmark decontamination on templates: catches benchmark items with other numbers, names or units.
 
-Texts become tokens; numbers, units after numbers and names become typed placeholders. Windows of template
+Texts become tokens; numbers (1,200 or 3.5 are one), units after numbers (also glued, as in 5kg) and runs of names become
+typed placeholders. Windows of template
 tokens of the benchmark are hash-joined with those of the documents. Matches with the same shift between item
 and document form an occurrence; it counts only if its slots are consistent: equal values of the item stand
 for equal values of the document, and different ones for different ones. A document is contaminated by an
@@ -31,7 +32,7 @@ class Params:
     salts: int = 8  #: copies of the benchmark's windows in the join; a window that many documents hold is spread over them
 
 
-#: Units of measure and money that become placeholders after a number.
+#: Units of measure and money that become placeholders after a number.
 UNITS = """
 mm cm m km mi mile miles inch inches ft feet foot yard yards mg g kg t gram grams kilogram kilograms ton tons lb lbs oz pound pounds ounce ounces
 ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years
@@ -39,7 +40,7 @@ percent degree degrees dollar dollars cent cents euro euros usd eur gbp mph kmh
 """.split()
 
 NUMBER, UNIT, NAME = 1, 2, 3
-#: Views of a window, as bits; a window without names is the same in both.
+#: Views of a window, as bits; a window without names is the same in both. Template windows count a run of names as one token.
 TEMPLATE, PLAIN = 1, 2
 
 _TOKEN = np.zeros(256, dtype=bool)
@@ -48,6 +49,8 @@ _DIGIT = np.zeros(256, dtype=np.int32)
 _DIGIT[48:58] = 1
 _STOP = np.zeros(256, dtype=np.int32)
 _STOP[[10, 33, 46, 58, 63]] = 1
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[44, 46, 47]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -82,11 +85,33 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(template token, value, kind, document) of each token of consecutive documents.
+@dataclass
+class Words:
+    """Tokens of consecutive documents: numbers with their separators are one token, a glued unit is one of its own."""
 
-    The value is a hash of the token's lower-cased text; the template token is that of a literal, else the kind.
-    """
+    value: np.ndarray  #: hash of the lower-cased text
+    kind: np.ndarray
+    doc: np.ndarray
+    run: np.ndarray  #: number of the template token; a run of names is one
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(value, kind, document, first word) of each template token.
+
+        The value of a run of names is its last one: a run may open with the first word of a sentence that no
+        stop divides from the one before.
+        """
+        heads = np.flatnonzero(np.diff(self.run, prepend=-1))
+        last = np.append(heads[1:], len(self.run)) - 1 if len(heads) else heads
+        return self.value[last], self.kind[heads], self.doc[heads], heads
+
+
+def _capital(raw: np.ndarray, low: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether a capital letter, of one or two bytes, stands at each place."""
+    second = np.minimum(start + 1, len(raw) - 1)
+    return (raw[start] != low[start]) | ((raw[start] >= 0xC2) & (raw[start] <= 0xDF) & (raw[second] != low[second]))
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     lo = int(offsets[0])
     raw = data[lo : int(offsets[-1])]
     low = _lower(raw)
@@ -98,24 +123,41 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     cuts = cuts[(inside[cuts] == 1) & (inside[cuts + 1] == 1)]
     start = np.sort(np.concatenate((np.flatnonzero(edge == 1), cuts)))
     end = np.sort(np.concatenate((np.flatnonzero(edge == -1), cuts)))
+    if not len(start):
+        return Words(np.zeros(0, np.uint64), np.zeros(0, np.uint8), start, start)
+    digits = np.concatenate(([0], np.cumsum(_DIGIT[low])))
+    # 5kg: digits first, then a unit.
+    count = digits[end] - digits[start]
+    glued = np.flatnonzero((count > 0) & (count < end - start))
+    glued = glued[digits[start[glued] + count[glued]] - digits[start[glued]] == count[glued]]
+    if len(glued):
+        middle = start[glued] + count[glued]
+        middle = middle[_is_unit(hash_spans(low, middle, end[glued]))]
+        start, end = np.sort(np.concatenate((start, middle))), np.sort(np.concatenate((end, middle)))
     doc = np.searchsorted(offsets - lo, start, side="right") - 1
+    # 1,200 and 3.5 and 1/2: digits on both sides of one mark.
+    mark = np.minimum(end[:-1], len(low) - 1)
+    joins = (start[1:] == end[:-1] + 1) & _MARK[low[mark]] & (_DIGIT[low[end[:-1] - 1]] > 0) & (_DIGIT[low[start[1:]]] > 0) & (doc[1:] == doc[:-1])
+    heads = np.flatnonzero(np.concatenate(([True], ~joins)))
+    start, end, doc = start[heads], end[np.append(heads[1:], len(end)) - 1], doc[heads]
     n = len(start)
-    kind = np.zeros(n, dtype=np.uint8)
-    value = hash_spans(low, start, end)
-    if n:
-        digits = np.concatenate(([0], np.cumsum(_DIGIT[low])))
-        stops = np.concatenate(([0], np.cumsum(_STOP[low])))
-        follows = np.zeros(n, dtype=bool)  # a token before it in its sentence
-        follows[1:] = (stops[start[1:]] == stops[end[:-1]]) & (doc[1:] == doc[:-1])
-        second = raw[np.minimum(start + 1, len(raw) - 1)]
-        capital = ((raw[start] >= 65) & (raw[start] <= 90)) | ((raw[start] == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-        kind[capital & follows] = NAME
-        kind[digits[end] > digits[start]] = NUMBER
-        at = np.minimum(np.searchsorted(_UNIT_HASHES, value), len(_UNIT_HASHES) - 1)
-        after = np.zeros(n, dtype=bool)
-        after[1:] = follows[1:] & (kind[:-1] == NUMBER)
-        kind[(_UNIT_HASHES[at] == value) & after & (kind != NUMBER)] = UNIT
-    return np.where(kind > 0, kind.astype(np.uint64), value), value, kind, doc
+    kind, value = np.zeros(n, dtype=np.uint8), hash_spans(low, start, end)
+    stops = np.concatenate(([0], np.cumsum(_STOP[low])))
+    follows = np.zeros(n, dtype=bool)  # a token before it in its sentence
+    follows[1:] = (stops[start[1:]] == stops[end[:-1]]) & (doc[1:] == doc[:-1])
+    kind[_capital(raw, low, start) & follows] = NAME
+    kind[digits[end] > digits[start]] = NUMBER
+    after = np.zeros(n, dtype=bool)
+    after[1:] = follows[1:] & (kind[:-1] == NUMBER)
+    kind[_is_unit(value) & after & (kind != NUMBER)] = UNIT
+    same = np.zeros(n, dtype=bool)  # a name next to a name: one byte, a space or a hyphen, lies between
+    same[1:] = follows[1:] & (kind[1:] == NAME) & (kind[:-1] == NAME) & (start[1:] == end[:-1] + 1)
+    return Words(value, kind, doc, np.cumsum(~same) - 1)
+
+
+def _is_unit(hashes: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(_UNIT_HASHES, hashes), len(_UNIT_HASHES) - 1)
+    return _UNIT_HASHES[at] == hashes
 
 
 def _hashes(token: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -125,24 +167,25 @@ def _hashes(token: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mix(rolled + np.uint64(size))
 
 
-def _windows(token: np.ndarray, value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, hash and views of each window of `size` tokens that lies in one document and has enough literals."""
-    n = len(token) - size + 1
+def _windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int, view: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of each window of `size` tokens of a view that lies in one document and has enough literals.
+
+    In the plain view names are literals.
+    """
+    n = len(value) - size + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
-    literals, names = (np.concatenate(([0], np.cumsum(x))) for x in (kind == 0, kind == NAME))
-    literals, names = literals[size:] - literals[:n], names[size:] - names[:n]
-    whole = doc[:n] == doc[size - 1 :]
-    least = min(p.literals, size)
-    at = np.flatnonzero(whole & (literals >= least))
-    plain = np.flatnonzero(whole & (names > 0) & (literals + names >= least))
-    views = np.concatenate((np.where(names[at] > 0, TEMPLATE, TEMPLATE | PLAIN), np.full(len(plain), PLAIN))).astype(np.int32)
-    hashed = np.concatenate((_hashes(token, at, size), _hashes(np.where(kind == NAME, value, token), plain, size)))
-    return np.concatenate((at, plain)), hashed, views
-
-
-def _rows(p: Params, key: str, sizes: list[int], passes: np.ndarray | None):
-    """Windows of each text: key, at, size, hash, views, values (of numbers and units), names (values of them, if placeholders)."""
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    slot = (kind > 0) if view == TEMPLATE else (kind == NUMBER) | (kind == UNIT)
+    literals = np.concatenate(([0], np.cumsum(~slot)))
+    at = np.flatnonzero((doc[:n] == doc[size - 1 :]) & (literals[size:] - literals[:n] >= min(p.literals, size)))
+    return at, _hashes(np.where(slot, kind.astype(np.uint64), value), at, size)
+
+
+def _rows(p: Params, key: str, passes: np.ndarray | None):
+    """Windows of each text: key, run (template token it starts in), at (word it starts at), size, hash, views, values (of numbers and units), names (values of them, if placeholders).
+
+    Windows of both views at one place with the same hash, those without names, are one row.
+    """
     def run(batches):
         import pyarrow as pa
 
@@ -150,29 +193,37 @@ def _rows(p: Params, key: str, sizes: list[int], passes: np.ndarray | None):
             data, offsets = buffers(batch.column("text"))
             keys = batch.column(key)
             for i, j in tiles(offsets):
-                token, value, kind, doc = templates(data, offsets[i : j + 1])
-                first = np.searchsorted(doc, np.arange(j - i))
-                count = np.bincount(doc, minlength=j - i)
-                out = {"row": [], "at": [], "size": [], "hash": [], "views": [], "values": [], "names": []}
-                for size in sizes:
-                    at, hashed, views = _windows(token, value, kind, doc, size, p)
-                    if passes is None:  # the benchmark: short items are one window, others have full ones
-                        keep = np.minimum(count[doc[at]], p.window) == size
-                    else:
-                        keep = in_filter(hashed, passes)
-                    for a, h, view in zip(at[keep].tolist(), hashed[keep].tolist(), views[keep].tolist(), strict=True):
-                        out["row"].append(i + int(doc[a]))
-                        out["at"].append(a - int(first[doc[a]]))
-                        out["size"].append(size)
-                        out["hash"].append(h)
-                        out["views"].append(view)
-                        own, kinds = value[a : a + size].view(np.int64), kind[a : a + size]
-                        out["values"].append(own[(kinds == NUMBER) | (kinds == UNIT)].tolist())
-                        out["names"].append(own[kinds == NAME].tolist() if view & TEMPLATE else [])
+                w = words(data, offsets[i : j + 1])
+                runs = w.runs()
+                first_word = np.searchsorted(w.doc, np.arange(j - i))
+                first_run = np.searchsorted(runs[2], np.arange(j - i))
+                out = {"row": [], "run": [], "at": [], "size": [], "hash": [], "views": [], "values": [], "names": []}
+                seen: dict[tuple, int] = {}
+                for view, (value, kind, doc) in ((TEMPLATE, runs[:3]), (PLAIN, (w.value, w.kind, w.doc))):
+                    count = np.bincount(doc, minlength=j - i)
+                    # A text of fewer tokens than a window is one window.
+                    for size in range(1, p.window + 1):
+                        at, hashed = _windows(value, kind, doc, size, view, p)
+                        keep = np.minimum(count[doc[at]], p.window) == size if passes is None else in_filter(hashed, passes)
+                        for a, h in zip(at[keep].tolist(), hashed[keep].tolist(), strict=True):
+                            word = int(runs[3][a]) if view == TEMPLATE else a
+                            if (word, size, h) in seen:
+                                out["views"][seen[word, size, h]] |= view
+                                continue
+                            seen[word, size, h] = len(out["row"])
+                            out["row"].append(i + int(doc[a]))
+                            out["run"].append(int(w.run[word]) - int(first_run[doc[a]]))
+                            out["at"].append(word - int(first_word[doc[a]]))
+                            out["size"].append(size)
+                            out["hash"].append(h)
+                            out["views"].append(view)
+                            own, kinds = value[a : a + size].view(np.int64), kind[a : a + size]
+                            out["values"].append(own[(kinds == NUMBER) | (kinds == UNIT)].tolist())
+                            out["names"].append(own[kinds == NAME].tolist() if view == TEMPLATE else [])
                 yield pa.RecordBatch.from_arrays([
-                    keys.take(pa.array(out["row"], pa.int64())), pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()),
+                    keys.take(pa.array(out["row"], pa.int64())), pa.array(out["run"], pa.int64()), pa.array(out["at"], pa.int64()), pa.array(out["size"], pa.int32()),
                     pa.array(np.array(out["hash"], dtype=np.uint64).view(np.int64), pa.int64()), pa.array(out["views"], pa.int32()), pa.array(out["values"], pa.list_(pa.int64())), pa.array(out["names"], pa.list_(pa.int64())),
-                ], [key, "at", "size", "hash", "views", "values", "names"])
+                ], [key, "run", "at", "size", "hash", "views", "values", "names"])
 
     return run
 
@@ -181,19 +232,17 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     """Contaminated pairs' evidence: doc_id, item_id, matched, windows, coverage, changed (slots with other values)."""
     clean = lambda df, key: df.select(F.col(key).cast("long").alias(key), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     short_batches(docs.sparkSession)
-    sizes = list(range(1, p.window + 1))
-    items = saved(clean(benchmark, "item_id").mapInArrow(_rows(p, "item_id", sizes, None), "item_id long, at long, size int, hash long, views int, values array<long>, names array<long>"), "templates-items")
-    present = sorted(r[0] for r in items.select("size").distinct().collect())  # p.window rows at most
+    items = saved(clean(benchmark, "item_id").mapInArrow(_rows(p, "item_id", None), "item_id long, run long, at long, size int, hash long, views int, values array<long>, names array<long>"), "templates-items")
     passes = bit_filter(items.select("hash"))  # documents' windows pass it before the join
-    found = clean(docs, "doc_id").mapInArrow(_rows(p, "doc_id", present, passes), "doc_id long, at long, size int, hash long, views int, values array<long>, names array<long>")
+    found = clean(docs, "doc_id").mapInArrow(_rows(p, "doc_id", passes), "doc_id long, run long, at long, size int, hash long, views int, values array<long>, names array<long>")
     found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(p.salts)))
-    spread = items.select(F.col("item_id"), F.col("at").alias("item_at"), F.col("size").alias("_size"), F.col("hash").alias("_hash"), F.col("views").alias("item_views"), F.col("values").alias("item_values"), F.col("names").alias("item_names"), F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("_salt"))
+    spread = items.select(F.col("item_id"), F.col("run").alias("item_run"), F.col("at").alias("item_at"), F.col("size").alias("_size"), F.col("hash").alias("_hash"), F.col("views").alias("item_views"), F.col("values").alias("item_values"), F.col("names").alias("item_names"), F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("_salt"))
     joined = found.join(spread, (F.col("hash") == F.col("_hash")) & (F.col("salt") == F.col("_salt")) & (F.col("size") == F.col("_size")))
     both, zipped = F.col("views").bitwiseAND(F.col("item_views")), lambda x: F.arrays_zip(F.col(f"item_{x}").alias("a"), F.col(x).alias("b"))
     in_view = lambda v, x: F.when(both.bitwiseAND(F.lit(v)) > 0, x)
     numbers = zipped("values")
     joined = joined.select(
-        "doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), numbers.alias("numbers"), in_view(TEMPLATE, F.col("item_at")).alias("template_at"), in_view(PLAIN, F.col("item_at")).alias("plain_at"),
+        "doc_id", "item_id", (F.col("run") - F.col("item_run")).alias("shift"), numbers.alias("numbers"), in_view(TEMPLATE, F.col("item_at")).alias("template_at"), in_view(PLAIN, F.col("item_at")).alias("plain_at"),
         in_view(TEMPLATE, F.concat(numbers, zipped("names"))).alias("template_slots"), in_view(PLAIN, numbers).alias("plain_slots"),
     )
     # An occurrence has two rows for each window of an item at most, so a group is bounded by the item's length.

@@ -139,6 +139,45 @@ def test_leaks_in_other_case(spark, documents):
     assert [got[i].contaminated for i in (1, 2, 3, 4)] == [True] * 4 and (got[7].item_id, got[7].coverage) == (2, 1.0)
 
 
+def test_slots_of_several_tokens(spark, documents):
+    swap = lambda a, b, text=ITEM: text.replace(a, b)
+    good = [swap("12", "1,200"), swap("12", "12.5"), swap("12", "1/2"), swap("Maria", "Mary Ann"), swap("Maria", "Mary-Ann van Dyke".replace("van", "Van")), swap("3", "$3"), swap("Maria", "Łucja"), swap("Peter", "Ωmega Žižek"), swap("Maria", "Mary Ann", CHANGED.replace("Olga", "Maria"))]
+    got = leaks(spark, documents, list(enumerate(good)))
+    assert [got[i].contaminated for i in range(len(good))] == [True] * len(good)
+    metric = "A bag of rice weighs 5kg and a smaller bag weighs 750 g so how many kg do both bags weigh together"
+    got = leaks(spark, documents, [(1, metric.replace("5kg", "40 lb")), (2, metric.replace("5kg", "1.25kg"))], [(1, metric)])
+    assert got[1].contaminated and got[2].contaminated
+    bad = [ITEM.replace("12 apples", "1,200 apples"), ITEM.replace("does Maria", "does Mary Ann"), CHANGED.replace("does Olga", "does Mary Ann")]
+    got = leaks(spark, documents, list(enumerate(bad)))
+    assert not any(got[i].changed and got[i].coverage > 0.75 for i in range(len(bad)))
+
+
+def test_templates_equal_brute_force(spark, documents):
+    """Items with slots: a document holds an item if its template's windows match with slots that map one to one."""
+    rng = random.Random(12)
+    names, plain = ["Anna", "Bert", "Carla", "Dora", "Egon"], [f"{a}{b}{c}" for a in "bdf" for b in "aeo" for c in "lmn"]
+    make = lambda: [rng.choice(plain) if rng.random() < 0.7 else ("N", rng.randrange(3)) if rng.random() < 0.5 else ("P", rng.randrange(2)) for _ in range(20)]
+    shapes = [["see", *make()] for _ in range(6)]
+
+    def fill(shape, numbers, people):
+        return " ".join(x if isinstance(x, str) else numbers[x[1]] if x[0] == "N" else people[x[1]] for x in shape)
+
+    items = [(i, fill(s, ["3", "41", "77"], ["Anna", "Bert"])) for i, s in enumerate(shapes)]
+    rows, want = [], {}
+    for d in range(60):
+        shape = shapes[d % 6]
+        numbers, people = [rng.choice(["5", "6", "1,000", "2.5"]) for _ in range(3)], [rng.choice(["Carla", "Dora", "Egon Fritz"]) for _ in range(2)]
+        rows.append((d, fill(shape, numbers, people) + " ."))
+        # Brute force on windows of eight: those with three literals match; slots of all of them must map one to one.
+        used = {x for a in range(len(shape) - 7) if sum(isinstance(x, str) for x in shape[a : a + 8]) >= 3 for x in shape[a : a + 8] if not isinstance(x, str)}
+        values = [numbers[k] if t == "N" else people[k] for t, k in used]
+        runs = any(not isinstance(a, str) and not isinstance(b, str) and a[0] == b[0] == "P" for a, b in zip(shape, shape[1:], strict=False))
+        if not runs:
+            want[d] = len(set(values)) == len(values)
+    got = leaks(spark, documents, rows, items)
+    assert {d: got[d].contaminated and got[d].changed for d in want} == want and len(set(want.values())) == 2
+
+
 def test_slots_must_be_consistent(spark, documents):
     got = leaks(spark, documents, [(1, CHANGED), (2, MIXED)])
     assert got[1].contaminated and not got[2].contaminated
