@@ -11,6 +11,7 @@ there every document meets a pivot, and those that have no link with it meet the
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -35,6 +36,7 @@ class Params:
     leaf: int = 2048  #: documents of a node that are compared exhaustively
     depth: int = 12  #: levels after which a large node is dealt with by a pivot
     group: int = 256  #: documents of a coarse group that one task compares on full sets
+    shingles: int = 4 << 20  #: shingles of all documents that a task holds at once; a larger group is met in blocks
     margin: float = 3.8  #: standard errors below the threshold at which token agreement still counts
 
     @property
@@ -95,19 +97,18 @@ def _signatures(p: Params):
                 tokens = minwise(np.concatenate(sets), (np.cumsum(sizes) - sizes)[full], p.tokens).view(np.int32)
                 ends = np.cumsum(np.where(sizes > 0, p.tokens, 0))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column("doc_id").slice(a, b - a), pa.array(sizes, pa.int64()),
+                    batch.column("doc_id").slice(a, b - a), batch.column("key").slice(a, b - a), pa.array(sizes, pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(tokens.reshape(-1), pa.int32())),
-                ], ["doc_id", "n_shingles", "digest", "tokens"])
+                ], ["doc_id", "key", "n_shingles", "digest", "tokens"])
 
     return run
 
 
 def signatures(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, tokens (empty for an empty set)."""
+    """doc_id, key (a hash of the text), n_shingles, digest of the set, tokens (empty for an empty set) of rows (doc_id, key, text)."""
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_signatures(p), "doc_id long, n_shingles long, digest binary, tokens array<int>")
+    return docs.select("doc_id", "key", "text").mapInArrow(_signatures(p), "doc_id long, key long, n_shingles long, digest binary, tokens array<int>")
 
 
 # ---------------------------------------------------------------- trees
@@ -272,25 +273,27 @@ def _large_nodes(large: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
     """Confirmed statements (u, v) of nodes of any size: all links of the node are implied by them.
 
     A node's pivot is its least document. The documents that have a link with it are in one component
-    already. Each other document meets every block of the node. Blocks have p.leaf documents or so, so no
-    task holds a node.
+    already. Each other document meets every block of the node. Blocks have p.leaf documents and p.shingles
+    shingles or so, so no task holds a node. Rows of `large` are (node, doc_id, size), size in shingles.
     """
-    pivots = saved(large.groupBy("node").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")), "path-pivots")
+    blocks = F.ceil(F.greatest(F.col("n") / (p.leaf / 2), F.col("size") / p.shingles)).cast("int")
+    pivots = large.groupBy("node").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    pivots = saved(pivots.select("node", "pivot", blocks.alias("blocks")), "path-pivots")
     rows = large.join(pivots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).drop("_node")
-    rows = rows.withColumn("blocks", F.ceil(F.col("n") / (p.leaf / 2)).cast("int")).withColumn("block", F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "node"), F.col("blocks")).cast("int"))
     rows = saved(rows, "path-large")
     # The pivot goes to each block of its node.
-    centre = pivots.select("node", F.col("pivot").alias("doc_id"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / (p.leaf / 2)) - 1).cast("int"))).alias("block"))
-    member = rows.where("doc_id <> pivot").select("node", "doc_id", "block", F.lit(1).alias("kind"))
+    centre = rows.where("doc_id = pivot").select("node", "doc_id", "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    member = rows.where("doc_id <> pivot").select("node", "doc_id", "size", "block", F.lit(1).alias("kind"))
     stars = saved(_meet(centre.withColumn("kind", F.lit(0)).unionByName(member), texts, p), "path-stars")
     covered = stars.select(F.col("u").alias("_doc"), F.col("v").alias("_pivot")).distinct()
     rest = rows.where("doc_id <> pivot").join(covered, (F.col("doc_id") == F.col("_doc")) & (F.col("pivot") == F.col("_pivot")), "left_anti")
-    visits = rest.select("node", "doc_id", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
-    return stars.unionByName(_meet(visits.unionByName(rows.select("node", "doc_id", "block", F.lit(1).alias("kind"))), texts, p))
+    visits = rest.select("node", "doc_id", "size", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"))
+    return stars.unionByName(_meet(visits.unionByName(rows.select("node", "doc_id", "size", "block", F.lit(1).alias("kind"))), texts, p))
 
 
 def _meet(rows: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
-    """Confirmed pairs (visitor or resident, visitor) of rows (node, block, doc_id, kind), kind 0 a visitor."""
+    """Confirmed pairs (visitor or resident, visitor) of rows (node, block, doc_id, size, kind), kind 0 a visitor."""
     def run(batches):
         import pyarrow as pa
 
@@ -312,8 +315,9 @@ def _meet(rows: DataFrame, texts: DataFrame, p: Params) -> DataFrame:
                     visitors.append((own, values))
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    # Visitors of a block are dealt to batches of p.leaf, so what a task holds of them is bounded.
-    groups = F.greatest(F.lit(1), F.ceil(F.count(F.when(F.col("kind") == 0, 1)).over(_block()) / p.leaf)).cast("int")
+    # Visitors of a block are dealt to batches of p.leaf documents and p.shingles shingles, so what a task holds of them is bounded.
+    visitor = lambda x: F.sum(F.when(F.col("kind") == 0, x).otherwise(0)).over(_block())
+    groups = F.greatest(F.lit(1), F.ceil(visitor(F.lit(1)) / p.leaf), F.ceil(visitor(F.col("size")) / p.shingles)).cast("int")
     rows = rows.withColumn("groups", groups)
     spread = F.when(F.col("kind") == 0, F.array(F.pmod(F.xxhash64("doc_id"), F.col("groups")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("groups") - 1))
     rows = rows.select("node", "block", "doc_id", "kind", F.explode(spread).alias("group"))
@@ -336,39 +340,68 @@ def link(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
     component_id is the least doc_id that links reach. Null text and text without words have an empty set
     and are linked with nothing; a null doc_id is its own component and is kept. Rows that repeat a doc_id
-    share its component. An empty table gives an empty result; other columns are ignored.
+    share its component, and all their texts' links count for it. An empty table gives an empty result; other
+    columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     table = saved(signatures(texts, p), "path-signatures")
+    repeats = _repeats(table)
     full = table.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens")), "path-classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "tokens")
-    small, large = leaves(reps, p)
+    # A class has a number of its own from here on, and one row's text stands for it.
+    classes = full.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("row"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("size"), F.first("tokens").alias("tokens"))
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("class"), "digest", F.col("row.doc_id").alias("rep"), F.col("row.key").alias("key"), "n", "size", "tokens"), "path-classes")
+    small, large = leaves(classes.select(F.col("class").alias("doc_id"), "tokens"), p)
 
-    tokens = reps.select(F.col("doc_id").alias("_doc"), "tokens")
+    tokens = classes.select(F.col("class").alias("_doc"), "tokens")
     near = small.join(tokens, F.col("doc_id") == F.col("_doc")).select("node", "doc_id", "tokens")
     coarse = near.repartition("node").sortWithinPartitions("node").mapInArrow(_by_tokens(p), "u long, v long")
     coarse = components(coarse)
     groups = saved(coarse.select(F.col("u").alias("doc_id"), F.col("v").alias("coarse")).unionByName(coarse.select(F.col("v").alias("doc_id"), F.col("v").alias("coarse")).distinct()), "path-groups")
-    sizes = saved(groups.groupBy("coarse").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("coarse", "_coarse"), "path-group-sizes")
-    member = saved(groups.join(sizes, F.col("coarse") == F.col("_coarse")).select("doc_id", "coarse", "n"), "path-members")
-
-    text = texts.where("doc_id is not null").select(F.col("doc_id").alias("_doc"), "text").dropDuplicates(["_doc"]) if _repeats(table) else texts.select(F.col("doc_id").alias("_doc"), "text")
-    wanted = member.select("doc_id") if large is None else member.select("doc_id").unionByName(large.select("doc_id"))
-    text = text.where(may_hold(wanted, F.col("_doc")))
-    sets = lambda rows, key: rows.join(text, F.col("doc_id") == F.col("_doc")).select(key, "doc_id", "text").repartition(key).sortWithinPartitions(key).mapInArrow(_by_sets(key, p), "u long, v long")
-    links = sets(member.where(F.col("n") <= p.group).select("coarse", "doc_id"), "coarse")
-    over = member.where(F.col("n") > p.group).select(F.col("doc_id").alias("_over"))
+    about = classes.select(F.col("class").alias("_doc"), F.col("rep").alias("_rep"), F.col("key").alias("_key"), "size")
+    groups = groups.join(about, F.col("doc_id") == F.col("_doc")).select("doc_id", "coarse", "size")
+    sizes = saved(groups.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total")).withColumnRenamed("coarse", "_coarse"), "path-group-sizes")
+    member = saved(groups.join(sizes, F.col("coarse") == F.col("_coarse")).select("doc_id", "coarse", "size", "n", "total"), "path-members")
+
+    # Small groups meet in one task; large ones node by node; what holds too many shingles for a task meets in blocks.
+    one = member.where((F.col("n") <= p.group) & (F.col("total") <= p.shingles)).select(F.col("coarse").alias("node"), "doc_id")
+    heavy = [member.where((F.col("n") <= p.group) & (F.col("total") > p.shingles)).select(F.col("coarse").alias("node"), "doc_id", "size")]
+    over = member.where(F.col("n") > p.group).select(F.col("doc_id").alias("_over"), "size")
     if not over.isEmpty():
-        links = links.unionByName(sets(small.join(over, F.col("doc_id") == F.col("_over"), "left_semi"), "node"))
+        nodes = saved(small.join(over, F.col("doc_id") == F.col("_over")).select("node", "doc_id", "size"), "path-over")
+        weight = nodes.groupBy(F.col("node").alias("_node")).agg(F.sum("size").alias("total"))
+        nodes = nodes.join(weight, F.col("node") == F.col("_node"))
+        one = one.unionByName(nodes.where(F.col("total") <= p.shingles).select("node", "doc_id"))
+        heavy.append(nodes.where(F.col("total") > p.shingles).select("node", "doc_id", "size"))
     if large is not None:
-        links = links.unionByName(_large_nodes(large, text.withColumnRenamed("_doc", "doc_id"), p))
-    found = components(links).select(F.col("u").alias("_rep"), F.col("v").alias("found"))
-
-    final = classes.select("digest", "rep", "n").join(found, F.col("rep") == F.col("_rep"), "left")
-    final = saved(final.select(F.col("digest").alias("_digest"), F.coalesce("found", "rep").alias("component"), ((F.col("n") > 1) | F.col("found").isNotNull()).alias("moved")).where("moved").drop("moved"), "path-final")
+        heavy.append(large.join(about, F.col("doc_id") == F.col("_doc")).select("node", "doc_id", "size"))
+    heavy = saved(functools.reduce(DataFrame.unionByName, heavy), "path-heavy")
+
+    met = member.select("doc_id") if large is None else member.select("doc_id").unionByName(large.select("doc_id"))
+    wanted = saved(about.join(met.distinct(), F.col("doc_id") == F.col("_doc"), "left_semi"), "path-wanted")
+    text = texts.where("doc_id is not null").where(may_hold(wanted.select("_rep"), F.col("doc_id")))
+    text = text.join(wanted, (F.col("doc_id") == F.col("_rep")) & (F.col("key") == F.col("_key"))).select("_doc", "text")
+    if repeats:
+        text = text.dropDuplicates(["_doc"])
+    links = one.join(text, F.col("doc_id") == F.col("_doc")).select("node", "doc_id", "text").repartition("node").sortWithinPartitions("node").mapInArrow(_by_sets("node", p), "u long, v long")
+    if not heavy.isEmpty():
+        links = links.unionByName(_large_nodes(heavy, text.withColumnRenamed("_doc", "doc_id"), p))
+    if repeats:  # the classes of one doc_id are one component
+        own = full.select("doc_id", "digest").join(classes.select(F.col("digest").alias("_digest"), "class"), F.col("digest") == F.col("_digest"))
+        least = own.groupBy(F.col("doc_id").alias("_doc")).agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most")
+        links = links.unionByName(own.join(least, F.col("doc_id") == F.col("_doc")).where("class > least").select(F.col("class").alias("u"), F.col("least").alias("v")).distinct())
+    found = components(links)
+    found = found.select(F.col("u").alias("_class"), F.col("v").alias("root")).unionByName(found.select(F.col("v").alias("_class"), F.col("v").alias("root")).distinct())
+
+    # Classes of one row without links are their own components; the others are looked up.
+    final = classes.select("digest", "rep", "class", "n").join(found, F.col("class") == F.col("_class"), "left").where("n > 1 or root is not null").select("digest", "rep", F.coalesce("root", "class").alias("root"))
+    final = saved(final, "path-roots")
+    roots = final.groupBy(F.col("root").alias("_root")).agg(F.min("rep").alias("component"))
+    final = saved(final.join(roots, F.col("root") == F.col("_root")).select(F.col("digest").alias("_digest"), "component"), "path-final")
     rows = table.select("doc_id", "n_shingles", "digest")
-    out = rows.join(final, (F.col("digest") == F.col("_digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left")
+    out = rows.join(final, (F.col("digest") == F.col("_digest")) & (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", "component")
+    if repeats:  # a row of an empty set has the component of its doc_id's other rows
+        whole = out.where("doc_id is not null").groupBy(F.col("doc_id").alias("_doc")).agg(F.min("component").alias("_least"))
+        out = out.join(whole, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "n_shingles", F.coalesce("component", "_least").alias("component"))
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -51,7 +51,7 @@ def cloud(seed=3):
     return [(i * 7 % 1009, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("p", [chosenpath.Params(), chosenpath.Params(leaf=8, group=4, depth=3), chosenpath.Params(leaf=4, group=2, depth=1)], ids=["production", "deep", "pivots"])
+@pytest.mark.parametrize("p", [chosenpath.Params(), chosenpath.Params(leaf=8, group=4, depth=3), chosenpath.Params(leaf=4, group=2, depth=1), chosenpath.Params(shingles=600)], ids=["production", "deep", "pivots", "heavy"])
 def test_components_equal_brute_force(documents, p):
     rows = cloud()
     want, sizes = brute(rows)
@@ -78,6 +78,20 @@ def test_stage_takes_near_copies_from_80_percent(spark, documents):
     want = brute(rows, 80)[0]
     assert (want[2010], want[2012]) == (2000, 2012) and brute(rows)[0][2010] == 2010
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, documents(rows), "").collect()) == sorted(set(want.values()))
+
+
+@pytest.mark.parametrize("p", [chosenpath.Params(), chosenpath.Params(leaf=4, group=2, depth=1), chosenpath.Params(shingles=300)], ids=["production", "pivots", "heavy"])
+def test_a_doc_id_with_several_texts_keeps_all_its_links(documents, p):
+    rng = random.Random(9)
+    a, b = ([f"{x}{i}" for i in range(120)] for x in "ab")
+    near = lambda w: " ".join(w[:-2] + ["z", "y"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(b)), (8, near(a)), (5, ""), (9, " ".join(f"c{rng.random()}" for _ in range(50))), (5, " ".join(a))]
+    got = chosenpath.link(documents(rows), p).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == {5: 5, 7: 5, 8: 5, 9: 9}
+    assert sorted(r.n_shingles for r in got if r.doc_id == 5) == [0, 116, 116, 116]
+    assert sorted(r.doc_id for r in chosenpath.deduplicate(documents(rows), p).collect()) == [5, 9]
+
+
 def test_recall_at_the_last_level(spark):
     """Isolated pairs at the threshold, all nodes kept down to the last level: a miss in 1,000 on average."""
     rng, p = random.Random(5), chosenpath.Params(leaf=1)
