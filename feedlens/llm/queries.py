@@ -19,7 +19,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
-    rows = warc.read(spark, path).where("status = 'ok'")
+    # The archives are whole, so a gap would be a lost page.
+    lost = F.raise_error(F.concat(F.lit("gap in "), "archive", F.lit(" at "), F.col("offset").cast("string"), F.lit(": "), "reason")).cast("boolean")
+    rows = warc.read(spark, path).where(F.when(F.col("status") == "ok", F.lit(True)).otherwise(lost))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?[0-9]+)>$", 1)
     long = lambda c: F.when(F.length(number(c)) > 0, number(c).cast("long"))
     return rows.select(long("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", long("refers_to").alias("refers_to"))

@@ -8,6 +8,7 @@ archives of gzip members.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -39,16 +40,18 @@ def plan_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     """pages as (page_id, url, payload, payload_bytes, payload_digest, refers_to).
 
     Of records with equal payloads of `least` bytes and more, that with the largest page_id is stored and
-    the others refer to it. Copies are counted on digests only, and only digests that occur twice are joined.
+    the others refer to it. Payloads are equal whose length, SHA-1 and SHA-256 are; only those that occur twice
+    are joined.
     """
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
+    rows = rows.withColumn("_content", F.when(F.col("payload_bytes") >= least, F.unhex(F.sha2("payload", 256))))
     large = rows.where(F.col("payload_bytes") >= least)
-    stored = large.groupBy(F.col("payload_digest").alias("_digest")).agg(F.max("page_id").alias("_stored"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    both = rows.join(stored, (rows["payload_digest"] == stored["_digest"]) & (rows["payload_bytes"] >= least), "left")
+    stored = large.groupBy(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"), F.col("_content").alias("_same")).agg(F.max("page_id").alias("_stored"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    both = rows.join(stored, (rows["payload_digest"] == stored["_digest"]) & (rows["payload_bytes"] == stored["_bytes"]) & (rows["_content"] == stored["_same"]), "left")
     refers = F.when(F.col("page_id") < F.col("_stored"), F.col("_stored")).when(F.col("page_id").isNull() & F.col("_stored").isNotNull(), F.col("_stored"))
-    return both.withColumn("refers_to", refers).drop("_digest", "_stored")
+    return both.withColumn("refers_to", refers).drop("_digest", "_bytes", "_same", "_content", "_stored")
 
 
 def _header(name: str, value) -> F.Column:
@@ -99,6 +102,7 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, records_per_f
 # ---------------------------------------------------------------- reading
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
 #: Bytes that are inflated at a time.
 _STEP = 1 << 14
@@ -108,11 +112,11 @@ def _parse(data, at: int, end: int) -> tuple[dict, int] | str:
     """The record at `at` as (fields, its end), or why there is none."""
     if not (version := _VERSION.match(data, at, end)):
         return "no version line"
-    stop = data.find(b"\r\n\r\n", version.end() - 2, end)
-    if stop < 0:
+    blank = _HEAD_END.search(data, version.end() - 1, end)
+    if not blank:
         return "unterminated header"
     fields = {}
-    for line in bytes(data[version.end() : stop]).split(b"\r\n"):
+    for line in bytes(data[version.end() : blank.start()]).splitlines():
         key, colon, value = line.partition(b":")
         if line and not colon:
             return "malformed header line"
@@ -120,75 +124,126 @@ def _parse(data, at: int, end: int) -> tuple[dict, int] | str:
     size = fields.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         return "no content length"
-    first, last = stop + 4, stop + 4 + int(size)
+    first, last = blank.end(), blank.end() + int(size)
     if last > end:
         return "truncated block"
-    if data[last : last + 4] != b"\r\n\r\n":
+    close = _HEAD_END.match(data, last, end)
+    if not close:
         return "no end of record"
     block = data[first:last]
-    if (want := fields.get("warc-block-digest", "")).startswith("sha1:") and hashlib.sha1(block).hexdigest() != want[5:].lower():
+    if (want := _sha1(fields.get("warc-block-digest", ""))) and hashlib.sha1(block).hexdigest() != want:
         return "block digest differs"
     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
     revisit = fields.get("warc-type") == "revisit"
-    want = fields.get("warc-payload-digest", "").lower().removeprefix("sha1:")
+    want = _sha1(fields.get("warc-payload-digest", ""))
     got = want if revisit else hashlib.sha1(payload).hexdigest()
-    if want and got != want and len(want) == 40:
+    if want and got != want:
         return "payload digest differs"
     declared = fields.get("x-payload-length", "")
     n = int(declared) if revisit and declared.isdigit() else len(payload)
-    row = {"record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "payload_digest": got, "payload_bytes": n, "payload": payload}
-    return row, last + 4
+    row = {"record_type": fields.get("warc-type"), "record_id": fields.get("warc-record-id"), "target_uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "payload_digest": got, "payload_bytes": n, "payload": payload, "checked": bool(_sha1(fields.get("warc-block-digest", "")))}
+    return row, close.end()
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """Content and end of the gzip member at `at`, or why there is none; reads no further than a step past it."""
+def _sha1(digest: str) -> str | None:
+    """A SHA-1 digest field, in hex or in base32, as lower-case hex; None for other algorithms and for none."""
+    kind, _, value = digest.rpartition(":")
+    if kind.lower() not in ("", "sha1"):
+        return None
+    if re.fullmatch(r"[0-9a-fA-F]{40}", value):
+        return value.lower()
+    if re.fullmatch(r"[A-Za-z2-7]{32}", value):
+        return base64.b32decode(value.upper()).hex()
+    return value if kind else None  # a damaged digest differs from any
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content of the gzip member at `at`, its end, and what is wrong with it; reads no further than a step past it.
+
+    Of a torn member there is what inflates before the break.
+    """
     engine, out, view = zlib.decompressobj(31), [], memoryview(data)
     while not engine.eof:
         if at >= len(data):
-            return "truncated member"
+            return b"".join(out), at, "truncated member"
         try:
             out.append(engine.decompress(view[at : at + _STEP]))
         except zlib.error as e:
-            return f"bad member: {str(e)[:60]}"
+            return b"".join(out), at, f"bad member: {str(e)[:60]}"
         at = min(at + _STEP, len(data))
-    return b"".join(out), at - len(engine.unused_data)
+    return b"".join(out), at - len(engine.unused_data), ""
+
+
+def _records(content: bytes) -> tuple[list[dict], str]:
+    """The whole records that a member's content opens with, and why they end before it does."""
+    rows, at = [], 0
+    while at < len(content):
+        found = _parse(content, at, len(content))
+        if isinstance(found, str):
+            return rows, found
+        rows.append(found[0])
+        at = found[1]
+    return rows, ""
+
+
+class _Next:
+    """The next place of a pattern from a growing position on, so that the bytes are searched once."""
+
+    def __init__(self, find):
+        self.find, self.at = find, -1
+
+    def after(self, at: int) -> int | None:
+        if self.at is not None and self.at <= at:
+            self.at = self.find(at + 1)
+        return self.at
 
 
 def salvage(data: bytes) -> Iterator[dict]:
     """Records of one archive, and a row of status `gap` for every byte range that no record covers.
 
-    Where a check fails, the next version line or gzip member that opens a valid record is searched for;
-    the bytes in between become one gap with the reason of the first failure.
+    Where a check fails, the next version line or gzip member that opens a valid record is searched for; the
+    bytes in between become one gap with the reason of the first failure. A member may hold several records:
+    the first one has the member's bytes, the others none. Records that inflate whole before the break of a
+    torn member and fit their block digest have its offset and no bytes; the member itself is part of a gap.
     """
     at, end, gap, why = 0, len(data), None, ""
+    places = (_Next(lambda i: x.start() if (x := _VERSION.search(data, i)) else None), _Next(lambda i: x if (x := data.find(_MEMBER, i)) >= 0 else None))
 
     def quarantined(upto: int) -> Iterator[dict]:
         if gap is not None and upto > gap:
             yield {"offset": gap, "bytes": upto - gap, "status": "gap", "reason": why}
 
     while at < end:
+        rows, upto, wrong = [], at, ""
         if data[at : at + 3] == _MEMBER:
-            member = _inflate(data, at)
-            if not isinstance(member, str) and not member[0]:  # padding
+            content, upto, wrong = _inflate(data, at)
+            if not content and not wrong:  # padding
                 yield from quarantined(at)
-                gap, at = None, member[1]
+                gap, at = None, upto
                 continue
-            found = member if isinstance(member, str) else _parse(member[0], 0, len(member[0]))
-            if not isinstance(found, str) and found[1] != len(member[0]):
-                found = "bytes after the record of a member"
-            upto = at if isinstance(member, str) else member[1]
+            rows, rest = _records(content)
+            if wrong:  # the member's own checksum is not reached
+                rows = [r for r in rows if r["checked"]]
+            wrong = wrong or rest
         else:
             found = _parse(data, at, end)
-            upto = at if isinstance(found, str) else found[1]
-        if isinstance(found, str):
+            if isinstance(found, str):
+                wrong = found
+            else:
+                rows, upto = [found[0]], found[1]
+        if wrong:
+            if rows:  # a gap ends before the records that were found in it
+                yield from quarantined(at)
+                gap = None
+                yield from ({"offset": at, "bytes": 0, "status": "ok", "reason": None} | row for row in rows)
             if gap is None:
-                gap, why = at, found
-            tries = [x.start() for x in [_VERSION.search(data, at + 1)] if x] + [x for x in [data.find(_MEMBER, at + 1)] if x >= 0]
-            at = min(tries, default=end)
+                gap, why = at, wrong
+            at = min((x for x in (p.after(at) for p in places) if x is not None), default=end)
             continue
         yield from quarantined(at)
         gap = None
-        yield {"offset": at, "bytes": upto - at, "status": "ok", "reason": None} | found[0]
+        for k, row in enumerate(rows):
+            yield {"offset": at, "bytes": 0 if k else upto - at, "status": "ok", "reason": None} | row
         at = upto
     yield from quarantined(end)
 
@@ -219,3 +274,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").where("length(content) > 0")
     return files.mapInArrow(_archives, RECORD)
+
+
+def gaps(records: DataFrame) -> DataFrame:
+    """The log of what read() could not cover: archive, offset, bytes, reason."""
+    return records.where("status = 'gap'").select("archive", "offset", "bytes", "reason")
