@@ -105,17 +105,17 @@ from d left join n using (doc_id) join c using (doc_id)
 """
 
 
-def _op10_sql(p: urltree.Params = urltree.Params()) -> str:
-    """The template tree level by level, as many levels as its depth; then purity by branch."""
+def _op10_sql(p: urltree.Params = urltree.Params(), depth: int = 8) -> str:
+    """The template tree level by level, of paths of `depth` segments at most, more than the tables have; then purity by branch."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lower.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
     parts = "string_split(regexp_replace(path, '^/', ''), '/')"
     ctes = [
         f"u as (select page_id, {host} as host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages)",
         "m as (select doc_id, max(case when quality = 0 or toxic = 1 then 1 else 0 end) as bad from labels group by 1)",
-        f"t0 as (select u.*, bad, '' as template, case when len({parts}) > {p.depth} then list_append({parts}[1 : {p.depth - 1}], array_to_string({parts}[{p.depth} :], '/')) else {parts} end as parts from u left join m on page_id = doc_id)",
+        f"t0 as (select u.*, bad, '' as template, {parts} as parts from u left join m on page_id = doc_id)",
     ]
-    for k in range(p.depth):
+    for k in range(depth):
         ctes += [
             f"c{k} as (select host, template, parts[{k + 1}] as part, count(*) as n from t{k} where parts[{k + 1}] is not null group by 1, 2, 3)",
             f"w{k} as (select host, template from c{k} group by 1, 2 having count(*) >= {p.min_children} and sum(n) <= count(*) * {p.mean_pages})",
@@ -124,14 +124,15 @@ def _op10_sql(p: urltree.Params = urltree.Params()) -> str:
         ]
     cases = lambda value: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{value(r)}'" for r in sorted(urltree.RULES, key=lambda r: (-len(r.text), -len(r.host), r.action))) + " end"
     ctes += [
-        f"leaf as (select host, template, count(bad) as labelled, coalesce(sum(bad), 0) as bad from t{p.depth} group by 1, 2)",
+        f"leaf as (select host, template, count(bad) as labelled, coalesce(sum(bad), 0) as bad from t{depth} group by 1, 2)",
         "hosts as (select host, sum(labelled) as hl, sum(bad) as hb from leaf group by 1)",
         "shares as (select leaf.*, hb::double / greatest(hl, 1) as share from leaf join hosts using (host))",
         f"b as (select *, case when labelled > 0 and abs(bad - labelled * share) <= {p.z} * sqrt(labelled * share * (1 - share)) + 1e-9 then '{{similar}}' else template end as branch from shares)",
-        f"pooled as (select host, branch, (sum(bad) + {p.prior * p.prior_bad}) / (sum(labelled) + {p.prior}) as bad_share from b group by 1, 2)",
+        f"smooth as (select host, (hb + {p.prior * p.prior_bad}) / (hl + {p.prior}) as host_share from hosts)",
+        f"pooled as (select host, branch, (sum(bad) + {p.prior} * max(host_share)) / (sum(labelled) + {p.prior}) as bad_share from b join smooth using (host) group by 1, 2)",
         "judged as (select b.host, b.template, bad_share from b join pooled using (host, branch))",
     ]
-    return f"with {', '.join(ctes)} select page_id, host, path, {cases(lambda r: r.text)} as rule, coalesce({cases(lambda r: r.action)}, case when bad_share >= {p.reject} then 'block' else 'allow' end) as verdict, template, bad_share from t{p.depth} join judged using (host, template)"
+    return f"with {', '.join(ctes)} select page_id, host, path, {cases(lambda r: r.text)} as rule, coalesce({cases(lambda r: r.action)}, case when bad_share >= {p.reject} then 'block' else 'allow' end) as verdict, template, bad_share from t{depth} join judged using (host, template)"
 
 
 def oracle_sql() -> dict[str, str]:

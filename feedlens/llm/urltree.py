@@ -7,6 +7,8 @@ differ beyond chance are merged. A template is rejected where its smoothed share
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,12 +34,11 @@ RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Ru
 
 @dataclass(frozen=True)
 class Params:
-    depth: int = 4  #: levels of the tree; what lies deeper is one more segment
     min_children: int = 8  #: children from which a segment may be variable
     mean_pages: float = 2.0  #: a segment is variable at up to this many pages a child
     z: float = 1.64  #: branches closer to their host's share than this are merged
-    prior: float = 4.0  #: labelled pages that the smoothing counts for
-    prior_bad: float = 0.25  #: their bad share
+    prior: float = 4.0  #: labelled pages that the smoothing counts for: a template's towards its host's share, a host's towards prior_bad
+    prior_bad: float = 0.25
     reject: float = 0.5  #: smoothed bad share from which a template is rejected
 
 
@@ -64,23 +65,29 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 
 
 def templates(pages: DataFrame, p: Params = Params()) -> DataFrame:
-    """pages (page_id, host, path, bad) with `template`: the path with its variable segments as wildcards."""
-    rest = "split(regexp_replace(path, '^/', ''), '/')"
-    deep = f"if(size({rest}) > {p.depth}, concat(slice({rest}, 1, {p.depth - 1}), array(array_join(slice({rest}, {p.depth}, size({rest})), '/'))), {rest})"
-    rows = pages.withColumn("parts", F.expr(deep)).withColumn("template", F.lit(""))
-    for level in range(p.depth):
-        here = F.element_at("parts", F.lit(level + 1)) if level == 0 else F.expr(f"try_element_at(parts, {level + 1})")
-        seen = rows.select("host", "template", here.alias("part")).where("part is not null")
+    """pages (page_id, host, path, bad) with `template`: the path with its variable segments as wildcards.
+
+    A round a level, as many as the longest path has segments; only pages that reach a level are joined there.
+    """
+    rows = saved(pages.withColumn("parts", F.expr("split(regexp_replace(path, '^/', ''), '/')")).withColumn("template", F.lit("")), "url-parts")
+    ended = []
+    for level in itertools.count():
+        done = rows.where(F.size("parts") <= level)
+        rows = rows.where(F.size("parts") > level)
+        ended.append(done)
+        if rows.isEmpty():
+            break
+        here = F.element_at("parts", F.lit(level + 1))
+        seen = rows.select("host", "template", here.alias("part"))
         children = seen.groupBy("host", "template", "part").agg(F.count(F.lit(1)).alias("n"))
         forks = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
         variable = forks.where((F.col("kinds") >= p.min_children) & (F.col("n") <= F.col("kinds") * p.mean_pages)).select(F.col("host").alias("_host"), F.col("template").alias("_template"), F.lit(True).alias("wild"))
         variable = saved(variable, f"url-variable-{level}")  # a plain table on that side lets Spark split a hot host's rows
         rows = rows.join(variable, (rows["host"] == variable["_host"]) & (rows["template"] == variable["_template"]), "left")
-        step = F.when(F.col("wild"), F.lit("/*")).when(here.isNotNull(), F.concat(F.lit("/"), here)).otherwise("")
-        step = F.when(here.isNull(), F.lit("")).otherwise(step)
+        step = F.when(F.col("wild"), F.lit("/*")).otherwise(F.concat(F.lit("/"), here))
         rows = rows.withColumn("template", F.concat("template", step)).drop("_host", "_template", "wild")
         rows = saved(rows, f"url-level-{level}")
-    return rows.drop("parts")
+    return functools.reduce(DataFrame.unionByName, ended).drop("parts")
 
 
 def judged_templates(rows: DataFrame, p: Params = Params()) -> DataFrame:
@@ -93,8 +100,10 @@ def judged_templates(rows: DataFrame, p: Params = Params()) -> DataFrame:
     similar = (F.col("labelled") > 0) & (away <= p.z * F.sqrt(F.col("labelled") * share * (1 - share)) + F.lit(1e-9))
     branch = F.when(similar, F.lit("{similar}")).otherwise(F.col("template"))
     both = both.withColumn("branch", branch)
-    pooled = both.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    pooled = pooled.select(F.col("host").alias("_host"), F.col("branch").alias("_branch"), "labelled", ((F.col("bad") + p.prior * p.prior_bad) / (F.col("labelled") + p.prior)).alias("bad_share"))
+    # A branch without labels has its host's share, and a host without labels the prior one.
+    of_host = (F.col("host_bad") + p.prior * p.prior_bad) / (F.col("host_labelled") + p.prior)
+    pooled = both.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max("host_bad").alias("host_bad"), F.max("host_labelled").alias("host_labelled"))
+    pooled = pooled.select(F.col("host").alias("_host"), F.col("branch").alias("_branch"), "labelled", ((F.col("bad") + p.prior * of_host) / (F.col("labelled") + p.prior)).alias("bad_share"))
     out = both.select("host", "template", "branch").join(pooled, (F.col("host") == F.col("_host")) & (F.col("branch") == F.col("_branch")))
     return out.select("host", "template", "branch", "labelled", "bad_share", F.when(F.col("bad_share") >= p.reject, "block").otherwise("allow").alias("verdict"))
 
@@ -103,8 +112,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     """One row per row of pages: page_id, host, path, rule, verdict, template, bad_share.
 
     `labels` has (page_id, bad 0/1). A page without a host is judged as host '' with an empty path; a null
-    page_id has no label; of several labels of a page the worst counts. A host or template without labels
-    gets the prior share, which allows. An empty table gives an empty result; other columns are ignored.
+    page_id has no label; of several labels of a page the worst counts. A template without labels has its
+    host's smoothed share, a host without labels the prior one, which allows. An empty table gives an empty result; other columns are ignored.
     """
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))

@@ -152,6 +152,16 @@ def test_templates_and_purity(spark):
     assert {r.verdict for r in urltree.judge(pages, spark.createDataFrame([], "page_id long, bad int")).collect()} == {"allow"}
 
 
+def test_unlabelled_templates_follow_their_host_and_deep_paths_branch(spark):
+    rows = [(i, f"http://bad.test/spam/{'abcd'[i % 4]}.html") for i in range(40)] + [(100, "http://bad.test/spam2/x.html"), (101, "http://good.test/new"), (102, "http://none.test/x")]
+    rows += [(200 + i, f"http://good.test/a/b/c/d/{kind}/{i}") for k, kind in enumerate(("ok", "spam")) for i in range(k * 20, k * 20 + 20)]
+    labels = [(i, 1) for i in range(40)] + [(200 + i, int(i >= 20)) for i in range(0, 40, 2)]
+    got = {r.page_id: r for r in urltree.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()}
+    assert len(got) == len(rows) and (got[100].verdict, got[101].verdict, got[102].verdict) == ("block", "allow", "allow")
+    assert {got[200 + i].template for i in range(40)} == {"/a/b/c/d/ok/*", "/a/b/c/d/spam/*"}
+    assert {got[200 + i].verdict for i in range(20)} == {"allow"} and {got[220 + i].verdict for i in range(20)} == {"block"}
+
+
 # ---------------------------------------------------------------- benchmark leaks
 
 ITEM = "If Maria buys 12 apples and Peter sells 7 pears for 3 euros each how many euros does Maria owe to Peter after 12 days"
