@@ -6,11 +6,11 @@ see every byte, and encoded again on the way out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedlens.functions.addresses import fits_u64, padded_v4, small_int, unpadded
-from feedlens.functions.rows import once
+from feedlens.functions.rows import let
 
 #: Joins the groups of the line pattern; no byte decodes to it.
 SEP = "Ā"
@@ -101,42 +101,37 @@ def timestamp(ts_int: Column, ts_frac: Column) -> Column:
     return ts_int.cast("double") + ts_frac.cast("double") / F.pow(F.lit(10.0), F.length(ts_frac))
 
 
-def with_plain_double(rows: DataFrame, x: Column, name: str) -> DataFrame:
-    """rows with the shortest decimal text of a double, without exponent and without a closing .0; null for null.
-
-    The JVM's text has a digit too many in rare cases; then the text of fewer digits that is the same double counts.
-    """
-    rows = once(rows, "_double", x)
-    number, text = F.col("_double"), F.col("_double_text")
-    rows = once(rows, "_double_text", number.cast("string"))
-    rows = once(rows, "_double_fewer", F.when(F.length(text) >= 17, F.array(*[F.format_string(f"%.{digits - 1}e", number) for digits in (15, 16, 17)])))
-    fewer = [F.get("_double_fewer", F.lit(i)) for i in range(3)]
-    rows = once(rows, "_double_short", F.coalesce(*[F.when(t.cast("double") == number, t) for t in fewer]))
-    # Of 1.2340e+01 the digits and the power.
-    short = F.col("_double_short")
-    tidy = F.concat(F.regexp_replace(F.regexp_extract(short, r"\A(.*?)0*e", 1), r"\.\z", ".0"), F.lit("E"), F.regexp_extract(short, r"e\+?(-?)0*([0-9]+)\z", 1), F.regexp_extract(short, r"e[+-]0*([0-9]+)\z", 1))
-    rows = once(rows, "_double_tidy", F.when(short.isNotNull(), tidy))
-    rows = once(rows, "_double_best", F.coalesce(F.col("_double_tidy"), text))
-    best = F.col("_double_best")
-    # With an exponent one digit stands before the point.
-    rows = once(rows, "_double_digits", F.when(best.contains("E"), F.regexp_replace(F.split_part(best, F.lit("E"), F.lit(1)), r"\.0\z|\.", "")))
-    rows = once(rows, "_double_point", F.when(best.contains("E"), F.split_part(best, F.lit("E"), F.lit(2)).cast("int") + 1))
-    digits, point = F.col("_double_digits"), F.col("_double_point")
-    rows = once(rows, "_double_padded", F.when(point > 0, F.rpad(digits, F.greatest(F.length(digits), point), "0")).otherwise(F.concat(F.repeat(F.lit("0"), 1 - point), digits)))
-    padded, whole = F.col("_double_padded"), F.greatest(point, F.lit(1))
-    rows = once(rows, "_double_wide", F.when(F.length(padded) > whole, F.concat(F.substring(padded, F.lit(1), whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)))).otherwise(padded))
-    rows = once(rows, name, F.when(best.isNotNull(), F.coalesce(F.col("_double_wide"), F.regexp_replace(best, r"\.0\z", ""))))
-    return rows.drop("_double", "_double_text", "_double_fewer", "_double_short", "_double_tidy", "_double_best", "_double_digits", "_double_point", "_double_padded", "_double_wide")
-
-
-def with_timestamp_text(rows: DataFrame, name: str = "ts_text") -> DataFrame:
-    """rows (ts_int, ts_frac) with the timestamp as text.
-
-    It comes from the digits where six follow the point and ten at most stand before it, else by way of a double.
-    """
-    ts_int, ts_frac = F.col("ts_int"), F.col("ts_frac")
-    direct = (F.length(ts_int) <= 10) & (F.length(ts_frac) == 6)
-    rows = with_plain_double(rows, F.when(~direct, timestamp(ts_int, ts_frac)), "_ts_double")
+def _shortest(number: Column, text: Column) -> Column:
+    """The JVM's text of a double; where that has a digit too many, the text of fewer digits that is the same double."""
+    def tidy(short: Column) -> Column:  # of 1.2340e+01 the digits and the power
+        digits = F.regexp_replace(F.regexp_extract(short, r"\A(.*?)0*e", 1), r"\.\z", ".0")
+        return F.concat(digits, F.lit("E"), F.regexp_extract(short, r"e\+?(-?)0*[0-9]+\z", 1), F.regexp_extract(short, r"e[+-]0*([0-9]+)\z", 1))
+
+    same = lambda short: F.when(short.cast("double") == number, tidy(short))
+    fewer = [let(F.format_string(f"%.{digits - 1}e", number), same) for digits in (15, 16, 17)]
+    return F.when(F.length(text) < 17, text).otherwise(F.coalesce(*fewer, text))
+
+
+def _unpowered(text: Column) -> Column:
+    """A number with an exponent, as the JVM writes it, without the exponent."""
+    digits = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0\z|\.", "")
+    point = F.split_part(text, F.lit("E"), F.lit(2)).cast("int") + 1  # one digit stands before the point
+
+    def placed(padded: Column) -> Column:
+        whole = F.greatest(point, F.lit(1))
+        return F.when(F.length(padded) > whole, F.concat(F.substring(padded, F.lit(1), whole), F.lit("."), F.substring(padded, whole + 1, F.length(padded)))).otherwise(padded)
+
+    return let(F.when(point > 0, F.rpad(digits, F.greatest(F.length(digits), point), "0")).otherwise(F.concat(F.repeat(F.lit("0"), 1 - point), digits)), placed)
+
+
+def plain_double(x: Column) -> Column:
+    """The shortest decimal text of a double, without exponent and without a closing .0."""
+    out = lambda best: F.when(best.contains("E"), _unpowered(best)).otherwise(F.regexp_replace(best, r"\.0\z", ""))
+    return let(x, lambda number: let(_shortest(number, number.cast("string")), out))
+
+
+def timestamp_text(ts_int: Column, ts_frac: Column) -> Column:
+    """A timestamp as text, from its digits where six follow the point and ten at most stand before it, else by way of a double."""
     fraction = F.rtrim(ts_frac, F.lit("0"))
     short = F.concat(unpadded(ts_int), F.when(F.length(fraction) > 0, F.concat(F.lit("."), fraction)).otherwise(F.lit("")))
-    return once(rows, name, F.when(direct, short).otherwise(F.col("_ts_double"))).drop("_ts_double")
+    return F.when((F.length(ts_int) <= 10) & (F.length(ts_frac) == 6), short).otherwise(plain_double(timestamp(ts_int, ts_frac)))

@@ -96,7 +96,7 @@ def test_doubles_are_shortest(spark):
 
     rng = random.Random(4)
     numbers = [0.0, 1.0, 2e-3, 2e23, 1e7, 1.2345678e7, 1e-7] + [rng.random() * 10 ** rng.randint(-5, 15) for _ in range(5000)]
-    got = L.with_plain_double(spark.createDataFrame([(x,) for x in numbers], "x double"), L.F.col("x"), "text").collect()
+    got = spark.createDataFrame([(x,) for x in numbers], "x double").select("x", L.plain_double(L.F.col("x")).alias("text")).collect()
 
     def want(x):
         text = format(Decimal(repr(x)), "f")
