@@ -124,13 +124,126 @@ def test_quality_held_out(corpus):
     assert all(0 <= x <= 1 for r in got for x in (r.text_score, r.meta_score, r.score))
 
 
-def test_pseudo_labels_help_a_view_that_lacks_labels():
-    """Each view alone is a plain logistic regression; its weights answer to the examples' weights."""
-    x = np.array([[1.0, 0], [1, 1]] * 20)
-    y = np.array([0.0, 1] * 20)
-    w = cotrain.logistic(x, y, np.ones(40), 0.1)
-    assert w[1] > 1
-    assert cotrain.logistic(x, y, np.where(y > 0, 5.0, 1.0), 0.1)[0] > w[0]
+def test_text_view_of_a_batch_equals_each_text_alone():
+    texts = [b"", b"One two  one", b"x", b"a b " * 900_000, "\u00e9 $$$\n".encode() * 5]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    grams, sizes, shape = cotrain.text_view(data, ends)
+    assert sizes.tolist() == [0, 4, 1, 4, 4] and len(grams) == sizes.sum()
+    at = np.concatenate(([0], np.cumsum(sizes)))
+    for i, t in enumerate(texts):
+        g, n, f = cotrain.text_view(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert g.tolist() == grams[at[i] : at[i + 1]].tolist() and f.tolist() == shape[i : i + 1].tolist()
+    dollars = next(k for k, c in enumerate(range(cotrain._CLASSES)) if c == cotrain._CLASS[ord("$")])
+    assert shape[4, dollars] == 2 * cotrain.GRAMS + dollars * cotrain.BINS + int((3 / 7) ** 0.5 * cotrain.BINS)
+
+
+def _brute_cotraining(rows, labels, order, p):
+    """The same classifiers by plain loops over dictionaries; only the features and the regression are shared."""
+    from collections import Counter
+    from math import exp, log
+
+    feats = {}
+    for r in rows:
+        raw = (r.text or "").encode()
+        g, _, f = cotrain.text_view(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        feats[r.doc_id] = (g.tolist(), f[0].tolist(), cotrain.page_view([r.lang], [r.source], [r.n_chars])[0].tolist())
+    known = [d for d in order if d in labels][: p.sample_docs]
+    held, seen = known[: int(np.ceil(p.calibration * len(known)))], known[int(np.ceil(p.calibration * len(known))) :]
+
+    class Table:
+        def __init__(self):
+            self.docs, self.seen = [0.0, 0.0], [Counter(), Counter()]
+
+        def add(self, features, side, w=1.0):
+            self.docs[side] += w
+            for x in features:
+                self.seen[side][x] += w
+
+        def evidence(self, x, own=-1):
+            n = [self.docs[s] - (own == s) for s in (0, 1)]
+            share = [(max(self.seen[s][x] - (own == s), 0) + p.smooth * n[s] / sum(n)) / n[s] for s in (0, 1)]
+            return log(share[1]) - log(share[0])
+
+    def inputs(d, text, page, own=-1):
+        g, f, m = feats[d]
+        a = []
+        for part in ([x for x in g if x < cotrain.GRAMS], [x for x in g if x >= cotrain.GRAMS]):
+            a.append(sum(text.evidence(x, own) for x in part) / max(len(part), 1))
+        return np.array([*a, *(text.evidence(x, own) for x in f), 1.0]), np.array([*(page.evidence(x, own) for x in m), 1.0])
+
+    def fit(given):
+        text, page = Table(), Table()
+        for d in seen:
+            text.add(feats[d][0] + feats[d][1], labels[d])
+            page.add(feats[d][2], labels[d])
+        for view, d, side, w in given:
+            (text if view == 0 else page).add(feats[d][0] + feats[d][1] if view == 0 else feats[d][2], side, w)
+        x = [inputs(d, text, page, labels[d]) for d in seen]
+        t = np.array([labels[d] for d in seen], dtype=float)
+        w = [cotrain.logistic(np.array([r[k] for r in x]), t, np.ones(len(t)), p.ridge) for k in (0, 1)]
+        return {d: [float(v @ w[k]) for k, v in enumerate(inputs(d, text, page))] for d in feats}
+
+    good = sum(labels[d] for d in seen) / len(seen)
+    z = fit([])
+    for _ in range(p.rounds):
+        given = []
+        for giver in (0, 1):
+            short = {d: round(min(max(v[giver], -30), 30), 2) for d, v in z.items()}
+            ranked = sorted(short.values())
+            n = len(ranked)
+            low = min(next(v for i, v in enumerate(ranked) if i + 1 >= p.share * (1 - good) * n), 0)
+            high = max(next(v for i, v in enumerate(ranked) if i + 1 >= (1 - p.share * good) * n), 0)
+            for side, base, mine in ((0, 1 - good, {d for d, v in short.items() if v <= low and v < high}), (1, good, {d for d, v in short.items() if v >= high})):
+                tested = [labels[d] for d in held if d in mine]
+                right = (sum(y == side for y in tested) + base) / (len(tested) + 1)
+                trust = max(0.0, (right - base) / (1 - base)) if tested else 0.0
+                given += [(1 - giver, d, side, p.pseudo_weight * trust) for d in mine]
+        z = fit(given)
+    t, one = np.array([labels[d] for d in held], dtype=float), np.ones(len(held))
+    curves = [cotrain.logistic(np.stack([one, [z[d][k] for d in held]], axis=1), t, one, 0.1) for k in (0, 1)]
+    cal = {d: [c[0] + c[1] * v for c, v in zip(curves, zs, strict=True)] for d, zs in z.items()}
+    both = cotrain.logistic(np.array([[1, *cal[d]] for d in held]), t, one, 0.1)
+    sig = lambda x: 1 / (1 + exp(-x))
+    return {d: (sig(a), sig(b), sig(both[0] + both[1] * a + both[2] * b)) for d, (a, b) in cal.items()}
+
+
+def test_cotraining_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    rows, labels = [], {}
+    for i in range(240):
+        y = int(rng.random() < 0.7)
+        text = [f"w{(k + 5 * y * (rng.random() < 0.6)) % 23}" for k in rng.integers(0, 18, 12)]
+        rows.append((i, " ".join(text) if i % 40 else None, "de" if i % 3 else None, f"s{int(rng.integers(0, 3)) + 2 * y}", int(rng.integers(1, 99))))
+        if i % 2:
+            labels[i] = y
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id", F.lit("cotrain"))).collect()]
+    p = cotrain.Params(sample_docs=100, rounds=2, share=0.3)
+    want = _brute_cotraining(docs.collect(), labels, order, p)
+    got = cotrain.score(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), p).collect()
+    assert len(got) == 240
+    for r in got:
+        assert np.allclose((r.text_score, r.meta_score, r.score), want[r.doc_id], atol=1e-6), (r, want[r.doc_id])
+
+
+def test_exchange_teaches_words_that_no_label_covers(spark):
+    """Words c and d occur in unlabelled documents only; the page view knows those documents' sources, the text view learns the words."""
+    rng = np.random.default_rng(6)
+    words = lambda k, n: " ".join(f"{k}{x}" for x in rng.integers(0, 30, n))
+    rows, labels = [], []
+    for i in range(1500):
+        good = i % 2
+        known = i < 300
+        rows.append((i, words(("ab" if known else "dc")[good], 12), "de", ("h" if good else "g") if i < 1300 else "unseen", 40))
+        if known:
+            labels.append((i, good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    seen = spark.createDataFrame(labels, "doc_id long, quality int")
+    auc = {}
+    for rounds in (0, 2):
+        got = [r for r in cotrain.score(docs, seen, cotrain.Params(rounds=rounds)).collect() if r.doc_id >= 1300]
+        auc[rounds] = _auc(np.array([r.text_score for r in got]), np.array([r.doc_id % 2 == 1 for r in got]))
+    assert auc[2] > 0.95 and auc[2] > auc[0] + 0.2, auc
 
 
 def test_quality_odd_rows(documents, odd, corpus):
