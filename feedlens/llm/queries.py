@@ -106,7 +106,7 @@ from d left join n using (doc_id) join c using (doc_id)
 
 
 def _op10_sql(p: urltree.Params = urltree.Params(), depth: int = 8) -> str:
-    """The template tree level by level, of paths of `depth` segments at most, more than the tables have; then purity by branch."""
+    """The template tree level by level, of paths of `depth` segments at most, more than the tables have; then branches of siblings bin by bin, and their purity."""
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     host = lower.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")
     parts = "string_split(regexp_replace(path, '^/', ''), '/')"
@@ -118,21 +118,26 @@ def _op10_sql(p: urltree.Params = urltree.Params(), depth: int = 8) -> str:
     for k in range(depth):
         ctes += [
             f"c{k} as (select host, template, parts[{k + 1}] as part, count(*) as n from t{k} where parts[{k + 1}] is not null group by 1, 2, 3)",
-            f"w{k} as (select host, template from c{k} group by 1, 2 having count(*) >= {p.min_children} and sum(n) <= count(*) * {p.mean_pages})",
-            f"t{k + 1} as (select t.page_id, t.host, t.path, t.bad, t.parts, t.template || case when t.parts[{k + 1}] is null then '' when w.host is not null then '/*' else '/' || t.parts[{k + 1}] end as template "
-            f"from t{k} t left join w{k} w on t.host = w.host and t.template = w.template)",
+            f"w{k} as (select host, template from c{k} group by 1, 2 having count(*) filter (n <= {p.few_pages}) >= {p.min_children})",
+            f"t{k + 1} as (select t.page_id, t.host, t.path, t.bad, t.parts, t.template || case when t.parts[{k + 1}] is null then '' when w.host is not null and c.n <= {p.few_pages} then '/*' else '/' || t.parts[{k + 1}] end as template "
+            f"from t{k} t left join w{k} w on t.host = w.host and t.template = w.template left join c{k} c on t.host = c.host and t.template = c.template and t.parts[{k + 1}] = c.part)",
         ]
     cases = lambda value: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{value(r)}'" for r in sorted(urltree.RULES, key=lambda r: (-len(r.text), -len(r.host), r.action))) + " end"
     ctes += [
-        f"leaf as (select host, template, count(bad) as labelled, coalesce(sum(bad), 0) as bad from t{depth} group by 1, 2)",
-        "hosts as (select host, sum(labelled) as hl, sum(bad) as hb from leaf group by 1)",
-        "shares as (select leaf.*, hb::double / greatest(hl, 1) as share from leaf join hosts using (host))",
-        f"b as (select *, case when labelled > 0 and abs(bad - labelled * share) <= {p.z} * sqrt(labelled * share * (1 - share)) + 1e-9 then '{{similar}}' else template end as branch from shares)",
-        f"smooth as (select host, (hb + {p.prior * p.prior_bad}) / (hl + {p.prior}) as host_share from hosts)",
-        f"pooled as (select host, branch, (sum(bad) + {p.prior} * max(host_share)) / (sum(labelled) + {p.prior}) as bad_share from b join smooth using (host) group by 1, 2)",
-        "judged as (select b.host, b.template, bad_share from b join pooled using (host, branch))",
+        f"leaf as (select *, regexp_replace(template, '/[^/]*$', '') as parent, case when labelled > 0 then {p.bins} * bad // labelled else -1 end as bin from (select host, template, count(bad) as labelled, coalesce(sum(bad), 0)::bigint as bad from t{depth} group by 1, 2))",
+        "bins as (select host, parent, bin, sum(labelled) as labelled, sum(bad) as bad, count(*) as kinds from leaf group by 1, 2, 3)",
+        "ranked as (select host, parent, bin, bad::double / labelled as share, labelled::double / kinds as n, row_number() over (partition by host, parent order by bin) as k from bins where bin >= 0)",
+        "walk as (select host, parent, bin, k, bin as branch, share as first_share, n as first_n from ranked where k = 1 union all "
+        "select host, parent, bin, k, case when same then branch else bin end, case when same then first_share else share end, case when same then first_n else n end "
+        f"from (select r.*, w.branch, w.first_share, w.first_n, r.share - w.first_share <= {p.z} * sqrt(((w.first_share * w.first_n + r.share * r.n) / (w.first_n + r.n)) * (1 - (w.first_share * w.first_n + r.share * r.n) / (w.first_n + r.n)) * (1 / w.first_n + 1 / r.n)) + 1e-9 as same "
+        "from walk w join ranked r on r.host = w.host and r.parent = w.parent and r.k = w.k + 1))",
+        "hosts as (select host, sum(labelled)::double as hl, sum(bad)::double as hb from leaf group by 1)",
+        f"parents as (select host, parent, (pb + {p.prior} * ((hb + {p.prior * p.prior_bad}) / (hl + {p.prior}))) / (pl + {p.prior}) as parent_share from (select host, parent, sum(labelled)::double as pl, sum(bad)::double as pb from leaf group by 1, 2) join hosts using (host))",
+        "steps as (select host, parent, bin, labelled, bad, coalesce(branch, -1) as branch from bins left join walk using (host, parent, bin))",
+        f"pooled as (select host, parent, branch, (sum(bad)::double + {p.prior} * max(parent_share)) / (sum(labelled)::double + {p.prior}) as bad_share from steps join parents using (host, parent) group by 1, 2, 3)",
+        "judged as (select leaf.host, leaf.template, bad_share from leaf join steps using (host, parent, bin) join pooled using (host, parent, branch))",
     ]
-    return f"with {', '.join(ctes)} select page_id, host, path, {cases(lambda r: r.text)} as rule, coalesce({cases(lambda r: r.action)}, case when bad_share >= {p.reject} then 'block' else 'allow' end) as verdict, template, bad_share from t{depth} join judged using (host, template)"
+    return f"with recursive {', '.join(ctes)} select page_id, host, path, {cases(lambda r: r.text)} as rule, coalesce({cases(lambda r: r.action)}, case when bad_share >= {p.reject} then 'block' else 'allow' end) as verdict, template, bad_share from t{depth} join judged using (host, template)"
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,8 +1,9 @@
 """URL filter: explicit host and path rules, then a tree of path templates, in DataFrame functions only.
 
-Per host the path segments form a tree. Level by level, a segment whose siblings are mostly seen once is a
-variable one and becomes the wildcard `*`. Templates of a host whose labelled shares of bad pages do not
-differ beyond chance are merged. A template is rejected where its smoothed share of bad labels is high.
+Per host the path segments form a tree. Level by level, segments that few pages share become the wildcard `*`
+where a fork has many of them; its frequent segments keep their names. Sibling templates whose labelled shares
+of bad pages do not differ beyond chance are merged. A template is rejected where its branch's share of bad
+labels, smoothed towards the share of all siblings and that towards the host's, is high.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ RULES = (Rule("block", "com", "/en/"), Rule("allow", "example.com", "/en/7"), Ru
 
 @dataclass(frozen=True)
 class Params:
-    min_children: int = 8  #: children from which a segment may be variable
-    mean_pages: float = 2.0  #: a segment is variable at up to this many pages a child
-    z: float = 1.64  #: branches closer to their host's share than this are merged
-    prior: float = 4.0  #: labelled pages that the smoothing counts for: a template's towards its host's share, a host's towards prior_bad
+    min_children: int = 8  #: rare children from which a fork has a wildcard
+    few_pages: int = 2  #: pages of a rare child at most
+    z: float = 1.64  #: siblings whose shares differ by fewer standard errors than this are merged
+    bins: int = 50  #: siblings whose shares lie within 1/bins are taken together before the test
+    prior: float = 4.0  #: labelled pages that each smoothing counts for: branch to siblings, siblings to host, host to prior_bad
     prior_bad: float = 0.25
     reject: float = 0.5  #: smoothed bad share from which a template is rejected
 
@@ -78,42 +80,66 @@ def templates(pages: DataFrame, p: Params = Params()) -> DataFrame:
         if rows.isEmpty():
             break
         here = F.element_at("parts", F.lit(level + 1))
-        seen = rows.select("host", "template", here.alias("part"))
-        children = seen.groupBy("host", "template", "part").agg(F.count(F.lit(1)).alias("n"))
-        forks = children.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-        variable = forks.where((F.col("kinds") >= p.min_children) & (F.col("n") <= F.col("kinds") * p.mean_pages)).select(F.col("host").alias("_host"), F.col("template").alias("_template"), F.lit(True).alias("wild"))
-        variable = saved(variable, f"url-variable-{level}")  # a plain table on that side lets Spark split a hot host's rows
-        rows = rows.join(variable, (rows["host"] == variable["_host"]) & (rows["template"] == variable["_template"]), "left")
-        step = F.when(F.col("wild"), F.lit("/*")).otherwise(F.concat(F.lit("/"), here))
-        rows = rows.withColumn("template", F.concat("template", step)).drop("_host", "_template", "wild")
+        children = rows.groupBy("host", "template", here.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+        children = saved(children, f"url-children-{level}")
+        rare = F.col("n") <= p.few_pages
+        forks = children.groupBy("host", "template").agg(F.count(F.when(rare, True)).alias("rare")).where(F.col("rare") >= p.min_children)
+        forks = saved(forks.select(F.col("host").alias("_host"), F.col("template").alias("_template"), F.lit(True).alias("wild")), f"url-forks-{level}")  # a plain table on that side lets Spark split a hot host's rows
+        at_fork = lambda side: (side["host"] == F.col("_host")) & (side["template"] == F.col("_template"))
+        names = children.where(~rare).join(forks, at_fork(children), "left_semi").select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("part").alias("_p"), F.lit(True).alias("named"))
+        names = saved(names, f"url-names-{level}")
+        rows = rows.withColumn("here", here).join(forks, at_fork(rows), "left")
+        rows = rows.join(names, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("here") == F.col("_p")), "left")
+        step = F.when(F.col("wild") & F.col("named").isNull(), F.lit("/*")).otherwise(F.concat(F.lit("/"), "here"))
+        rows = rows.withColumn("template", F.concat("template", step)).drop("_host", "_template", "wild", "_h", "_t", "_p", "named", "here")
         rows = saved(rows, f"url-level-{level}")
     return functools.reduce(DataFrame.unionByName, ended).drop("parts")
 
 
+#: A new branch starts where a bin of siblings differs from the branch's first bin by a test of two shares, each of a sibling of the bin's mean size.
+_BRANCHES = """
+aggregate(bins, named_struct('out', cast(array() as array<struct<bin: bigint, branch: bigint>>), 'bin', -1L, 'share', 0D, 'n', 0D),
+  (a, b) -> if(a.bin >= 0 and b.share - a.share <= {z}D * sqrt(((a.share * a.n + b.share * b.n) / (a.n + b.n)) * (1D - (a.share * a.n + b.share * b.n) / (a.n + b.n)) * (1D / a.n + 1D / b.n)) + 1e-9D,
+    named_struct('out', concat(a.out, array(named_struct('bin', b.bin, 'branch', a.bin))), 'bin', a.bin, 'share', a.share, 'n', a.n),
+    named_struct('out', concat(a.out, array(named_struct('bin', b.bin, 'branch', b.bin))), 'bin', b.bin, 'share', b.share, 'n', b.n)),
+  a -> a.out)
+"""
+
+
 def judged_templates(rows: DataFrame, p: Params = Params()) -> DataFrame:
-    """One row per host and template: branch (the merged group), labelled, bad_share, verdict."""
-    leaf = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = leaf.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("bad").alias("host_bad")).withColumnRenamed("host", "_host")
-    both = leaf.join(hosts, leaf["host"] == hosts["_host"]).drop("_host")
-    share = F.col("host_bad") / F.greatest(F.col("host_labelled"), F.lit(1))
-    away = F.abs(F.col("bad") - F.col("labelled") * share)
-    similar = (F.col("labelled") > 0) & (away <= p.z * F.sqrt(F.col("labelled") * share * (1 - share)) + F.lit(1e-9))
-    branch = F.when(similar, F.lit("{similar}")).otherwise(F.col("template"))
-    both = both.withColumn("branch", branch)
-    # A branch without labels has its host's share, and a host without labels the prior one.
-    of_host = (F.col("host_bad") + p.prior * p.prior_bad) / (F.col("host_labelled") + p.prior)
-    pooled = both.groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max("host_bad").alias("host_bad"), F.max("host_labelled").alias("host_labelled"))
-    pooled = pooled.select(F.col("host").alias("_host"), F.col("branch").alias("_branch"), "labelled", ((F.col("bad") + p.prior * of_host) / (F.col("labelled") + p.prior)).alias("bad_share"))
-    out = both.select("host", "template", "branch").join(pooled, (F.col("host") == F.col("_host")) & (F.col("branch") == F.col("_branch")))
-    return out.select("host", "template", "branch", "labelled", "bad_share", F.when(F.col("bad_share") >= p.reject, "block").otherwise("allow").alias("verdict"))
+    """One row per host and template: parent, branch (the merged siblings; -1 without labels), labelled, bad_share, verdict.
+
+    Siblings meet as sums by bins of their shares, so a parent of any number of children is at most bins + 1 rows.
+    """
+    leaf = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
+    leaf = leaf.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+    leaf = leaf.withColumn("bin", F.when(F.col("labelled") > 0, F.expr(f"{p.bins}L * bad div labelled")).otherwise(F.lit(-1)))
+    leaf = saved(leaf, "url-leaves")
+    bins = leaf.groupBy("host", "parent", "bin").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count(F.lit(1)).alias("kinds"))
+    bins = saved(bins, "url-bins")
+    parents = bins.groupBy("host", "parent").agg(
+        F.sort_array(F.collect_list(F.when(F.col("bin") >= 0, F.struct("bin", (F.col("bad") / F.col("labelled")).alias("share"), (F.col("labelled") / F.col("kinds")).alias("n"))))).alias("bins"),
+        F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    hosts = parents.groupBy("host").agg(F.sum("all_labelled").alias("host_labelled"), F.sum("all_bad").alias("host_bad"))
+    hosts = hosts.select(F.col("host").alias("_host"), ((F.col("host_bad") + p.prior * p.prior_bad) / (F.col("host_labelled") + p.prior)).alias("host_share"))
+    parents = parents.join(hosts, F.col("host") == F.col("_host")).drop("_host")
+    parents = parents.withColumn("parent_share", (F.col("all_bad") + p.prior * F.col("host_share")) / (F.col("all_labelled") + p.prior))
+    steps = F.concat(F.expr(_BRANCHES.format(z=p.z)), F.array(F.struct(F.lit(-1).cast("long").alias("bin"), F.lit(-1).cast("long").alias("branch"))))
+    steps = parents.select(F.col("host").alias("_host"), F.col("parent").alias("_parent"), "parent_share", F.explode(steps).alias("step")).select("_host", "_parent", "parent_share", F.col("step.bin").alias("_bin"), "step.branch")
+    of_bin = bins.join(steps, (F.col("host") == F.col("_host")) & (F.col("parent") == F.col("_parent")) & (F.col("bin") == F.col("_bin")))
+    pooled = of_bin.groupBy("host", "parent", "branch", "parent_share").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.collect_list("bin").alias("members"))
+    pooled = pooled.select(F.col("host").alias("_host"), F.col("parent").alias("_parent"), F.explode("members").alias("_bin"), "branch", F.col("labelled").alias("n"), ((F.col("bad") + p.prior * F.col("parent_share")) / (F.col("labelled") + p.prior)).alias("bad_share"))
+    pooled = saved(pooled, "url-branches")
+    out = leaf.join(pooled, (F.col("host") == F.col("_host")) & (F.col("parent") == F.col("_parent")) & (F.col("bin") == F.col("_bin")))
+    return out.select("host", "template", "parent", "branch", F.col("n").alias("labelled"), "bad_share", F.when(F.col("bad_share") >= p.reject, "block").otherwise("allow").alias("verdict"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, p: Params = Params()) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, template, bad_share.
 
     `labels` has (page_id, bad 0/1). A page without a host is judged as host '' with an empty path; a null
-    page_id has no label; of several labels of a page the worst counts. A template without labels has its
-    host's smoothed share, a host without labels the prior one, which allows. An empty table gives an empty result; other columns are ignored.
+    page_id has no label; of several labels of a page the worst counts. A template without labels has the
+    share of its siblings, those without labels the host's, a host without labels the prior one, which allows. An empty table gives an empty result; other columns are ignored.
     """
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))

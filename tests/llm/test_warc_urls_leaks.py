@@ -162,6 +162,32 @@ def test_unlabelled_templates_follow_their_host_and_deep_paths_branch(spark):
     assert {got[200 + i].verdict for i in range(20)} == {"allow"} and {got[220 + i].verdict for i in range(20)} == {"block"}
 
 
+def test_frequent_children_keep_their_names(spark):
+    rows = [(i, f"http://h.test/p/{i}") for i in range(60)] + [(100 + i, "http://h.test/p/top") for i in range(300)]
+    got = urltree.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect()
+    assert {r.template for r in got if r.page_id < 60} == {"/p/*"} and {r.template for r in got if r.page_id >= 100} == {"/p/top"} and len(got) == 360
+
+
+def _branches(spark, siblings, p=urltree.Params()):
+    """siblings (template, labelled, bad) to {template: (branch, bad_share)}"""
+    rows = [("h.test", t, int(i < bad) if i < labelled else None) for t, labelled, bad in siblings for i in range(max(labelled, 1))]
+    return {r.template: (r.branch, r.bad_share) for r in urltree.judged_templates(spark.createDataFrame(rows, "host string, template string, bad int"), p).collect()}
+
+
+def test_similar_siblings_merge(spark):
+    siblings = [("/a/x", 40, 36), ("/a/y", 40, 38), ("/a/ok", 40, 2), ("/a/fine", 40, 4), ("/a/new", 0, 0), ("/b/one", 1, 1), ("/b/two", 1, 0), ("/c", 0, 0)]
+    got = _branches(spark, siblings)
+    assert len(got) == len(siblings)
+    assert got["/a/x"] == got["/a/y"] and got["/a/ok"] == got["/a/fine"] and got["/a/x"][0] != got["/a/ok"][0]
+    host = (36 + 38 + 2 + 4 + 1 + 1) / (162 + 4)
+    of_a, of_b = (80 + 4 * host) / 164, (1 + 4 * host) / 6
+    want = {"/a/x": (74 + 4 * of_a) / 84, "/a/ok": (6 + 4 * of_a) / 84, "/a/new": of_a, "/b/one": (1 + 4 * of_b) / 6, "/b/two": (1 + 4 * of_b) / 6, "/c": host}
+    assert all(abs(got[t][1] - v) < 1e-12 for t, v in want.items())
+    # Small steps from one end to the other do not join the ends.
+    chain = _branches(spark, [(f"/a/{i}", 60, 3 * i) for i in range(21)])
+    assert chain["/a/0"][0] != chain["/a/20"][0] and len({b for b, _ in chain.values()}) > 2
+
+
 # ---------------------------------------------------------------- benchmark leaks
 
 ITEM = "If Maria buys 12 apples and Peter sells 7 pears for 3 euros each how many euros does Maria owe to Peter after 12 days"
