@@ -31,7 +31,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids with their places in sequences."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
+    # Workers outlive a stage, so their memo also lies beside the stages of the next run.
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), memo_pieces=200_000)
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("packing", pack)]

@@ -19,7 +19,7 @@ WINDOW = 2048
 END_ID = 1
 #: Text bytes of a lane, a few thousand windows; those left unfilled are few next to them.
 LANE_BYTES = 16 << 20
-#: Pieces that the tokenizer's memo holds.
+#: Pieces that the tokenizer's memo holds, unless the caller wants workers smaller; the ids are the same with any number.
 MEMO_PIECES = 600_000
 
 _PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary"
@@ -61,11 +61,11 @@ class Levels:
         return at, level
 
 
-def _cut(path: str, window: int):
+def _cut(path: str, window: int, memo_pieces: int):
     def run(batches):
         import pyarrow as pa
 
-        coder = encoder(path, MEMO_PIECES)
+        coder = encoder(path, memo_pieces)
         for batch in batches:
             keys = batch.column("doc_id")
             for i, texts in text_slices(batch):
@@ -85,11 +85,11 @@ def _cut(path: str, window: int):
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """Windows of every document's ids: doc_id, start, length, doc_tokens, ids (little-endian, 2 bytes each, or 4 where the vocabulary needs them)."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_cut(tokenizer, window), _PIECES)
+    return rows.mapInArrow(_cut(tokenizer, window, memo_pieces), _PIECES)
 
 
 def _placed(window: int, with_ids: bool):
@@ -113,7 +113,7 @@ def _placed(window: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, lane_bytes: int = LANE_BYTES, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, lane_bytes: int = LANE_BYTES, with_ids: bool = True, memo_pieces: int = MEMO_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids (unless left out), sequence_id, offset, ids_crc32.
 
     Null text is one END_ID; null ids are packed like any other; repeated rows are packed as often as they
@@ -123,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, lane_bytes: int
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     lanes = max(1, round(size / lane_bytes))
     # The order inside a lane is fixed by the rows alone, so a task that is run again packs alike.
-    dealt = pieces(docs, tokenizer, window).withColumn("key", F.xxhash64("doc_id", "doc_tokens", "start"))
+    dealt = pieces(docs, tokenizer, window, memo_pieces).withColumn("key", F.xxhash64("doc_id", "doc_tokens", "start"))
     dealt = dealt.withColumn("lane", F.pmod(F.xxhash64("key"), F.lit(lanes)))
     ordered = dealt.repartition("lane").sortWithinPartitions("lane", "key", "doc_id", "start", "ids")
     kinds = _PIECES if with_ids else _PIECES.removesuffix(", ids binary")
