@@ -114,6 +114,19 @@ def test_odd_rows(documents, odd):
     assert chosenpath.link(documents([])).count() == 0 and chosenpath.deduplicate(documents([])).count() == 0
 
 
+def test_very_long_texts(documents):
+    """Texts of several tiles have the sets, and the links, of brute force."""
+    rng = random.Random(8)
+    base = [f"Word{rng.randrange(300_000)}" for _ in range(500_000)]
+    change = lambda step: [f"n{i}" if i % step == 0 else w for i, w in enumerate(base)]
+    rows = [(4, " ".join(base)), (3, "\n".join(change(70))), (2, " ".join(change(50))), (9, "x" * 5_000_000), (8, "x" * 5_000_000)]
+    assert all(len(text) > 4 << 20 for _, text in rows)
+    want, sizes = brute(rows)
+    got = {r.doc_id: r for r in chosenpath.link(documents(rows)).collect()}
+    assert want == {4: 3, 3: 3, 2: 2, 9: 8, 8: 8}
+    assert {i: r.component_id for i, r in got.items()} == want and {i: r.n_shingles for i, r in got.items()} == sizes
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, k) for k in range(1001, 1200)] + [(5000, 5000), (2000, 2001), (2001, 2000)]
     random.Random(2).shuffle(edges)

@@ -211,6 +211,15 @@ def test_leaks(spark, documents):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated} and kept.columns == documents(rows).columns
 
 
+def test_leaks_in_very_long_texts(spark, documents):
+    fill = "and then there was nothing else to say about the long road home " * 80_000
+    at = (2 << 20) - 40  # the item lies across the border of two tiles
+    rows = [(1, f"{fill[:at]} {ITEM}. {fill}"), (2, f"{fill} {CHANGED}."), (3, fill), (4, "x" * 5_000_000), (5, f"{'x' * 5_000_000} {ITEM}")]
+    got = leaks(spark, documents, rows)
+    assert {i: r.contaminated for i, r in got.items()} == {1: True, 2: True, 3: False, 4: False, 5: True}
+    assert got[1].coverage == 1.0 and not got[1].changed and got[2].changed
+
+
 def test_leaks_in_other_case(spark, documents):
     accents = ITEM.replace("owe", "céder à Łódź")
     rows = [(1, ITEM), (2, ITEM.lower()), (3, ITEM.upper()), (4, ITEM.title()), (5, CHANGED), (6, ITEM.replace("12", "40").upper()), (7, accents.upper()), (8, "NOTHING OF IT IS HERE BUT CAPITALS " * 4)]
