@@ -194,10 +194,13 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word of a lower-cased byte array."""
+    """A 64-bit hash of each word of a lower-cased byte array; many words are hashed a tile at a time."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     sizes = ends - starts
+    if len(starts) > 1 and sizes.sum() > 2 * TILE_BYTES:
+        parts = tiles(np.concatenate(([0], np.cumsum(sizes))))
+        return np.concatenate([hash_spans(low, starts[i:j], ends[i:j]) for i, j in parts])
     at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
     place = at - np.repeat(starts, sizes)
     value = _BYTE[low[at]] * _powers(int(sizes.max()))[place]
