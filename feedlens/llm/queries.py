@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chosenpath, cotrain, crf, decontaminate, exact, packing, shards, simple8b, urltree, warc
+from feedlens.llm import chosenpath, cotrain, crf, decontaminate, exact, packing, shards, simple8b, suffixes, urltree, warc
 from feedlens.llm.shared import scratch
 from feedlens.llm.tokens import tokenizer
 
@@ -69,8 +69,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urltree.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), labels)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter, op11_suffix_dedup)}
 
 
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -140,5 +144,21 @@ def _op10_sql(p: urltree.Params = urltree.Params(), depth: int = 8) -> str:
     return f"with recursive {', '.join(ctes)} select page_id, host, path, {cases(lambda r: r.text)} as rule, coalesce({cases(lambda r: r.action)}, case when bad_share >= {p.reject} then 'block' else 'allow' end) as verdict, template, bad_share from t{depth} join judged using (host, template)"
 
 
+#: Every window of 200 bytes by its digest, the runs they cover, and what lies between the runs.
+OP11_SQL = """
+with d as (select row_number() over () as r, doc_id, encode(coalesce(text, '')) as b from documents),
+     w as (select r, s, md5(hex(b[s + 1 : s + 200])) as h from (select r, b, unnest(range(octet_length(b) - 199)) as s from d where octet_length(b) >= 200)),
+     m as (select r, s from w where h in (select h from w group by 1 having count(*) > 1)),
+     k as (select r, s, case when s <= lag(s) over (partition by r order by s) + 200 then 0 else 1 end as new from m),
+     g as (select r, min(s) as a, max(s) + 200 as z from (select r, s, sum(new) over (partition by r order by s) as g from k) group by r, g),
+     parts as (select r, coalesce(lag(z) over (partition by r order by a), 0) as lo, a as hi from g
+               union all select d.r, coalesce(max(z), 0), octet_length(any_value(b)) from d left join g on g.r = d.r group by d.r),
+     kept as (select r, unhex(string_agg(hex(b[lo + 1 : hi]), '' order by lo)) as k from parts join d using (r) group by r),
+     n as (select r, sum(z - a) as n_removed, count(*) as n_spans from g group by r)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(k) as kept_sha256
+from d join kept using (r) left join n using (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_dedup": OP8_SQL, "op10_url_filter": _op10_sql()}
+    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_dedup": OP8_SQL, "op10_url_filter": _op10_sql(), "op11_suffix_dedup": OP11_SQL}

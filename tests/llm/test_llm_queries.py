@@ -14,11 +14,11 @@ def test_query_equals_its_sql(spark, sf_dir, name):
     same(spark, sf_dir, queries.queries()[name], queries.oracle_sql()[name])
 
 
-def test_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+def test_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 1 + len(queries.queries())))
 
 
-@pytest.mark.parametrize("name", ["op2_quality", "op4_sharding", "op5_simple8b", "op6_packing", "op7_toxicity", "op9_decontamination"])
+@pytest.mark.parametrize("name", ["op2_quality", "op4_sharding", "op5_simple8b", "op6_packing", "op7_toxicity", "op9_decontamination", "op11_suffix_dedup"])
 def test_query_covers_every_document(spark, sf_dir, name):
     rows = queries.queries()[name](spark, sf_dir)
     assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == {r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -48,7 +48,7 @@ def test_pipeline(spark, sf_dir):
         last[key] = max(last[key], r.doc_id)
     assert ids(after) == sorted(last.values())
     before, after = seen["near_dedup"]
-    assert ids(after) == sorted(set(brute([(r.doc_id, r.text) for r in before])[0].values()))
+    assert ids(after) == sorted(set(brute([(r.doc_id, r.text) for r in before], 80)[0].values()))
     before, after = seen["decontamination"]
     items = [r.text.lower() for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     leaking = {r.doc_id for r in before if any(i in r.text.lower() for i in items)}
