@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chosenpath, cotrain, crf, decontaminate, exact, packing, shards, simple8b, suffixes, urltree, warc
+from feedlens.llm import chosenpath, collocations, cotrain, crf, decontaminate, exact, packing, shards, simple8b, suffixes, urltree, warc
 from feedlens.llm.shared import scratch
 from feedlens.llm.tokens import tokenizer
 
@@ -73,8 +73,12 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans", "kept")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter, op11_suffix_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter, op11_suffix_dedup, op12_collocations)}
 
 
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -160,5 +164,23 @@ from d join kept using (r) left join n using (r)
 """
 
 
+OP12_SQL = f"""
+with d as (select coalesce(lang, 'und') as lang, unnest(regexp_extract_all({_ASCII_LOWER.format("text")}, '[^.,;:!?\x0A-\x0D]+')) as piece from documents),
+     p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from d),
+     o as (select lang, w, unnest(range(1, len(w) + 1)) as i from p),
+     g as (select lang, array_to_string(w[i : i + k - 1], ' ') as phrase, k, count(*) as f from o cross join range(1, 5) t(k) where i + k - 1 <= len(w) group by all),
+     t as (select lang, sum(f)::bigint as n from g where k = 1 group by 1),
+     c as (select lang, phrase, k, f, string_split(phrase, ' ') as w from g where k > 1 and f >= 30),
+     cuts as (select lang, phrase, w, f, unnest(range(1, k)) as h from c),
+     s as (select u.lang, u.phrase, u.f as a, h, x.f as l, y.f as r, ((2000000::hugeint * u.f) // (x.f + y.f))::bigint as score
+           from cuts u join g x on x.lang = u.lang and x.phrase = array_to_string(u.w[:h], ' ') join g y on y.lang = u.lang and y.phrase = array_to_string(u.w[h + 1 :], ' ')),
+     b as (select * from s qualify row_number() over (partition by lang, phrase order by score, h) = 1),
+     v as (select lang, array_to_string(w[i : i + m - 1], ' ') as phrase, max(f) as longer
+           from (select *, unnest(range(1, k - m + 2)) as i from (select *, unnest(range(2, k)) as m from c)) group by 1, 2)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+from b left join v using (lang, phrase) join t using (lang) where longer is null or 100::hugeint * longer < 80 * a qualify rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_dedup": OP8_SQL, "op10_url_filter": _op10_sql(), "op11_suffix_dedup": OP11_SQL}
+    return {"op12_collocations": OP12_SQL, "op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_dedup": OP8_SQL, "op10_url_filter": _op10_sql(), "op11_suffix_dedup": OP11_SQL}
