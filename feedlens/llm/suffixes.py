@@ -12,13 +12,16 @@ asked, so digits are taken in the order that settles most suffixes first, not fr
    gram, first by the bytes that all of a cell share, then by their hull.
 4. single suffixes of cells that are still mixed, through all `threshold` bytes.
 
-Each pass reads the text again and sends a few numbers a row. Which bundles a pass looks at is told by a bitmap of
-fixed size; it lets some through that are settled, which costs work and changes nothing. Hulls and windows are
-compared by 128 bits of BLAKE2b, texts by 128 bits of SHA-256.
+Each pass reads the text again and sends a few numbers a row. Of equal hulls only one goes on to the next digit, in
+the place of all: the others are settled, and it is there for those that share a part of it. Which bundles a pass
+looks at is told by bitmaps of fixed size, of mixed digits and of the places that go on; they let some through that
+are settled, which costs work and changes nothing. Hulls and windows are compared by 128 bits of BLAKE2b, texts by
+128 bits of SHA-256.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -43,8 +46,8 @@ class Params:
 BLOCK = 1 << 19
 #: Low bits of a hash that give way to its place in a block; a block and the window after it fit in.
 _PLACE = np.uint64((1 << 21) - 1)
-#: Hulls that a task remembers so as not to send one twice.
-SEEN = 200_000
+#: Bits of the bitmaps, as a power of two: 4 MB each.
+BITS = 25
 #: An odd multiplier, three more than a multiple of four, for each doubling of a gram.
 _STEPS = [np.uint64(0x9E3779B97F4A7C17 + 4 * 0x1234567 * k) for k in range(16)]
 
@@ -119,129 +122,144 @@ def text_id(data: bytes | memoryview) -> bytes:
     return hashlib.sha256(data).digest()[:16]
 
 
+class Block:
+    """The bundles of a block: key, place of the gram, first and last start; doc, start within its text, and id of the place."""
+
+    def __init__(self, raw, heads, own, p: Params):
+        self.raw, self.own, self.p = raw, own, p
+        self.key, self.gram, self.first, self.last = bundles(raw, heads[heads > 0], p)
+        self.doc = np.searchsorted(heads, self.first, side="right") - 1
+        self.start = self.first - heads[self.doc]
+
+    def ids(self, at: np.ndarray) -> list[bytes]:
+        return [self.own(d) for d in self.doc[at].tolist()]
+
+    def chosen(self, keys, places) -> list[int]:
+        """Bundles whose key and place the bitmaps let through."""
+        at = np.flatnonzero(in_filter(self.key, keys.value))
+        return at[in_filter(place_of(self.ids(at), self.start[at]), places.value)].tolist() if len(at) else []
+
+    def cells(self, b: int) -> list[tuple[int, int, int]]:
+        """(start of the bytes that a whole cell shares, first, last) of the cells of a bundle."""
+        gram, size = int(self.gram[b]), self.p.cell
+        low, high = gram - int(self.last[b]), gram - int(self.first[b])
+        return [(gram - c * size, gram - min(high, c * size + size - 1), gram - max(low, c * size)) for c in range(low // size, high // size + 1)]
+
+    def shared(self, view: memoryview, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """A hash of what the windows of each whole cell share."""
+        size = self.p.threshold - self.p.cell + 1
+        return np.frombuffer(b"".join(_digest(view, s, s + size) for s, _, _ in parts), dtype=np.uint64).reshape(-1, 2)[:, 0].copy()
+
+
+def place_of(ids: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """A number for each place in a text."""
+    own = np.frombuffer(b"".join(ids), dtype=np.uint64).reshape(-1, 2)[:, 0]
+    return mix(own + mix(starts.astype(np.uint64)))
+
+
 def _pieces(texts: DataFrame, p: Params, make, schema: str) -> DataFrame:
-    """Rows that make(block, places, keys, first, last, document numbers, ids) yields for each block of the one text column."""
+    """What make(block) yields for each block of the one text column."""
     def run(batches):
-        state: set = set()
         for batch in batches:
             data, offsets = buffers(batch.column(0))
-            ids: dict[int, bytes] = {}
-
-            def own(d: int) -> bytes:
-                if d not in ids:
-                    ids[d] = text_id(data[offsets[d] : offsets[d + 1]].tobytes())
-                return ids[d]
-
+            own = functools.cache(lambda d, data=data, offsets=offsets: text_id(data[offsets[d] : offsets[d + 1]].tobytes()))
             for raw, heads, i in blocks(data, offsets, p.threshold):
-                keys, place, first, last = bundles(raw, heads[heads > 0], p)
-                if len(keys):
-                    docs = np.searchsorted(heads, first, side="right") - 1
-                    yield from make(raw, place, keys, first, last, docs + i, first - heads[docs], own, state)
+                block = Block(raw, heads, lambda d, i=i, own=own: own(d + i), p)
+                if len(block.key):
+                    yield from make(block)
 
     return texts.mapInArrow(run, schema)
 
 
-def _fresh(state: set, digest: bytes) -> bool:
-    """Whether a task has not sent this hull lately."""
-    if digest in state:
-        return False
-    if len(state) >= SEEN:
-        state.clear()
-    state.add(digest)
-    return True
-
-
 def first_digits(texts: DataFrame, p: Params) -> DataFrame:
     """key, n: grams of bundles, counted within a block."""
-    def make(raw, place, keys, first, last, docs, starts, own, state):
-        found, n = np.unique(keys, return_counts=True)
+    def make(block: Block):
+        found, n = np.unique(block.key, return_counts=True)
         yield _frame([found.view(np.int64), n], "key n")
 
     return _pieces(texts, p, make, "key long, n long")
 
 
+_PIECES = "h1 long, h2 long, t1 long, t2 long, start long, windows long, place long"
+
+
 def hulls(texts: DataFrame, p: Params, live) -> DataFrame:
-    """key, hull, text, start, windows: bundles whose gram may be repeated."""
-    def make(raw, place, keys, first, last, docs, starts, own, state):
-        at = np.flatnonzero(in_filter(keys, live.value))
+    """key, hull, text, start, windows, place: bundles whose gram may be repeated."""
+    def make(block: Block):
+        at = np.flatnonzero(in_filter(block.key, live.value))
         if len(at):
-            view = memoryview(raw.tobytes())
-            digests = [_digest(view, a, b + p.threshold) for a, b in zip(first[at].tolist(), last[at].tolist(), strict=True)]
-            yield _frame([keys[at].view(np.int64), digests, [own(d) for d in docs[at].tolist()], starts[at], (last - first + 1)[at]], "key h* t* start windows")
-
-    return _pieces(texts, p, make, "key long, h1 long, h2 long, t1 long, t2 long, start long, windows long")
-
-
-def _cells(place: int, first: int, last: int, size: int) -> Iterator[tuple[int, int, int]]:
-    """(start of the bytes that a whole cell shares, first, last) of the cells of a bundle."""
-    low, high = place - last, place - first
-    for c in range(low // size, high // size + 1):
-        yield place - c * size, place - min(high, c * size + size - 1), place - max(low, c * size)
-
-
-def cells(texts: DataFrame, p: Params, live) -> DataFrame:
-    """key, hull, text, start, windows of the cells of bundles whose gram may be mixed; key is the digit that a cell's windows share."""
-    def make(raw, place, keys, first, last, docs, starts, own, state):
-        view, out = memoryview(raw.tobytes()), ([], [], [], [], [])
-        for b in np.flatnonzero(in_filter(keys, live.value)).tolist():
-            if _fresh(state, _digest(view, first[b], last[b] + p.threshold)):
-                for shared, a, z in _cells(int(place[b]), int(first[b]), int(last[b]), p.cell):
-                    out[0].append(_digest(view, shared, shared + p.threshold - p.cell + 1))
-                    out[1].append(_digest(view, a, z + p.threshold))
-                    out[2].append(own(int(docs[b])))
-                    out[3].append(int(starts[b]) + a - int(first[b]))
-                    out[4].append(z - a + 1)
+            view, ids = memoryview(block.raw.tobytes()), block.ids(at)
+            digests = [_digest(view, a, z + p.threshold) for a, z in zip(block.first[at].tolist(), block.last[at].tolist(), strict=True)]
+            yield _frame([block.key[at].view(np.int64), digests, ids, block.start[at], (block.last - block.first + 1)[at], place_of(ids, block.start[at]).view(np.int64)], "key h* t* start windows place")
+
+    return _pieces(texts, p, make, f"key long, {_PIECES}")
+
+
+def cells(texts: DataFrame, p: Params, keys, places) -> DataFrame:
+    """As hulls, of the cells of the bundles that the bitmaps let through; key is the digit that the windows of a cell share."""
+    def make(block: Block):
+        view, out, shared = memoryview(block.raw.tobytes()), ([], [], [], []), []
+        for b in block.chosen(keys, places):
+            parts = block.cells(b)
+            shared.append(block.shared(view, parts))
+            for _, a, z in parts:
+                for values, x in zip(out, (_digest(view, a, z + p.threshold), block.own(int(block.doc[b])), int(block.start[b] - block.first[b]) + a, z - a + 1), strict=True):
+                    values.append(x)
+        if shared:
+            yield _frame([np.concatenate(shared).view(np.int64), *out, place_of(out[1], np.array(out[2])).view(np.int64)], "key h* t* start windows place")
+
+    return _pieces(texts, p, make, f"key long, {_PIECES}")
+
+
+def windows(texts: DataFrame, p: Params, keys, places, cell_keys, cell_places) -> DataFrame:
+    """As hulls, without a key, of each window of the cells that the bitmaps let through."""
+    def make(block: Block):
+        view, out = memoryview(block.raw.tobytes()), ([], [], [], [])
+        for b in block.chosen(keys, places):
+            parts, own, shift = block.cells(b), block.own(int(block.doc[b])), int(block.start[b] - block.first[b])
+            some = in_filter(block.shared(view, parts), cell_keys.value) & in_filter(place_of([own] * len(parts), np.array([a + shift for _, a, _ in parts])), cell_places.value)
+            for k in np.flatnonzero(some).tolist():
+                for s in range(parts[k][1], parts[k][2] + 1):
+                    for values, x in zip(out, (_digest(view, s, s + p.threshold), own, s + shift, 1), strict=True):
+                        values.append(x)
         if out[0]:
-            out[0][:] = np.frombuffer(b"".join(out[0]), dtype=np.int64).reshape(-1, 2)[:, 0].tolist()
-            yield _frame(out, "key h* t* start windows")
-
-    return _pieces(texts, p, make, "key long, h1 long, h2 long, t1 long, t2 long, start long, windows long")
-
-
-def windows(texts: DataFrame, p: Params, live, mixed) -> DataFrame:
-    """hull, text, start, windows (1): the suffixes of cells that may be mixed. live: the filter of cells(), mixed: that of their keys."""
-    def make(raw, place, keys, first, last, docs, starts, own, state):
-        view, out = memoryview(raw.tobytes()), ([], [], [], [])
-        for b in np.flatnonzero(in_filter(keys, live.value)).tolist():
-            parts = list(_cells(int(place[b]), int(first[b]), int(last[b]), p.cell))
-            shared = np.frombuffer(b"".join(_digest(view, s, s + p.threshold - p.cell + 1) for s, _, _ in parts), dtype=np.uint64).reshape(-1, 2)[:, 0]
-            for (_, a, z), some in zip(parts, in_filter(np.ascontiguousarray(shared), mixed.value), strict=True):
-                if some and _fresh(state, _digest(view, a, z + p.threshold)):
-                    for s in range(a, z + 1):
-                        out[0].append(_digest(view, s, s + p.threshold))
-                        out[1].append(own(int(docs[b])))
-                        out[2].append(int(starts[b]) + s - int(first[b]))
-                        out[3].append(1)
-        if out[0]:
-            yield _frame(out, "h* t* start windows")
+            yield _frame([*out, out[3]], "h* t* start windows place")
 
-    return _pieces(texts, p, make, "h1 long, h2 long, t1 long, t2 long, start long, windows long")
+    return _pieces(texts, p, make, _PIECES)
 
 
-def _repeated(pieces: DataFrame) -> DataFrame:
-    """text, start, windows of the pieces whose hull occurs more than once."""
-    twice = pieces.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("h1").alias("_1"), F.col("h2").alias("_2"))
-    return pieces.join(twice, (pieces["h1"] == twice["_1"]) & (pieces["h2"] == twice["_2"]), "left_semi").select("t1", "t2", "start", "windows")
+def _bitmap(keys: DataFrame):
+    return keys.sparkSession.sparkContext.broadcast(bit_filter(keys, BITS))
+
 
+def _kinds(pieces: DataFrame, name: str) -> DataFrame:
+    """h1, h2, n, place: each hull, how often it occurs, and the place that goes on for it."""
+    return saved(pieces.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")), name)
 
-def _mixed(pieces: DataFrame) -> DataFrame:
-    """Keys of pieces with more than one hull."""
-    return pieces.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a < b or c < d").select("key")
 
+def _next(pieces: DataFrame, kinds: DataFrame) -> tuple:
+    """Bitmaps of what the next digit is for: mixed keys, and a place of each hull."""
+    mixed = pieces.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a < b or c < d")
+    return _bitmap(mixed.select("key")), _bitmap(kinds.select("place"))
 
-def _filter(keys: DataFrame):
-    return keys.sparkSession.sparkContext.broadcast(bit_filter(keys.select("key")))
+
+def _repeated(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
+    """text, start, windows of the pieces whose hull occurs more than once."""
+    twice = kinds.where("n > 1").select(F.col("h1").alias("_1"), F.col("h2").alias("_2"))
+    maybe = pieces.where(may_hold(twice.select("_1"), pieces["h1"]))
+    return maybe.join(twice, (maybe["h1"] == twice["_1"]) & (maybe["h2"] == twice["_2"]), "left_semi").select("t1", "t2", "start", "windows")
 
 
 def spans(texts: DataFrame, p: Params = Params()) -> DataFrame:
     """t1, t2, start, windows of one binary column of texts: repeated windows start at the `windows` places from start of the text t1, t2."""
-    live = _filter(first_digits(texts, p).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    live = _bitmap(first_digits(texts, p).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     whole = saved(hulls(texts, p, live), "suffix-hulls")
-    first = _filter(_mixed(whole))
-    cut = saved(cells(texts, p, first), "suffix-cells")
-    second = _filter(_mixed(cut))
-    single = saved(windows(texts, p, first, second), "suffix-windows")
-    return _repeated(whole).unionAll(_repeated(cut)).unionAll(_repeated(single))
+    whole_kinds = _kinds(whole, "suffix-hull-kinds")
+    first = _next(whole, whole_kinds)
+    cut = saved(cells(texts, p, *first), "suffix-cells")
+    cut_kinds = _kinds(cut, "suffix-cell-kinds")
+    single = saved(windows(texts, p, *first, *_next(cut, cut_kinds)), "suffix-windows")
+    return _repeated(whole, whole_kinds).unionAll(_repeated(cut, cut_kinds)).unionAll(_repeated(single, _kinds(single, "suffix-window-kinds")))
 
 
 def merged(starts: np.ndarray, counts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -268,8 +286,7 @@ def removed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
-    found = spans(rows.select("data"), p).distinct()
-    found = saved(found.groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "windows")).alias("places")), "suffix-spans")
+    found = saved(spans(rows.select("data"), p).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "windows")).alias("places")), "suffix-spans")
     rows = rows.withColumn("sha", F.sha2("data", 256))
     rows = rows.withColumns({"u1": _long(F.col("sha"), 1), "u2": _long(F.col("sha"), 17)})
     rows = rows.withColumn("maybe", may_hold(found.select("t1"), F.col("u1")))
