@@ -93,9 +93,9 @@ def bit_filter(hashes: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
         at = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(out[at].astype(np.int32), pa.int32())], ["at", "bits"])
 
-    rows = hashes.mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toPandas()  # one row per byte at most
+    rows = hashes.mapInArrow(run, "at int, bits int").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # one row per byte at most
     out = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    out[rows["at"].to_numpy(dtype=np.int64)] = rows["bits"].to_numpy(dtype=np.uint8)
+    out[rows["at"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint8)
     return out
 
 
