@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedlens.llm import chosenpath, collocations, cotrain, crf, decontaminate, exact, packing, shards, simple8b, suffixes, urltree, warc
+from feedlens.llm import chosenpath, collocations, cotrain, crf, decontaminate, exact, lexical, packing, shards, simple8b, suffixes, urltree, warc
 from feedlens.llm.shared import scratch
 from feedlens.llm.tokens import tokenizer
 
@@ -77,8 +77,14 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "lexical")
+    lexical.write(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return lexical.search(spark, path, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter, op11_suffix_dedup, op12_collocations)}
+    return {f.__name__: f for f in (op1_warc, op2_quality, op3_exact_dedup, op4_sharding, op5_simple8b, op6_packing, op7_toxicity, op8_near_dedup, op9_decontamination, op10_url_filter, op11_suffix_dedup, op12_collocations, op13_lexical_search)}
 
 
 _ASCII_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -182,5 +188,22 @@ from b left join v using (lang, phrase) join t using (lang) where longer is null
 """
 
 
+_TERMS = "regexp_extract_all(" + _ASCII_LOWER + ", '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP13_SQL = f"""
+with d as (select row_number() over () as r, doc_id, {_TERMS.format("text")} as w from documents),
+     s as (select count(*) filter (len(w) > 0) as big_n, sum(len(w))::bigint as big_l from d),
+     t as (select r, term, count(*) as tf from (select r, unnest(w) as term from d) group by all),
+     b as (select row_number() over () as q, item_id, {_TERMS.format("text")} as w from benchmark),
+     i as (select distinct q, item_id, unnest(w) as term from b),
+     f as (select term, count(*) as df from t where term in (select term from i) group by 1),
+     v as (select term, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::bigint as weight from f, s),
+     m as (select r, doc_id, 50 + (50 * len(w) * big_n) // big_l as m from d, s where big_l > 0),
+     x as (select q, item_id, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint as score
+           from i join v using (term) join t using (term) join m using (r) group by all having sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m))) > 0)
+select item_id, (row_number() over (partition by q order by score desc, doc_id, r))::int as rank, doc_id, score from x qualify rank <= 50
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op12_collocations": OP12_SQL, "op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_dedup": OP8_SQL, "op10_url_filter": _op10_sql(), "op11_suffix_dedup": OP11_SQL}
+    return {"op13_lexical_search": OP13_SQL, "op12_collocations": OP12_SQL, "op1_warc": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op8_near_dedup": OP8_SQL, "op10_url_filter": _op10_sql(), "op11_suffix_dedup": OP11_SQL}
