@@ -61,35 +61,37 @@ def main(argv: list[str] | None = None) -> int:
     test = LineFilter.of(options.filter, options.flags, options.db)
     if options.debug:
         print(test, file=sys.stderr)
-    from pyspark.sql import SparkSession
-    from pyspark.sql import functions as F
+    from pyspark.sql import Observation, SparkSession
 
     from feedlens.engine import Feed
     from feedlens.operators import stats as S
+    from feedlens.sources import sink
 
     spark = SparkSession.builder.appName("feedlens").getOrCreate()
     if options.stdin:
         feed = Feed.read(spark, _spooled(spark) if options.stdin == "-" else options.stdin)
-        counts = S.counters(feed.lines, test.column(metadata=False)).first()
-        feed = feed.filter(options.filter, options.flags, options.db)
+        seen = Observation("io")
+        kept = feed.filter(options.filter, options.flags, options.db, seen)
         if options.stats:
-            print(*(r[0] for r in S.as_text(feed.stats()).collect()), sep="\n", file=sys.stderr)
-        shown = feed.render(options.output, options.format)
-        if options.out:
-            serializers.write(shown, options.out, options.output)
+            print(*(r[0] for r in S.as_text(feed.filter(options.filter, options.flags, options.db).stats()).collect()), sep="\n", file=sys.stderr)
+        if options.out:  # one pass writes records and dead letters and counts
+            kept.save(options.out, options.output, options.format)
+            counts = seen.get
         else:
-            for row in shown.select("value").toLocalIterator():
-                sys.stdout.buffer.write(bytes(row[0]) + (b"" if options.output == "resp" else b"\n"))
-        rejects = feed.rejects(structured=options.output != "plain")
-        if options.out:
-            rejects.select("seq", F.base64("line").alias("line"), "error", "message").write.json(f"{options.out}-rejects")
-        for row in rejects.select("message").toLocalIterator():
-            print(row.message, file=sys.stderr)
+            counts = S.counters(feed.lines, test.column(metadata=False)).first().asDict()
+            shown = sink.outcome(feed.filter(options.filter, options.flags, options.db).parse(), options.output, options.format)
+            for row in shown.select("value", "message").toLocalIterator():
+                if row.value is None:
+                    print(row.message, file=sys.stderr)
+                else:
+                    sys.stdout.buffer.write(bytes(row.value) + sink.ENDS[options.output])
+            sys.stdout.flush()
         print(S.report(counts["total"], counts["filtered"]), file=sys.stderr)
         return 0
     from feedlens.operators import metadata, topology
     from feedlens.sources import live
     from feedlens.streaming import feed as streams
+    from feedlens.streaming.counters import Totals
 
     tls = config.Tls(options.insecure, options.tls_ca, options.tls_cert, options.tls_key) if options.tls else None
     found = config.sources(options.instances, config.load(options.config_file), options.user, options.password, tls)
@@ -104,22 +106,27 @@ def main(argv: list[str] | None = None) -> int:
     print("MONITOR: " + ", ".join(s.address.text for s in found), file=sys.stderr)
     spark.dataSource.register(live.FeedSource)
     reader = spark.readStream.format("command_feed").option("addresses", ",".join(s.address.text for s in found)).option("names", ",".join(s.name or "" for s in found))
-    reader = reader.option("logins", json.dumps([login(s) for s in found]))
-    feed = Feed(reader.load())
+    if not options.out:
+        raise SystemExit("a live feed needs --out: a folder for output, capture and checkpoints")
+    capture = f"{options.out}/_capture"
+    feed = Feed(reader.option("logins", json.dumps([login(s) for s in found])).option("capture", capture).load())
     if test.needs_metadata:
         replies = [(s.address.text, reply) for s in found for (reply,) in live.command_rows(s.address.text, **login(s))]
         feed = feed.with_commands(metadata.commands_by_source(spark.createDataFrame(replies, "source_id string, reply string")))
-    lines = feed.filter(options.filter, options.flags, options.db).lines
-    if not options.out:
-        raise SystemExit("a live feed needs --out: a folder for output and checkpoints")
-    queries = [streams.render_query(lines, f"{options.out}/lines", f"{options.out}/_render", options.output, options.format or (formats.MULTI if len(found) > 1 else formats.SINGLE), once=False)]
-    if options.stats:
-        queries.append(streams.stats_query(lines, lambda b, n: print(*(r[0] for r in S.as_text(b).collect()), sep="\n", file=sys.stderr), f"{options.out}/_stats", options.stats))
-    try:
-        queries[0].awaitTermination()
-    except KeyboardInterrupt:
-        for q in queries:
-            q.stop()
+    wanted = options.filter, options.flags, options.db
+    with Totals(spark) as totals:
+        lines = feed.filter(*wanted, seen=totals.name).lines
+        queries = [streams.render_query(lines, f"{options.out}/lines", f"{options.out}/_render", options.output, options.format or (formats.MULTI if len(found) > 1 else formats.SINGLE), once=False)]
+        if options.stats:  # over what the first query captures: one connection a source
+            again = dataclasses.replace(feed, lines=live.follow(spark, capture)).filter(*wanted).lines
+            queries.append(streams.stats_query(again, lambda b, n: print(*(r[0] for r in S.as_text(b).collect()), sep="\n", file=sys.stderr), f"{options.out}/_stats", options.stats))
+        try:
+            queries[0].awaitTermination()
+        except KeyboardInterrupt:
+            for q in queries:
+                q.stop()
+        finally:
+            print(totals.report(queries[0].id, live.stalls(spark, capture)), file=sys.stderr)
     return 0
 
 

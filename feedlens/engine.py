@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from feedlens.operators import metadata, stats
 from feedlens.operators.parse import parse, rejected, without_replies
 from feedlens.plans import formats, serializers
 from feedlens.plans.filters import LineFilter
-from feedlens.sources import text
+from feedlens.sources import sink, text
 
 
 @dataclass(frozen=True)
@@ -33,14 +33,14 @@ class Feed:
     def with_commands(self, table: DataFrame) -> Feed:
         return replace(self, commands=table)
 
-    def filter(self, patterns: list[str] = (), flags: list[str] = (), db: int | None = None) -> Feed:
-        """Lines that pass; the command table is only joined where flags ask for it."""
+    def filter(self, patterns: list[str] = (), flags: list[str] = (), db: int | None = None, seen: str | Observation | None = None) -> Feed:
+        """Lines that pass; the command table is only joined where flags ask for it. `seen` counts all lines on the way, as stats.counted() does."""
         f = LineFilter.of(list(patterns), list(flags), db)
-        if f.empty:
+        if f.empty and seen is None:
             return self
         join = f.needs_metadata and self.commands is not None
         rows = metadata.lookup(self.lines, self.commands, ["source_id"] if "source_id" in self.commands.columns else None) if join else self.lines
-        rows = rows.where(f.column(metadata=join))
+        rows = rows.where(f.column(metadata=join)) if seen is None else stats.counted(rows, f.column(metadata=join), seen)
         return replace(self, lines=rows.drop("cmd_flags", "cmd_categories") if join else rows)
 
     def stats(self, exact: bool = True) -> DataFrame:
@@ -57,6 +57,13 @@ class Feed:
             format = formats.MULTI if self.many else formats.SINGLE
         return serializers.render(self.parse(), kind, format)
 
+    def save(self, path: str, kind: str = "plain", format: str | None = None, mode: str = "append") -> None:
+        """Records below path and dead letters below path-rejects, in one pass."""
+        self.lines.sparkSession.dataSource.register(sink.FeedOutput)
+        if format is None:
+            format = formats.MULTI if self.many else formats.SINGLE
+        sink.outcome(self.parse(), kind, format).write.format("feed_output").option("kind", kind).mode(mode).save(path)
+
     def register(self, spark: SparkSession) -> None:
         """Temp views raw_lines, parsed_lines and, if known, commands."""
         self.lines.createOrReplaceTempView("raw_lines")

@@ -56,9 +56,14 @@ def accepted(parsed: DataFrame, structured: bool = False) -> DataFrame:
     return parsed.where(F.col("args_ok") if structured else F.col("ok"))
 
 
-def rejected(parsed: DataFrame, structured: bool = False) -> DataFrame:
-    """Dead letters: message and error of the lines that an output does not take."""
+def dead_letters(parsed: DataFrame, structured: bool = False) -> DataFrame:
+    """All lines, with message and error of those that an output does not take, null for the others."""
     bad = ~F.col("args_ok") if structured else ~F.col("ok")
-    error = F.coalesce("error", F.lit("arguments"))
+    error = F.when(bad, F.coalesce("error", F.lit("arguments")))
     text = L.lossy(L.chars(F.coalesce(F.col("line"), F.lit(b""))))
-    return parsed.where(bad).withColumn("error", error).withColumn("message", F.concat(F.lit("Failed to parse line '"), text, F.lit("' ("), error, F.lit(")")))
+    return parsed.withColumn("error", error).withColumn("message", F.when(F.col("error").isNotNull(), F.concat(F.lit("Failed to parse line '"), text, F.lit("' ("), F.col("error"), F.lit(")"))))
+
+
+def rejected(parsed: DataFrame, structured: bool = False) -> DataFrame:
+    """Dead letters: message and error of the lines that an output does not take."""
+    return dead_letters(parsed.where(~F.col("args_ok") if structured else ~F.col("ok")), structured)

@@ -59,10 +59,13 @@ def counters(lines: DataFrame, keep: Column) -> DataFrame:
     return lines.agg(F.count(F.lit(1)).alias("total"), F.count_if(~keep).alias("filtered"))
 
 
-def observed(lines: DataFrame, keep: Column, name: str = "io") -> tuple[DataFrame, Observation]:
-    """The lines that pass, with exact counters of the run for when it ends."""
-    seen = Observation(name)
-    return lines.withColumn("_keep", keep).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(~F.col("_keep")).alias("filtered")).where("_keep").drop("_keep"), seen
+def counted(lines: DataFrame, keep: Column, name: str | Observation = "io") -> DataFrame:
+    """The lines that pass; the counters of all come with the action, without another scan.
+
+    A batch takes an Observation, which has them when the action has ended; a stream a name, under which the
+    progress of each micro-batch has them.
+    """
+    return lines.withColumn("_keep", keep).observe(name, F.count(F.lit(1)).alias("total"), F.count_if(~F.col("_keep")).alias("filtered")).where("_keep").drop("_keep")
 
 
 def report(total: int, filtered: int, stalls: int = 0) -> str:

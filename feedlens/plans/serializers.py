@@ -60,14 +60,24 @@ def resp_value() -> Column:
     return L.to_bytes(F.concat(F.lit("*"), (F.size("args") + 1).cast("string"), F.lit("\r\n"), each))
 
 
+def _value(kind: str, format: str | None) -> Column:
+    return {"plain": lambda: formats.render(formats.SINGLE if format is None else format), "json": json_value, "csv": csv_value, "php": php_value, "resp": resp_value}[kind]()
+
+
+def _args_once(rows: DataFrame, kind: str) -> DataFrame:
+    return rows if kind == "plain" else once(rows.withColumnRenamed("args", "_args"), "args", F.col("_args")).drop("_args")
+
+
 def render(parsed: DataFrame, kind: str = "plain", format: str | None = None) -> DataFrame:
     """Accepted lines with `value`; plain takes any tail, the others need well-formed arguments."""
     kind = kind_of(kind)
-    value = {"plain": lambda: formats.render(formats.SINGLE if format is None else format), "json": json_value, "csv": csv_value, "php": php_value, "resp": resp_value}[kind]()
-    rows = accepted(parsed, structured=kind != "plain")
-    if kind != "plain":
-        rows = once(rows.withColumnRenamed("args", "_args"), "args", F.col("_args")).drop("_args")
-    return rows.withColumn("value", value)
+    return _args_once(accepted(parsed, structured=kind != "plain"), kind).withColumn("value", _value(kind, format))
+
+
+def values(parsed: DataFrame, kind: str = "plain", format: str | None = None) -> DataFrame:
+    """All lines with `value`, null for those that the kind does not take."""
+    kind = kind_of(kind)
+    return _args_once(parsed, kind).withColumn("value", F.when(F.col("ok" if kind == "plain" else "args_ok"), _value(kind, format)))
 
 
 def write(rendered: DataFrame, path: str, kind: str = "plain", mode: str = "errorifexists") -> None:

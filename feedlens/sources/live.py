@@ -1,118 +1,37 @@
-"""Live feeds as a streaming source, by Spark's Python data source API.
+"""Live feeds as a replayable streaming source, by Spark's Python data source API.
 
-A feed cannot be read twice, so delivery is at most once across reconnects. Each source is a partition of its
-own; a micro-batch reads what arrives within a deadline. A worker keeps its connection for the next batch; where
-that batch is read by another worker, lines that came between the two are lost and none comes twice. Capture the
-stream to files where a replay matters.
+A server's feed cannot be read twice, so what is read is captured first. Each source is a partition of its own.
+Its connection belongs to a receiver, a process beside the workers that holds a bounded number of lines
+(feedlens.sources.receiver). The first read of a batch takes lines from there, up to a deadline or the batch's
+bounds, and writes them as Parquet to the capture folder; a file `done.json` makes them the batch, for good. Every
+later action on the batch, and every retry of it, reads the capture. The receiver lets go of lines once a later
+batch says that they were captured, so a task that dies on the way loses none.
+
+A receiver that is lost with its machine takes what it held and what came until the next one with it: a feed has
+no memory. A full receiver stops reading, which the server sees; each time counts as a stall.
 """
 
 from __future__ import annotations
 
 import json
-import random
+import os
 import socket
-import ssl
-import threading
+import subprocess
+import sys
 import time
+import uuid
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-SCHEMA = "source_id string, server struct<kind:string,host:string,port:int,path:string,ip:string>, name string, seq bigint, line binary"
-
-
-def request(*parts: str | bytes) -> bytes:
-    """A request as an array of bulk strings."""
-    if not parts:
-        raise ValueError("an empty request")
-    body = [p.encode() if isinstance(p, str) else p for p in parts]
-    return b"*%d\r\n" % len(body) + b"".join(b"$%d\r\n%s\r\n" % (len(p), p) for p in body)
-
-
-def backoff(retries: int, rng=random) -> float:
-    """Seconds to wait: 50 ms doubled per retry with jitter, a second at most."""
-    return min(1.0, 0.05 * 2 ** (min(retries, 6) + rng.choice((0, 1, 2))))
-
-
-def frame(line: bytes) -> bytes:
-    """A line without one line end and one leading plus."""
-    return line.removesuffix(b"\n").removesuffix(b"\r").removeprefix(b"+")
-
+from feedlens.sources import receiver
+from feedlens.sources.connection import Feed, backoff, frame, request  # noqa: F401  (also names of this module)
+from feedlens.sources.files import Folder
 
-class Feed:
-    """One connection: handshake, then lines. What follows a reply in the same packet is kept."""
-
-    def __init__(self, address: str, user: str | None = None, password: str | None = None, tls: dict | None = None, timeout: float = 5.0, monitor: bool = True):
-        from feedlens.sources.config import Address
-
-        self.address = Address.parse(address)
-        self.held, self.closed = b"", False
-        if self.address.kind == "unix":
-            self.socket = socket.socket(socket.AF_UNIX)
-            self.socket.settimeout(timeout)
-            self.socket.connect(self.address.path)
-        else:
-            self.socket = socket.create_connection((self.address.host, self.address.port), timeout)
-            if tls is not None:
-                self.socket = context(**tls).wrap_socket(self.socket, server_hostname=self.address.host)
-        if password is not None:
-            self.ask("AUTH", *([user] if user is not None else []), password)
-        if monitor:
-            self.ask("MONITOR")
-
-    def close(self) -> None:
-        self.closed = True
-        self.socket.close()
-
-    def ask(self, *parts: str) -> bytes:
-        self.socket.sendall(request(*parts))
-        reply = next(self.lines(time.monotonic() + 5), None)
-        if reply is None or not reply.startswith(b"+"):
-            raise ConnectionError(f"{parts[0]} failed: {reply!r}")
-        return reply
-
-    def query(self, *parts: str):
-        """One request and its whole reply: bytes, str (simple), int, None or a list of those."""
-        self.socket.sendall(request(*parts))
-        return self._reply()
-
-    def _reply(self):
-        line = next(self.lines(time.monotonic() + 5), None)
-        if line is None:
-            raise ConnectionError("no reply")
-        kind, rest = line[:1], line[1:].rstrip(b"\r\n")
-        if kind == b"-":
-            raise ConnectionError(rest.decode(errors="replace"))
-        if kind == b"*":
-            return [self._reply() for _ in range(int(rest))]
-        if kind == b"$":
-            size = int(rest)
-            while size >= 0 and len(self.held) < size + 2:
-                if not (more := self.socket.recv(1 << 16)):
-                    raise ConnectionError("the reply ended early")
-                self.held += more
-            value, self.held = (self.held[:size], self.held[size + 2 :]) if size >= 0 else (None, self.held)
-            return value
-        return int(rest) if kind == b":" else rest.decode(errors="replace")
-
-    def lines(self, deadline: float) -> Iterator[bytes]:
-        """Whole lines, with their first sign, until the deadline or the end of the feed."""
-        while True:
-            while (end := self.held.find(b"\n")) >= 0:
-                line, self.held = self.held[: end + 1], self.held[end + 1 :]
-                yield line
-            left = deadline - time.monotonic()
-            if left <= 0:
-                return
-            self.socket.settimeout(left)
-            try:
-                more = self.socket.recv(1 << 16)
-            except TimeoutError:
-                return
-            if not more:
-                raise ConnectionError("the feed ended")
-            self.held += more
+SCHEMA = "source_id string, server struct<kind:string,host:string,port:int,path:string,ip:string>, name string, seq bigint, line binary"
+FACTS = "source int, batch bigint, lines bigint, bytes bigint, last bigint, stalls bigint, stalled_seconds double, connections bigint, receiver string"
 
 
 def _plain(value):
@@ -122,7 +41,8 @@ def _plain(value):
 
 def command_rows(address: str, **login) -> list[tuple[str]]:
     """Rows (reply) for operators.metadata.commands(): what a server says of its commands."""
-    return [(json.dumps(_plain(row)),) for row in Feed(address, monitor=False, **login).query("COMMAND")]
+    with Feed(address, monitor=False, **login) as feed:
+        return [(json.dumps(_plain(row)),) for row in feed.query("COMMAND")]
 
 
 def slot_rows(seeds: list[str], **login) -> list[tuple]:
@@ -130,65 +50,67 @@ def slot_rows(seeds: list[str], **login) -> list[tuple]:
     error: Exception = ValueError("no seeds")
     for seed in seeds:
         try:
-            reply = _plain(Feed(seed, monitor=False, **login).query("CLUSTER", "SLOTS"))
+            with Feed(seed, monitor=False, **login) as feed:
+                reply = _plain(feed.query("CLUSTER", "SLOTS"))
             return [(r[0], r[1], [(n[0], n[1], n[2]) for n in r[2:] if isinstance(n, list) and len(n) >= 3]) for r in reply if isinstance(r, list) and len(r) >= 3]
         except (OSError, ValueError) as e:
             error = e
     raise error
 
 
-def context(insecure: bool = False, ca: str | None = None, cert: str | None = None, key: str | None = None) -> ssl.SSLContext:
-    out = ssl.create_default_context(cafile=ca)
-    if insecure:
-        out.check_hostname, out.verify_mode = False, ssl.CERT_NONE
-    if cert:
-        out.load_cert_chain(cert, key)
-    return out
-
-
 class Slice(InputPartition):
     def __init__(self, source: int, start: int, batch: int):
         self.source, self.start, self.batch = source, start, batch
 
 
-#: Connections that a Python worker keeps for the next micro-batch: feed, batch it was last read in, timer that closes it.
-_OPEN: dict[tuple, tuple[Feed, int, threading.Timer]] = {}
-_LOCK = threading.Lock()
+class Capture:
+    """The batches of one source: source=i/batch=n/lines-x.parquet, and done.json, which names the file that counts."""
 
+    def __init__(self, path: str, source: int):
+        self.folder, self.source = Folder(f"{path.rstrip('/')}/source={source}"), source
 
-def _take(key: tuple, start: int) -> Feed | None:
-    """The connection kept under `key`, if it was read in the batch that ended at `start`.
+    def done(self, batch: int) -> dict | None:
+        return self.folder.read_json(f"batch={batch}/done.json")
 
-    An older one is closed: another worker has read this source since, so what it holds was delivered already.
-    """
-    with _LOCK:
-        feed, last, timer = _OPEN.pop(key, (None, None, None))
-    if feed is None:
-        return None
-    timer.cancel()
-    if last == start and not feed.closed:
-        return feed
-    feed.close()
-    return None
-
-
-def _keep(key: tuple, feed: Feed, batch: int, idle: float) -> None:
-    """Keep a connection for the next batch; it is closed if that is read elsewhere, so that the server's buffer does not grow."""
-    def expire() -> None:
-        with _LOCK:
-            if _OPEN.get(key, (None,))[0] is feed:
-                del _OPEN[key]
-        feed.close()
-
-    timer = threading.Timer(idle, expire)
-    timer.daemon = True
-    with _LOCK:
-        _OPEN[key] = (feed, batch, timer)
-    timer.start()
+    def write(self, batch: int, table, facts: dict) -> dict:
+        """Add a batch; one that is there already stays."""
+        import pyarrow.parquet as pq
+
+        name = f"lines-{uuid.uuid4().hex}.parquet"
+        with self.folder.create(f"batch={batch}/{name}") as out:  # not seen by other readers before it is whole
+            pq.write_table(table, out)
+        facts = {"source": self.source, "batch": batch, "file": name} | facts
+        if not self.folder.claim(f"batch={batch}/done.json", facts):
+            self.folder.remove(f"batch={batch}/{name}")
+            return self.done(batch)
+        return facts
+
+    def read(self, done: dict) -> Iterator:
+        import pyarrow.parquet as pq
+
+        with self.folder.open(f"batch={done['batch']}/{done['file']}") as file:
+            yield from pq.ParquetFile(file).iter_batches(10_000)
+
+    def purge(self, keep: int) -> None:
+        """Forget all but the last `keep` batches."""
+        numbers = sorted(int(n.removeprefix("batch=")) for n in self.folder.names() if n.startswith("batch="))
+        for n in numbers[: max(0, len(numbers) - keep)]:
+            self.folder.remove(f"batch={n}")
 
 
 class FeedReader(DataSourceStreamReader):
+    """Options: addresses, names, logins (or user, password, tls...); capture, a folder that all machines share;
+
+    batch_seconds, max_lines, max_bytes (of a batch and source); buffer_lines, buffer_bytes (of a receiver);
+    retries (failed connections in a row that end the query), idle_seconds (after which a receiver that nobody asks
+    ends), retain (batches that stay in the capture, or `all`), receiver_host (where receivers listen; with an
+    address that other machines reach, they share one connection too).
+    """
+
     def __init__(self, options: dict):
+        if not options.get("capture"):
+            raise ValueError("a live feed needs the option capture: a folder for what was read, which all machines share")
+        self.capture = options["capture"]
         self.addresses = [a.strip() for a in options.get("addresses", "localhost:6379").split(",") if a.strip()]
         self.names = [n.strip() or None for n in options.get("names", "").split(",")] if options.get("names") else [None] * len(self.addresses)
         tls = {k: v for k, v in {"insecure": options.get("insecure", "false").lower() == "true", "ca": options.get("tls_ca"), "cert": options.get("tls_cert"), "key": options.get("tls_key")}.items() if v} if options.get("tls", "false").lower() == "true" else None
@@ -196,15 +118,20 @@ class FeedReader(DataSourceStreamReader):
         # One login a source, as JSON; null means the common one.
         self.logins = [x or common for x in json.loads(options["logins"])] if options.get("logins") else [common] * len(self.addresses)
         self.seconds = float(options.get("batch_seconds", "1"))
-        self.idle = float(options.get("idle_seconds", str(max(5.0, 5 * self.seconds))))
+        self.idle = float(options.get("idle_seconds", str(max(30.0, 10 * self.seconds))))
         self.retries = int(options.get("retries", "8"))
+        self.most = int(options.get("max_lines", "65536")), int(options.get("max_bytes", str(16 << 20)))
+        self.held = int(options.get("buffer_lines", "81920")), int(options.get("buffer_bytes", str(64 << 20)))
+        self.retain = options.get("retain", "1000")
+        self.host = options.get("receiver_host", "127.0.0.1")
         self.batch = 0
 
     def initialOffset(self) -> dict:
         return {"batch": 0}
 
     def latestOffset(self) -> dict:
-        self.batch += 1
+        # By the clock, so that numbers also grow from one run of a query to the next.
+        self.batch = max(self.batch + 1, time.time_ns() // 1_000_000)
         return {"batch": self.batch}
 
     def partitions(self, start: dict, end: dict) -> list[Slice]:
@@ -212,35 +139,67 @@ class FeedReader(DataSourceStreamReader):
         return [Slice(i, start["batch"], end["batch"]) for i in range(len(self.addresses))]
 
     def commit(self, end: dict) -> None:
-        pass
-
-    def read(self, part: Slice):
-        address = self.addresses[part.source]
-        deadline, retries, seq = time.monotonic() + self.seconds, 0, part.batch << 40
-        key = (part.source, address)
-        feed = _take(key, part.start)
-        while time.monotonic() < deadline:
+        if self.retain != "all":
+            for i in range(len(self.addresses)):
+                Capture(self.capture, i).purge(max(2, int(self.retain)))
+
+    def read(self, part: Slice) -> Iterator:
+        capture = Capture(self.capture, part.source)
+        done = capture.done(part.batch)
+        if done is None:
+            after = (capture.done(part.start) or {}).get("last", 0)
+            lines, facts = self._fetch(capture, part.source, after)
+            done = capture.write(part.batch, self._table(part.source, lines), facts | {"lines": len(lines), "bytes": sum(len(x) for _, x in lines), "last": lines[-1][0] if lines else after})
+        yield from capture.read(done)
+
+    def _table(self, source: int, lines: list[tuple[int, bytes]]):
+        import pyarrow as pa
+
+        from feedlens.sources.config import Address
+
+        server = Address.parse(self.addresses[source])
+        ip = server.host if server.kind == "tcp" and server.host.replace(".", "").isdigit() else None
+        kind = pa.struct([("kind", pa.string()), ("host", pa.string()), ("port", pa.int32()), ("path", pa.string()), ("ip", pa.string())])
+        shown = {"kind": server.kind, "host": server.host, "port": server.port, "path": server.path, "ip": ip}
+        n = len(lines)
+        columns = [pa.array([self.addresses[source]] * n, pa.string()), pa.array([shown] * n, kind), pa.array([self.names[source]] * n, pa.string()), pa.array([s for s, _ in lines], pa.int64()), pa.array([frame(x) for _, x in lines], pa.binary())]
+        return pa.table(columns, names=["source_id", "server", "name", "seq", "line"])
+
+    def _fetch(self, capture: Capture, source: int, after: int) -> tuple[list[tuple[int, bytes]], dict]:
+        """Lines after a number, from the receiver that the capture names or from a new one."""
+        ask = {"after": after, "lines": self.most[0], "bytes": self.most[1], "wait": self.seconds}
+        known = capture.folder.read_json("receiver.json")
+        if known:
             try:
-                feed = feed or Feed(address, **self.logins[part.source])
-                server = feed.address
-                ip = server.host if server.kind == "tcp" and server.host.replace(".", "").isdigit() else None
-                for line in feed.lines(deadline):
-                    yield (address, (server.kind, server.host, server.port, server.path, ip), self.names[part.source], seq, frame(line))
-                    seq += 1
-            except OSError:
-                if feed is not None:
-                    feed.close()
-                feed = None
-                retries += 1
-                if retries > self.retries:
-                    raise
-                time.sleep(min(backoff(retries), max(0.0, deadline - time.monotonic())))
-        if feed is not None:
-            _keep(key, feed, part.batch, self.idle)
+                return self._asked(known, ask)
+            except (OSError, receiver.Refused):
+                pass  # it is gone, or lives where this machine does not reach
+        started = self._start(source)
+        capture.folder.put_json("receiver.json", started)
+        return self._asked(started, ask)
+
+    def _asked(self, known: dict, ask: dict) -> tuple[list[tuple[int, bytes]], dict]:
+        lines, facts = receiver.ask(known, ask)
+        if not lines and facts.pop("failures") > self.retries:
+            raise RuntimeError(f"no connection: {facts['error']}")
+        return lines, {k: facts[k] for k in ("stalls", "stalled_seconds", "connections", "receiver")}
+
+    def _start(self, source: int) -> dict:
+        settings = {"address": self.addresses[source], "login": self.logins[source], "lines": self.held[0], "bytes": self.held[1], "idle": self.idle, "host": self.host, "token": uuid.uuid4().hex}
+        env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
+        process = subprocess.Popen([sys.executable, "-m", "feedlens.sources.receiver"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env, start_new_session=True)
+        process.stdin.write(json.dumps(settings).encode() + b"\n")
+        process.stdin.close()
+        port = process.stdout.readline()
+        process.stdout.close()
+        if not port.strip():
+            raise RuntimeError("the receiver did not start")
+        shown = socket.gethostname() if self.host == "0.0.0.0" else self.host
+        return {"host": shown, "port": int(port), "token": settings["token"]}
 
 
 class FeedSource(DataSource):
-    """spark.readStream.format("command_feed").option("addresses", "host:port,...")"""
+    """spark.readStream.format("command_feed").option("addresses", "host:port,...").option("capture", folder)"""
 
     @classmethod
     def name(cls) -> str:
@@ -251,3 +210,25 @@ class FeedSource(DataSource):
 
     def streamReader(self, schema: StructType) -> FeedReader:
         return FeedReader(dict(self.options))
+
+
+def captured(spark: SparkSession, capture: str) -> DataFrame:
+    """All lines of a capture that have not been purged, as a batch."""
+    return spark.read.schema(SCHEMA).parquet(f"{capture.rstrip('/')}/source=*/batch=*/lines-*.parquet")
+
+
+def follow(spark: SparkSession, capture: str) -> DataFrame:
+    """The lines of a capture as a stream of its own: another query over the same feed, without another connection."""
+    return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "lines-*.parquet").parquet(f"{capture.rstrip('/')}/source=*/batch=*")
+
+
+def report(spark: SparkSession, capture: str) -> DataFrame:
+    """Each batch of each source: lines, bytes, and the receiver's stalls and connections up to it."""
+    return spark.read.schema(FACTS).json(f"{capture.rstrip('/')}/source=*/batch=*/done.json")
+
+
+def stalls(spark: SparkSession, capture: str) -> int:
+    """Stalls of all receivers of a capture; each counts on from its start."""
+    from pyspark.sql import functions as F
+
+    return report(spark, capture).groupBy("source", "receiver").agg(F.max("stalls").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -5,6 +5,7 @@ import threading
 import time
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from feedlens import cli
@@ -49,8 +50,8 @@ def test_metadata_by_source(spark):
 
 def test_observed_counters(spark):
     rows = as_lines(spark.range(10).select(F.format_string('1.0 [0 lua] "C%d"', "id").alias("value")))
-    kept, seen = stats.observed(rows, LineFilter.of(["!C3"]).column())
-    assert kept.count() == 9 and seen.get == {"total": 10, "filtered": 1}
+    seen = Observation("io")
+    assert Feed(rows).filter(["!C3"], seen=seen).lines.count() == 9 and seen.get == {"total": 10, "filtered": 1}
     assert stats.report(10, 1) == "Processed 10 lines (filtered: 1), backpressure stalls: 0"
 
 
@@ -98,7 +99,7 @@ def _server(n: int) -> int:
 
 def test_live_feed(spark, tmp_path):
     spark.dataSource.register(live.FeedSource)
-    rows = spark.readStream.format("command_feed").option("addresses", f"127.0.0.1:{_server(50)}").option("password", "secret").option("batch_seconds", "2").load()
+    rows = spark.readStream.format("command_feed").option("addresses", f"127.0.0.1:{_server(50)}").option("password", "secret").option("batch_seconds", "2").option("capture", str(tmp_path / "capture")).option("idle_seconds", "10").load()
     got = []
     q = rows.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, n: got.extend(b.collect())).start()
     for _ in range(40):
@@ -158,46 +159,6 @@ def test_a_repeated_batch_replaces_its_output(spark, tmp_path):
     assert [r.error for r in spark.read.option("recursiveFileLookup", "true").json(f"{out}-rejects").collect()] == ["grammar"]
 
 
-def _endless() -> int:
-    """A feed that counts its lines up over all of its connections."""
-    listener = socket.create_server(("127.0.0.1", 0))
-    number = iter(range(1 << 30))
-
-    def follow(conn):
-        try:
-            conn.recv(1000)
-            conn.sendall(b"+OK\r\n")
-            while True:
-                conn.sendall(b'+1.%d [0 lua] "GET" "k"\r\n' % next(number))
-                time.sleep(0.01)
-        except OSError:
-            pass
-
-    def serve():
-        while True:
-            threading.Thread(target=follow, args=(listener.accept()[0],), daemon=True).start()
-
-    threading.Thread(target=serve, daemon=True).start()
-    return listener.getsockname()[1]
-
-
-def test_two_feeds_over_several_batches_give_no_line_twice(spark, tmp_path):
-    spark.dataSource.register(live.FeedSource)
-    ports = [_endless(), _endless()]
-    rows = spark.readStream.format("command_feed").option("addresses", ",".join(f"127.0.0.1:{p}" for p in ports)).option("batch_seconds", "0.5").load()
-    got = []
-    q = rows.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, n: got.extend((n, r.source_id, bytes(r.line)) for r in b.collect())).start()
-    for _ in range(40):
-        q.awaitTermination(1)
-        if len({n for n, _, _ in got}) >= 4 or q.exception():
-            break
-    q.stop()
-    assert q.exception() is None and len({n for n, _, _ in got}) >= 4
-    for port in ports:
-        own = [int(line.split(b" ")[0].split(b".")[1]) for _, s, line in got if s == f"127.0.0.1:{port}"]
-        assert own and own == sorted(set(own))
-
-
 def test_flags_by_the_table_of_each_source(spark):
     from feedlens.sources.text import as_lines
 
@@ -220,6 +181,10 @@ def test_cli(spark, tmp_path, capfdbinary):
     assert cli.main(["--stdin", str(tmp_path), "--filter", "!get", "--db", "2", "-o", "plain", "-f", "%d %C"]) == 0
     shown = capfdbinary.readouterr()
     assert shown.out.endswith(b"2 SET\n") and b"Processed 2 lines (filtered: 1), backpressure stalls: 0" in shown.err
+    out = tmp_path / "out"
+    assert cli.main(["--stdin", str(tmp_path / "x.log"), "--filter", "!get", "-o", "resp", "--out", str(out)]) == 0
+    assert b"".join(p.read_bytes() for p in out.glob("batch=*/part-*.txt")) == b"*3\r\n$3\r\nSET\r\n$1\r\nk\r\n$1\r\nv\r\n"
+    assert b"Processed 2 lines (filtered: 1)" in capfdbinary.readouterr().err
     with pytest.raises(SystemExit):
         cli.main(["--output", "xml"])
     with pytest.raises(ValueError):
