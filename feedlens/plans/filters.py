@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -47,10 +48,58 @@ def java(pattern: str) -> str:
     return pattern
 
 
+#: Literals up to which they are simply listed.
+FEW = 8
+#: Forks of a prefix tree that may stand within each other; what would go deeper is listed.
+FORKS = 60
+
+
+def _quoted(text: str) -> str:
+    return re.sub(r"([^A-Za-z0-9_])", r"\\\1", text)
+
+
+def _minimal(words: set[str]) -> list[str]:
+    """Words that hold no other one: who has one of these has one of all. Each word's own parts are looked up."""
+    sizes = sorted({len(w) for w in words})
+    holds = lambda w: any(w[i : i + n] in words for n in sizes if n <= len(w) for i in range(len(w) - n + 1) if n < len(w))
+    return sorted(w for w in words if not holds(w))
+
+
+def _tree(words: list[str], at: int = 0, forks: int = 0) -> str:
+    """A regular expression of sorted words none of which begins another: shared beginnings are looked at once."""
+    if len(words) == 1:
+        return _quoted(words[0][at:])
+    if forks >= FORKS:
+        return "(?:" + "|".join(_quoted(w[at:]) for w in words) + ")"
+    first, last, end = words[0], words[-1], at
+    while first[end] == last[end]:
+        end += 1
+    groups = [list(g) for _, g in itertools.groupby(words, key=lambda w: w[end])]
+    ends = [g[0][end] for g in groups if len(g) == 1 and len(g[0]) == end + 1]
+    parts = [_tree(g, end, forks + 1) for g in groups if len(g) > 1 or len(g[0]) > end + 1]
+    return _quoted(first[at:end]) + "(?:" + "|".join(([f"[{''.join(map(_quoted, ends))}]"] if ends else []) + parts) + ")"
+
+
+def literals(texts: list[str]) -> str:
+    """A regular expression for any of the texts, in any ASCII case, in names whose characters are bytes.
+
+    Thousands of them cost little more than one: they become a prefix tree, which a name walks from each of its
+    places, and those that hold another one are left out.
+    """
+    words = {lower(t).encode().decode("latin-1") for t in texts}
+    if "" in words:
+        return ""
+    return "(?i)" + ("(?:" + "|".join(map(_quoted, sorted(words))) + ")" if len(words) <= FEW else _tree(_minimal(words)))
+
+
+def lower(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
 def _any(patterns: list[Pattern], name: Column) -> Column | None:
     """Whether a name matches any pattern: literals anywhere and in any ASCII case, expressions anywhere as they are."""
-    literal = "|".join(re.sub(r"([^A-Za-z0-9_])", r"\\\1", p.text) for p in patterns if not p.regex)
-    tests = [name.rlike(f"(?i)(?:{literal})")] if any(not p.regex for p in patterns) else []
+    texts = [p.text for p in patterns if not p.regex]
+    tests = [name.rlike(literals(texts))] if texts else []
     tests += [name.rlike(java(p.text)) for p in patterns if p.regex]
     return reduce(lambda a, b: a | b, tests) if tests else None
 
@@ -106,5 +155,5 @@ def matches(name: str | None, patterns: list[str]) -> bool:
     f = LineFilter.of(patterns)
     if name is None:
         return True
-    hit = lambda p: bool(re.search(p.text, name)) if p.regex else p.text.lower() in name.lower()
+    hit = lambda p: bool(re.search(p.text, name)) if p.regex else lower(p.text) in lower(name)
     return not any(map(hit, f.exclude)) and (not f.include or any(map(hit, f.include)))

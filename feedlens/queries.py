@@ -16,7 +16,6 @@ from feedlens.operators import metadata, stats, topology
 from feedlens.operators.parse import accepted, parse, rejected, without_replies
 from feedlens.plans import formats, serializers
 from feedlens.plans.filters import LineFilter
-from feedlens.sources import config
 from feedlens.sources.text import as_lines, read_lines, server_literal, stream_lines
 from feedlens.streaming.feed import stats_query
 
@@ -28,10 +27,10 @@ _LINE = """concat(cast(us div 1000000 as string), '.', lpad(cast(us % 1000000 as
   '] "', case event_type when 'view' then 'GET' when 'click' then 'INCR' when 'purchase' then 'SET' when 'signup' then 'HSET' else 'EVALSHA' end,
   '" "user:', cast(user_id as string), '" "', props, '"')"""
 
-#: Lines that no output accepts, and a reply that is skipped.
-BAD_LINES = (
-    "", 'x.0 [0 127.0.0.1:1] "PING"', '18446744073709551616.0 [0 127.0.0.1:1] "PING"', '1.0 [18446744073709551616 127.0.0.1:1] "PING"', '1.0 [0 256.0.0.1:1] "PING"',
-    '1.0 [0 127.0.0.1:65536] "PING"', '1.0 [0 [not-ip]:1] "PING"', '1.0 [0 127.0.0.1:1] "BAD-CMD"', '1.0 [0 127.0.0.1:1] "PING', "PONG",
+#: Ways to spoil a line of event_id % 17 = i: pattern, replacement, and the error it must give.
+SPOILED = (
+    (r"^", "x", "grammar"), (r"^[0-9]+", "99999999999999999999", "number out of range"), (r"\[[0-9]+ ", "[29999999999999999999 ", "number out of range"), (r'\[([0-9]+) [^"]*\] ', "[$1 7.300.2.1:9] ", "client address"),
+    (r'\[([0-9]+) [^"]*\] ', "[$1 7.30.2.1:70000] ", "client address"), (r'\[([0-9]+) [^"]*\] ', "[$1 [fe80::zz]:9] ", "client address"), (r'"([A-Z]+)"', '"$1/2"', "grammar"), (r'\] "[^\n]*', '] "CUT', "grammar"), (r"^[^\n]+", "", "grammar"),
 )
 
 COMMANDS = (
@@ -62,9 +61,13 @@ def _feed(spark: SparkSession, sf_dir: str, **source) -> Feed:
     return Feed(feed_lines(spark, sf_dir, **source), metadata.from_rows(spark, list(COMMANDS)))
 
 
-def _with_bad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = spark.createDataFrame([(-i - 1, x) for i, x in enumerate([*BAD_LINES, "OK"])], "event_id long, value string")
-    return as_lines(_values(spark, sf_dir).unionByName(bad), seq=F.col("event_id"))
+def _spoiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed with a line in 17 spoiled in each way, and replies that are skipped."""
+    value = F.col("value")
+    for i, (pattern, new, _) in enumerate(SPOILED):
+        value = F.when(F.col("event_id") % 17 == i, F.regexp_replace("value", pattern, new)).otherwise(value)
+    value = F.when(F.expr("event_id % 17 = 16"), F.lit("OK")).otherwise(value)
+    return as_lines(_values(spark, sf_dir).withColumn("value", value), seq=F.col("event_id"))
 
 
 def _tcp(spark: SparkSession, sf_dir: str, host: str, ip: str | None = None) -> DataFrame:
@@ -154,19 +157,15 @@ def parse_typed(spark, sf_dir):
     return p.select(F.col("seq").alias("event_id"), F.concat("ts_int", F.lit("."), "ts_frac").alias("time_text"), "timestamp", F.unix_micros("event_time").alias("event_us"), F.col("db").cast("long").alias("db"), F.col("client.kind").alias("kind"), F.col("client.host").alias("host"), F.col("client.port").alias("port"), F.col("client.path").alias("path"), "addr", "cmd", a(0).alias("arg1"), a(1).alias("arg2"))
 
 
-@_query(_sql(f"select x.* from (select count(*) as ok, {len(BAD_LINES)} as rejected, {len(BAD_LINES)} as rejected_structured from f) x"))
+@_query(_sql(f"select count(*) filter (event_id % 17 not in ({', '.join(str(i) for i in range(len(SPOILED)))}, 16)) as ok, count(*) filter (event_id % 17 < {len(SPOILED)}) as rejected, count(*) filter (event_id % 17 < {len(SPOILED)}) as rejected_structured from f"))
 def parse_reject_counts(spark, sf_dir):
-    p = parse(without_replies(_with_bad(spark, sf_dir)))
-    return p.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).cast("int").alias("rejected"), F.count_if(~F.col("args_ok")).cast("int").alias("rejected_structured"))
+    p = parse(without_replies(_spoiled(spark, sf_dir)))
+    return p.agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("rejected"), F.count_if(~F.col("args_ok")).alias("rejected_structured"))
 
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
-@_query("select * from (values " + ", ".join(f"({_quoted(x)}, {_quoted(e)})" for x, e in zip(BAD_LINES, ["grammar", "grammar", "number out of range", "number out of range", "client address", "client address", "client address", "grammar", "grammar", "grammar"], strict=True)) + ") t(line, error)")
+@_query(_sql("select event_id, case event_id % 17 " + " ".join(f"when {i} then '{e}'" for i, (_, _, e) in enumerate(SPOILED)) + f" end as error from f where event_id % 17 < {len(SPOILED)}"))
 def parse_rejects(spark, sf_dir):
-    return rejected(parse(without_replies(_with_bad(spark, sf_dir)))).select(F.col("line").cast("string").alias("line"), "error")
+    return rejected(parse(without_replies(_spoiled(spark, sf_dir)))).select(F.col("seq").alias("event_id"), "error")
 
 
 @_query(_sql("select kind, count(*) as n from f group by 1"))
@@ -180,16 +179,16 @@ def client_parts(spark, sf_dir):
     return p.select(F.col("seq").alias("event_id"), *[formats.token(t).cast("string").alias(t) for t in ("ca", "ch", "cp")])
 
 
-_IPS = {
-    "1.2.3.4": "1.2.3.4", "01.2.3.4": None, "256.1.1.1": None, "::": "::", "::1": "::1", "1::": "1::", "2001:0db8:0:0:0:0:0:1": "2001:db8::1", "2001:DB8::00a0": "2001:db8::a0", "1:0:0:2:0:0:0:3": "1:0:0:2::3",
-    "1:0:0:2:0:0:3:4": "1::2:0:0:3:4", "1:2:3:4:5:6:7:8": "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7": None, "1:2:3:4:5:6:7:8:9": None, "1::2::3": None, "::ffff:1.2.3.4": "::ffff:1.2.3.4", "::1.2.3.4": "::102:304",
-    "64:ff9b::192.0.2.33": "64:ff9b::c000:221", "fe80::1%eth0": None, "12345::": None, "not-ip": None, "": None, "1:0:3:4:5:6:7:8": "1:0:3:4:5:6:7:8", "0:0:0:0:0:0:0:0": "::",
-}
+_IP_TEXT = """case event_id % 7 when 0 then concat('2001:0DB8:0:00:000:0:0:', lpad(upper({hex}), 4, '0')) when 1 then concat('A:0b:C:0:e:F:1:', {hex}) when 2 then concat('::ffff:10.1.', {n} % 256, '.', {n} % 100)
+  when 3 then concat('172.16.', {n} % 256, '.', {n} % 300) when 4 then concat('12345::', {hex}) when 5 then concat('1:0:0:2:0:0:0:', {hex}) else concat('0:0:3:4:0:0:7:', {hex}) end"""
 
 
-@_query("select * from (values " + ", ".join(f"({_quoted(k)}, {_quoted(v) if v is not None else 'null'})" for k, v in _IPS.items()) + ") t(text, ip)")
+@_query(f"""with e as (select event_id, user_id + 1 as n, to_hex(user_id + 1) as h from events)
+  select event_id, {_IP_TEXT.format(hex="lower(h)", n="n")} as text, case event_id % 7 when 0 then '2001:db8::' || lower(h) when 1 then 'a:b:c:0:e:f:1:' || lower(h) when 2 then '::ffff:10.1.' || (n % 256) || '.' || (n % 100)
+    when 3 then case when n % 300 < 256 then '172.16.' || (n % 256) || '.' || (n % 300) end when 5 then '1:0:0:2::' || lower(h) when 6 then '::3:4:0:0:7:' || lower(h) end as ip from e""")
 def ip_canonical(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in _IPS], "text string").transform(lambda rows: addresses.with_canonical_ip(rows, F.col("text"), "ip"))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.expr(_IP_TEXT.format(hex="lower(hex(user_id + 1))", n="(user_id + 1)")).alias("text"))
+    return addresses.with_canonical_ip(rows, F.col("text"), "ip")
 
 
 # ---------------------------------------------------------------- filters
@@ -223,9 +222,15 @@ def filter_regex(spark, sf_dir):
     return _passing(spark, sf_dir, ["/^(GET|INCR)$/"])
 
 
-@_query(_filtered("regexp_matches(cmd, '^get')"))
+@_query(_filtered("regexp_matches(cmd, '^(get|SET)$')"))
 def filter_regex_case(spark, sf_dir):
-    return _passing(spark, sf_dir, ["/^get/"])
+    return _passing(spark, sf_dir, ["/^(get|SET)$/"])
+
+
+@_query(_filtered("cmd in ('HSET', 'SET', 'EVALSHA')"))
+def filter_many_literals(spark, sf_dir):
+    """Ten thousand literals, of which a few occur."""
+    return _passing(spark, sf_dir, [f"x{i}.{i % 97}" for i in range(10_000)] + ["hse", "alsh", "set"])
 
 
 @_query(_sql("select line from f where contains(lower(cmd), 'set') union all (values ('PONG'), ('OK'), (''), ('one \" quote'))"))
@@ -267,34 +272,40 @@ def filter_db(spark, sf_dir):
 
 # ---------------------------------------------------------------- metadata
 
-_FLAG_ROWS = [(n, f) for n, f, _ in COMMANDS] + [("odd", ["RO", " Write ", "nosuch"]), ("none", [])]
+#: The flags of an event: bit i of this number tells of the i-th one.
+_MASK = "((event_id * 31 + user_id) % 1048576)"
+
 
+def _flag_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's flag names, some in upper case with blanks, and one that is unknown."""
+    bit = lambda i: F.expr(f"shiftright({_MASK}, {i}) % 2 = 1")
+    names = F.array_compact(F.array(F.lit("nosuch"), *[F.when(bit(i), F.lit(f" {n.upper()} " if i % 2 else n)) for i, n in enumerate(bits.FLAGS)]))
+    return _table(spark, sf_dir, "events").select("event_id", names.alias("f"))
 
-@_query("select * from (values ('get', 32800), ('set', 524304), ('incr', 524336), ('hset', 524336), ('odd', 557056), ('none', 0)) t(name, mask)")
+
+@_query(f"select event_id, {_MASK}::int as mask from events")
 def flag_mask_fold(spark, sf_dir):
-    return spark.createDataFrame(_FLAG_ROWS, "name string, f array<string>").select("name", bits.fold(F.col("f"), bits.FLAG_BITS).alias("mask"))
+    return _flag_names(spark, sf_dir).select("event_id", bits.fold(F.col("f"), bits.FLAG_BITS).alias("mask"))
 
 
-@_query("select * from (values ('get', 'fast,readonly,ro'), ('set', 'denyoom,wo,write'), ('incr', 'denyoom,fast,wo,write'), ('hset', 'denyoom,fast,wo,write'), ('odd', 'readonly,ro,wo,write'), ('none', '')) t(name, names)")
+@_query(f"select event_id, coalesce(string_agg(name, ',' order by name), '') as names from events left join (values {', '.join(f"('{n}', {b.bit_length() - 1})" for n, b in bits.FLAG_BITS.items())}) t(name, i) on ({_MASK} >> i) % 2 = 1 group by 1")
 def flag_mask_names(spark, sf_dir):
-    rows = flag_mask_fold(spark, sf_dir)
-    return rows.select("name", F.array_join(bits.names_of(F.col("mask"), bits.FLAG_BITS), ",").alias("names"))
+    return flag_mask_fold(spark, sf_dir).select("event_id", F.array_join(bits.names_of(F.col("mask"), bits.FLAG_BITS), ",").alias("names"))
 
 
-_REPLIES = (
-    '["get",2,["readonly","fast"],1,1,1,["@read","@string","@fast"],[],[["flags",["RO","access"],"begin_search",["type","index","spec",["index",1]],"find_keys",["type","range","spec",["lastkey",0,"keystep",1,"limit",0]]]]]',
-    '["eval",-3,["noscript"],0,0,0,["@slow","@scripting"],[],[["flags",["RW"],"begin_search",["type","keyword","spec",["keyword","KEYS","startfrom",2]],"find_keys",["type","keynum","spec",["keynumidx",0,"firstkey",1,"keystep",1]]]]]',
-    '["short",1,[],0,0]', '["bad","x",[],0,0,0,[]]', '["bare",1,[],0,0,0,[]]',
-)
+_REPLY = """concat('["Cmd', p_partkey, '",', p_size - 20, ',[', case when p_size % 2 = 0 then '"readonly","fast"' else '"Write"' end, '],', p_size % 3, ',1,1,["@read","@nosuch"],[]',
+  case p_partkey % 4 when 0 then concat(',[["flags",["RO","access"],"begin_search",["type","index","spec",["index",', p_size, ']],"find_keys",["type","range","spec",["lastkey",-1,"keystep",1,"limit",0]]]]')
+    when 1 then concat(',[["flags",["RW"],"begin_search",["type","keyword","spec",["keyword","K', p_size, '","startfrom",2]],"find_keys",["type","keynum","spec",["keynumidx",0,"firstkey",1,"keystep",1]]]]') else '' end, ']')"""
 
 
-@_query("""select * from (values ('get', 2, 32800, 266272, 1, 18, 'index', 1, null, 'range', 0),
-  ('eval', -3, 8192, 40960, 0, 1, 'keyword', null, 'KEYS', 'keynum', null), ('bare', 1, 0, 0, 0, null, null, null, null, null, null))
-  t(name, arity, flags, categories, first_key, spec_flags, begin_kind, begin_index, keyword, find_kind, last_key)""")
+@_query("""select 'Cmd' || p_partkey as name, (p_size - 20)::bigint as arity, case when p_size % 2 = 0 then 32800 else 524288 end as flags, 4096 as categories, (p_size % 3)::bigint as first_key,
+    case p_partkey % 4 when 0 then 18 when 1 then 1 end as spec_flags, case p_partkey % 4 when 0 then 'index' when 1 then 'keyword' end as begin_kind, case when p_partkey % 4 = 0 then p_size::bigint end as begin_index,
+    case when p_partkey % 4 = 1 then 'K' || p_size end as keyword, case p_partkey % 4 when 0 then 'range' when 1 then 'keynum' end as find_kind, case when p_partkey % 4 = 0 then -1::bigint end as last_key from part where p_partkey % 9 <> 7""")
 def command_table(spark, sf_dir):
-    table = metadata.commands(spark.createDataFrame([(x,) for x in _REPLIES], "reply string"))
+    """Replies of a command for each part; one in nine is too short and goes."""
+    replies = _table(spark, sf_dir, "part").select(F.expr(f"case when p_partkey % 9 = 7 then concat('[\"Cmd', p_partkey, '\",1,[],0,0]') else {_REPLY} end").alias("reply"))
     s = F.get("key_specs", F.lit(0))
-    return table.select("name", "arity", "flags", "categories", "first_key", s["flags"].alias("spec_flags"), s["begin_search"]["kind"].alias("begin_kind"), s["begin_search"]["index"].alias("begin_index"), s["begin_search"]["keyword"].alias("keyword"), s["find_keys"]["kind"].alias("find_kind"), s["find_keys"]["last_key"].alias("last_key"))
+    return metadata.commands(replies).select("name", "arity", "flags", "categories", "first_key", s["flags"].alias("spec_flags"), s["begin_search"]["kind"].alias("begin_kind"), s["begin_search"]["index"].alias("begin_index"), s["begin_search"]["keyword"].alias("keyword"), s["find_keys"]["kind"].alias("find_kind"), s["find_keys"]["last_key"].alias("last_key"))
 
 
 # ---------------------------------------------------------------- formats
@@ -326,14 +337,17 @@ def fmt_percent_quirk(spark, sf_dir):
     return _text(serializers.render(parse(feed_lines(spark, sf_dir)), "plain", "%%|%%d|%x|%sx|%sp|%sn|%"))
 
 
-_TIMES = {"1783484211.311904": "1783484211.311904", "0000000001.230000": "1.23", "0.000000": "0", "12.000000": "12", "0.10000000000000001": "0.1", "12345678901.123456": "12345678901.123455", "98765432109.5": "98765432109.5", "5.5": "5.5", "100.25": "100.25", "7.0": "7", "0.00000012": "0.00000012", "18446744073709551615.0": "18446744073709552000"}
+#: A number's digits before and after the point: six after it in two of three orders, else fewer, which a double holds.
+_SECONDS, _FRACTION = "lpad({n}, case when o_orderkey % 2 = 0 then 9 else cast(length({n}) as int) end, '0')", "case o_orderkey % 3 when 0 then '250000' when 1 then lpad({c}, 6, '0') else rpad({c}, 4, '0') end"
 
 
-@_query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in _TIMES.items()) + ") t(text, value)")
+@_query(f"""with o as (select o_orderkey, cast(o_orderkey * 7 as varchar) as n, cast(o_custkey as varchar) as c from orders), t as (select o_orderkey, n, {_SECONDS.format(n="n")} as s, {_FRACTION.format(c="c")} as f from o)
+  select o_orderkey, s || '.' || f as text, case when rtrim(f, '0') = '' then n else n || '.' || rtrim(f, '0') end as value from t""")
 def fmt_timestamp_canonical(spark, sf_dir):
-    rows = spark.createDataFrame([(i, f'{x} [0 lua] "PING"') for i, x in enumerate(_TIMES)], "seq long, value string")
-    p = serializers.render(parse(as_lines(rows, seq=F.col("seq"))), "plain", "%t")
-    return p.select(F.concat("ts_int", F.lit("."), "ts_frac").alias("text"), F.col("value").cast("string").alias("value"))
+    n, c = "cast(o_orderkey * 7 as string)", "cast(o_custkey as string)"
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(f"concat({_SECONDS.format(n=n)}, '.', {_FRACTION.format(c=c)}, ' [0 lua] \"PING\"')").alias("value"))
+    p = serializers.render(parse(as_lines(rows, seq=F.col("o_orderkey"))), "plain", "%t")
+    return p.select(F.col("seq").alias("o_orderkey"), F.concat("ts_int", F.lit("."), "ts_frac").alias("text"), F.col("value").cast("string").alias("value"))
 
 
 # ---------------------------------------------------------------- arguments
@@ -347,7 +361,7 @@ def _escaped(text: str):
 
 
 def _round_trip(table: DataFrame, key: str, text: str) -> DataFrame:
-    value = F.concat(F.lit('1783484211.311904 [0 lua] "SET" "k" "'), _escaped(text), F.lit('"'))
+    value = F.concat(F.lit('1650000000.125000 [0 lua] "SET" "k" "'), _escaped(text), F.lit('"'))
     p = parse(as_lines(table.select(F.col(key).alias("id"), value.alias("value")), seq=F.col("id")))
     return accepted(p, structured=True).select(F.col("seq").alias(key), F.size("args").alias("n"), L.to_bytes(F.get("args", F.lit(1))).cast("string").alias(text))
 
@@ -402,37 +416,49 @@ def out_php(spark, sf_dir):
 
 # ---------------------------------------------------------------- sources
 
-_ADDRESSES = {"6380": "tcp 127.0.0.1:6380", "host1:6379": "tcp host1:6379", "host1": "tcp host1:6379", "70000": "tcp 70000:6379", "a:b:c": "tcp a:6379", "host:99999": "error", "host:": "error", "/tmp/r.sock": "unix /tmp/r.sock", "redis://h:1": "unix redis://h:1", "0": "tcp 127.0.0.1:0"}
+_SERVER_TEXT = """case c_custkey % 8 when 0 then cast(1000 + c_custkey % 60000 as {t}) when 1 then concat('kv', c_custkey, ':', 7000 + c_custkey % 100) when 2 then concat('kv', c_custkey) when 3 then cast(65530 + c_custkey as {t})
+  when 4 then concat('a', c_custkey, ':b:c') when 5 then concat('kv', c_custkey, ':', 65530 + c_custkey % 12) when 6 then concat('/tmp/kv', c_custkey, '.sock') else concat('kv', c_custkey, ':') end"""
 
 
-@_query("select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in _ADDRESSES.items()) + ") t(text, shown)")
+@_query(f"""select c_custkey, {_SERVER_TEXT.format(t="varchar")} as text, case c_custkey % 8 when 0 then 'tcp 127.0.0.1:' || (1000 + c_custkey % 60000) when 1 then 'tcp kv' || c_custkey || ':' || (7000 + c_custkey % 100) when 2 then 'tcp kv' || c_custkey || ':6379'
+  when 3 then case when c_custkey <= 5 then 'tcp 127.0.0.1:' || (65530 + c_custkey) else 'tcp ' || (65530 + c_custkey) || ':6379' end when 4 then 'tcp a' || c_custkey || ':6379'
+  when 5 then case when c_custkey % 12 <= 5 then 'tcp kv' || c_custkey || ':' || (65530 + c_custkey % 12) else 'error' end when 6 then 'unix /tmp/kv' || c_custkey || '.sock' else 'error' end as shown from customer""")
 def server_addr_parse(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in _ADDRESSES], "text string").withColumn("a", addresses.server_address(F.col("text")))
-    return rows.select("text", F.when(F.col("a.kind") == "error", "error").otherwise(F.concat("a.kind", F.lit(" "), addresses.server_text(F.col("a")))).alias("shown"))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.expr(_SERVER_TEXT.format(t="string")).alias("text")).withColumn("a", addresses.server_address(F.col("text")))
+    return rows.select("c_custkey", "text", F.when(F.col("a.kind") == "error", "error").otherwise(F.concat("a.kind", F.lit(" "), addresses.server_text(F.col("a")))).alias("shown"))
+
+
+def _slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slot range for each supplier, its nation the primary; up to two replicas, here and there a broken node or no node at all."""
+    node = lambda host, port, name: f"named_struct('host', {host}, 'port', {port}, 'id', {name})"
+    replica = lambda k: node(f"concat('10.1.', s_nationkey, '.{k}')", 7001, f"concat('r', s_nationkey, '-{k}')")
+    own, none = node("concat('10.0.0.', s_nationkey)", 7000, "concat('n', s_nationkey)"), node("cast(null as string)", 7001, "'x'")
+    nodes = f"case when s_suppkey % 11 = 5 then array() else array_compact(array({own}, case when s_suppkey % 3 > 0 then {replica(1)} end, case when s_suppkey % 7 = 0 then {none} end, case when s_suppkey % 3 > 1 then {replica(2)} end)) end"
+    return _table(spark, sf_dir, "supplier").selectExpr("s_suppkey * 16 as start", "s_suppkey * 16 + 15 as end", f"{nodes} as nodes")
 
 
-def _slots(spark) -> DataFrame:
-    a, b, r1, r2 = ("10.0.0.1", 7000, "a"), ("10.0.0.2", 7000, "b"), ("10.0.0.3", 7001, "r1"), ("10.0.0.4", 7001, "r2")
-    rows = [(0, 99, [a, r1]), (200, 299, [a]), (100, 199, [b, r1, r2, (None, 7001, "x")]), (300, 400, [])]
-    return spark.createDataFrame(rows, "start long, end long, nodes array<struct<host string, port int, id string>>")
+_PRIMARIES = "select s_nationkey as k, arg_min(s_suppkey % 3, s_suppkey) as n from supplier where s_suppkey % 11 <> 5 group by 1"
 
 
-@_query("select * from (values ('10.0.0.1', 7000, 'a', 1), ('10.0.0.2', 7000, 'b', 2)) t(host, port, id, n_replicas)")
+@_query(f"select '10.0.0.' || k as host, 7000 as port, 'n' || k as id, n::int as n_replicas from ({_PRIMARIES})")
 def cluster_nodes_distinct(spark, sf_dir):
-    return topology.nodes(_slots(spark)).select("host", "port", "id", F.size("replicas").alias("n_replicas"))
+    return topology.nodes(_slots(spark, sf_dir)).select("host", "port", "id", F.size("replicas").alias("n_replicas"))
 
 
-@_query("select * from (values ('a', '10.0.0.1', 7000, 'primary'), ('b', '10.0.0.2', 7000, 'primary'), ('r1', '10.0.0.3', 7001, 'replica'), ('r2', '10.0.0.4', 7001, 'replica')) t(id, host, port, role)")
+@_query(f"select 'n' || k as id, '10.0.0.' || k as host, 7000 as port, 'primary' as role from ({_PRIMARIES}) union all select 'r' || k || '-' || i, '10.1.' || k || '.' || i, 7001, 'replica' from (select k, unnest(range(1, n + 1)) as i from ({_PRIMARIES}))")
 def cluster_expand_replicas(spark, sf_dir):
-    return topology.members(topology.nodes(_slots(spark)), replicas=True)
+    return topology.members(topology.nodes(_slots(spark, sf_dir)), replicas=True)
 
 
-@_query("select * from (values ('cache', 'tcp 10.1.1.1:6390'), ('pair', 'tcp p1:7000'), ('pair', 'tcp p2:6379'), ('sock', 'unix /tmp/x.sock'), (null, 'tcp 127.0.0.1:6400')) t(name, shown)")
+@_query("""select n_name as name, case when n_nationkey % 3 = 0 then 'tcp 10.2.0.' || n_nationkey || ':' || (6400 + n_nationkey) else 'unix /tmp/n' || n_nationkey || '.sock' end as shown from nation where n_nationkey % 3 <> 1
+  union all select n_name, 'tcp ' || h || n_nationkey || p from nation cross join (values ('p', ':7000'), ('q', ':6379')) t(h, p) where n_nationkey % 3 = 1 union all select distinct null, 'tcp 127.0.0.1:' || (7000 + c_custkey % 50) from customer""")
 def config_sources(spark, sf_dir):
-    entries = {"cache": {"host": "10.1.1.1", "port": 6390, "path": "/unused"}, "pair": {"addresses": ["p1:7000", "p2"]}, "sock": {"path": "/tmp/x.sock"}}
-    instances = spark.createDataFrame([(x,) for x in ("cache", "pair", "sock", "6400", "p2:6379")], "instance string").where("instance <> 'p2:6379'")
-    found = topology.resolve(instances, config.table(spark, entries))
-    return found.select("name", F.concat("address.kind", F.lit(" "), addresses.server_text(F.col("address"))).alias("shown"))
+    """Entries named after nations, and ports that customers name, many of them alike."""
+    entry = lambda i, value, kind: f"case when n_nationkey % 3 = {i} then {value} end as {kind}"
+    nation = _table(spark, sf_dir, "nation")
+    entries = nation.selectExpr("n_name as name", entry(0, "concat('10.2.0.', n_nationkey)", "host"), entry(0, "6400 + n_nationkey", "port"), entry(1, "array(concat('p', n_nationkey, ':7000'), concat('q', n_nationkey))", "addresses"), "case when n_nationkey % 3 <> 1 then concat('/tmp/n', n_nationkey, '.sock') end as path", "cast(null as string) as user", "cast(null as string) as pass")
+    instances = nation.select(F.col("n_name").alias("instance")).unionAll(_table(spark, sf_dir, "customer").select(F.expr("cast(7000 + c_custkey % 50 as string)")))
+    return topology.resolve(instances, entries).select("name", F.concat("address.kind", F.lit(" "), addresses.server_text(F.col("address"))).alias("shown"))
 
 
 @_query(_sql("select source_id, cmd, count(*) as n from f cross join (values ('one.test:6379'), ('two.test:6379')) s(source_id) group by 1, 2"))

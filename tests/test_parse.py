@@ -1,6 +1,8 @@
 """Vectors of the line grammar, and a byte-wise model of the argument grammar."""
 
+import ipaddress
 import json
+import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -26,49 +28,68 @@ def rendered(spark, values, kind="plain", format=None, **source):
     return [bytes(r.value) for r in serializers.render(parse(lines(spark, values, **source)), kind, format).orderBy("seq").collect()]
 
 
-ARGS = [
-    ('"HSET" "cart:9" "doc" "{"items":[{"sku":"A-1","qty":2}],"note":""}"', [b"cart:9", b"doc", b'{"items":[{"sku":"A-1","qty":2}],"note":""}']),
-    ('"APPEND" "log" "she said \\"no\\" twice"', [b"log", b'she said "no" twice']),
-    ('"SET" "page" "<p class="x"><b id="y">z</b></p>" "KEEPTTL"', [b"page", b'<p class="x"><b id="y">z</b></p>', b"KEEPTTL"]),
-    ('"SETEX" "list" "90" "i:0;s:0:"";i:1;s:2:"ok";"', [b"list", b"90", b'i:0;s:0:"";i:1;s:2:"ok";']),
-    ('"LPUSH" "q" "C:\\Work\\Zed isn\\\'t"', [b"q", b"C:\\Work\\Zed isn\\'t"]),
-    ('"SET" "bin" "\\x80\\x7f\\t\\b\\f\\a\\r\\n\\/\\ \\\\"', [b"bin", bytes.fromhex("807F09080C070D0A2F205C")]),
-    ('"MSET" "one" "two" "three"', [b"one", b"two", b"three"]),
-    ('"DBSIZE"', []),
-    ('"GET" "no end', None),
-    ('"GET" bare', None),
-]
+class Grammar:
+    """Lines made by the rules of the feed, with what their fields must be."""
 
+    def __init__(self, seed: int):
+        self.rng = random.Random(seed)
 
-def test_args(spark):
-    from pyspark.sql import functions as F
+    def padded(self, value: int, most: int = 3) -> str:
+        return "0" * self.rng.randint(0, most) + str(value)
 
-    p = parse(lines(spark, [P + a for a, _ in ARGS])).select("seq", "ok", "args_ok", F.transform("args", L.to_bytes).alias("a")).orderBy("seq").collect()
-    assert all(r.ok for r in p)
-    assert [[bytes(x) for x in r.a] if r.args_ok else None for r in p] == [want for _, want in ARGS]
+    def blanks(self) -> str:
+        return "".join(self.rng.choice(" \t") for _ in range(self.rng.randint(0, 3)))
 
+    def client(self) -> tuple[str, str, str, str]:
+        """Text, address, host and port of a client."""
+        rng, port = self.rng, self.rng.choice((0, 9, 6379, 65535))
+        match rng.choice("46plu"):
+            case "4":
+                octets = [rng.choice((0, 7, 255, rng.randint(0, 255))) for _ in range(4)]
+                host = ".".join(map(str, octets))
+                return ".".join(self.padded(o) for o in octets) + ":" + self.padded(port), f"{host}:{port}", host, str(port)
+            case "6":
+                host = ipaddress.IPv6Address(bytes(rng.choice((0, 0, 0, rng.randint(0, 255))) for _ in range(16)))
+                shown = f"::ffff:{host.ipv4_mapped}" if host.ipv4_mapped else host.compressed
+                return f"[{rng.choice((host.compressed, host.exploded.upper()))}]:{self.padded(port)}", f"{shown}:{port}", shown, str(port)
+            case "p":
+                folder, name = "".join(rng.choice("/ab é.") for _ in range(rng.randint(0, 8))), "".join(rng.choice("xy .:") for _ in range(rng.randint(0, 4)))
+                path = f"{folder}/{name}" if folder else ""
+                return f"unix:{path}", path, "-", path.rsplit("/", 1)[-1] or "-"
+            case "l":
+                return "lua", "lua", "-", "lua"
+        return "", "-", "-", "-"
 
-PREFIXES = [
-    ('12.5[18446744073709551615 9.8.7.6:5]"PING"', "18446744073709551615", "9.8.7.6:5", "9.8.7.6", "5"),
-    ('0000000042.700000 [0015 010.000.200.007:00080] "TIME"', "15", "10.0.200.7:80", "10.0.200.7", "80"),
-    ('1699000555.000250 [2 ] "INFO"', "2", "-", "-", "-"),
-    ('1699000555.000250 [1 lua] "INCR" "n"', "1", "lua", "-", "lua"),
-    ('1699000555.000250 [0 unix:] "PING"', "0", "", "-", "-"),
-    ('1699000555.000250 [4 unix:/var/kv/app one.sock] "PING"', "4", "/var/kv/app one.sock", "-", "app one.sock"),
-    ('1699000555.000250 [0 [FD00:0:00:000:0000:A:0b:0C]:7001] "PING"', "0", "fd00::a:b:c:7001", "fd00::a:b:c", "7001"),
-    ('1699000555.000250 [11 192.168.4.77:61000] "GET" "a"', "11", "192.168.4.77:61000", "192.168.4.77", "61000"),
-]
+    def line(self) -> tuple[str, list[str]]:
+        """A line, and its database, address, host, port and command."""
+        rng = self.rng
+        db, (text, *shown) = rng.choice((0, 15, rng.randint(0, 1 << 20), (1 << 64) - 1)), self.client()
+        command = "".join(rng.choice("aZ_9") for _ in range(rng.randint(1, 6)))
+        seconds = f"{self.padded(rng.randint(0, 1 << 33))}.{rng.randint(0, 10**6):06}"
+        return f'{seconds}{self.blanks()}[{self.padded(db)}{rng.choice((" ", self.blanks() + " "))}{text}]{self.blanks()}"{command}"{self.blanks()}', [str(db), *shown, command]
 
 
-def test_prefixes(spark):
-    got = rendered(spark, [x[0] for x in PREFIXES], format="%d|%ca|%ch|%cp")
-    assert got == ["|".join(x[1:]).encode() for x in PREFIXES]
+def test_lines_equal_the_grammar(spark):
+    grammar = Grammar(11)
+    made = [grammar.line() for _ in range(3000)]
+    got = rendered(spark, [line for line, _ in made], format="%d|%ca|%ch|%cp|%C")
+    assert [(line, x.decode()) for (line, want), x in zip(made, got, strict=True) if x.decode() != "|".join(want)] == []
 
 
-def test_addresses_equal_the_standard_library(spark):
-    import ipaddress
-    import random
+def test_broken_lines_are_rejected(spark):
+    grammar, bad = Grammar(12), []
+    for i in range(400):
+        line = grammar.line()[0]
+        bad.append([line.replace("[", "", 1), "-" + line, line.replace('"', "", 1), line.replace(".", ",", 1), line[: line.index("]")], line.replace('"', '"é', 1)][i % 6])
+    assert parse(lines(spark, bad)).where("ok").select("line").collect() == []
+
 
+def test_a_few_lines(spark):
+    got = rendered(spark, ["3.000000[1]\"A\"", '3.5 [2 8.8.4.4:53] "B_2"\t"x y"'], format="%d|%ca|%C|%a")
+    assert got == [b"1|-|A|", b'2|8.8.4.4:53|B_2|"x y"']
+
+
+def test_addresses_equal_the_standard_library(spark):
     from pyspark.sql import functions as F
 
     from feedlens.functions.addresses import with_canonical_ip
@@ -91,7 +112,6 @@ def test_addresses_equal_the_standard_library(spark):
 
 
 def test_doubles_are_shortest(spark):
-    import random
     from decimal import Decimal
 
     rng = random.Random(4)
