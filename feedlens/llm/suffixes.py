@@ -46,8 +46,8 @@ class Params:
 BLOCK = 1 << 19
 #: Low bits of a hash that give way to its place in a block; a block and the window after it fit in.
 _PLACE = np.uint64((1 << 21) - 1)
-#: Bits of the bitmaps, as a power of two: 4 MB each.
-BITS = 25
+#: Bits of the bitmaps, as a power of two: 2 MB each.
+BITS = 24
 #: An odd multiplier, three more than a multiple of four, for each doubling of a gram.
 _STEPS = [np.uint64(0x9E3779B97F4A7C17 + 4 * 0x1234567 * k) for k in range(16)]
 
@@ -80,7 +80,8 @@ def bundles(raw: np.ndarray, cuts: np.ndarray, p: Params) -> tuple[np.ndarray, n
     new = np.flatnonzero((place[1:] != place[:-1]) | (np.diff(starts) != 1)) + 1
     first = np.concatenate(([0], new))
     last = np.concatenate((new - 1, [len(starts) - 1]))
-    return h[place[first]], place[first], starts[first], starts[last]
+    # Least hashes crowd together at zero; mixed again they spread over a bitmap.
+    return mix(h[place[first]]), place[first], starts[first], starts[last]
 
 
 def blocks(data: np.ndarray, offsets: np.ndarray, threshold: int, size: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -97,8 +98,8 @@ def blocks(data: np.ndarray, offsets: np.ndarray, threshold: int, size: int = BL
             yield data[at : min(at + size + threshold - 1, hi)], np.array([lo - at]), i
 
 
-def _digest(view: memoryview, start: int, end: int) -> bytes:
-    return hashlib.blake2b(view[start:end], digest_size=16).digest()
+def _digests(raw: bytes, starts, ends, new=hashlib.blake2b) -> list[bytes]:
+    return [new(raw[a:z], digest_size=16).digest() for a, z in zip(starts, ends, strict=True)]
 
 
 def _frame(columns: list, kinds: str):
@@ -134,21 +135,24 @@ class Block:
     def ids(self, at: np.ndarray) -> list[bytes]:
         return [self.own(d) for d in self.doc[at].tolist()]
 
-    def chosen(self, keys, places) -> list[int]:
+    def chosen(self, keys, places) -> np.ndarray:
         """Bundles whose key and place the bitmaps let through."""
         at = np.flatnonzero(in_filter(self.key, keys.value))
-        return at[in_filter(place_of(self.ids(at), self.start[at]), places.value)].tolist() if len(at) else []
-
-    def cells(self, b: int) -> list[tuple[int, int, int]]:
-        """(start of the bytes that a whole cell shares, first, last) of the cells of a bundle."""
-        gram, size = int(self.gram[b]), self.p.cell
-        low, high = gram - int(self.last[b]), gram - int(self.first[b])
-        return [(gram - c * size, gram - min(high, c * size + size - 1), gram - max(low, c * size)) for c in range(low // size, high // size + 1)]
-
-    def shared(self, view: memoryview, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        return at[in_filter(place_of(self.ids(at), self.start[at]), places.value)] if len(at) else at
+
+    def cells(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the cells of some bundles: the bundle, the start of the bytes that a whole cell shares, first and last start."""
+        size, low, high = self.p.cell, self.gram[at] - self.last[at], self.gram[at] - self.first[at]
+        n = high // size - low // size + 1
+        bundle = np.repeat(np.arange(len(at)), n)
+        c = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (low // size)[bundle]
+        gram = self.gram[at][bundle]
+        return at[bundle], gram - c * size, gram - np.minimum(high[bundle], c * size + size - 1), gram - np.maximum(low[bundle], c * size)
+
+    def shared(self, raw: bytes, starts: np.ndarray) -> np.ndarray:
         """A hash of what the windows of each whole cell share."""
         size = self.p.threshold - self.p.cell + 1
-        return np.frombuffer(b"".join(_digest(view, s, s + size) for s, _, _ in parts), dtype=np.uint64).reshape(-1, 2)[:, 0].copy()
+        return np.frombuffer(b"".join(_digests(raw, starts.tolist(), (starts + size).tolist())), dtype=np.uint64).reshape(-1, 2)[:, 0].copy()
 
 
 def place_of(ids: list[bytes], starts: np.ndarray) -> np.ndarray:
@@ -188,8 +192,8 @@ def hulls(texts: DataFrame, p: Params, live) -> DataFrame:
     def make(block: Block):
         at = np.flatnonzero(in_filter(block.key, live.value))
         if len(at):
-            view, ids = memoryview(block.raw.tobytes()), block.ids(at)
-            digests = [_digest(view, a, z + p.threshold) for a, z in zip(block.first[at].tolist(), block.last[at].tolist(), strict=True)]
+            ids = block.ids(at)
+            digests = _digests(block.raw.tobytes(), block.first[at].tolist(), (block.last[at] + p.threshold).tolist())
             yield _frame([block.key[at].view(np.int64), digests, ids, block.start[at], (block.last - block.first + 1)[at], place_of(ids, block.start[at]).view(np.int64)], "key h* t* start windows place")
 
     return _pieces(texts, p, make, f"key long, {_PIECES}")
@@ -198,15 +202,11 @@ def hulls(texts: DataFrame, p: Params, live) -> DataFrame:
 def cells(texts: DataFrame, p: Params, keys, places) -> DataFrame:
     """As hulls, of the cells of the bundles that the bitmaps let through; key is the digit that the windows of a cell share."""
     def make(block: Block):
-        view, out, shared = memoryview(block.raw.tobytes()), ([], [], [], []), []
-        for b in block.chosen(keys, places):
-            parts = block.cells(b)
-            shared.append(block.shared(view, parts))
-            for _, a, z in parts:
-                for values, x in zip(out, (_digest(view, a, z + p.threshold), block.own(int(block.doc[b])), int(block.start[b] - block.first[b]) + a, z - a + 1), strict=True):
-                    values.append(x)
-        if shared:
-            yield _frame([np.concatenate(shared).view(np.int64), *out, place_of(out[1], np.array(out[2])).view(np.int64)], "key h* t* start windows place")
+        raw, at = block.raw.tobytes(), block.chosen(keys, places)
+        if len(at):
+            bundle, shared, a, z = block.cells(at)
+            ids, starts = block.ids(bundle), a + (block.start - block.first)[bundle]
+            yield _frame([block.shared(raw, shared).view(np.int64), _digests(raw, a.tolist(), (z + p.threshold).tolist()), ids, starts, z - a + 1, place_of(ids, starts).view(np.int64)], "key h* t* start windows place")
 
     return _pieces(texts, p, make, f"key long, {_PIECES}")
 
@@ -214,16 +214,19 @@ def cells(texts: DataFrame, p: Params, keys, places) -> DataFrame:
 def windows(texts: DataFrame, p: Params, keys, places, cell_keys, cell_places) -> DataFrame:
     """As hulls, without a key, of each window of the cells that the bitmaps let through."""
     def make(block: Block):
-        view, out = memoryview(block.raw.tobytes()), ([], [], [], [])
-        for b in block.chosen(keys, places):
-            parts, own, shift = block.cells(b), block.own(int(block.doc[b])), int(block.start[b] - block.first[b])
-            some = in_filter(block.shared(view, parts), cell_keys.value) & in_filter(place_of([own] * len(parts), np.array([a + shift for _, a, _ in parts])), cell_places.value)
-            for k in np.flatnonzero(some).tolist():
-                for s in range(parts[k][1], parts[k][2] + 1):
-                    for values, x in zip(out, (_digest(view, s, s + p.threshold), own, s + shift, 1), strict=True):
-                        values.append(x)
-        if out[0]:
-            yield _frame([*out, out[3]], "h* t* start windows place")
+        raw, at = block.raw.tobytes(), block.chosen(keys, places)
+        if not len(at):
+            return
+        bundle, shared, a, z = block.cells(at)
+        shift = (block.start - block.first)[bundle]
+        some = np.flatnonzero(in_filter(place_of(block.ids(bundle), a + shift), cell_places.value))
+        some = some[in_filter(block.shared(raw, shared[some]), cell_keys.value)] if len(some) else some
+        if len(some):
+            n = (z - a + 1)[some]
+            cell = np.repeat(some, n)
+            first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[cell]
+            one = np.ones(len(first), dtype=np.int64)
+            yield _frame([_digests(raw, first.tolist(), (first + p.threshold).tolist()), block.ids(bundle[cell]), first + shift[cell], one, one], "h* t* start windows place")
 
     return _pieces(texts, p, make, _PIECES)
 
