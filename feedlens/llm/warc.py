@@ -102,35 +102,62 @@ def write(pages: DataFrame, path: str, least: int = REVISIT_BYTES, records_per_f
 # ---------------------------------------------------------------- reading
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
+_VERSION_LINE = re.compile(rb"\nWARC/1\.[01]\r?\n")
 _HEAD_END = re.compile(rb"\r?\n\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
-#: Bytes that are inflated at a time.
-_STEP = 1 << 14
-
-
-def _parse(data, at: int, end: int) -> tuple[dict, int] | str:
-    """The record at `at` as (fields, its end), or why there is none."""
+#: Bytes that are read at a time, and most that one step inflates to.
+_STEP, _GROWTH = 1 << 14, 1 << 17
+#: Bytes of a record's header, and of what a gzip member has before its content, at most.
+HEADER, MEMBER_HEAD = 1 << 16, 1 << 10
+#: Bytes of a member's records that a task holds; a member that goes on after them is quarantined.
+MOST = 1 << 28
+#: Bytes that attempts may read in vain, as a multiple of the archive's size; what is left after that is a gap.
+VAIN = 64
+
+
+def _head(data, at: int, end: int, limit: int | None = None) -> tuple[int, int] | str:
+    """Where the header lines of the record at `at` begin and where they end; no other version line lies before limit."""
     if not (version := _VERSION.match(data, at, end)):
         return "no version line"
-    blank = _HEAD_END.search(data, version.end() - 1, end)
-    if not blank:
-        return "unterminated header"
+    blank = _HEAD_END.search(data, version.end() - 1, min(end, at + HEADER, end if limit is None else limit + 2))
+    return (version.end(), blank.start()) if blank else "unterminated header"
+
+
+def _fields(data, head: tuple[int, int]) -> dict[str, str] | str:
+    """The header lines by name, with a content length."""
     fields = {}
-    for line in bytes(data[version.end() : blank.start()]).splitlines():
+    for line in bytes(data[head[0] : head[1]]).splitlines():
         key, colon, value = line.partition(b":")
         if line and not colon:
             return "malformed header line"
         fields[key.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
     size = fields.get("content-length", "")
-    if not (size.isascii() and size.isdigit()):
-        return "no content length"
-    first, last = blank.end(), blank.end() + int(size)
+    return fields if size.isascii() and size.isdigit() and len(size) < 19 else "no content length"
+
+
+def _declared(data, at: int, end: int, limit: int | None = None) -> int:
+    """Bytes of the record at a place by its header, 0 without a sound one."""
+    head = _head(data, at, end, limit)
+    fields = _fields(data, head) if not isinstance(head, str) else head
+    return 0 if isinstance(fields, str) else head[1] - at + int(fields["content-length"]) + 8
+
+
+def _parse(data, at: int, end: int, limit: int | None = None) -> tuple[dict, int] | str:
+    """The record at `at` as (fields, its end), or why there is none."""
+    head = _head(data, at, end, limit)
+    if isinstance(head, str):
+        return head
+    fields = _fields(data, head)
+    if isinstance(fields, str):
+        return fields
+    first = _HEAD_END.match(data, head[1]).end()
+    last = first + int(fields["content-length"])
     if last > end:
         return "truncated block"
     close = _HEAD_END.match(data, last, end)
     if not close:
         return "no end of record"
-    block = data[first:last]
+    block = bytes(data[first:last])
     if (want := _sha1(fields.get("warc-block-digest", ""))) and hashlib.sha1(block).hexdigest() != want:
         return "block digest differs"
     payload = block.partition(b"\r\n\r\n")[2] if fields.get("content-type", "").startswith("application/http") else block
@@ -157,33 +184,75 @@ def _sha1(digest: str) -> str | None:
     return value if kind else None  # a damaged digest differs from any
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """Content of the gzip member at `at`, its end, and what is wrong with it; reads no further than a step past it.
-
-    Of a torn member there is what inflates before the break.
-    """
-    engine, out, view = zlib.decompressobj(31), [], memoryview(data)
-    while not engine.eof:
-        if at >= len(data):
-            return b"".join(out), at, "truncated member"
-        try:
-            out.append(engine.decompress(view[at : at + _STEP]))
-        except zlib.error as e:
-            return b"".join(out), at, f"bad member: {str(e)[:60]}"
-        at = min(at + _STEP, len(data))
-    return b"".join(out), at - len(engine.unused_data), ""
-
-
-def _records(content: bytes) -> tuple[list[dict], str]:
-    """The whole records that a member's content opens with, and why they end before it does."""
-    rows, at = [], 0
-    while at < len(content):
-        found = _parse(content, at, len(content))
-        if isinstance(found, str):
-            return rows, found
-        rows.append(found[0])
-        at = found[1]
-    return rows, ""
+class _Member:
+    """The gzip member at a place, inflated no further than its records ask for."""
+
+    def __init__(self, data: bytes, at: int):
+        self.view, self.start, self.at, self.engine = memoryview(data), at, at, zlib.decompressobj(31)
+        self.content, self.wrong, self.inflated = bytearray(), "", 0
+
+    @property
+    def ended(self) -> bool:
+        return bool(self.engine.eof or self.wrong)
+
+    @property
+    def end(self) -> int:
+        return self.at - len(self.engine.unused_data)
+
+    def reach(self, size: int) -> None:
+        """Inflate until there are `size` bytes of content, or no more of them."""
+        while len(self.content) < size and not self.ended:
+            given = self.engine.unconsumed_tail
+            if not given and self.at < len(self.view):
+                given = self.view[self.at : self.at + _STEP]
+                self.at += len(given)
+            try:
+                more = self.engine.decompress(given, _GROWTH)
+            except zlib.error as e:
+                self.wrong = f"bad member: {str(e)[:60]}"
+                return
+            self.content += more
+            self.inflated += len(more)
+            if not more and not self.engine.eof and self.at >= len(self.view) and not self.engine.unconsumed_tail:
+                self.wrong = "truncated member"
+            elif not self.inflated and self.at - self.start > MEMBER_HEAD + _STEP:
+                self.wrong = "bad member: no content"
+
+    def records(self, most: int = MOST) -> tuple[list[dict], str]:
+        """The whole records that the content opens with, and why they end before it does."""
+        rows, held = [], 0
+        while True:
+            self.reach(1)
+            if not self.content and self.ended:
+                return rows, self.wrong
+            self.reach(64)
+            if _VERSION.match(self.content):
+                self.reach(HEADER)
+            size = _declared(self.content, 0, len(self.content))
+            if held + size > most:
+                return rows, f"records of more than {most} bytes"
+            self.reach(size)
+            found = _parse(self.content, 0, len(self.content))
+            if isinstance(found, str):
+                return rows, self.wrong or found
+            rows.append(found[0])
+            held += len(found[0]["payload"])
+            del self.content[: found[1]]
+
+
+def _member_head(data: bytes, at: int) -> bool:
+    """Whether a gzip member's head at this place is one that writers of archives make: no reserved flags, and soon over."""
+    if at + 10 > len(data) or data[at + 3] & 0xE0:
+        return False
+    flags, place = data[at + 3], at + 10
+    if flags & 4:
+        place += 2 + int.from_bytes(data[place : place + 2], "little")
+    for flag in (8, 16):  # name and comment, each up to a zero byte
+        if flags & flag:
+            place = data.find(b"\0", place, at + MEMBER_HEAD) + 1
+            if not place:
+                return False
+    return place <= at + MEMBER_HEAD
 
 
 class _Next:
@@ -198,40 +267,49 @@ class _Next:
         return self.at
 
 
-def salvage(data: bytes) -> Iterator[dict]:
+def salvage(data: bytes, most: int = MOST) -> Iterator[dict]:
     """Records of one archive, and a row of status `gap` for every byte range that no record covers.
 
     Where a check fails, the next version line or gzip member that opens a valid record is searched for; the
     bytes in between become one gap with the reason of the first failure. A member may hold several records:
     the first one has the member's bytes, the others none. Records that inflate whole before the break of a
     torn member and fit their block digest have its offset and no bytes; the member itself is part of a gap.
+
+    A member is inflated only as far as its records ask for. One whose records exceed `most` bytes counts as torn
+    there, a header has HEADER bytes at most, and a gzip head MEMBER_HEAD. Time is linear in the archive, whatever the
+    damage: once attempts have read VAIN times its size in vain, what is left is one gap.
     """
-    at, end, gap, why = 0, len(data), None, ""
+    at, end, gap, why, vain = 0, len(data), None, "", 0
     places = (_Next(lambda i: x.start() if (x := _VERSION.search(data, i)) else None), _Next(lambda i: x if (x := data.find(_MEMBER, i)) >= 0 else None))
+    lines = _Next(lambda i: x.start() if (x := _VERSION_LINE.search(data, i)) else None)
 
     def quarantined(upto: int) -> Iterator[dict]:
         if gap is not None and upto > gap:
             yield {"offset": gap, "bytes": upto - gap, "status": "gap", "reason": why}
 
     while at < end:
-        rows, upto, wrong = [], at, ""
+        rows, upto, wrong, cost = [], at, "", 0
         if data[at : at + 3] == _MEMBER:
-            content, upto, wrong = _inflate(data, at)
-            if not content and not wrong:  # padding
+            member = _Member(data, at) if _member_head(data, at) else None
+            rows, wrong = member.records(most) if member else ([], "bad member: no head")
+            cost = member.inflated + member.at - at if member else 0
+            if not rows and not wrong:  # padding
                 yield from quarantined(at)
-                gap, at = None, upto
+                gap, at = None, member.end
                 continue
-            rows, rest = _records(content)
             if wrong:  # the member's own checksum is not reached
                 rows = [r for r in rows if r["checked"]]
-            wrong = wrong or rest
+            else:
+                upto = member.end
         else:
-            found = _parse(data, at, end)
+            found = _parse(data, at, end, lines.after(at))
             if isinstance(found, str):
                 wrong = found
+                cost = _declared(data, at, end, lines.after(at)) if wrong.endswith("digest differs") else 0
             else:
                 rows, upto = [found[0]], found[1]
         if wrong:
+            vain += cost
             if rows:  # a gap ends before the records that were found in it
                 yield from quarantined(at)
                 gap = None
@@ -239,6 +317,8 @@ def salvage(data: bytes) -> Iterator[dict]:
             if gap is None:
                 gap, why = at, wrong
             at = min((x for x in (p.after(at) for p in places) if x is not None), default=end)
+            if vain > VAIN * end + MOST:
+                at = end
             continue
         yield from quarantined(at)
         gap = None
