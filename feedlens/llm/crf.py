@@ -2,7 +2,7 @@
 
 Only documents carry labels, so tokens are labelled first: a token of a toxic training document is toxic if
 its word or one of its prefixes occurs far more often in toxic documents than in clean ones; every token of
-a clean document is clean. The field is fitted to those; further rounds add what it tags in toxic documents itself.
+a clean document is clean. The field is fitted to those.
 Forward-backward marginals give toxic spans with their offsets, and their sums give a document's score
 through a logistic curve that is fitted to training documents the field has not seen.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlens.llm.shared import TILE_BYTES, buffers, first_by_hash, short_batches, tiles
@@ -25,13 +25,13 @@ from feedlens.llm.shared import TILE_BYTES, buffers, first_by_hash, short_batche
 class Params:
     sample_docs: int = 6000  #: labelled documents that the fit takes at most, in order of a hash of doc_id
     sample_bytes: int = 10 << 20  #: bytes of text that they have at most
+    sample_least: int = 30  #: documents of either label that it has where the table does
     calibration: float = 0.35  #: share of them that only the logistic curve sees
     bits: int = 20  #: hashed features: 2^bits weights
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)  #: prefix lengths in bytes that are features
     support: int = 4  #: toxic documents that a feature needs to label a token
     log_odds: float = 3.0  #: and its log odds of toxic to clean occurrences per token
     epochs: int = 10
-    rounds: int = 1  #: fits: to the first labels, then also to what the field tags in toxic documents
     rate: float = 0.3
     clean_chains: int = 20_000  #: chains without a toxic token that the fit takes of its sample, in random order, at least
     clean_ratio: int = 8  #: or as many for each chain with one
@@ -323,12 +323,7 @@ def fit(texts: list[bytes], toxic: np.ndarray, p: Params = Params()) -> Model |
     t = tokens(seen)
     if not len(t.start):
         return None
-    label = _first_labels(t, toxic[seen], int(seen.sum()), p)
-    model = None
-    for _ in range(p.rounds):
-        if model is not None:
-            label |= (marginals(t, model)[0] > p.span) & toxic[seen][t.doc]
-        model = _fit_field(t, label, p)
+    model = _fit_field(t, _first_labels(t, toxic[seen], int(seen.sum()), p), p)
     h = tokens(held)
     if not len(h.start):
         return None
@@ -349,25 +344,40 @@ def hash_bytes(x: bytes) -> int:
 def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[bytes], np.ndarray]:
     """A bounded sample of labelled rows outside the held-out fifth: whole texts and labels.
 
-    Documents come in order of a hash of doc_id; one that would take the sample over its bytes is skipped.
+    Documents come in order of a hash of doc_id; one that would take the sample over its bytes is skipped. Of a label
+    that so has fewer than `sample_least`, its own first ones come too, of half as many bytes.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(F.crc32(F.col("_doc").cast("string").cast("binary")) % 5 != 0)
     order = F.xxhash64("_doc", F.lit("crf"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sizes = rows.select("_doc", F.octet_length("text").cast("long").alias("size")).groupBy("_doc").agg(F.sum("size").alias("size")).join(marks, "_doc").select("_doc", "size")
-    kept, held = [], 0
-    for r in first_by_hash(sizes, order, p.sample_docs).select("_doc", "size").collect():
-        if held + r["size"] <= p.sample_bytes:
-            kept.append((r["_doc"],))
-            held += r["size"]
+    sizes = rows.select("_doc", F.octet_length("text").cast("long").alias("size")).groupBy("_doc").agg(F.sum("size").alias("size")).join(marks, "_doc").select("_doc", "size", "toxic")
+    kept = _drawn(sizes, order, p)
     if not kept:
         return [], np.zeros(0, dtype=bool)
     chosen = docs.sparkSession.createDataFrame(kept, "_doc long")
-    some = rows.join(F.broadcast(chosen), "_doc").join(marks, "_doc").orderBy(order, "text").limit(p.sample_docs).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
+    some = rows.join(F.broadcast(chosen), "_doc").join(marks, "_doc").orderBy(order, "text").limit(p.sample_docs + 2 * p.sample_least).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
     return [bytes(r["text"]) for r in some], np.array([r["toxic"] == 1 for r in some], dtype=bool)
 
 
+def _drawn(sizes: DataFrame, order: Column, p: Params) -> list[tuple[int]]:
+    """Keys of the sample from rows (_doc, size, toxic)."""
+    kept: dict[int, int] = {}
+
+    def take(rows: DataFrame, n: int, most: int) -> None:
+        held = 0
+        for r in first_by_hash(rows, order, n).select("_doc", "size", "toxic").collect():
+            if r["_doc"] not in kept and held + r["size"] <= most:
+                kept[r["_doc"]] = int(r["toxic"] == 1)
+                held += r["size"]
+
+    take(sizes, p.sample_docs, p.sample_bytes)
+    for label in (0, 1):
+        if (found := sum(x == label for x in kept.values())) < p.sample_least:  # rare in the table
+            take(sizes.where((F.col("toxic") == 1).cast("int") == label), p.sample_least + found, p.sample_bytes // 2)
+    return [(d,) for d in kept]
+
+
 def trained(docs: DataFrame, labels: DataFrame, p: Params) -> Model | None:
     """A model of the labelled sample; None, with a warning, where there are no labels of both kinds.
 

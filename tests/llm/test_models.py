@@ -96,6 +96,18 @@ def test_toxicity_held_out(spark, corpus):
     assert {r.doc_id for r in crf.clean(docs, labels.select("doc_id", "toxic")).collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def test_one_toxic_row_of_many(spark):
+    """Whichever row it is: the sample has it, and the fit does not fail; its own words are found again."""
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("plain words"), F.hex(F.col("id") % 97), F.hex(F.col("id") % 89)).alias("text"))
+    outside = rows.where("crc32(cast(doc_id as string)) % 5 <> 0").select("doc_id")
+    ids = [r.doc_id for r in outside.orderBy(F.xxhash64("doc_id", F.lit("crf"))).collect()]
+    for one in (ids[0], ids[7_000], ids[12_000], ids[-1]):
+        docs = rows.withColumn("text", F.when(F.col("doc_id") == one, F.lit("Grobian schuftig " * 5)).otherwise(F.col("text")))
+        texts, toxic = crf.training_rows(docs, rows.select("doc_id", (F.col("doc_id") == one).cast("int").alias("toxic")), crf.Params())
+        assert toxic.sum() == 1 and 6000 <= len(texts) <= 6060
+        assert crf.clean(docs, rows.select("doc_id", (F.col("doc_id") == one).cast("int").alias("toxic"))).where("text like 'plain%'").count() == 19_999
+
+
 def test_toxicity_odd_rows(documents, odd, corpus):
     labels = corpus[1].select("doc_id", "toxic")
     got = crf.score(odd, labels).collect()
