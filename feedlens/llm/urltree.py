@@ -1,6 +1,6 @@
 """URL filter: explicit host and path rules, then a tree of path templates, in DataFrame functions only.
 
-Per host the path segments form a tree. Level by level, segments that few pages share become the wildcard `*`
+Per host the path segments form a tree. From the root down, segments that few pages share become the wildcard `*`
 where a fork has many of them; its frequent segments keep their names. Sibling templates whose labelled shares
 of bad pages do not differ beyond chance are merged. A template is rejected where its branch's share of bad
 labels, smoothed towards the share of all siblings and that towards the host's, is high.
@@ -66,34 +66,55 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return F.coalesce(*text, none), F.coalesce(*action, none)
 
 
+#: Of each segment that is left: the hashes of those before it, and the segment.
+_STEPS = """
+aggregate(slice(parts, at + 1, size(parts)), named_struct('a', 1L, 'b', 2L, 'out', cast(array() as array<struct<a: bigint, b: bigint, part: string>>)),
+  (s, x) -> named_struct('a', xxhash64(s.a, x), 'b', xxhash64(s.b, x, 1), 'out', concat(s.out, array(named_struct('a', s.a, 'b', s.b, 'part', x)))), s -> s.out)
+"""
+_NODE = ["host", "template", "step", "a", "b"]
+
+
+def _same(left: DataFrame, keys: list[str]) -> Column:
+    return functools.reduce(lambda x, y: x & y, [left[k] == F.col(f"_{k}") for k in keys])
+
+
+def _as_side(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    return rows.select(*[F.col(k).alias(f"_{k}") for k in keys], *more)
+
+
 def templates(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """pages (page_id, host, path, bad) with `template`: the path with its variable segments as wildcards.
 
-    A round a level, as many as the longest path has segments; only pages that reach a level are joined there.
+    Only forks, nodes with many rare children, change a path. A round looks at all nodes that a path has left, up
+    to its end, and takes each path through its next fork; so there are as many rounds as forks lie on one path, and
+    a path of thousands of segments costs no round. Nodes are known by two hashes of the segments since the last fork.
     """
-    rows = saved(pages.withColumn("parts", F.expr("split(regexp_replace(path, '^/', ''), '/')")).withColumn("template", F.lit("")), "url-parts")
+    rows = saved(pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()), "url-paths")
+    rows = rows.select("id", "host", "path", "n", F.expr("split(regexp_replace(path, '^/', ''), '/')").alias("parts"), F.lit(0).alias("at"), F.lit("").alias("template"))
     ended = []
-    for level in itertools.count():
-        done = rows.where(F.size("parts") <= level)
-        rows = rows.where(F.size("parts") > level)
-        ended.append(done)
-        if rows.isEmpty():
-            break
-        here = F.element_at("parts", F.lit(level + 1))
-        children = rows.groupBy("host", "template", here.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-        children = saved(children, f"url-children-{level}")
+    for turn in itertools.count():
+        nodes = rows.select("id", "host", "template", "n", F.posexplode(F.expr(_STEPS)).alias("step", "s")).select("id", "host", "template", "n", "step", "s.*")
+        children = saved(nodes.groupBy(*_NODE, "part").agg(F.sum("n").alias("n")), f"url-children-{turn}")
         rare = F.col("n") <= p.few_pages
-        forks = children.groupBy("host", "template").agg(F.count(F.when(rare, True)).alias("rare")).where(F.col("rare") >= p.min_children)
-        forks = saved(forks.select(F.col("host").alias("_host"), F.col("template").alias("_template"), F.lit(True).alias("wild")), f"url-forks-{level}")  # a plain table on that side lets Spark split a hot host's rows
-        at_fork = lambda side: (side["host"] == F.col("_host")) & (side["template"] == F.col("_template"))
-        names = children.where(~rare).join(forks, at_fork(children), "left_semi").select(F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("part").alias("_p"), F.lit(True).alias("named"))
-        names = saved(names, f"url-names-{level}")
-        rows = rows.withColumn("here", here).join(forks, at_fork(rows), "left")
-        rows = rows.join(names, (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (F.col("here") == F.col("_p")), "left")
-        step = F.when(F.col("wild") & F.col("named").isNull(), F.lit("/*")).otherwise(F.concat(F.lit("/"), "here"))
-        rows = rows.withColumn("template", F.concat("template", step)).drop("_host", "_template", "wild", "_h", "_t", "_p", "named", "here")
-        rows = saved(rows, f"url-level-{level}")
-    return functools.reduce(DataFrame.unionByName, ended).drop("parts")
+        forks = saved(_as_side(children.groupBy(*_NODE).agg(F.count_if(rare).alias("rare")).where(F.col("rare") >= p.min_children), _NODE), f"url-forks-{turn}")  # a plain table on that side lets Spark split a hot host's rows
+        if forks.isEmpty():
+            ended.append(rows)
+            break
+        next_fork = saved(nodes.join(forks, _same(nodes, _NODE), "left_semi").groupBy(F.col("id").alias("_id")).agg(F.min(F.struct("step", "a", "b", "part")).alias("fork")), f"url-next-{turn}")
+        met = rows.join(next_fork, rows["id"] == F.col("_id"), "left").drop("_id")
+        met = saved(met.select("*", "fork.*").drop("fork"), f"url-met-{turn}")
+        ended.append(met.where("step is null").select(rows.columns))
+        met = met.where("step is not null")
+        named = children.where(~rare).join(forks, _same(children, _NODE), "left_semi")
+        named = saved(_as_side(named, [*_NODE, "part"], F.lit(True).alias("named")), f"url-names-{turn}")
+        met = met.join(named, _same(met, [*_NODE, "part"]), "left")
+        passed = F.when(F.col("step") > 0, F.concat(F.lit("/"), F.array_join(F.expr("slice(parts, at + 1, step)"), "/"))).otherwise("")
+        own = F.when(F.col("named"), F.concat(F.lit("/"), "part")).otherwise(F.lit("/*"))
+        rows = saved(met.select("id", "host", "path", "n", "parts", (F.col("at") + F.col("step") + 1).alias("at"), F.concat("template", passed, own).alias("template")), f"url-turn-{turn}")
+    rest = F.expr("slice(parts, at + 1, size(parts))")
+    found = functools.reduce(DataFrame.unionByName, ended).withColumn("template", F.when(F.size("parts") > F.col("at"), F.concat("template", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("template")))
+    found = saved(_as_side(found, ["host", "path"], F.col("template")), "url-templates")
+    return pages.join(found, _same(pages, ["host", "path"])).drop("_host", "_path")
 
 
 #: A new branch starts where a bin of siblings differs from the branch's first bin by a test of two shares, each of a sibling of the bin's mean size.
@@ -145,7 +166,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES,
     rows = pages.select(F.col("page_id").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     marks = labels.groupBy(F.col("page_id").alias("_page")).agg(F.max(F.col("bad").cast("int")).alias("bad"))
     rows = rows.join(marks, rows["page_id"] == marks["_page"], "left").drop("_page")
-    rows = templates(rows, p)
+    rows = templates(saved(rows, "url-pages"), p)
     verdicts = saved(judged_templates(rows, p).select(F.col("host").alias("_host"), F.col("template").alias("_template"), "bad_share", "verdict"), "url-verdicts")
     rows = rows.join(verdicts, (rows["host"] == verdicts["_host"]) & (rows["template"] == verdicts["_template"]), "left")
     text, action = rule_of(F.col("host"), F.col("path"), rules)

@@ -3,12 +3,14 @@
 import gzip
 import hashlib
 import random
+import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
 from feedlens.llm import decontaminate, urltree, warc
-from feedlens.llm.shared import scratch
+from feedlens.llm.shared import saved, scratch
 from odd import ODD
 
 
@@ -90,6 +92,52 @@ def test_salvage_takes_linear_time():
     assert seconds(16_000) < 16 * max(seconds(2_000), 0.02)
 
 
+def _seconds(data: bytes) -> float:
+    began = time.process_time()
+    rows = list(warc.salvage(data))
+    assert sum(r["bytes"] for r in rows) == len(data) and all(r["status"] == "gap" for r in rows)
+    return time.process_time() - began
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: b"WARC/1.0\r\n" * n, lambda n: b"WARC/1.0\r\nA: b\r\n" * n, lambda n: b"WARC/1.1\nContent-Length: 99999999999999\n\n" * n, lambda n: b"WARC/1.1\nContent-Length: %s\n\n" % (b"9" * 5000) * (n // 20),
+    lambda n: b"\x1f\x8b\x08" * n, lambda n: b"\x1f\x8b\x08\x08abcdefg" * n, lambda n: (b"\x1f\x8b\x08\0\0\0\0\0\0\3" + b"\1\xff\xff\0\0" + bytes(20)) * (n // 2),
+], ids=["versions", "headers", "lengths", "digits", "magic", "names", "blocks"])
+def test_damage_takes_linear_time(make):
+    """Twice the damage takes twice the time; 400 KB of it a few seconds at most."""
+    _seconds(make(2000))
+    small, large = min(_seconds(make(8_000)) for _ in range(2)), min(_seconds(make(32_000)) for _ in range(2))
+    assert large < 10 * small + 0.3 and large < 8
+
+
+def test_nested_blocks_end_in_a_gap(monkeypatch):
+    """Records that hold all that follows, each with a wrong digest."""
+    monkeypatch.setattr(warc, "MOST", 1 << 16)
+    head = b"WARC/1.1\r\nContent-Length: %07d\r\nWARC-Block-Digest: sha1:" + b"0" * 40 + b"\r\n\r\n"
+    size = len(head % 0)
+    data = b"".join(head % (size * (3000 - i - 1)) for i in range(3000)) + b"\r\n\r\n"
+    assert _seconds(data) < 5
+
+
+def test_a_bomb_is_not_inflated():
+    packed = gzip.compress(bytes(300 << 20), 9)
+    record = warc_record(b"fine")
+    data = gzip.compress(record) + packed + gzip.compress(record + bytes(200 << 20)) + gzip.compress(record)
+    tracemalloc.start()
+    rows = list(warc.salvage(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["status"], bytes(r["payload"]) if r["status"] == "ok" else r["reason"]) for r in rows if r["bytes"]] == [("ok", b"fine"), ("gap", "no version line"), ("gap", "no version line"), ("ok", b"fine")]
+    assert sum(r["status"] == "ok" for r in rows) == 3 and peak < 20 << 20
+    big = gzip.compress(b"".join(warc_record(bytes([65 + i]) * 3000) for i in range(9)))
+    rows = list(warc.salvage(big, most=10_000))
+    assert [r["status"] for r in rows] == ["ok"] * 3 + ["gap"] and "more than 10000" in rows[-1]["reason"]
+
+
+def warc_record(payload: bytes) -> bytes:
+    return b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length : %d\r\nWARC-Block-Digest: sha1:%s\r\n\r\n%s\r\n\r\n" % (len(payload), hashlib.sha1(payload).hexdigest().encode(), payload)
+
+
 def test_damaged_archives_give_a_log_of_gaps(spark, tmp_path):
     good, bad = gzip.compress(record("a", b"x")), gzip.compress(record("b", b"y"))[:-9]
     (tmp_path / "one.warc.gz").write_bytes(good + bad + good)
@@ -162,6 +210,19 @@ def test_unlabelled_templates_follow_their_host_and_deep_paths_branch(spark):
     assert {got[200 + i].verdict for i in range(20)} == {"allow"} and {got[220 + i].verdict for i in range(20)} == {"block"}
 
 
+def test_deep_paths_cost_no_round(spark, monkeypatch):
+    """A path of two thousand segments, and forks below a wildcard."""
+    tables = []
+    monkeypatch.setattr(urltree, "saved", lambda df, name: (tables.append(name), saved(df, name))[1])
+    deep = "/" + "/".join(f"s{i}" for i in range(2000))
+    rows = [(0, "h", deep, None), (1, "h", deep + "/", None), (2, "h", "", None), (3, "h", "/", None)] + [(10 + i, "h", f"/u{i}/x/p{i % 3}" if i % 2 else f"/u{i}/x", None) for i in range(24)]
+    rows += [(100 + i, "h", f"/u{i}/y/q{i}", None) for i in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, host string, path string, bad int")
+    got = {r.page_id: r.template for r in urltree.templates(pages).collect()}
+    assert got[0] == "/*/" + deep.split("/", 2)[2] and got[1] == got[0] + "/" and got[2] == got[3] == "/*" and got[11] == "/*/x/p1" and got[10] == "/*/x" and got[108] == "/*/y/*"
+    assert len(got) == len(rows) and sum(n.startswith("url-children") for n in tables) == 3
+
+
 def test_frequent_children_keep_their_names(spark):
     rows = [(i, f"http://h.test/p/{i}") for i in range(60)] + [(100 + i, "http://h.test/p/top") for i in range(300)]
     got = urltree.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([], "page_id long, bad int")).collect()
