@@ -10,6 +10,9 @@ item of which it holds a large enough share of the windows.
 Capitals make names, so a copy in other case has other templates. Windows therefore come in two views: with
 names as placeholders, and plain, with names as lower-cased literals. Occurrences are judged in each view;
 a plain one with other numbers must agree with the numbers of its template windows as well.
+
+An item with too few words for either view ("What is 12 * 35?") has windows in a third one, in which all tokens
+are literals: as it stands it is found, with other numbers it is not.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from feedlens.llm.shared import bit_filter, buffers, hash_spans, in_filter, mix,
 @dataclass(frozen=True)
 class Params:
     window: int = 8  #: template tokens of a window; shorter items are one window
-    literals: int = 3  #: tokens of a window that must not be placeholders
+    literals: int = 3  #: tokens of a window that must not be placeholders; tokens of an item that may be found as it stands
     coverage: float = 0.5  #: share of an item's windows from which a document is contaminated
     salts: int = 8  #: copies of the benchmark's windows in the join; a window that many documents hold is spread over them
 
@@ -41,7 +44,7 @@ percent degree degrees dollar dollars cent cents euro euros usd eur gbp mph kmh
 
 NUMBER, UNIT, NAME = 1, 2, 3
 #: Views of a window, as bits; a window without names is the same in both. Template windows count a run of names as one token.
-TEMPLATE, PLAIN = 1, 2
+TEMPLATE, PLAIN, EXACT = 1, 2, 4
 
 _TOKEN = np.zeros(256, dtype=bool)
 _TOKEN[48:58] = _TOKEN[65:91] = _TOKEN[97:123] = _TOKEN[128:] = True
@@ -178,21 +181,22 @@ def _hashes(token: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
 def _windows(value: np.ndarray, kind: np.ndarray, doc: np.ndarray, size: int, view: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each window of `size` tokens of a view that lies in one document and has enough literals.
 
-    In the plain view names are literals.
+    In the plain view names are literals, in the exact one all tokens are.
     """
     n = len(value) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    slot = (kind > 0) if view == TEMPLATE else (kind == NUMBER) | (kind == UNIT)
+    slot = (kind > 0) if view == TEMPLATE else (kind == NUMBER) | (kind == UNIT) if view == PLAIN else np.zeros(len(kind), dtype=bool)
     literals = np.concatenate(([0], np.cumsum(~slot)))
     at = np.flatnonzero((doc[:n] == doc[size - 1 :]) & (literals[size:] - literals[:n] >= min(p.literals, size)))
     return at, _hashes(np.where(slot, kind.astype(np.uint64), value), at, size)
 
 
-def _rows(p: Params, key: str, passes: np.ndarray | None):
+def _rows(p: Params, key: str, passes: np.ndarray | None, wanted: set[tuple[int, int]] | None = None):
     """Windows of each text: key, run (template token it starts in), at (word it starts at), size, hash, views, values (of numbers and units), names (values of them, if placeholders).
 
-    Windows of both views at one place with the same hash, those without names, are one row.
+    Windows of several views at one place with the same hash, such as those without names, are one row. passes and
+    wanted, a bitmap of hashes and pairs of view and size, tell which windows a text has; without them it is an item.
     """
     def run(batches):
         import pyarrow as pa
@@ -207,12 +211,22 @@ def _rows(p: Params, key: str, passes: np.ndarray | None):
                 first_run = np.searchsorted(runs[2], np.arange(j - i))
                 out = {"row": [], "run": [], "at": [], "size": [], "hash": [], "views": [], "values": [], "names": []}
                 seen: dict[tuple, int] = {}
-                for view, (value, kind, doc) in ((TEMPLATE, runs[:3]), (PLAIN, (w.value, w.kind, w.doc))):
+                found = np.zeros(j - i, dtype=bool)
+                for view, (value, kind, doc) in ((TEMPLATE, runs[:3]), (PLAIN, (w.value, w.kind, w.doc)), (EXACT, (w.value, w.kind, w.doc))):
                     count = np.bincount(doc, minlength=j - i)
                     # A text of fewer tokens than a window is one window.
                     for size in range(1, p.window + 1):
+                        if wanted is not None and (view, size) not in wanted:
+                            continue
                         at, hashed = _windows(value, kind, doc, size, view, p)
-                        keep = np.minimum(count[doc[at]], p.window) == size if passes is None else in_filter(hashed, passes)
+                        if passes is not None:
+                            keep = in_filter(hashed, passes)
+                        else:
+                            keep = np.minimum(count[doc[at]], p.window) == size
+                            if view == EXACT:  # only of items without another view
+                                keep &= ~found[doc[at]] & (size >= p.literals)
+                            else:
+                                found[doc[at[keep]]] = True
                         for a, h in zip(at[keep].tolist(), hashed[keep].tolist(), strict=True):
                             word = int(runs[3][a]) if view == TEMPLATE else a
                             if (word, size, h) in seen:
@@ -242,7 +256,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     short_batches(docs.sparkSession)
     items = saved(clean(benchmark, "item_id").mapInArrow(_rows(p, "item_id", None), "item_id long, run long, at long, size int, hash long, views int, values array<long>, names array<long>"), "templates-items")
     passes = bit_filter(items.select("hash"))  # documents' windows pass it before the join
-    found = clean(docs, "doc_id").mapInArrow(_rows(p, "doc_id", passes), "doc_id long, run long, at long, size int, hash long, views int, values array<long>, names array<long>")
+    wanted = {(v, r["size"]) for r in items.select("views", "size").distinct().collect() for v in (TEMPLATE, PLAIN, EXACT) if r["views"] & v}  # at most three for each size
+    found = clean(docs, "doc_id").mapInArrow(_rows(p, "doc_id", passes, wanted), "doc_id long, run long, at long, size int, hash long, views int, values array<long>, names array<long>")
     found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "at"), F.lit(p.salts)))
     spread = items.select(F.col("item_id"), F.col("run").alias("item_run"), F.col("at").alias("item_at"), F.col("size").alias("_size"), F.col("hash").alias("_hash"), F.col("views").alias("item_views"), F.col("values").alias("item_values"), F.col("names").alias("item_names"), F.explode(F.sequence(F.lit(0), F.lit(p.salts - 1))).alias("_salt"))
     joined = found.join(spread, (F.col("hash") == F.col("_hash")) & (F.col("salt") == F.col("_salt")) & (F.col("size") == F.col("_size")))
@@ -250,13 +265,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     in_view = lambda v, x: F.when(both.bitwiseAND(F.lit(v)) > 0, x)
     numbers = zipped("values")
     joined = joined.select(
-        "doc_id", "item_id", (F.col("run") - F.col("item_run")).alias("shift"), numbers.alias("numbers"), in_view(TEMPLATE, F.col("item_at")).alias("template_at"), in_view(PLAIN, F.col("item_at")).alias("plain_at"),
+        "doc_id", "item_id", (F.col("run") - F.col("item_run")).alias("shift"), numbers.alias("numbers"), in_view(TEMPLATE, F.col("item_at")).alias("template_at"), in_view(PLAIN, F.col("item_at")).alias("plain_at"), in_view(EXACT, F.col("item_at")).alias("exact_at"),
         in_view(TEMPLATE, F.concat(numbers, zipped("names"))).alias("template_slots"), in_view(PLAIN, numbers).alias("plain_slots"),
     )
     # An occurrence has two rows for each window of an item at most, so a group is bounded by the item's length.
     pairs = lambda x: F.array_distinct(F.flatten(F.collect_set(x)))
     occurrence = joined.groupBy("doc_id", "item_id", "shift").agg(
-        F.collect_set("template_at").alias("templates"), F.collect_set("plain_at").alias("plain"), pairs("template_slots").alias("template_pairs"), pairs("plain_slots").alias("plain_pairs"), pairs("numbers").alias("pairs"),
+        F.collect_set("template_at").alias("templates"), F.collect_set("plain_at").alias("plain"), F.collect_set("exact_at").alias("exact"), pairs("template_slots").alias("template_pairs"), pairs("plain_slots").alias("plain_pairs"), pairs("numbers").alias("pairs"),
     )
     side = lambda x, k: F.size(F.array_distinct(F.transform(x, lambda y: y[k])))
     one_to_one = lambda x: (F.size(x) == side(x, "a")) & (F.size(x) == side(x, "b"))
@@ -265,6 +280,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> Data
     hits = F.array(
         F.when(one_to_one("template_pairs"), of_view(TEMPLATE, "templates", "template_pairs")),
         F.when(~changed("plain_pairs") | one_to_one("pairs"), of_view(PLAIN, "plain", "plain_pairs")),
+        F.when(F.size("exact") > 0, F.struct(F.lit(EXACT).alias("view"), F.col("exact").alias("places"), F.lit(False).alias("changed"))),
     )
     consistent = occurrence.select("doc_id", "item_id", F.explode(F.array_compact(hits)).alias("hit"))
     # An item may occur many times in a document; counts of places are merged as sets of the item's windows.
@@ -283,7 +299,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, p: Params = Params()) -> DataFr
     """One row per row of docs: doc_id, contaminated, item_id, coverage, changed, n_items.
 
     item_id is the item with the largest coverage, of equal ones the least. Null and empty texts are clean;
-    items without tokens match nothing; rows that share a doc_id, null too, are judged together. An empty
+    items of fewer tokens than p.literals match nothing; rows that share a doc_id, null too, are judged together. An empty
     table or an empty benchmark contaminates nothing; other columns are ignored.
     """
     best = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("coverage"), F.asc_nulls_last("item_id")))

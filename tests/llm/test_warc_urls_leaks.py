@@ -370,3 +370,14 @@ def test_leaks_odd_rows(spark, documents, odd):
     assert len(got) == len(ODD) and {r.doc_id for r in got if r.contaminated} == {5}
     assert decontaminate.judge(documents([]), bench).count() == 0 and decontaminate.judge(odd, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.decontaminate(odd, bench).count() == len(ODD) - 1
+
+
+def test_short_items_are_found_as_they_stand(spark, documents):
+    items = {1: "What is 12 * 35?", 2: "Compute 12 + 35.", 3: "12", 4: "Is 7 8 9 10 11 12 13 14 15 16?", 5: "Add 3 and 4"}
+    texts = {
+        10: "First: what is 12 * 35? Then go on.", 11: "what is 12 * 36?", 12: "please compute 12 + 35. Thanks", 13: "compute 35 + 12", 14: "12", 15: "is 7 8 9 10 11 12 13 14 15 16", 16: "is 7 8 9 10 11 12 13 14 15 17 18 19",
+        17: "is 7 8 9", 18: "add 3 and 4 and 5", 19: "WHAT IS 12 35",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.changed) for r in decontaminate.judge(documents(list(texts.items())), bench).collect() if r.contaminated}
+    assert got == {10: (1, False), 12: (2, False), 15: (4, False), 16: (4, False), 18: (5, False), 19: (1, False)}
