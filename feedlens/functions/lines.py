@@ -37,16 +37,28 @@ def lossy(text: Column) -> Column:
 
 
 def framed(line: Column, live: bool = False) -> Column:
-    """A line as read, without line ends and a leading plus: all line ends of a replay, one of each kind of a live feed."""
-    text = F.regexp_replace(chars(line), r"\r?\n?\z", "") if live else F.rtrim(chars(line), F.lit("\r\n"))
-    return to_bytes(F.when(text.startswith("+"), F.substring(text, 2, 1 << 30)).otherwise(text))
+    """A line as read, without line ends and a leading plus: all line ends of a replay, one of each kind of a live feed.
 
+    Only lines that end with one are decoded for it.
+    """
+    bare = to_bytes(F.regexp_replace(chars(line), r"\r?\n?\z", "") if live else F.rtrim(chars(line), F.lit("\r\n")))
+    ends = line.endswith(F.lit(b"\n")) | line.endswith(F.lit(b"\r"))
+    unsigned = lambda x: F.when(x.startswith(F.lit(b"+")), F.substring(x, 2, 1 << 30)).otherwise(x)
+    return F.when(ends, unsigned(bare)).otherwise(unsigned(line))
 
-def command(text: Column) -> Column:
-    """What stands between the first two quotes of a line, null with fewer than two."""
-    quote = F.lit('"')
-    second = F.locate('"', text) > 0, F.position(quote, text, F.locate('"', text) + 1) > 0
-    return F.when(second[0] & second[1], F.substring_index(F.substring_index(text, '"', 2), '"', -1))
+
+def command_bytes(line: Column) -> Column:
+    """What stands between the first two quotes of a line, as a string of its own bytes; null with fewer than two.
+
+    Quotes are single bytes, so the line need not be decoded.
+    """
+    head = F.substring_index(line.cast("string"), '"', 2)  # all of it with fewer quotes
+    return F.when(F.octet_length(head) < F.octet_length(line), F.substring_index(head, '"', -1))
+
+
+def command(line: Column) -> Column:
+    """As command_bytes(), one character for each byte."""
+    return chars(command_bytes(line).cast("binary"))
 
 
 def groups(text: Column) -> Column:

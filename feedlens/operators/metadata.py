@@ -94,7 +94,7 @@ def lookup(lines: DataFrame, table: DataFrame, on: list[str] | None = None) -> D
     `on` names columns (such as source_id) by which tables of several servers differ. The table is broadcast
     when its size allows, else Spark picks the join.
     """
-    name = lower_ascii(F.coalesce(L.command(L.chars(F.col("line"))), F.lit("")))
+    name = lower_ascii(F.coalesce(L.command(F.col("line")), F.lit("")))
     side = table.select(F.col("name_lc").alias("_name"), F.col("flags").alias("cmd_flags"), F.col("categories").alias("cmd_categories"), *[F.col(c).alias(f"_{c}") for c in on or []])
     if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         side = F.broadcast(side)

@@ -15,10 +15,9 @@ def by_command(lines: DataFrame, compat: bool = False) -> DataFrame:
     compat leaves the first line of each command out, as a counter does that is only created by it; it needs
     the column seq; (source_id, seq), or seq where there is no source_id, decides which line is first.
     """
-    name = L.command(L.chars(F.col("line")))
+    name = L.command_bytes(F.col("line"))
     order = ["source_id", "seq"] if compat and "source_id" in lines.columns else ["seq"] if compat else []
-    own = L.to_bytes(F.col("_name")).cast("string")
-    text = F.when(F.is_valid_utf8(own), own).otherwise(F.lit("unknown"))
+    text = F.when(F.is_valid_utf8("_name"), F.col("_name")).otherwise(F.lit("unknown"))
     rows = once(lines.select("line", *order), "_name", name).where("_name is not null")
     rows = rows.select(text.alias("name"), F.octet_length("line").cast("long").alias("size"), *order)
     size = F.sum("size")

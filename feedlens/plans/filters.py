@@ -139,13 +139,12 @@ class LineFilter:
         """The test of a line. Lines without a command pass; so do unknown commands, as far as flags go."""
         if self.empty:
             return F.lit(True)
-        text = L.chars(F.col("line"))
-        test = self.names(L.command(text)) if self.include or self.exclude else F.lit(True)
+        test = self.names(L.command(F.col("line"))) if self.include or self.exclude else F.lit(True)
         if metadata and self.needs_metadata:
             test = test & F.coalesce(bits.holds(F.col("cmd_flags"), F.col("cmd_categories"), self.masks), F.lit(True))
         test = F.coalesce(test, F.lit(True))
         if self.db is not None:
-            own = F.regexp_extract(text, r"\A[0-9]+\.[0-9]+[ \t]*\[0*([0-9]+)", 1)
+            own = F.regexp_extract(L.chars(F.col("line")), r"\A[0-9]+\.[0-9]+[ \t]*\[0*([0-9]+)", 1)
             test = test & ((own == str(self.db)) | (own == ""))
         return test
 

@@ -464,7 +464,7 @@ def config_sources(spark, sf_dir):
 @_query(_sql("select source_id, cmd, count(*) as n from f cross join (values ('one.test:6379'), ('two.test:6379')) s(source_id) group by 1, 2"))
 def union_sources(spark, sf_dir):
     feed = Feed(_tcp(spark, sf_dir, "one.test")).union(Feed(_tcp(spark, sf_dir, "two.test")))
-    return feed.lines.groupBy("source_id", L.command(L.chars(F.col("line"))).alias("cmd")).agg(F.count(F.lit(1)).alias("n"))
+    return feed.lines.groupBy("source_id", L.command(F.col("line")).alias("cmd")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _written(spark: SparkSession, sf_dir: str) -> str:

@@ -79,8 +79,7 @@ def by_command(lines: DataFrame, compat: bool = False, seconds: float | None = N
     Cumulative and exact; compat as in operators.stats. Every task sums its lines up before they meet.
     """
     use_rocksdb(lines.sparkSession)
-    name = L.command(L.chars(F.col("line")))
-    own = L.to_bytes(name).cast("string")
-    rows = lines.where(name.isNotNull()).select(F.when(F.is_valid_utf8(own), own).otherwise(F.lit("unknown")).alias("name"), F.octet_length("line").cast("long").alias("size"), F.col("source_id").alias("source"), F.col("seq").cast("long").alias("seq"))
+    name = L.command_bytes(F.col("line"))
+    rows = lines.where(name.isNotNull()).select(F.when(F.is_valid_utf8(name), name).otherwise(F.lit("unknown")).alias("name"), F.octet_length("line").cast("long").alias("size"), F.col("source_id").alias("source"), F.col("seq").cast("long").alias("seq"))
     parts = rows.mapInPandas(_parts, _PART)
     return parts.groupBy("name").transformWithStateInPandas(Counter(compat, seconds), _OUT, "Update", "ProcessingTime" if seconds else "None")
