@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from feedlens.engine import Feed
 from feedlens.functions import addresses, bits
 from feedlens.functions import lines as L
-from feedlens.operators import metadata, stats, topology
+from feedlens.operators import metadata, sketches, stats, topology, windows
 from feedlens.operators.parse import accepted, parse, rejected, without_replies
 from feedlens.plans import formats, serializers
 from feedlens.plans.filters import LineFilter
@@ -350,6 +350,39 @@ def fmt_timestamp_canonical(spark, sf_dir):
     return p.select(F.col("seq").alias("o_orderkey"), F.concat("ts_int", F.lit("."), "ts_frac").alias("text"), F.col("value").cast("string").alias("value"))
 
 
+# ---------------------------------------------------------------- event time
+
+
+@_query(_sql("select epoch_us(time_bucket(interval '10 minutes', make_timestamp(us))) as start_us, cmd, count(*) as count, sum(octet_length(encode(line)))::bigint as bytes from f group by 1, 2"))
+def event_windows(spark, sf_dir):
+    return windows.by_window(feed_lines(spark, sf_dir)).select(F.unix_micros("start").alias("start_us"), "cmd", "count", "bytes")
+
+
+@_query(_sql("""select addr, min(us) as start_us, max(us) + 300000000 as end_us, count(*) as count from (
+    select addr, us, sum(new) over (partition by addr order by us, event_id) as s from (select addr, us, event_id, case when us <= lag(us) over (partition by addr order by us, event_id) + 300000000 then 0 else 1 end as new from f)) group by addr, s"""))
+def client_sessions(spark, sf_dir):
+    return windows.sessions(feed_lines(spark, sf_dir)).select("addr", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "count")
+
+
+@_query(_sql("select cmd, count(*) as n from (select distinct line, cmd from f) group by 1"))
+def lines_once_each(spark, sf_dir):
+    """The feed read twice."""
+    lines = windows.once_each(Feed(feed_lines(spark, sf_dir)).union(Feed(feed_lines(spark, sf_dir))).lines)
+    return lines.groupBy(L.command(F.col("line")).alias("cmd")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(_sql("select cmd, count(*) as lines, count(distinct user_id) as keys, true as keys_near, true as median_near from f group by 1"))
+def sketches_near_exact(spark, sf_dir):
+    """Sketches of each day, merged by command, against the exact figures: distinct keys within 3 percent, the median size within 2 percent of rank."""
+    lines = feed_lines(spark, sf_dir)
+    near = sketches.estimates(sketches.merged(sketches.daily(lines), "cmd"), 0.5)
+    sizes = F.octet_length("line").cast("long")
+    exact = parse(lines).select(F.col("cmd").alias("_cmd"), F.get("args", F.lit(0)).alias("key"), sizes.alias("size"))
+    exact = exact.groupBy("_cmd").agg(F.countDistinct("key").alias("keys"), F.percentile("size", F.lit(0.48)).alias("low"), F.percentile("size", F.lit(0.52)).alias("high"))
+    both = near.join(exact, F.col("cmd") == F.col("_cmd"))
+    return both.select("cmd", "lines", "keys", (F.abs(F.col("distinct_keys") - F.col("keys")) <= 0.03 * F.col("keys") + 1).alias("keys_near"), F.col("size_50").between(F.floor("low"), F.ceil("high")).alias("median_near"))
+
+
 # ---------------------------------------------------------------- arguments
 
 

@@ -19,6 +19,7 @@ class Totals(StreamingQueryListener):
     def __init__(self, spark: SparkSession, name: str = "io"):
         self.spark, self.name = spark, name
         self.found: dict[str, dict[int, tuple[int, int]]] = {}
+        self.dropped: dict[str, dict[int, int]] = {}
         self.lock = threading.Lock()
 
     def __enter__(self) -> Totals:
@@ -33,8 +34,9 @@ class Totals(StreamingQueryListener):
 
     def onQueryProgress(self, event) -> None:
         seen = event.progress.observedMetrics.get(self.name)
-        if seen is not None:
-            with self.lock:
+        with self.lock:
+            self.dropped.setdefault(str(event.progress.id), {})[event.progress.batchId] = sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators)
+            if seen is not None:
                 self.found.setdefault(str(event.progress.id), {})[event.progress.batchId] = (seen["total"], seen["filtered"])
 
     def onQueryIdle(self, event) -> None:
@@ -49,6 +51,11 @@ class Totals(StreamingQueryListener):
             batches = list(self.found.get(str(query_id), {}).values())
         return {"total": sum(t for t, _ in batches), "filtered": sum(f for _, f in batches)}
 
+    def late(self, query_id: str) -> int:
+        """Rows of a query with a watermark that came too late to count."""
+        with self.lock:
+            return sum(self.dropped.get(str(query_id), {}).values())
+
     def report(self, query_id: str, stalls: int = 0) -> str:
         seen = self.of(query_id)
         return stats.report(seen["total"], seen["filtered"], stalls)
