@@ -88,7 +88,7 @@ def main(argv: list[str] | None = None) -> int:
             sys.stdout.flush()
         print(S.report(counts["total"], counts["filtered"]), file=sys.stderr)
         return 0
-    from feedlens.operators import metadata, topology
+    from feedlens.operators import topology
     from feedlens.sources import live
     from feedlens.streaming import feed as streams
     from feedlens.streaming.counters import Totals
@@ -109,16 +109,13 @@ def main(argv: list[str] | None = None) -> int:
     if not options.out:
         raise SystemExit("a live feed needs --out: a folder for output, capture and checkpoints")
     capture = f"{options.out}/_capture"
-    feed = Feed(reader.option("logins", json.dumps([login(s) for s in found])).option("capture", capture).load())
-    if test.needs_metadata:
-        replies = [(s.address.text, reply) for s in found for (reply,) in live.command_rows(s.address.text, **login(s))]
-        feed = feed.with_commands(metadata.commands_by_source(spark.createDataFrame(replies, "source_id string, reply string")))
+    feed = Feed(reader.option("logins", json.dumps([login(s) for s in found])).option("capture", capture).option("metadata", str(test.needs_metadata)).load())
     wanted = options.filter, options.flags, options.db
     with Totals(spark) as totals:
         lines = feed.filter(*wanted, seen=totals.name).lines
         queries = [streams.render_query(lines, f"{options.out}/lines", f"{options.out}/_render", options.output, options.format or (formats.MULTI if len(found) > 1 else formats.SINGLE), once=False)]
         if options.stats:  # over what the first query captures: one connection a source
-            again = dataclasses.replace(feed, lines=live.follow(spark, capture)).filter(*wanted).lines
+            again = dataclasses.replace(feed, lines=live.follow(spark, capture, test.needs_metadata)).filter(*wanted).lines
             queries.append(streams.stats_query(again, lambda b, n: print(*(r[0] for r in S.as_text(b).collect()), sep="\n", file=sys.stderr), f"{options.out}/_stats", options.stats))
         try:
             queries[0].awaitTermination()

@@ -39,8 +39,9 @@ class Feed:
         if f.empty and seen is None:
             return self
         join = f.needs_metadata and self.commands is not None
+        known = join or "cmd_flags" in self.lines.columns  # lines may carry what their server said
         rows = metadata.lookup(self.lines, self.commands, ["source_id"] if "source_id" in self.commands.columns else None) if join else self.lines
-        rows = rows.where(f.column(metadata=join)) if seen is None else stats.counted(rows, f.column(metadata=join), seen)
+        rows = rows.where(f.column(metadata=known)) if seen is None else stats.counted(rows, f.column(metadata=known), seen)
         return replace(self, lines=rows.drop("cmd_flags", "cmd_categories") if join else rows)
 
     def stats(self, exact: bool = True) -> DataFrame:

@@ -31,6 +31,10 @@ CATEGORY_BITS = bits_of(CATEGORIES)
 KEY_SPEC_BITS = bits_of(KEY_SPEC_FLAGS)
 
 
+def lower_ascii(text: str) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+
 def fold(names: Column, bits: dict[str, int]) -> Column:
     """OR of the bits of an array of names; case and surrounding blanks do not matter, unknown names count nothing."""
     table = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])
@@ -38,6 +42,11 @@ def fold(names: Column, bits: dict[str, int]) -> Column:
     return F.aggregate(F.coalesce(known, F.array().cast("array<int>")), F.lit(0), lambda a, b: a.bitwiseOR(b))
 
 
+def mask(names: list[str], bits: dict[str, int]) -> int:
+    """As fold(), of a list."""
+    return reduce(lambda a, n: a | bits.get(n.strip().lower(), 0), names, 0)
+
+
 def names_of(mask: Column, bits: dict[str, int]) -> Column:
     """Sorted names of the bits of a mask, aliases too."""
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(b).alias("bit")) for n, b in sorted(bits.items())])

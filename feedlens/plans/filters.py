@@ -86,16 +86,12 @@ def literals(texts: list[str]) -> str:
     Thousands of them cost little more than one: they become a prefix tree, which a name walks from each of its
     places, and those that hold another one are left out.
     """
-    words = {lower(t).encode().decode("latin-1") for t in texts}
+    words = {bits.lower_ascii(t).encode().decode("latin-1") for t in texts}
     if "" in words:
         return ""
     return "(?i)" + ("(?:" + "|".join(map(_quoted, sorted(words))) + ")" if len(words) <= FEW else _tree(_minimal(words)))
 
 
-def lower(text: str) -> str:
-    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-
-
 def _any(patterns: list[Pattern], name: Column) -> Column | None:
     """Whether a name matches any pattern: literals anywhere and in any ASCII case, expressions anywhere as they are."""
     texts = [p.text for p in patterns if not p.regex]
@@ -154,5 +150,5 @@ def matches(name: str | None, patterns: list[str]) -> bool:
     f = LineFilter.of(patterns)
     if name is None:
         return True
-    hit = lambda p: bool(re.search(p.text, name)) if p.regex else lower(p.text) in lower(name)
+    hit = lambda p: bool(re.search(p.text, name)) if p.regex else bits.lower_ascii(p.text) in bits.lower_ascii(name)
     return not any(map(hit, f.exclude)) and (not f.include or any(map(hit, f.include)))

@@ -13,6 +13,7 @@ no memory. A full receiver stops reading, which the server sees; each time count
 
 from __future__ import annotations
 
+import bisect
 import json
 import os
 import socket
@@ -26,11 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from feedlens.functions import bits
 from feedlens.sources import receiver
 from feedlens.sources.connection import Feed, backoff, frame, request  # noqa: F401  (also names of this module)
 from feedlens.sources.files import Folder
 
 SCHEMA = "source_id string, server struct<kind:string,host:string,port:int,path:string,ip:string>, name string, seq bigint, line binary"
+#: What the option metadata adds: the bits of a line's command by its server's table at that time, null if that has none.
+MASKS = ", cmd_flags int, cmd_categories int"
 FACTS = "source int, batch bigint, lines bigint, bytes bigint, last bigint, stalls bigint, stalled_seconds double, connections bigint, receiver string"
 
 
@@ -58,6 +62,12 @@ def slot_rows(seeds: list[str], **login) -> list[tuple]:
     raise error
 
 
+def _command(line: bytes) -> str | None:
+    """What stands between the first two quotes, with lower-case letters."""
+    parts = line.split(b'"', 2)
+    return bits.lower_ascii(parts[1].decode("latin-1")) if len(parts) == 3 else None
+
+
 class Slice(InputPartition):
     def __init__(self, source: int, start: int, batch: int):
         self.source, self.start, self.batch = source, start, batch
@@ -103,7 +113,8 @@ class FeedReader(DataSourceStreamReader):
 
     batch_seconds, max_lines, max_bytes (of a batch and source); buffer_lines, buffer_bytes (of a receiver);
     retries (failed connections in a row that end the query), idle_seconds (after which a receiver that nobody asks
-    ends), retain (batches that stay in the capture, or `all`), receiver_host (where receivers listen; with an
+    ends), metadata (`true`: a server's command table is read at each connection, and lines carry the bits of their
+    command), retain (batches that stay in the capture, or `all`), receiver_host (where receivers listen; with an
     address that other machines reach, they share one connection too).
     """
 
@@ -124,6 +135,7 @@ class FeedReader(DataSourceStreamReader):
         self.held = int(options.get("buffer_lines", "81920")), int(options.get("buffer_bytes", str(64 << 20)))
         self.retain = options.get("retain", "1000")
         self.host = options.get("receiver_host", "127.0.0.1")
+        self.metadata = options.get("metadata", "false").lower() == "true"
         self.batch = 0
 
     def initialOffset(self) -> dict:
@@ -149,10 +161,10 @@ class FeedReader(DataSourceStreamReader):
         if done is None:
             after = (capture.done(part.start) or {}).get("last", 0)
             lines, facts = self._fetch(capture, part.source, after)
-            done = capture.write(part.batch, self._table(part.source, lines), facts | {"lines": len(lines), "bytes": sum(len(x) for _, x in lines), "last": lines[-1][0] if lines else after})
+            done = capture.write(part.batch, self._table(part.source, lines, facts.pop("tables")), facts | {"lines": len(lines), "bytes": sum(len(x) for _, x in lines), "last": lines[-1][0] if lines else after})
         yield from capture.read(done)
 
-    def _table(self, source: int, lines: list[tuple[int, bytes]]):
+    def _table(self, source: int, lines: list[tuple[int, bytes]], tables: list[tuple[int, dict]]):
         import pyarrow as pa
 
         from feedlens.sources.config import Address
@@ -163,7 +175,13 @@ class FeedReader(DataSourceStreamReader):
         shown = {"kind": server.kind, "host": server.host, "port": server.port, "path": server.path, "ip": ip}
         n = len(lines)
         columns = [pa.array([self.addresses[source]] * n, pa.string()), pa.array([shown] * n, kind), pa.array([self.names[source]] * n, pa.string()), pa.array([s for s, _ in lines], pa.int64()), pa.array([frame(x) for _, x in lines], pa.binary())]
-        return pa.table(columns, names=["source_id", "server", "name", "seq", "line"])
+        names = ["source_id", "server", "name", "seq", "line"]
+        if self.metadata:
+            starts = [n for n, _ in tables]
+            found = [tables[max(0, bisect.bisect_right(starts, s) - 1)][1].get(_command(x), (None, None)) if tables else (None, None) for s, x in lines]
+            columns += [pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)]
+            names += ["cmd_flags", "cmd_categories"]
+        return pa.table(columns, names=names)
 
     def _fetch(self, capture: Capture, source: int, after: int) -> tuple[list[tuple[int, bytes]], dict]:
         """Lines after a number, from the receiver that the capture names or from a new one."""
@@ -182,10 +200,10 @@ class FeedReader(DataSourceStreamReader):
         lines, facts = receiver.ask(known, ask)
         if not lines and facts.pop("failures") > self.retries:
             raise RuntimeError(f"no connection: {facts['error']}")
-        return lines, {k: facts[k] for k in ("stalls", "stalled_seconds", "connections", "receiver")}
+        return lines, {"tables": facts.get("tables", [])} | {k: facts[k] for k in ("stalls", "stalled_seconds", "connections", "receiver")}
 
     def _start(self, source: int) -> dict:
-        settings = {"address": self.addresses[source], "login": self.logins[source], "lines": self.held[0], "bytes": self.held[1], "idle": self.idle, "host": self.host, "token": uuid.uuid4().hex}
+        settings = {"address": self.addresses[source], "login": self.logins[source], "lines": self.held[0], "bytes": self.held[1], "idle": self.idle, "host": self.host, "metadata": self.metadata, "token": uuid.uuid4().hex}
         env = os.environ | {"PYTHONPATH": os.pathsep.join(p for p in sys.path if p)}
         process = subprocess.Popen([sys.executable, "-m", "feedlens.sources.receiver"], stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, env=env, start_new_session=True)
         process.stdin.write(json.dumps(settings).encode() + b"\n")
@@ -206,20 +224,20 @@ class FeedSource(DataSource):
         return "command_feed"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (MASKS if str(self.options.get("metadata", "false")).lower() == "true" else "")
 
     def streamReader(self, schema: StructType) -> FeedReader:
         return FeedReader(dict(self.options))
 
 
-def captured(spark: SparkSession, capture: str) -> DataFrame:
+def captured(spark: SparkSession, capture: str, metadata: bool = False) -> DataFrame:
     """All lines of a capture that have not been purged, as a batch."""
-    return spark.read.schema(SCHEMA).parquet(f"{capture.rstrip('/')}/source=*/batch=*/lines-*.parquet")
+    return spark.read.schema(SCHEMA + MASKS * metadata).parquet(f"{capture.rstrip('/')}/source=*/batch=*/lines-*.parquet")
 
 
-def follow(spark: SparkSession, capture: str) -> DataFrame:
+def follow(spark: SparkSession, capture: str, metadata: bool = False) -> DataFrame:
     """The lines of a capture as a stream of its own: another query over the same feed, without another connection."""
-    return spark.readStream.schema(SCHEMA).option("pathGlobFilter", "lines-*.parquet").parquet(f"{capture.rstrip('/')}/source=*/batch=*")
+    return spark.readStream.schema(SCHEMA + MASKS * metadata).option("pathGlobFilter", "lines-*.parquet").parquet(f"{capture.rstrip('/')}/source=*/batch=*")
 
 
 def report(spark: SparkSession, capture: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 It keeps a bounded number of lines and bytes. When they are used up it stops reading, and the server feels it; each
 such wait is a stall. Whoever asks says up to which number lines are safe; those go, the next ones are the answer.
-A lost connection is made again, with growing pauses. A receiver that nobody asks for a while ends.
+A lost connection is made again, with growing pauses. Each connection may begin with the server's table of commands,
+which holds for the lines that follow. A receiver that nobody asks for a while ends.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import time
 import uuid
 from collections import deque
 
+from feedlens.functions import bits
 from feedlens.sources.connection import Feed, backoff
 
 
@@ -68,18 +70,29 @@ class Buffer:
             return out
 
 
+def command_masks(reply: list) -> dict[str, tuple[int, int]]:
+    """Flag and category bits of each command by its lower-case name, of a COMMAND reply."""
+    text = lambda x: x.decode("latin-1") if isinstance(x, bytes) else str(x)
+    names = lambda x: [text(n) for n in x] if isinstance(x, list) else []
+    rows = [r for r in reply if isinstance(r, list) and len(r) >= 7 and r[0] is not None]
+    return {bits.lower_ascii(text(r[0])): (bits.mask(names(r[2]), bits.FLAG_BITS), bits.mask(names(r[6]), bits.CATEGORY_BITS)) for r in rows}
+
+
 class Receiver:
     def __init__(self, settings: dict):
         self.settings, self.id = settings, uuid.uuid4().hex
         self.buffer = Buffer(settings["lines"], settings["bytes"], (time.time_ns() // 1_000_000) << 20)
         self.connections = self.failures = 0
         self.error: str | None = None
+        self.tables: deque[tuple[int, dict]] = deque(maxlen=16)  #: command tables, with the number from which each holds
         self.asked = time.monotonic()
 
     def follow(self) -> None:
         """Read the feed for ever."""
         while True:
             try:
+                if self.settings.get("metadata"):
+                    self.tables.append((self.buffer.next, self.commands()))
                 with Feed(self.settings["address"], **self.settings["login"]) as feed:
                     self.connections += 1
                     self.failures = 0
@@ -90,6 +103,14 @@ class Receiver:
                 self.failures, self.error = self.failures + 1, f"{type(e).__name__}: {e}"
                 time.sleep(backoff(self.failures))
 
+    def commands(self) -> dict[str, tuple[int, int]]:
+        """The server's command table; of one that does not tell, every command is unknown."""
+        try:
+            with Feed(self.settings["address"], monitor=False, **self.settings["login"]) as feed:
+                return command_masks(feed.query("COMMAND"))
+        except (OSError, ValueError, TypeError):
+            return {}
+
     def answer(self, conn: socket.socket) -> None:
         with conn:
             conn.settimeout(10)
@@ -99,6 +120,10 @@ class Receiver:
             self.asked = time.monotonic() + got["wait"]
             lines = self.buffer.take(got["after"], got["lines"], got["bytes"], got["wait"])
             facts = {"stalls": self.buffer.stalls, "stalled_seconds": round(self.buffer.stalled, 3), "connections": self.connections, "failures": self.failures, "error": self.error, "receiver": self.id, "sizes": [len(x) for _, x in lines], "numbers": [n for n, _ in lines]}
+            if lines and self.tables:
+                tables = list(self.tables)
+                first = max((i for i, (n, _) in enumerate(tables) if n <= lines[0][0]), default=0)
+                facts["tables"] = [t for t in tables[first:] if t[0] <= lines[-1][0]]
             conn.settimeout(60)
             _send(conn, facts, b"".join(x for _, x in lines))
             self.asked = time.monotonic()

@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from feedlens.engine import Feed
 from feedlens.operators import stats
 from feedlens.operators.parse import parse
 from feedlens.plans.filters import LineFilter
@@ -158,6 +159,42 @@ def test_a_second_query_follows_the_capture(spark, feed, tmp_path):
     assert sum(seen.values()) == 300 and server.connections == 1
 
 
+def test_a_command_that_a_server_learns_between_two_connections_is_filtered_rightly(spark, feed, tmp_path):
+    """The server tells of ODD at its second connection: as a writing command, before that it is unknown and passes."""
+    listener, reply = socket.create_server(("127.0.0.1", 0)), b"*7\r\n$%d\r\n%s\r\n:2\r\n*1\r\n+%s\r\n:1\r\n:1\r\n:1\r\n*1\r\n+@slow\r\n"
+    monitors = []
+
+    def follow(conn):
+        try:
+            asked = conn.recv(1000)
+            if b"COMMAND" in asked:
+                rows = [reply % (3, b"get", b"readonly")] + [reply % (3, b"Odd", b"write")] * bool(monitors)
+                conn.sendall(b"*%d\r\n" % len(rows) + b"".join(rows))
+            else:
+                monitors.append(conn)
+                n = len(monitors)
+                conn.sendall(b"+OK\r\n" + b"".join(b'+%d.%d [0 lua] "%s" "k"\r\n' % (n, i, (b"GET", b"odd", b"NEW")[i % 3]) for i in range(30)))
+                if n > 1:
+                    conn.recv(10)
+            conn.close()
+        except OSError:
+            pass
+
+    def serve():
+        while True:
+            threading.Thread(target=follow, args=(listener.accept()[0],), daemon=True).start()
+
+    threading.Thread(target=serve, daemon=True).start()
+    server = type("Listening", (), {"address": f"127.0.0.1:{listener.getsockname()[1]}"})
+    got = []
+    lines = Feed(feed([server], metadata="true")).filter(flags=["readonly"]).lines
+    query = lines.writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda b, n: got.extend(bytes(r.line) for r in b.collect())).start()
+    until(query, lambda: sum(x.startswith(b"2.") for x in got) >= 20)
+    count = Counter((x[:1], x.split(b'"')[1]) for x in got)
+    assert count == {(b"1", b"GET"): 10, (b"1", b"odd"): 10, (b"1", b"NEW"): 10, (b"2", b"GET"): 10, (b"2", b"NEW"): 10}
+    assert live.captured(spark, str(tmp_path / "capture"), True).where("cmd_flags is null").count() == 30
+
+
 def test_old_batches_of_a_capture_go(tmp_path):
     capture = live.Capture(str(tmp_path), 0)
     for n in (1, 2, 30):
