@@ -344,8 +344,8 @@ def hash_bytes(x: bytes) -> int:
 def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[bytes], np.ndarray]:
     """A bounded sample of labelled rows outside the held-out fifth: whole texts and labels.
 
-    Documents come in order of a hash of doc_id; one that would take the sample over its bytes is skipped. Of a label
-    that so has fewer than `sample_least`, its own first ones come too, of half as many bytes.
+    Documents come in order of a hash of doc_id; one that would take the sample over its bytes is skipped. Where a label
+    so has fewer than `sample_least`, its own first ones, of half of the bytes at most, take the place of the last others.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(F.crc32(F.col("_doc").cast("string").cast("binary")) % 5 != 0)
@@ -356,26 +356,30 @@ def training_rows(docs: DataFrame, labels: DataFrame, p: Params) -> tuple[list[b
     if not kept:
         return [], np.zeros(0, dtype=bool)
     chosen = docs.sparkSession.createDataFrame(kept, "_doc long")
-    some = rows.join(F.broadcast(chosen), "_doc").join(marks, "_doc").orderBy(order, "text").limit(p.sample_docs + 2 * p.sample_least).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
+    some = rows.join(F.broadcast(chosen), "_doc").join(marks, "_doc").orderBy(order, "text").limit(p.sample_docs).select(F.col("text").cast("binary").alias("text"), "toxic").collect()
     return [bytes(r["text"]) for r in some], np.array([r["toxic"] == 1 for r in some], dtype=bool)
 
 
 def _drawn(sizes: DataFrame, order: Column, p: Params) -> list[tuple[int]]:
     """Keys of the sample from rows (_doc, size, toxic)."""
-    kept: dict[int, int] = {}
+    first = lambda rows, n: first_by_hash(rows, order, n).select("_doc", "size", "toxic").collect()
 
-    def take(rows: DataFrame, n: int, most: int) -> None:
-        held = 0
-        for r in first_by_hash(rows, order, n).select("_doc", "size", "toxic").collect():
-            if r["_doc"] not in kept and held + r["size"] <= most:
-                kept[r["_doc"]] = int(r["toxic"] == 1)
+    def fitting(rows: list, most: int) -> list:
+        out, held = [], 0
+        for r in rows:
+            if held + r["size"] <= most:
+                out.append(r)
                 held += r["size"]
+        return out
 
-    take(sizes, p.sample_docs, p.sample_bytes)
+    every = first(sizes, p.sample_docs)
+    kept, least = fitting(every, p.sample_bytes), min(p.sample_least, p.sample_docs // 2)
     for label in (0, 1):
-        if (found := sum(x == label for x in kept.values())) < p.sample_least:  # rare in the table
-            take(sizes.where((F.col("toxic") == 1).cast("int") == label), p.sample_least + found, p.sample_bytes // 2)
-    return [(d,) for d in kept]
+        if sum(int(r["toxic"] == 1) == label for r in kept) < least:  # rare in the table
+            own = fitting(first(sizes.where((F.col("toxic") == 1).cast("int") == label), least), p.sample_bytes // 2)
+            known = {r["_doc"] for r in own}
+            kept = fitting([*own, *[r for r in every if r["_doc"] not in known]][: p.sample_docs], p.sample_bytes)
+    return [(r["_doc"],) for r in kept]
 
 
 def trained(docs: DataFrame, labels: DataFrame, p: Params) -> Model | None:
