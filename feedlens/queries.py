@@ -47,7 +47,7 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     events = _table(spark, sf_dir, "events")
     cores = spark.sparkContext.defaultParallelism
-    if events.rdd.getNumPartitions() * 2 <= cores:  # one small file: rows are narrow here and dear to parse
+    if len(events.inputFiles()) * 2 <= cores:  # few files: rows are narrow here and dear to parse
         events = events.repartition(cores)
     events = events.selectExpr("event_id", "unix_micros(cast(ts as timestamp)) as us", "user_id", "event_type", "props")
     return events.selectExpr("event_id", f"{_LINE} as value")
