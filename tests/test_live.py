@@ -122,14 +122,17 @@ def test_actions_and_retries_of_a_batch_read_the_same_lines(spark, feed, tmp_pat
 
 
 def test_a_slow_sink_stalls_the_server_and_nothing_is_lost(spark, feed, tmp_path):
-    server, got = Server(pause=0, most=20_000, size=200), []
+    server, got = Server(pause=0, most=20_000, size=2000), []  # more than sockets hold
 
     def write(batch, n):
         got.extend(number(bytes(r.line)) for r in batch.select("line").collect())
         time.sleep(0.5)
 
     query = feed([server], buffer_lines="1500", max_lines="1000").writeStream.option("checkpointLocation", str(tmp_path / "c")).foreachBatch(write).start()
-    time.sleep(6)
+    for _ in range(150):
+        time.sleep(0.2)
+        if len(list(tmp_path.glob("capture/*/*/done.json"))) >= 2:
+            break
     assert server.sent < 20_000
     found = live.report(spark, str(tmp_path / "capture"))
     assert found.agg(F.max("lines")).first()[0] <= 1000
