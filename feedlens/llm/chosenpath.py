@@ -34,6 +34,7 @@ class Params:
     recall: float = 0.999  #: chance that a pair at the threshold meets in some tree, at any level down to the last
     spare: float = 0.25  #: share of nodes with a second token, beyond the share at which a pair at the threshold has one child with it on average
     leaf: int = 2048  #: documents of a node that are compared exhaustively
+    block: int = 256  #: documents of a block; a larger node is compared block by block, each pair of blocks on its own
     depth: int = 12  #: levels after which a large node is dealt with by a pivot
     group: int = 256  #: documents of a coarse group that one task compares on full sets
     shingles: int = 4 << 20  #: shingles of all documents that a task holds at once; a larger group is met in blocks
@@ -124,7 +125,7 @@ def _branch(rows: DataFrame, p: Params, extra: float) -> DataFrame:
 
 
 def leaves(reps: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame | None]:
-    """(node, doc_id) of nodes of 2 to p.leaf documents, and of the larger ones that are left at the last level."""
+    """(node, doc_id, n) of nodes of 2 to p.leaf documents, and (node, doc_id) of the larger ones that are left at the last level."""
     roots = F.explode(F.array(*[F.xxhash64(F.lit(f"tree {t}")) for t in range(p.trees)]))
     rows = reps.select("doc_id", "tokens", roots.alias("node"))
     done = []
@@ -135,7 +136,7 @@ def leaves(reps: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame
         keep = sizes.where(F.col("n") <= p.leaf).groupBy("n", "members").agg(F.min("node").alias("node"))
         keep = keep.select("node", "n").unionByName(sizes.where(F.col("n") > p.leaf).select("node", "n")).withColumnRenamed("node", "_node")
         live = saved(rows.join(keep, F.col("node") == F.col("_node")).select("node", "doc_id", "n"), "path-nodes")
-        done.append(live.where(F.col("n") <= p.leaf).select("node", "doc_id"))
+        done.append(live.where(F.col("n") <= p.leaf))
         large = live.where(F.col("n") > p.leaf)
         if large.isEmpty():
             large = None
@@ -201,16 +202,31 @@ def _positions(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(keys)) - np.repeat(heads, length), np.repeat(length, length)
 
 
+def in_blocks(small: DataFrame, p: Params) -> DataFrame:
+    """Rows (pair, side, doc_id) of rows (node, doc_id, n): every two documents of a node meet in exactly one pair.
+
+    A node is dealt to blocks of p.block documents or so. Each two blocks are a pair, in which a document of side 0
+    meets those of side 1; a block is also a pair with itself, side null, in which all meet.
+    """
+    blocks = F.ceil(F.col("n") / p.block).cast("int")
+    rows = small.select("node", "doc_id", blocks.alias("blocks"), F.pmod(F.xxhash64("doc_id", "node"), blocks).cast("int").alias("block"))
+    rows = rows.select("node", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    pair = F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other"))
+    return rows.select(pair.alias("pair"), F.when(F.col("block") != F.col("other"), (F.col("block") > F.col("other")).cast("int")).alias("side"), "doc_id")
+
+
 def _by_tokens(p: Params):
-    """Rows (node, doc_id, tokens) in order of node: statements (u, v) that two documents are of one coarse group."""
+    """Rows (pair, side, doc_id, tokens) in order of pair: statements (u, v) that two documents are of one coarse group."""
     def run(batches):
-        for table in runs(batches, "node"):
+        for table in runs(batches, "pair"):
             table = table.combine_chunks()
-            place, length = _positions(table.column("node").to_numpy())
+            place, length = _positions(table.column("pair").to_numpy())
+            side = table.column("side").fill_null(2).to_numpy()
             tokens = table.column("tokens").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, p.tokens)
             left, right = [], []
             for d in range(1, int(length.max())):
                 i = np.flatnonzero(place + d < length)
+                i = i[(side[i] == 2) | (side[i] != side[i + d])]
                 for a in range(0, len(i), 1 << 14):
                     part = i[a : a + (1 << 14)]
                     near = part[(tokens[part] == tokens[part + d]).sum(axis=1, dtype=np.uint16) >= p.agreeing]
@@ -353,8 +369,8 @@ def link(docs: DataFrame, p: Params = Params()) -> DataFrame:
     small, large = leaves(classes.select(F.col("class").alias("doc_id"), "tokens"), p)
 
     tokens = classes.select(F.col("class").alias("_doc"), "tokens")
-    near = small.join(tokens, F.col("doc_id") == F.col("_doc")).select("node", "doc_id", "tokens")
-    coarse = near.repartition("node").sortWithinPartitions("node").mapInArrow(_by_tokens(p), "u long, v long")
+    near = in_blocks(small, p).join(tokens, F.col("doc_id") == F.col("_doc")).select("pair", "side", "doc_id", "tokens")
+    coarse = near.repartition("pair").sortWithinPartitions("pair").mapInArrow(_by_tokens(p), "u long, v long")
     coarse = components(coarse)
     groups = saved(coarse.select(F.col("u").alias("doc_id"), F.col("v").alias("coarse")).unionByName(coarse.select(F.col("v").alias("doc_id"), F.col("v").alias("coarse")).distinct()), "path-groups")
     about = classes.select(F.col("class").alias("_doc"), F.col("rep").alias("_rep"), F.col("key").alias("_key"), "size")

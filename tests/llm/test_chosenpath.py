@@ -51,7 +51,7 @@ def cloud(seed=3):
     return [(i * 7 % 1009, " ".join(r)) for i, r in enumerate(rows)]
 
 
-@pytest.mark.parametrize("p", [chosenpath.Params(), chosenpath.Params(leaf=8, group=4, depth=3), chosenpath.Params(leaf=4, group=2, depth=1), chosenpath.Params(shingles=600)], ids=["production", "deep", "pivots", "heavy"])
+@pytest.mark.parametrize("p", [chosenpath.Params(), chosenpath.Params(leaf=8, group=4, depth=3), chosenpath.Params(leaf=4, group=2, depth=1), chosenpath.Params(shingles=600), chosenpath.Params(block=3)], ids=["production", "deep", "pivots", "heavy", "blocks"])
 def test_components_equal_brute_force(documents, p):
     rows = cloud()
     want, sizes = brute(rows)
@@ -61,6 +61,18 @@ def test_components_equal_brute_force(documents, p):
     assert sorted(r.doc_id for r in chosenpath.deduplicate(documents(rows), p).collect()) == sorted(set(want.values()))
 
 
+def test_every_two_documents_of_a_node_meet_in_one_pair(spark):
+    sizes = {7: 2, 8: 5, 9: 33}
+    rows = [(node, 100 * node + i, n) for node, n in sizes.items() for i in range(n)]
+    pairs = {}
+    for r in chosenpath.in_blocks(spark.createDataFrame(rows, "node long, doc_id long, n long"), chosenpath.Params(block=5)).collect():
+        pairs.setdefault(r.pair, []).append((r.doc_id, r.side))
+    met = [tuple(sorted((a, b))) for own in pairs.values() for k, (a, s) in enumerate(own) for b, t in own[:k] if s is None or s != t]
+    want = [(a, b) for node, a, _ in rows for other, b, _ in rows if node == other and a < b]
+    assert sorted(met) == sorted(want)
+    assert max(map(len, pairs.values())) < 33
+
+
 def test_threshold_is_exact(documents):
     words = [f"w{i}" for i in range(104)]  # 100 shingles
     for differ, linked in ((8, True), (9, False)):  # 92 common of 108 are 85.2 %, 91 of 109 are 83.5 %
