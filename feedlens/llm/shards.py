@@ -72,9 +72,10 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str, buckets:
     """rows with a number from 0, without gaps, inside each value of `group`.
 
     Rows are dealt to hash buckets, numbered there, and moved up by the sizes of the buckets before theirs.
-    The table of sizes has `buckets` rows per group at most.
+    The table of sizes has `buckets` rows per group at most. Where a row stands in the input is part of its hash, so
+    rows that repeat are dealt to all buckets; the saved table holds the bucket, so a repeated task numbers alike.
     """
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order, F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     rows = saved(rows, "shard-rows")
     sizes = rows.groupBy(group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))

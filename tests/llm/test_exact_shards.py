@@ -72,6 +72,19 @@ def test_shards(documents, odd):
     assert shards.shard(documents([])).count() == 0
 
 
+def test_repeated_rows_are_dealt_to_all_buckets(documents):
+    """A row that makes up most of the input: each copy has a slot of its own, and no bucket holds many of them."""
+    docs = documents([(7, "x")] * 3000 + [(i, "y") for i in range(100, 1100)])
+    rows = shards.shard(docs).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert len({r.shard for r in rows if r.doc_id == 7}) == 1 and sum(r.doc_id == 7 for r in rows) == 3000
+    slots = sorted(r.slot for r in rows if r.doc_id == 7)
+    assert len(set(slots)) == 3000 and slots != list(range(slots[0], slots[0] + 3000))  # not one run of one bucket
+
+
 def test_weights_move_rows_only_within_changed_subtrees(spark):
     a = shards.Tree(((((0, 1.0), (1, 1.0)), ((2, 1.0), (3, 1.0))), (((4, 2.0),),)))
     b = shards.Tree(((((0, 1.0), (1, 1.0)), ((2, 3.0), (3, 1.0))), (((4, 2.0),),)))
