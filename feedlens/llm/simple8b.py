@@ -112,6 +112,15 @@ def decode(words: np.ndarray, literals: np.ndarray) -> np.ndarray:
     return out
 
 
+def span(words: np.ndarray, literals: np.ndarray, run_starts: np.ndarray, a: int, b: int) -> np.ndarray:
+    """The ids from place a up to b, decoded from the runs that hold them and no others."""
+    if a >= b:
+        return np.zeros(0, np.uint64)
+    first, end = int(np.searchsorted(run_starts, a, "right")) - 1, int(np.searchsorted(run_starts, b, "left"))
+    before = int(run_starts[first])
+    return decode(words[first * RUN_WORDS : end * RUN_WORDS], literals)[a - before : b - before]
+
+
 def _blocks(path: str):
     def run(batches):
         import pyarrow as pa
@@ -184,6 +193,34 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return blocks.mapInArrow(_documents, "block long, place int, doc_id long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def _wanted(batches):
+    import pyarrow as pa
+
+    kinds = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+    for batch in batches:
+        for row in range(batch.num_rows):
+            block, keys, starts, n, runs, words, literals, places = (batch.column(c)[row].as_py() for c in range(8))
+            words, literals, runs = np.frombuffer(words, np.uint64), np.frombuffer(literals, np.uint64), np.array(runs)
+            bounds = [*starts, n]
+            for place in sorted(places):
+                ids = span(words, literals, runs, bounds[place], bounds[place + 1])
+                yield pa.RecordBatch.from_pylist([{"block": block, "place": place, "doc_id": keys[place], "n_tokens": len(ids), "ids_crc32": crc32_of(ids), "ids": np.asarray(ids, "<u4").tobytes()}], schema=kinds)
+
+
+def lookup(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """As read(), of the documents whose doc_id is in `wanted`: other blocks are not decoded, nor other runs of theirs.
+
+    The ids of all blocks are searched first, by a scan of their doc_ids alone. A doc_id that was written several
+    times is found as often; null ids and ids that were not written are not found.
+    """
+    blocks = spark.read.schema(BLOCK).parquet(path)
+    ids = wanted.select(F.col("doc_id").cast("long").alias("_doc")).distinct()
+    held = blocks.select(F.col("block").alias("_block"), F.posexplode("doc_ids").alias("place", "doc_id"))
+    places = held.join(ids, F.col("doc_id") == F.col("_doc"), "left_semi").groupBy("_block").agg(F.collect_list("place").alias("places"))
+    found = blocks.join(places, F.col("block") == F.col("_block")).select(*BLOCK.names, "places")
+    return found.mapInArrow(_wanted, "block long, place int, doc_id long, n_tokens long, ids_crc32 long, ids binary")
+
+
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document under `path`; start counts the ids of all before it.
 

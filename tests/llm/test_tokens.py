@@ -57,6 +57,30 @@ def test_simple8b_round_trip(ids):
     assert len(literals) == sum(i >= 2**60 for i in ids)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 70_000), st.integers(2**59, 2**64 - 1)), max_size=2000), st.data())
+def test_simple8b_spans_of_runs(ids, data):
+    words, literals = simple8b.encode(np.array(ids, dtype=np.uint64))
+    runs = simple8b.starts_of(words)[:-1 : simple8b.RUN_WORDS]
+    a = data.draw(st.integers(0, len(ids)))
+    b = data.draw(st.integers(a, len(ids)))
+    assert simple8b.span(words, literals, runs, a, b).tolist() == ids[a:b]
+
+
+def test_simple8b_lookup(spark, documents):
+    """Documents found by id, a repeated and an empty one among them, are those that a read of all gives."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"word{rng.randrange(999)}" for _ in range(rng.randrange(1, 400)))) for i in range(600)] + [(77, "a second text"), (900, None), (901, ""), (None, "no id")]
+    path = scratch(spark, "test-lookup")
+    simple8b.write(documents(rows), tokenizer(FILES[1]), path)
+    wanted = spark.createDataFrame([(0,), (77,), (599,), (900,), (901,), (77,), (12345,), (None,)], "doc_id long")
+    got = sorted(map(tuple, simple8b.lookup(spark, path, wanted).collect()))
+    want = sorted(tuple(r) for r in simple8b.read(spark, path).collect() if r.doc_id in (0, 77, 599, 900, 901))
+    assert got == want and len(got) == 6
+    assert simple8b.read(spark, path).select("block").distinct().count() > 1
+    assert simple8b.lookup(spark, path, wanted.limit(0)).count() == 0
+
+
 def test_simple8b_files(spark, documents, odd):
     path, want = scratch(spark, "t"), plain(FILES[1])
     simple8b.write(odd, tokenizer(FILES[1]), path)
