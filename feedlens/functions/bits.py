@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from feedlens.functions.rows import let
+
 # A name's bit is its place in its list.
 FLAGS = """
 admin allow_busy asking blocking denyoom fast loading module movablekeys no_async_loading no_auth no_mandatory_keys no_multi noscript
@@ -48,9 +50,12 @@ def mask(names: list[str], bits: dict[str, int]) -> int:
 
 
 def names_of(mask: Column, bits: dict[str, int]) -> Column:
-    """Sorted names of the bits of a mask, aliases too."""
+    """Sorted names of the bits of a mask, aliases too.
+
+    The mask is computed once a row: the optimizer would copy its expression into the test, which runs once a name.
+    """
     table = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(b).alias("bit")) for n, b in sorted(bits.items())])
-    return F.transform(F.filter(table, lambda x: mask.bitwiseAND(x["bit"]) != 0), lambda x: x["name"])
+    return let(mask, lambda m: F.transform(F.filter(table, lambda x: m.bitwiseAND(x["bit"]) != 0), lambda x: x["name"]))
 
 
 def parse_masks(values: list[str]) -> tuple[int, int]:
