@@ -5,24 +5,25 @@ alone in its group; groups that are equal through all digits are the repeated wi
 asked, so digits are taken in the order that settles most suffixes first, not from left to right:
 
 1. the gram of `gram` bytes with the least hash in the window. Windows of equal bytes have the same one at the
-   same place, and neighbours mostly share it: a run of them, a bundle, travels as one row. A gram that occurs in
-   one bundle only settles the bundle.
-2. the hull, all bytes of a bundle. Bundles of equal hulls are repeated as a whole; a gram of one hull is settled.
-3. what bundles of grams with several hulls are cut into: cells of `cell` neighbours at fixed places from the
-   gram, first by the bytes that all of a cell share, then by their hull.
-4. single suffixes of cells that are still mixed, through all `threshold` bytes.
-
-Each pass reads the text again and sends a few numbers a row. Of equal hulls only one goes on to the next digit, in
-the place of all: the others are settled, and it is there for those that share a part of it. Which bundles a pass
-looks at is told by bitmaps of fixed size, of mixed digits and of the places that go on; they let some through that
-are settled, which costs work and changes nothing. Hulls and windows are compared by 128 bits of BLAKE2b, texts by
-128 bits of SHA-256.
+   same place, and neighbours mostly share it: a run of them, a bundle, travels as one row with the digest of its
+   hull, all bytes of the bundle. Bundles of equal hulls are repeated as a whole; a gram of one hull is settled.
+2. what bundles of grams with several hulls are cut into: cells of `cell` neighbours at fixed places from the
+   gram, by the bytes that all of a cell share and the digest of their hull.
+3. single windows of cells that are still mixed, through all `threshold` bytes.
+
+Pieces that share a digit meet in one sorted partition, and a pass over it keeps a few rows at a time. Of equal hulls
+only one goes on to the next digit, in the place of all: the others are settled, and it is there for those that share
+a part of it. The texts are read twice: the second time each gives the bytes of its bundles that go on, which are a
+small table; later digits are taken from that. What a pass sends follows from the pieces that it is for, whatever
+the size of the input. Hulls are told apart by 64 bits of BLAKE2b among those of one digit, windows by 128 bits
+of it, texts by 128 bits of SHA-256.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedlens.llm.shared import _BYTE, bit_filter, buffers, in_filter, may_hold, mix, saved, short_batches, tiles
+from feedlens.llm.shared import _BYTE, buffers, freed_shuffles, may_hold, mix, saved, short_batches, tiles
 
 
 @dataclass(frozen=True)
@@ -46,8 +47,6 @@ class Params:
 BLOCK = 1 << 19
 #: Low bits of a hash that give way to its place in a block; a block and the window after it fit in.
 _PLACE = np.uint64((1 << 21) - 1)
-#: Bits of the bitmaps, as a power of two: 2 MB each.
-BITS = 24
 #: An odd multiplier, three more than a multiple of four, for each doubling of a gram.
 _STEPS = [np.uint64(0x9E3779B97F4A7C17 + 4 * 0x1234567 * k) for k in range(16)]
 
@@ -80,7 +79,7 @@ def bundles(raw: np.ndarray, cuts: np.ndarray, p: Params) -> tuple[np.ndarray, n
     new = np.flatnonzero((place[1:] != place[:-1]) | (np.diff(starts) != 1)) + 1
     first = np.concatenate(([0], new))
     last = np.concatenate((new - 1, [len(starts) - 1]))
-    # Least hashes crowd together at zero; mixed again they spread over a bitmap.
+    # Least hashes crowd together at zero.
     return mix(h[place[first]]), place[first], starts[first], starts[last]
 
 
@@ -98,171 +97,213 @@ def blocks(data: np.ndarray, offsets: np.ndarray, threshold: int, size: int = BL
             yield data[at : min(at + size + threshold - 1, hi)], np.array([lo - at]), i
 
 
-def _digests(raw: bytes, starts, ends, new=hashlib.blake2b) -> list[bytes]:
-    return [new(raw[a:z], digest_size=16).digest() for a, z in zip(starts, ends, strict=True)]
+def _digests(raw: bytes, starts, ends, size: int = 8) -> np.ndarray:
+    """A row of `size` bytes, as 64-bit numbers, for each of some pieces of raw."""
+    found = b"".join(hashlib.blake2b(raw[a:z], digest_size=size).digest() for a, z in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(found, dtype=np.int64).reshape(-1, size // 8).T
 
 
-def _frame(columns: list, kinds: str):
-    """Arrow batch of lists of numbers or of 16-byte strings; the latter become two columns."""
-    import pyarrow as pa
-
-    arrays, names = [], []
-    for name, values in zip(kinds.split(), columns, strict=True):
-        if name.endswith("*"):
-            pair = np.frombuffer(b"".join(values), dtype=np.int64).reshape(-1, 2)
-            arrays += [pa.array(pair[:, 0]), pa.array(pair[:, 1])]
-            names += [f"{name[:-1]}1", f"{name[:-1]}2"]
-        else:
-            arrays.append(pa.array(np.asarray(values, dtype=np.int64)))
-            names.append(name)
-    return pa.RecordBatch.from_arrays(arrays, names)
+#: A piece: two digits that tell equal pieces, the text's id, and start, windows and another number of 16 bits in one.
+_PIECE = "key long, hull long, t1 long, t2 long, at long"
 
 
-def text_id(data: bytes | memoryview) -> bytes:
-    """What a text is known by: the first 16 bytes of its SHA-256."""
-    return hashlib.sha256(data).digest()[:16]
+def _packed(start: np.ndarray, windows: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << 32) | (windows.astype(np.int64) << 16) | other.astype(np.int64)
 
 
-class Block:
-    """The bundles of a block: key, place of the gram, first and last start; doc, start within its text, and id of the place."""
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return at >> 32, (at >> 16) & 0xFFFF, at & 0xFFFF
 
-    def __init__(self, raw, heads, own, p: Params):
-        self.raw, self.own, self.p = raw, own, p
-        self.key, self.gram, self.first, self.last = bundles(raw, heads[heads > 0], p)
-        self.doc = np.searchsorted(heads, self.first, side="right") - 1
-        self.start = self.first - heads[self.doc]
 
-    def ids(self, at: np.ndarray) -> list[bytes]:
-        return [self.own(d) for d in self.doc[at].tolist()]
+def _frame(columns, schema: str):
+    import pyarrow as pa
 
-    def chosen(self, keys, places) -> np.ndarray:
-        """Bundles whose key and place the bitmaps let through."""
-        at = np.flatnonzero(in_filter(self.key, keys.value))
-        return at[in_filter(place_of(self.ids(at), self.start[at]), places.value)] if len(at) else at
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [x.split()[0] for x in schema.split(", ")])
 
-    def cells(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the cells of some bundles: the bundle, the start of the bytes that a whole cell shares, first and last start."""
-        size, low, high = self.p.cell, self.gram[at] - self.last[at], self.gram[at] - self.first[at]
-        n = high // size - low // size + 1
-        bundle = np.repeat(np.arange(len(at)), n)
-        c = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (low // size)[bundle]
-        gram = self.gram[at][bundle]
-        return at[bundle], gram - c * size, gram - np.minimum(high[bundle], c * size + size - 1), gram - np.maximum(low[bundle], c * size)
 
-    def shared(self, raw: bytes, starts: np.ndarray) -> np.ndarray:
-        """A hash of what the windows of each whole cell share."""
-        size = self.p.threshold - self.p.cell + 1
-        return np.frombuffer(b"".join(_digests(raw, starts.tolist(), (starts + size).tolist())), dtype=np.uint64).reshape(-1, 2)[:, 0].copy()
+def _numbers(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
-def place_of(ids: list[bytes], starts: np.ndarray) -> np.ndarray:
-    """A number for each place in a text."""
-    own = np.frombuffer(b"".join(ids), dtype=np.uint64).reshape(-1, 2)[:, 0]
-    return mix(own + mix(starts.astype(np.uint64)))
+def text_id(data: bytes | memoryview) -> bytes:
+    """What a text is known by: the first 16 bytes of its SHA-256."""
+    return hashlib.sha256(data).digest()[:16]
 
 
-def _pieces(texts: DataFrame, p: Params, make, schema: str) -> DataFrame:
-    """What make(block) yields for each block of the one text column."""
+def hulls(texts: DataFrame, p: Params) -> DataFrame:
+    """The bundles of one binary column of texts as pieces; the other number is the gram's place in the bundle."""
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column(0))
             own = functools.cache(lambda d, data=data, offsets=offsets: text_id(data[offsets[d] : offsets[d + 1]].tobytes()))
             for raw, heads, i in blocks(data, offsets, p.threshold):
-                block = Block(raw, heads, lambda d, i=i, own=own: own(d + i), p)
-                if len(block.key):
-                    yield from make(block)
+                key, gram, first, last = bundles(raw, heads[heads > 0], p)
+                if not len(key):
+                    continue
+                doc = np.searchsorted(heads, first, side="right") - 1
+                t1, t2 = np.frombuffer(b"".join(own(d + i) for d in doc.tolist()), dtype=np.int64).reshape(-1, 2).T
+                (hull,) = _digests(raw.tobytes(), first, last + p.threshold)
+                yield _frame([key.view(np.int64), hull, t1, t2, _packed(first - heads[doc], last - first + 1, gram - first)], _PIECE)
+
+    return texts.mapInArrow(run, _PIECE)
+
+
+def _cells(raw: bytes, start: int, windows: int, gram: int, p: Params) -> tuple[np.ndarray, ...]:
+    """Of the cells of a bundle: where the bytes that a whole cell shares begin, first and last window, all from the bundle's start.
 
-    return texts.mapInArrow(run, schema)
+    The shared bytes lie within each window of a cell, also of one that the bundle's ends cut short.
+    """
+    c = np.arange((gram - windows + 1) // p.cell, gram // p.cell + 1)
+    return gram - c * p.cell, gram - np.minimum(gram, c * p.cell + p.cell - 1), gram - np.maximum(gram - windows + 1, c * p.cell)
 
 
-def first_digits(texts: DataFrame, p: Params) -> DataFrame:
-    """key, n: grams of bundles, counted within a block."""
-    def make(block: Block):
-        found, n = np.unique(block.key, return_counts=True)
-        yield _frame([found.view(np.int64), n], "key n")
+def cells(mixed: DataFrame, p: Params) -> DataFrame:
+    """The cells of bundles as pieces; the other number is a cell's place in its bundle."""
+    def run(batches):
+        for batch in filter(len, batches):
+            out = []
+            start, windows, gram = _unpacked(_numbers(batch.column(2)))
+            for k, raw in enumerate(batch.column(3).to_pylist()):
+                shared, a, z = _cells(raw, start[k], windows[k], gram[k], p)
+                (key,), (hull,) = _digests(raw, shared, shared + p.threshold - p.cell + 1), _digests(raw, a, z + p.threshold)
+                out.append((key, hull, _packed(start[k] + a, z - a + 1, a)))
+            n = [len(x[0]) for x in out]
+            key, hull, at = (np.concatenate([x[i] for x in out]) for i in range(3))
+            yield _frame([key, hull, *(np.repeat(_numbers(batch.column(i)), n) for i in (0, 1)), at], _PIECE)
+
+    return mixed.mapInArrow(run, _PIECE)
+
+
+def windows(mixed: DataFrame, p: Params) -> DataFrame:
+    """Each window of the cells in the fifth column, as pieces."""
+    def run(batches):
+        for batch in filter(len, batches):
+            out = []
+            for raw, wanted in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+                start, n, place = _unpacked(_numbers(wanted.values))
+                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(place, n) + k
+                out.append((*_digests(raw, at, at + p.threshold, 16), _packed(np.repeat(start, n) + k, np.ones(len(k)), np.zeros(len(k)))))
+            n = [len(x[0]) for x in out]
+            key, hull, at = (np.concatenate([x[i] for x in out]) for i in range(3))
+            yield _frame([key, hull, *(np.repeat(_numbers(batch.column(i)), n) for i in (0, 1)), at], _PIECE)
 
-    return _pieces(texts, p, make, "key long, n long")
+    return mixed.mapInArrow(run, _PIECE)
 
 
-_PIECES = "h1 long, h2 long, t1 long, t2 long, start long, windows long, place long"
+#: Sorted pieces that are looked at at a time.
+_ROWS = 1 << 16
 
 
-def hulls(texts: DataFrame, p: Params, live) -> DataFrame:
-    """key, hull, text, start, windows, place: bundles whose gram may be repeated."""
-    def make(block: Block):
-        at = np.flatnonzero(in_filter(block.key, live.value))
-        if len(at):
-            ids = block.ids(at)
-            digests = _digests(block.raw.tobytes(), block.first[at].tolist(), (block.last[at] + p.threshold).tolist())
-            yield _frame([block.key[at].view(np.int64), digests, ids, block.start[at], (block.last - block.first + 1)[at], place_of(ids, block.start[at]).view(np.int64)], "key h* t* start windows place")
+def _joined(batches) -> Iterator[np.ndarray]:
+    """The columns of some batches at a time."""
+    rows, n = [], 0
+    for batch in batches:
+        rows.append(np.stack([_numbers(c) for c in batch.columns]))
+        n += batch.num_rows
+        if n >= _ROWS:
+            yield np.concatenate(rows, axis=1)
+            rows, n = [], 0
+    if n:
+        yield np.concatenate(rows, axis=1)
 
-    return _pieces(texts, p, make, f"key long, {_PIECES}")
 
+_SETTLED = "t1 long, t2 long, at long, more boolean"
 
-def cells(texts: DataFrame, p: Params, keys, places) -> DataFrame:
-    """As hulls, of the cells of the bundles that the bitmaps let through; key is the digit that the windows of a cell share."""
-    def make(block: Block):
-        raw, at = block.raw.tobytes(), block.chosen(keys, places)
-        if len(at):
-            bundle, shared, a, z = block.cells(at)
-            ids, starts = block.ids(bundle), a + (block.start - block.first)[bundle]
-            yield _frame([block.shared(raw, shared).view(np.int64), _digests(raw, a.tolist(), (z + p.threshold).tolist()), ids, starts, z - a + 1, place_of(ids, starts).view(np.int64)], "key h* t* start windows place")
 
-    return _pieces(texts, p, make, f"key long, {_PIECES}")
+def _settle(batches, once: bool):
+    """Of sorted pieces: those whose hull occurs again, and with `more` one of each hull whose key has several.
 
+    Of the rows before, it keeps three at most, however many share a key: the first of the key while all have one
+    hull (`alone`), the last but one, and the last, which waits for what follows. once: rows of one place are one piece.
+    """
+    rows, seen, alone = np.zeros((5, 0), dtype=np.int64), 0, True
+    for new in itertools.chain(_joined(batches), [None]):
+        if new is not None:
+            rows = np.concatenate((rows, new), axis=1)
+        n, end = rows.shape[1], rows.shape[1] - (new is not None)
+        if not n:
+            continue
+        change = rows[:, 1:] != rows[:, :-1]
+        new_key = np.concatenate(([True], change[0]))
+        new_hull = np.concatenate(([True], change[0] | change[1]))
+        new_place = np.concatenate(([True], change.any(axis=0)))
+        if once and not new_place.all():
+            seen = int(new_place[:seen].sum())
+            rows, new_key, new_hull = rows[:, new_place], new_key[new_place], new_hull[new_place]
+            new_place, n = np.ones(rows.shape[1], dtype=bool), rows.shape[1]
+            end = n - (new is not None)
+        again = ~new_hull
+        again[:-1] |= ~new_hull[1:]
+        # Rows of one place follow each other; one of them is enough.
+        again = np.flatnonzero(again[seen:end] & new_place[seen:end]) + seen
+        first = np.flatnonzero(new_hull[:end])
+        second = np.flatnonzero(~new_key[first])
+        before = first[second - 1]
+        before = before[new_key[before] & ((before > 0) | alone)]
+        more = np.concatenate((before, first[second][first[second] >= seen]))
+        for at, kind in ((again, False), (more, True)):
+            if len(at):
+                yield _frame([*rows[2:, at], np.full(len(at), kind)], _SETTLED)
+        if n == 1:
+            seen = 0
+            continue
+        a = int(np.flatnonzero(new_key[: n - 1])[-1])
+        alone = new_hull[a : n - 1].sum() == 1 and (a > 0 or alone)
+        keep = [a, n - 2, n - 1] if alone and a < n - 2 else [n - 2, n - 1]
+        rows, seen = rows[:, keep], len(keep) - 1
 
-def windows(texts: DataFrame, p: Params, keys, places, cell_keys, cell_places) -> DataFrame:
-    """As hulls, without a key, of each window of the cells that the bitmaps let through."""
-    def make(block: Block):
-        raw, at = block.raw.tobytes(), block.chosen(keys, places)
-        if not len(at):
-            return
-        bundle, shared, a, z = block.cells(at)
-        shift = (block.start - block.first)[bundle]
-        some = np.flatnonzero(in_filter(place_of(block.ids(bundle), a + shift), cell_places.value))
-        some = some[in_filter(block.shared(raw, shared[some]), cell_keys.value)] if len(some) else some
-        if len(some):
-            n = (z - a + 1)[some]
-            cell = np.repeat(some, n)
-            first = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[cell]
-            one = np.ones(len(first), dtype=np.int64)
-            yield _frame([_digests(raw, first.tolist(), (first + p.threshold).tolist()), block.ids(bundle[cell]), first + shift[cell], one, one], "h* t* start windows place")
 
-    return _pieces(texts, p, make, _PIECES)
+def settled(pieces: DataFrame, name: str, once: bool = False) -> DataFrame:
+    """t1, t2, at, more, as _settle has them: the pieces meet by their key."""
+    by_key = pieces.repartition("key").sortWithinPartitions("key", "hull", "t1", "t2", "at")
+    return saved(by_key.mapInArrow(lambda batches: _settle(batches, once), _SETTLED), name)
 
 
-def _bitmap(keys: DataFrame):
-    return keys.sparkSession.sparkContext.broadcast(bit_filter(keys, BITS))
+def _texts(texts: DataFrame) -> DataFrame:
+    """t1, t2, data of one binary column of texts; of equal texts of a task, one."""
+    def run(batches):
+        known = set()
+        for batch in batches:
+            data, offsets = buffers(batch.column(0))
+            ids = [text_id(data[a:z].tobytes()) for a, z in itertools.pairwise(offsets.tolist())]
+            some = [d for d, x in enumerate(ids) if x not in known and not known.add(x)]
+            if some:
+                t1, t2 = np.frombuffer(b"".join(ids[d] for d in some), dtype=np.int64).reshape(-1, 2).T
+                yield _frame([t1, t2, batch.column(0).take(np.array(some))], _TEXT)
 
+    return texts.mapInArrow(run, _TEXT)
 
-def _kinds(pieces: DataFrame, name: str) -> DataFrame:
-    """h1, h2, n, place: each hull, how often it occurs, and the place that goes on for it."""
-    return saved(pieces.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")), name)
 
+_TEXT = "t1 long, t2 long, data binary"
+_MIXED = "t1 long, t2 long, at long, data binary"
 
-def _next(pieces: DataFrame, kinds: DataFrame) -> tuple:
-    """Bitmaps of what the next digit is for: mixed keys, and a place of each hull."""
-    mixed = pieces.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where("a < b or c < d")
-    return _bitmap(mixed.select("key")), _bitmap(kinds.select("place"))
 
+def _bytes_of(wanted: DataFrame, p: Params) -> DataFrame:
+    """t1, t2, at, data: the bytes of the pieces `ats` of a text in `data`."""
+    def run(batches):
+        for batch in batches:
+            data, offsets = buffers(batch.column(2))
+            for d, ats in enumerate(batch.column(3)):
+                at = _numbers(ats.values)
+                start, n, _ = _unpacked(at)
+                a, z = start + offsets[d], start + offsets[d] + n + p.threshold - 1
+                yield _frame([*(np.full(len(at), batch.column(i)[d].as_py()) for i in (0, 1)), at, [data[i:j].tobytes() for i, j in zip(a.tolist(), z.tolist(), strict=True)]], _MIXED)
 
-def _repeated(pieces: DataFrame, kinds: DataFrame) -> DataFrame:
-    """text, start, windows of the pieces whose hull occurs more than once."""
-    twice = kinds.where("n > 1").select(F.col("h1").alias("_1"), F.col("h2").alias("_2"))
-    maybe = pieces.where(may_hold(twice.select("_1"), pieces["h1"]))
-    return maybe.join(twice, (maybe["h1"] == twice["_1"]) & (maybe["h2"] == twice["_2"]), "left_semi").select("t1", "t2", "start", "windows")
+    return wanted.mapInArrow(run, _MIXED)
 
 
 def spans(texts: DataFrame, p: Params = Params()) -> DataFrame:
-    """t1, t2, start, windows of one binary column of texts: repeated windows start at the `windows` places from start of the text t1, t2."""
-    live = _bitmap(first_digits(texts, p).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
-    whole = saved(hulls(texts, p, live), "suffix-hulls")
-    whole_kinds = _kinds(whole, "suffix-hull-kinds")
-    first = _next(whole, whole_kinds)
-    cut = saved(cells(texts, p, *first), "suffix-cells")
-    cut_kinds = _kinds(cut, "suffix-cell-kinds")
-    single = saved(windows(texts, p, *first, *_next(cut, cut_kinds)), "suffix-windows")
-    return _repeated(whole, whole_kinds).unionAll(_repeated(cut, cut_kinds)).unionAll(_repeated(single, _kinds(single, "suffix-window-kinds")))
+    """t1, t2, at of one binary column of texts: repeated windows start at the places of the text t1, t2 that `at` has packed."""
+    whole = settled(hulls(texts, p), "suffix-hulls")
+    wanted = whole.where("more").groupBy("t1", "t2").agg(F.collect_list("at").alias("ats"))
+    mixed = saved(_bytes_of(_texts(texts).join(wanted, ["t1", "t2"]), p), "suffix-mixed")
+    cut = settled(cells(mixed, p), "suffix-cells", once=True)
+    hull = F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFF)
+    wanted = cut.where("more").groupBy("t1", "t2", hull.alias("start")).agg(F.collect_list("at").alias("ats"))
+    mixed = mixed.withColumn("start", F.shiftright("at", 32)).join(wanted, ["t1", "t2", "start"]).select("t1", "t2", "at", "data", "ats")
+    single = settled(windows(mixed, p), "suffix-windows", once=True)
+    return whole.unionAll(cut).unionAll(single).where("not more").drop("more")
 
 
 def merged(starts: np.ndarray, counts: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,14 +330,15 @@ def removed(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
-    found = saved(spans(rows.select("data"), p).groupBy("t1", "t2").agg(F.collect_set(F.struct("start", "windows")).alias("places")), "suffix-spans")
+    with freed_shuffles(docs.sparkSession):
+        found = saved(spans(rows.select("data"), p).groupBy("t1", "t2").agg(F.collect_set("at").alias("ats")), "suffix-spans")
     rows = rows.withColumn("sha", F.sha2("data", 256))
     rows = rows.withColumns({"u1": _long(F.col("sha"), 1), "u2": _long(F.col("sha"), 17)})
     rows = rows.withColumn("maybe", may_hold(found.select("t1"), F.col("u1")))
     none = F.array().cast("array<struct<start:long,end:long>>")
     size = F.octet_length("data").cast("long").alias("n_bytes")
     clean = rows.where("not maybe").select("doc_id", size, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), none.alias("spans"), F.col("data").alias("kept"))
-    other = rows.where("maybe").join(found, (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")), "left").select("doc_id", "data", F.col("places.start").alias("starts"), F.col("places.windows").alias("counts"))
+    other = rows.where("maybe").join(found, (F.col("u1") == F.col("t1")) & (F.col("u2") == F.col("t2")), "left").select("doc_id", "data", "ats")
     return clean.unionAll(other.mapInArrow(lambda batches: _cut(batches, p.threshold), clean.schema))
 
 
@@ -309,10 +351,8 @@ def _cut(batches, threshold: int):
         data, offsets = buffers(batch.column(1))
         for d in range(batch.num_rows):
             raw = data[offsets[d] : offsets[d + 1]]
-            starts, counts = batch.column(2)[d].values, batch.column(3)[d].values
-            if starts is None:
-                starts = counts = pa.array([], pa.int64())
-            a, z = merged(starts.to_numpy(zero_copy_only=False).astype(np.int64), counts.to_numpy(zero_copy_only=False).astype(np.int64), threshold) if len(starts) else (np.zeros(0, dtype=np.int64),) * 2
+            ats = batch.column(2)[d].values
+            a, z = merged(*_unpacked(_numbers(ats))[:2], threshold) if ats is not None else (np.zeros(0, dtype=np.int64),) * 2
             kept = b"".join(raw[i:j].tobytes() for i, j in zip([0, *z.tolist()], [*a.tolist(), len(raw)], strict=True))
             for values, x in zip(out, (len(raw), int((z - a).sum()), len(a), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in zip(a.tolist(), z.tolist(), strict=True)], kept), strict=True):
                 values.append(x)

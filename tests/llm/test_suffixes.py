@@ -74,6 +74,37 @@ def test_megabytes_in_one_text(documents):
     assert out[2].n_removed == 500 and out[3].n_removed == 300 and bytes(out[3].kept) == b""
 
 
+def test_what_goes_on_follows_from_the_repeats(documents, monkeypatch):
+    """Full bitmaps, as of a large input, let every window through."""
+    monkeypatch.setattr(S, "BITS", 3, raising=False)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop "), 3_000)) for _ in range(40)]
+    rows = [*enumerate(texts), (90, "start " + texts[0][500:900] + " end"), (91, texts[1])]
+    sent = {}
+    save = S.saved
+    monkeypatch.setattr(S, "saved", lambda df, name: (out := save(df, name), sent.__setitem__(name, out.count()))[0])
+    assert got(documents(rows)) == brute(rows, 200)
+    assert sent["suffix-windows"] < 200 and sum(sent.values()) < 500, sent
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_sorted_pieces_in_small_batches(once, monkeypatch):
+    """A pass over sorted rows, cut anywhere, against groups."""
+    monkeypatch.setattr(S, "_ROWS", 1)
+    rng = np.random.default_rng(11)
+    for trial in range(60):
+        rows = sorted(map(tuple, rng.integers(0, (3 + trial % 4, 1 + trial % 3, 2, 2, 2), (int(rng.integers(1, 60)), 5)).tolist()))
+        cut = np.sort(rng.integers(0, len(rows), 1 + trial % 9))
+        parts = [p for p in np.split(np.array(rows).T, cut, axis=1) if p.shape[1]]
+        found = [tuple(r.values()) for batch in S._settle([S._frame(list(p), S._PIECE) for p in parts], once) for r in batch.to_pylist()]
+        pieces = sorted(set(rows)) if once else rows
+        count = Counter(r[:2] for r in pieces)
+        assert sorted(r[:3] for r in found if not r[3]) == sorted(r[2:] for r in set(pieces) if count[r[:2]] > 1)
+        mixed = [h for h in count if sum(k[0] == h[0] for k in count) > 1]
+        first = {r[:2]: r[2:] for r in reversed(pieces)}
+        assert sorted(r[:3] for r in found if r[3]) == sorted(first[h] for h in mixed)
+
+
 def test_bundles_hold_every_window_once():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 100, 5000).astype(np.uint8)
