@@ -11,7 +11,8 @@ asked, so digits are taken in the order that settles most suffixes first, not fr
    gram, by the bytes that all of a cell share and the digest of their hull.
 3. single windows of cells that are still mixed, through all `threshold` bytes.
 
-Pieces that share a digit meet in one sorted partition, and a pass over it keeps a few rows at a time. Of equal hulls
+Pieces that share a digit meet in one sorted partition, and a pass over it keeps a few rows at a time; of equal ones
+that a task has many of, few are sent there. Of equal hulls
 only one goes on to the next digit, in the place of all: the others are settled, and it is there for those that share
 a part of it. The texts are read twice: the second time each gives the bytes of its bundles that go on, which are a
 small table; later digits are taken from that. What a pass sends follows from the pieces that it is for, whatever
@@ -130,22 +131,19 @@ def text_id(data: bytes | memoryview) -> bytes:
     return hashlib.sha256(data).digest()[:16]
 
 
-def hulls(texts: DataFrame, p: Params) -> DataFrame:
+def hulls(batches, p: Params):
     """The bundles of one binary column of texts as pieces; the other number is the gram's place in the bundle."""
-    def run(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column(0))
-            own = functools.cache(lambda d, data=data, offsets=offsets: text_id(data[offsets[d] : offsets[d + 1]].tobytes()))
-            for raw, heads, i in blocks(data, offsets, p.threshold):
-                key, gram, first, last = bundles(raw, heads[heads > 0], p)
-                if not len(key):
-                    continue
-                doc = np.searchsorted(heads, first, side="right") - 1
-                t1, t2 = np.frombuffer(b"".join(own(d + i) for d in doc.tolist()), dtype=np.int64).reshape(-1, 2).T
-                (hull,) = _digests(raw.tobytes(), first, last + p.threshold)
-                yield _frame([key.view(np.int64), hull, t1, t2, _packed(first - heads[doc], last - first + 1, gram - first)], _PIECE)
-
-    return texts.mapInArrow(run, _PIECE)
+    for batch in batches:
+        data, offsets = buffers(batch.column(0))
+        own = functools.cache(lambda d, data=data, offsets=offsets: text_id(data[offsets[d] : offsets[d + 1]].tobytes()))
+        for raw, heads, i in blocks(data, offsets, p.threshold):
+            key, gram, first, last = bundles(raw, heads[heads > 0], p)
+            if not len(key):
+                continue
+            doc = np.searchsorted(heads, first, side="right") - 1
+            t1, t2 = np.frombuffer(b"".join(own(d + i) for d in doc.tolist()), dtype=np.int64).reshape(-1, 2).T
+            (hull,) = _digests(raw.tobytes(), first, last + p.threshold)
+            yield _frame([key.view(np.int64), hull, t1, t2, _packed(first - heads[doc], last - first + 1, gram - first)], _PIECE)
 
 
 def _cells(raw: bytes, start: int, windows: int, gram: int, p: Params) -> tuple[np.ndarray, ...]:
@@ -157,42 +155,36 @@ def _cells(raw: bytes, start: int, windows: int, gram: int, p: Params) -> tuple[
     return gram - c * p.cell, gram - np.minimum(gram, c * p.cell + p.cell - 1), gram - np.maximum(gram - windows + 1, c * p.cell)
 
 
-def cells(mixed: DataFrame, p: Params) -> DataFrame:
+def cells(batches, p: Params):
     """The cells of bundles as pieces; the other number is a cell's place in its bundle."""
-    def run(batches):
-        for batch in filter(len, batches):
-            out = []
-            start, windows, gram = _unpacked(_numbers(batch.column(2)))
-            for k, raw in enumerate(batch.column(3).to_pylist()):
-                shared, a, z = _cells(raw, start[k], windows[k], gram[k], p)
-                (key,), (hull,) = _digests(raw, shared, shared + p.threshold - p.cell + 1), _digests(raw, a, z + p.threshold)
-                out.append((key, hull, _packed(start[k] + a, z - a + 1, a)))
-            n = [len(x[0]) for x in out]
-            key, hull, at = (np.concatenate([x[i] for x in out]) for i in range(3))
-            yield _frame([key, hull, *(np.repeat(_numbers(batch.column(i)), n) for i in (0, 1)), at], _PIECE)
-
-    return mixed.mapInArrow(run, _PIECE)
-
-
-def windows(mixed: DataFrame, p: Params) -> DataFrame:
+    for batch in filter(len, batches):
+        out = []
+        start, windows, gram = _unpacked(_numbers(batch.column(2)))
+        for k, raw in enumerate(batch.column(3).to_pylist()):
+            shared, a, z = _cells(raw, start[k], windows[k], gram[k], p)
+            (key,), (hull,) = _digests(raw, shared, shared + p.threshold - p.cell + 1), _digests(raw, a, z + p.threshold)
+            out.append((key, hull, _packed(start[k] + a, z - a + 1, a)))
+        n = [len(x[0]) for x in out]
+        key, hull, at = (np.concatenate([x[i] for x in out]) for i in range(3))
+        yield _frame([key, hull, *(np.repeat(_numbers(batch.column(i)), n) for i in (0, 1)), at], _PIECE)
+
+
+def windows(batches, p: Params):
     """Each window of the cells in the fifth column, as pieces."""
-    def run(batches):
-        for batch in filter(len, batches):
-            out = []
-            for raw, wanted in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
-                start, n, place = _unpacked(_numbers(wanted.values))
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(place, n) + k
-                out.append((*_digests(raw, at, at + p.threshold, 16), _packed(np.repeat(start, n) + k, np.ones(len(k)), np.zeros(len(k)))))
-            n = [len(x[0]) for x in out]
-            key, hull, at = (np.concatenate([x[i] for x in out]) for i in range(3))
-            yield _frame([key, hull, *(np.repeat(_numbers(batch.column(i)), n) for i in (0, 1)), at], _PIECE)
+    for batch in filter(len, batches):
+        out = []
+        for raw, wanted in zip(batch.column(3).to_pylist(), batch.column(4), strict=True):
+            start, n, place = _unpacked(_numbers(wanted.values))
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(place, n) + k
+            out.append((*_digests(raw, at, at + p.threshold, 16), _packed(np.repeat(start, n) + k, np.ones(len(k)), np.zeros(len(k)))))
+        n = [len(x[0]) for x in out]
+        key, hull, at = (np.concatenate([x[i] for x in out]) for i in range(3))
+        yield _frame([key, hull, *(np.repeat(_numbers(batch.column(i)), n) for i in (0, 1)), at], _PIECE)
 
-    return mixed.mapInArrow(run, _PIECE)
 
-
-#: Sorted pieces that are looked at at a time.
-_ROWS = 1 << 16
+#: Pieces that are looked at at a time, and how many copies of one among them are sent as they are.
+_ROWS, _COPIES = 1 << 16, 4
 
 
 def _joined(batches) -> Iterator[np.ndarray]:
@@ -208,6 +200,26 @@ def _joined(batches) -> Iterator[np.ndarray]:
         yield np.concatenate(rows, axis=1)
 
 
+def _sent(batches, once: bool):
+    """Pieces as they are sent: of more than _COPIES equal ones, one by its key, and all their places, known to occur again, by other keys.
+
+    So a passage that is everywhere does not meet in one task. Known places have a negative `at`.
+    """
+    for rows in _joined(batches):
+        rows = rows[:, np.lexsort(rows[::-1])]
+        change = np.concatenate((np.ones((5, 1), dtype=bool), rows[:, 1:] != rows[:, :-1]), axis=1)
+        new_place = change.any(axis=0)
+        if once:
+            rows, change, new_place = rows[:, new_place], change[:, new_place], new_place[new_place]
+        new_hull = change[0] | change[1]
+        n = np.diff(np.append(np.flatnonzero(new_hull), len(new_hull)))
+        many = np.repeat(n > _COPIES, n)
+        known = rows[:, many & new_place]
+        known[0] = mix((known[2] ^ known[4]).view(np.uint64)).view(np.int64)
+        known[1], known[4] = 0, ~known[4]
+        yield _frame(np.concatenate((rows[:, ~many | new_hull], known), axis=1), _PIECE)
+
+
 _SETTLED = "t1 long, t2 long, at long, more boolean"
 
 
@@ -220,7 +232,10 @@ def _settle(batches, once: bool):
     rows, seen, alone = np.zeros((5, 0), dtype=np.int64), 0, True
     for new in itertools.chain(_joined(batches), [None]):
         if new is not None:
-            rows = np.concatenate((rows, new), axis=1)
+            known = new[4] < 0
+            if known.any():
+                yield _frame([*new[2:4, known], ~new[4, known], np.zeros(known.sum(), dtype=bool)], _SETTLED)
+            rows = np.concatenate((rows, new[:, ~known]), axis=1)
         n, end = rows.shape[1], rows.shape[1] - (new is not None)
         if not n:
             continue
@@ -254,9 +269,9 @@ def _settle(batches, once: bool):
         rows, seen = rows[:, keep], len(keep) - 1
 
 
-def settled(pieces: DataFrame, name: str, once: bool = False) -> DataFrame:
-    """t1, t2, at, more, as _settle has them: the pieces meet by their key."""
-    by_key = pieces.repartition("key").sortWithinPartitions("key", "hull", "t1", "t2", "at")
+def settled(table: DataFrame, pieces, name: str, once: bool = False) -> DataFrame:
+    """t1, t2, at, more, as _settle has them, of the pieces that a function makes of batches of the table; they meet by their key."""
+    by_key = table.mapInArrow(lambda batches: _sent(pieces(batches), once), _PIECE).repartition("key").sortWithinPartitions("key", "hull", "t1", "t2", "at")
     return saved(by_key.mapInArrow(lambda batches: _settle(batches, once), _SETTLED), name)
 
 
@@ -295,14 +310,14 @@ def _bytes_of(wanted: DataFrame, p: Params) -> DataFrame:
 
 def spans(texts: DataFrame, p: Params = Params()) -> DataFrame:
     """t1, t2, at of one binary column of texts: repeated windows start at the places of the text t1, t2 that `at` has packed."""
-    whole = settled(hulls(texts, p), "suffix-hulls")
+    whole = settled(texts, functools.partial(hulls, p=p), "suffix-hulls")
     wanted = whole.where("more").groupBy("t1", "t2").agg(F.collect_list("at").alias("ats"))
     mixed = saved(_bytes_of(_texts(texts).join(wanted, ["t1", "t2"]), p), "suffix-mixed")
-    cut = settled(cells(mixed, p), "suffix-cells", once=True)
+    cut = settled(mixed, functools.partial(cells, p=p), "suffix-cells", once=True)
     hull = F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFF)
     wanted = cut.where("more").groupBy("t1", "t2", hull.alias("start")).agg(F.collect_list("at").alias("ats"))
     mixed = mixed.withColumn("start", F.shiftright("at", 32)).join(wanted, ["t1", "t2", "start"]).select("t1", "t2", "at", "data", "ats")
-    single = settled(windows(mixed, p), "suffix-windows", once=True)
+    single = settled(mixed, functools.partial(windows, p=p), "suffix-windows", once=True)
     return whole.unionAll(cut).unionAll(single).where("not more").drop("more")
 
 

@@ -105,6 +105,20 @@ def test_sorted_pieces_in_small_batches(once, monkeypatch):
         assert sorted(r[:3] for r in found if r[3]) == sorted(first[h] for h in mixed)
 
 
+@pytest.mark.parametrize("once", [False, True])
+def test_many_copies_do_not_meet(once):
+    """Of many equal pieces few are sent by their key; what is known of them is the same."""
+    rng = np.random.default_rng(12)
+    rows = [(7, 1, t, 2, 3 << 32) for t in range(5_000)] + [(7, 2, 9, 9, 9), (8, 1, 1, 1, 1), (8, 1, 1, 1, 1)] + rng.integers(0, 30, (2_000, 5)).tolist()
+    frames = [S._frame(list(np.array(part, dtype=np.int64).T), S._PIECE) for part in (rows[:3_000], rows[3_000:])]
+    sent = np.stack([c for x in S._sent(frames, once) for c in [np.stack([v.to_numpy() for v in x.columns])]]).transpose(1, 0, 2).reshape(5, -1)
+    assert (sent[0] == 7).sum() < 200 and max(Counter(sent[0].tolist()).values()) < 300
+    settle = lambda r: {tuple(x.values()) for b in S._settle([S._frame(list(r[:, np.lexsort(r[::-1])]), S._PIECE)], once) for x in b.to_pylist()}
+    plain = settle(np.array(rows, dtype=np.int64).T)
+    assert {x for x in settle(sent) if not x[3]} == {x for x in plain if not x[3]}
+    assert sum(x[3] for x in settle(sent)) == sum(x[3] for x in plain)
+
+
 def test_bundles_hold_every_window_once():
     rng = np.random.default_rng(1)
     raw = rng.integers(97, 100, 5000).astype(np.uint8)
